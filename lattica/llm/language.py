@@ -15,6 +15,7 @@ label teach nothing.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -144,8 +145,7 @@ def fit(
 
 def predict(text: Column, spark, samples: dict[str, list[str]]) -> Column:
     """struct<lang, score> of each text."""
-    model = spark.sparkContext.broadcast(samples)
-    name = ("language", hash(str(sorted((k, len(v), v[:50]) for k, v in samples.items()))))
+    model, name = spark.sparkContext.broadcast(samples), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang string, score double>")
     def predicted(texts: pa.Array) -> pa.Array:
