@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import language, line_dedup, quality, sharding, token_counts
+from lattica.llm import language, line_dedup, ppm, quality, sharding, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), crc_mod("doc_id", 7) != 2)
+
+
 def op3_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     target = quality.bounded_target(labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)))
@@ -45,20 +49,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_target_ratio, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
+    return {f.__name__: f for f in (op2_ppm_score, op3_target_ratio, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
 
 
 OP7_SQL = """
 WITH lines AS (
-  SELECT doc_id, at, parts[at] AS line,
-         translate(trim(parts[at], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  SELECT doc_id, i, parts[i] AS line,
+         translate(trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS at
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
 frequent AS (
   SELECT line_key FROM lines WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(f.line_key) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE f.line_key IS NULL), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.line_key IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN frequent f USING (line_key) GROUP BY doc_id
 """
 
