@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import language, line_dedup, ppm, quality, sharding, token_counts
+from lattica.llm import decontaminate, language, line_dedup, ppm, quality, sharding, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -27,6 +27,10 @@ def op3_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), target)
 
 
+def op4_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
@@ -49,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm_score, op3_target_ratio, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
+    return {f.__name__: f for f in (op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
 
 
 OP7_SQL = """
