@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, language, line_dedup, ppm, quality, sharding, token_counts
+from lattica.llm import decontaminate, language, line_dedup, nbest, ppm, quality, sharding, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.digest(documents(spark, sf_dir))
+
+
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir), crc_mod("doc_id", 7) != 2)
 
@@ -53,7 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
+    return {f.__name__: f for f in (op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
 
 
 OP7_SQL = """
