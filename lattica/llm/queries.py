@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, language, line_dedup, nbest, ppm, quality, sharding, token_counts
+from lattica.llm import decontaminate, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -56,8 +56,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKEN_LIMIT)
 
 
+def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts)}
+    return {f.__name__: f for f in (op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash)}
 
 
 OP7_SQL = """
