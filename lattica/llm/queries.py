@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, token_counts
+from lattica.llm import decontaminate, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -39,6 +39,11 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
+def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return got.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), "got")
     return got.select("doc_id", "got.n_lines", "got.n_dropped", sha256_hex(F.col("got.kept")).alias("kept_sha256"))
@@ -61,7 +66,7 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash)}
+    return {f.__name__: f for f in (op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op6_repeated_windows, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash)}
 
 
 OP7_SQL = """
@@ -79,5 +84,25 @@ FROM lines LEFT JOIN frequent f USING (line_key) GROUP BY doc_id
 """
 
 
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM words WHERE len(w) >= 35)),
+repeated AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM starts WHERE h IN (SELECT h FROM repeated)),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+  SELECT p.doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed,
+         string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS t
+  FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_runs": OP7_SQL}
+    return {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL}
