@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now and kept in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, rows_each: int = 200_000) -> DataFrame:
+    """cut(), then as many partitions as the rows call for: small results keep later shuffles to a few files."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows_each)))
