@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lattica.llm import decontaminate, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
@@ -66,7 +67,11 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards, op6_repeated_windows, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash)}
+    operators = (
+        op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards,
+        op6_repeated_windows, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash,
+    )
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 OP7_SQL = """
@@ -105,4 +110,5 @@ FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL}
+    own = {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
