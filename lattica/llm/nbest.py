@@ -42,7 +42,7 @@ NBEST = 3
 UNKNOWN_COST = 10.0
 NEVER = float("-inf")
 SPACE = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 
 Ranked = list[tuple[float, tuple[int, ...]]]
 
@@ -180,8 +180,8 @@ class NBestCoder:
     def __init__(self, model: str = MODEL, n: int = NBEST):
         self.pieces, self.n = Pieces(model), n
         self.table = pa.array(self.pieces.as_bytes, pa.large_binary())
-        self.firsts = Memo(lambda items: [self.pieces.first(x) for x in items])
-        self.units = Memo(self._units_first, 200_000)
+        self.firsts = Memo(lambda items: [self.pieces.first(x) for x in items], 800_000)
+        self.units = Memo(self._units_first, 150_000)
         self.ranked = Memo(lambda items: [self.rank(x) for x in items], 50_000)
 
     def _units_first(self, items: list[str]) -> list[tuple[float, tuple[int, ...], float]]:
