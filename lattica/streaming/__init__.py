@@ -1,0 +1 @@
+"""Nothing to stream: matrices come as whole tables. Parts of a growing matrix are added up by SparseMatrix.of(add_up=True)."""
