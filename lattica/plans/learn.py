@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 def parse_log(lines: DataFrame, prefix: str, value: str = "value") -> DataFrame:
     """features and target of the log lines with a prefix: comma-separated numbers behind it, the last one the target."""
     rest = F.substring(F.col(value), len(prefix) + 1, 1 << 30)
-    numbers = F.transform(F.filter(F.split(rest, r"[,\s]+"), lambda x: x != ""), lambda x: x.cast("double"))
+    numbers = F.transform(F.filter(F.split(rest, r"[,\s]+"), lambda x: x != ""), lambda x: x.try_cast("double"))
     rows = lines.filter(F.col(value).startswith(prefix)).select(numbers.alias("n")).filter(F.size("n") >= 2)
     return rows.select(F.slice("n", 1, F.size("n") - 1).alias("features"), F.element_at("n", -1).alias("target"))
 
