@@ -1,7 +1,7 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are five consecutive words (lower case, punctuation at the ends of words left out); a
-text with fewer words has one shingle of all. A shingle weighs its count times 1 + `IDF_PART` x idf, where
+text with fewer words has one shingle of all. A shingle found n times weighs 1 + ln n, times 1 + `IDF_PART` x idf, where
 idf (0 to 1) comes from document frequencies over all documents, hashed into `DF_BUCKETS` buckets. The
 idf part is kept small on purpose: the more copies a passage has, the lighter full idf would make it, and
 links inside large groups would be lost.
@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from lattica.llm.components import components
 from lattica.llm.text import as_strings, distinct, held, slices, split_words
-from lattica.session import cut
+from lattica.session import cut, settle
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 3
 SMALL, STARS = 8, 4
-DF_BITS, IDF_PART = 18, 0.1
+DF_BITS, IDF_PART = 16, 0.05
 DF_BUCKETS = 1 << DF_BITS
 SLICE_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +92,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int | None, np.ndarray, np.ndarr
 
 
 def weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * (1.0 + IDF_PART * idf[(keys >> np.uint64(64 - DF_BITS)).astype(np.int64)])
+    return (1.0 + np.log(counts)) * (1.0 + IDF_PART * idf[(keys >> np.uint64(64 - DF_BITS)).astype(np.int64)])
 
 
 def samples(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut(spread.join(sizes, "bucket"))
+    members = settle(spread.join(sizes, "bucket"))
     texts = members.select("node").distinct().join(nodes.select("node", "row_key"), "node")
     texts = cut(rows.select("row_key", "text").join(texts, "row_key").dropDuplicates(["node"]).select("node", "text"))
     alone = members.filter(F.col("size") <= SMALL).select("bucket", "node")
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.filter(F.col("size") > SMALL).select("bucket", "node").withColumn("component", F.col("node"))
     reps = large.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rep"))
     star = large.join(reps, "bucket").filter("node != rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-    known = cut(verify(pairs.unionByName(star).distinct(), texts, model, name))
+    known = settle(verify(pairs.unionByName(star).distinct(), texts, model, name))
     linked = components(known.filter(F.col("sim") >= similar))
     for k in range(1, STARS):
         if large.isEmpty():
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Buckets whose members are not yet in one component.
         placed = large.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
-        large = cut(placed.join(mixed, "bucket").select("bucket", "node", "component"))
+        large = settle(placed.join(mixed, "bucket").select("bucket", "node", "component"))
         if k == 1:  # the member most similar to the first centre
             near = large.join(reps, "bucket").filter("node != rep").select("bucket", "node", F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
             centre = near.join(known, ["a", "b"]).groupBy("bucket").agg(F.max_by("node", F.struct("sim", "node")).alias("rep"))
@@ -243,10 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             outside = large.join(reps, "bucket").join(linked.select(F.col("node").alias("rep"), F.col("component").alias("of")), "rep", "left")
             outside = outside.filter(F.col("component") != F.coalesce("of", "rep"))
             centre = outside.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("rep"))
-        reps = cut(centre)
+        reps = settle(centre)
         starred = reps.join(large.select("bucket", F.col("node").alias("rep"), F.col("component").alias("rep_component")), ["bucket", "rep"])
-        fresh = cut(verify(_stars(large, starred, known), texts, model, name))
-        known = cut(known.unionByName(fresh))
+        fresh = settle(verify(_stars(large, starred, known), texts, model, name))
+        known = settle(known.unionByName(fresh))
         if not fresh.filter(F.col("sim") >= similar).isEmpty():
             linked = components(known.filter(F.col("sim") >= similar))
     named = signed.select("doc_id", "row_key", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
