@@ -29,12 +29,12 @@ class SparseMatrix:
         as_column = lambda c: F.col(c) if isinstance(c, str) else c
         entries = df.select(as_column(row).cast("long").alias("row"), as_column(col).cast("long").alias("col"), as_column(val).cast("double").alias("val"))
         entries = entries.filter(F.col("row").isNotNull() & F.col("col").isNotNull())
-        if add_up:
-            entries = entries.groupBy("row", "col").agg(F.sum("val").alias("val"))
         if n_rows is None or n_cols is None:
             top = entries.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
             n_rows = n_rows if n_rows is not None else (-1 if top["r"] is None else top["r"]) + 1
             n_cols = n_cols if n_cols is not None else (-1 if top["c"] is None else top["c"]) + 1
+        if add_up:
+            entries = entries.groupBy("row", "col").agg(F.sum("val").alias("val"))
         return SparseMatrix(entries, n_rows, n_cols)
 
     @property
