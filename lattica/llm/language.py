@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from lattica.llm.text import Memo, as_strings, distinct, held, per_text, slices, split_words
 
-SAMPLE_DOCS, SAMPLE_CHARS = 80, 150_000
+SAMPLE_DOCS, SAMPLE_CHARS = 80, 50_000
 UNDETERMINED = "und"
 
 
@@ -130,7 +130,7 @@ def fit(
     rank = F.xxhash64("id")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (10 * sample_docs + 50) / n))])
     near = rows.filter((rank / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("l")])
-    near = near.filter(F.col("t").isNotNull() & (F.length("t") <= sample_chars // 4))
+    near = near.filter(F.col("t").isNotNull() & (F.length("t") <= sample_chars))
     order = Window.partitionBy("l").orderBy(rank, "id", "t")
     sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
     samples: dict[str, list[str]] = {}
