@@ -85,7 +85,7 @@ class CrossParser:
         self.languages = sorted(samples)
         self.automata = [SuffixAutomaton(samples[x]) for x in self.languages]
         self.bits = np.array([math.log2(2 + sum(len(w) + 1 for w in samples[x])) for x in self.languages])
-        self.memo = Memo(self._parse)
+        self.memo = Memo(self._parse, 200_000)
 
     def _parse(self, items: list[str]) -> list[tuple[int, ...]]:
         out = []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import as_strings, distinct, held, slices
+from lattica.llm.text import as_strings, distinct, held, let_go, slices
 from lattica.session import cut
 
 KEY = ["h1", "h2"]
@@ -51,6 +51,7 @@ def batch_keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     """h1, h2 and n: the documents that hold each key, with counts of byte-balanced pieces still apart."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = as_strings(batch.column(0))
             for a, b in slices(texts):

@@ -180,7 +180,7 @@ class NBestCoder:
     def __init__(self, model: str = MODEL, n: int = NBEST):
         self.pieces, self.n = Pieces(model), n
         self.table = pa.array(self.pieces.as_bytes, pa.large_binary())
-        self.firsts = Memo(lambda items: [self.pieces.first(x) for x in items], 800_000)
+        self.firsts = Memo(lambda items: [self.pieces.first(x) for x in items], 600_000)
         self.units = Memo(self._units_first, 150_000)
         self.ranked = Memo(lambda items: [self.rank(x) for x in items], 50_000)
 

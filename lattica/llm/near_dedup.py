@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.text import as_strings, distinct, held, slices, split_words
+from lattica.llm.text import as_strings, distinct, held, let_go, slices, split_words
 from lattica.session import cut, settle
 
 WORDS, SIMILAR = 5, 0.8
@@ -137,6 +137,7 @@ def fit_idf(rows: DataFrame) -> np.ndarray:
     """idf (0 to 1) of each bucket of shingles, from all texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total, n = np.zeros(DF_BUCKETS, np.int64), 0
         for batch in batches:
             texts = as_strings(batch.column(0))

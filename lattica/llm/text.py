@@ -108,14 +108,18 @@ class Memo:
         return got
 
 
-#: Models that this worker holds, by what they are made from.
+#: The model that this worker holds, by what it is made from. Workers serve one operator after another.
 _HELD: dict = {}
 
 
 def held(key, make: Callable):
-    """What make() gives, kept in this worker for later batches; only the newest few are kept."""
+    """What make() gives, kept in this worker for later batches until another model is asked for."""
     if key not in _HELD:
-        while len(_HELD) >= 3:
-            _HELD.pop(next(iter(_HELD)))
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def let_go() -> None:
+    """Drops the model that an earlier operator has left in this worker."""
+    _HELD.clear()
