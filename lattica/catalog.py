@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formulas
 from lattica.model import SparseMatrix
 from lattica.operators import cuts, division, features, layout, products, runs, sorting
-from lattica.plans import graph, learn, tuner
+from lattica.plans import graph, learn, templates, tuner
 from lattica.sources import corpus, generators, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,6 +256,26 @@ SELECT worker, CAST(sum(e) AS BIGINT) AS entries, CAST(sum(x) AS BIGINT) AS row_
 on(lambda m: division.shared_rows(division.nnz_tiles(m, 256).entries, "tlb"), "share_row_flags", base('SELECT r AS "row", count(DISTINCT nz // 256) > 1 AS shared FROM nz GROUP BY r'))
 
 
+FACTS_SQL = """
+, t AS (SELECT r // {blb} AS b, r % {blb} // {wlb} AS w, r, rn // {tlb} AS q, count(*) AS n FROM nz GROUP BY ALL),
+br AS (SELECT max(t) AS tlbs_of_row, max(w) AS wlbs_of_row, count(*) FILTER (WHERE b > 1) AS shared_rows
+       FROM (SELECT r, count(*) AS t, count(DISTINCT (b, w)) AS w, count(DISTINCT b) AS b FROM t GROUP BY r)),
+bb AS (SELECT count(*) AS blbs, max(t) AS tlbs_of_blb, max(rr) AS rows_of_blb, count(*) FILTER (WHERE lo <> hi) AS uneven_blbs, min(lo) AS min_tlb, max(hi) AS max_tlb
+       FROM (SELECT b, count(*) AS t, count(DISTINCT r) AS rr, min(n) AS lo, max(n) AS hi FROM t GROUP BY b)),
+bw AS (SELECT count(*) AS wlbs, max(rr) AS rows_of_wlb FROM (SELECT b, w, count(DISTINCT r) AS rr FROM t GROUP BY b, w))
+""".strip()
+on(lambda m: templates.facts(division.nested(m, 512, 32, 2).entries), "level_facts", base(FACTS_SQL.format(blb=512, wlb=32, tlb=2) + "\nSELECT * FROM br, bb, bw"))
+on(lambda m: templates.supported(division.nested(m, 512, 1, 2).entries), "template_support", base(FACTS_SQL.format(blb=512, wlb=1, tlb=2) + """
+SELECT template, sums FROM br, bb, bw, (VALUES ('direct', 'row'), ('direct_warp_compress', 'row'), ('direct_warp_block_compress', 'row'), ('shared_memory', 'blb, row, tlb'),
+  ('shared_memory_warp_compress', 'blb, row'), ('shared_memory_long_row', 'blb'), ('shared_memory_warp_reduce', 'blb, row, wlb'), ('direct_warp_reduce', 'wlb'),
+  ('unaligned_warp_reduce', 'tlb, row')) v(template, sums)
+WHERE CASE template WHEN 'direct' THEN true WHEN 'direct_warp_compress' THEN uneven_blbs = 0 WHEN 'direct_warp_block_compress' THEN min_tlb = max_tlb
+  WHEN 'shared_memory' THEN tlbs_of_row > 1 AND shared_rows = 0 AND tlbs_of_blb <= 3950
+  WHEN 'shared_memory_warp_compress' THEN tlbs_of_row > 1 AND shared_rows = 0 AND tlbs_of_blb <= 3950 AND uneven_blbs = 0
+  WHEN 'shared_memory_long_row' THEN rows_of_blb = 1 WHEN 'shared_memory_warp_reduce' THEN shared_rows = 0 AND rows_of_wlb = 1 AND wlbs_of_row > 1
+  WHEN 'direct_warp_reduce' THEN rows_of_wlb = 1 ELSE blbs = 1 AND wlbs = 1 END"""))
+
+
 # Cuts.
 WINDOW_SQL = "CASE WHEN k >= 8 THEN 3 WHEN k >= 4 THEN 2 WHEN k >= 2 THEN 1 ELSE 0 END"
 on(lambda m: cuts.exponential_cuts(m, 2, 2, 8), "exp_range_cuts", base(f"""

@@ -79,7 +79,7 @@ def _scan(matrix: SparseMatrix, start: Callable[[], tuple], step: Callable[[tupl
                     out.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["cut"])
 
-    ordered = matrix.row_nnz().select("row", "k").coalesce(1).sortWithinPartitions("row")
+    ordered = matrix.row_nnz().select("row", "k").repartition(1).sortWithinPartitions("row")
     ends = matrix.spark.createDataFrame([(0,), (last,)], "cut long")
     return ordered.mapInArrow(cuts, "cut long").unionByName(ends).distinct()
 

@@ -41,6 +41,19 @@ def test_every_candidate_gives_the_product(spark):
     assert padding_allows(m, 1) and not padding_allows(m, 6, most=1.5)
 
 
+def test_templates(spark):
+    from lattica.operators import division
+    from lattica.plans import templates
+
+    of = lambda lengths, *levels: {r["template"] for r in templates.supported(division.nested(of_lengths(spark, lengths), *levels).entries).collect()}
+    even = of([4, 4, 4, 4], 2, 1, 2)
+    assert {"direct_warp_block_compress", "shared_memory", "direct_warp_reduce"} <= even and "unaligned_warp_reduce" not in even
+    assert "shared_memory_long_row" in of([9, 9], 1, 1, 2) and "direct_warp_compress" not in of([3, 5], 2, 2, 2)
+    assert "unaligned_warp_reduce" in of([3, 5], 8, 8, 2)
+    assert templates.worth_trying({"direct", "direct_warp_compress", "direct_warp_block_compress"}) == {"direct_warp_block_compress"}
+    assert templates.worth_trying({"direct"}) == {"direct"}
+
+
 def test_search_stops_and_finds_the_best(spark):
     m = of_lengths(spark, [3, 1, 2])
     x = m.cols().withColumn("x", F.lit(2.0))
