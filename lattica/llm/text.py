@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t-\r]"
+SPACE, SPACES = r"[ \t-\r]", " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 8 << 20
 #: Entries that a worker keeps in a memo before it starts anew.
@@ -30,7 +30,7 @@ def crc_mod(key: Column | str, m: int) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; empty for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 
