@@ -52,8 +52,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = docs.select("doc_id", nbest.encode(F.col("text")).alias("got"))
-    return got.select("doc_id", F.size("got.ids").alias("n_pieces"), "got.ids", "got.scores", "got.round_trip")
+    return nbest.encode(docs)
 
 
 STAGES = [

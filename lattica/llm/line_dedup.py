@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.text import as_strings, distinct, held, let_go, slices
@@ -224,7 +224,7 @@ def line_dedup(
     return drop_lines(docs, settled, into, text_col, min_chars)
 
 
-def first_lines(batches: Sequence[Sequence[Column]] | Sequence[DataFrame], text_col: str = "text") -> list[DataFrame]:
+def first_lines(batches: Sequence[DataFrame], text_col: str = "text") -> list[DataFrame]:
     """For each batch the keys (h1, h2) that no earlier batch had: exact line dedup of a growing corpus."""
     runs, out = LineRuns(batches[0].sparkSession, 1 << 62), []
     for batch in batches:

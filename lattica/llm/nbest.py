@@ -25,7 +25,7 @@ import heapq
 import re
 import zlib
 from bisect import insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -261,26 +261,26 @@ def sums(lists: list[list[float]], n: int) -> list[float]:
     return out
 
 
-OUT = "struct<ids array<int>, scores array<double>, round_trip boolean>"
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = NBEST) -> DataFrame:
+    """doc_id, n_pieces, ids of the best segmentation, scores of the n best, and round_trip, of every whole text.
 
+    Rows leave a slice at a time, so that a task holds the ids of a few megabytes of text only.
+    """
+    names = ["doc_id", "n_pieces", "ids", "scores", "round_trip"]
 
-def encode(text: Column, model: str = MODEL, n: int = NBEST) -> Column:
-    """Struct of the best segmentation's ids, the n best scores, and whether decoding gives the text again."""
-
-    @F.arrow_udf(OUT)
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(("pieces", model, n), lambda: NBestCoder(model, n))
-        texts = as_strings(texts)
-        ids, scores, same = [], [], []
-        for a, b in slices(texts, SLICE_BYTES):
-            x, y, z = coder.encode_batch(texts.slice(a, b - a))
-            ids.append(x)
-            scores += y
-            same += z.tolist()
-        ids = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([ids, pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["ids", "scores", "round_trip"])
-
-    return encoded(text)
+        for batch in batches:
+            texts = as_strings(batch.column(1))
+            for a, b in slices(texts, SLICE_BYTES):
+                ids, scores, same = coder.encode_batch(texts.slice(a, b - a))
+                size = pc.list_value_length(ids).cast(pa.int64())
+                columns = [batch.column(0).slice(a, b - a), size, ids, pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(encoded, f"doc_id {kind}, n_pieces long, ids array<int>, scores array<double>, round_trip boolean")
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:

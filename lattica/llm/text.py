@@ -7,6 +7,7 @@ of Python work follows the number of distinct words.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,5 +122,7 @@ def held(key, make: Callable):
 
 
 def let_go() -> None:
-    """Drops the model that an earlier operator has left in this worker."""
+    """Drops the model that an earlier operator has left in this worker, and gives its memory back."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
