@@ -49,4 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
 def settle(df: DataFrame, rows_each: int = 200_000) -> DataFrame:
     """cut(), then as many partitions as the rows call for: small results keep later shuffles to a few files."""
     kept = cut(df)
-    return kept.coalesce(max(1, -(-kept.count() // rows_each)))
+    return kept.coalesce(parts(kept.count(), rows_each))
+
+
+def parts(rows: int, rows_each: int = 200_000) -> int:
+    return max(1, -(-rows // rows_each))
