@@ -206,6 +206,11 @@ on(lambda m: sorting.coarse_offsets(m, [0, 2, 4, 8]), "coarse_sort_bin_offsets",
 SELECT bin, min(p) AS first_row, count(*) AS n_rows FROM (SELECT CAST({BIN} AS BIGINT) AS bin, row_number() OVER (ORDER BY {BIN} DESC, r) - 1 AS p FROM len) GROUP BY bin"""))
 
 
+on(lambda m: sorting.by_length_in_blocks(division.row_bands(m, 1000), [0, 2]), "block_sort", base("""
+SELECT b AS block, r AS "row", row_number() OVER (PARTITION BY b ORDER BY CASE WHEN b IN (0, 2) THEN n ELSE 0 END DESC, r) - 1 AS place
+FROM (SELECT dense_rank() OVER (ORDER BY r // 1000) - 1 AS b, r, n FROM (SELECT r, count(*) AS n FROM m GROUP BY r))"""))
+
+
 # Division into blocks and levels.
 on(lambda m: division.long_short(m, [0, 3, 6]), "long_short_decompose", base("""
 SELECT m.r AS "row", c AS col, v AS val, CAST(CASE WHEN k >= 6 THEN 2 WHEN k >= 3 THEN 1 ELSE 0 END AS BIGINT) AS part FROM m JOIN len ON len.r = m.r"""))
@@ -246,6 +251,10 @@ on(lambda m: layout.pad_cols(m, 4, empty_rows=True).entries.filter("is_pad").sel
 SELECT len.r AS "row", coalesce(e.c, 0) AS col, s AS slot FROM len LEFT JOIN (SELECT r, max(c) AS c FROM m GROUP BY r) e ON e.r = len.r, (SELECT unnest(range(0, 4)) AS s) WHERE s >= k"""))
 on(lambda m: layout.slice_widths(m, 32, 4), "sell_slice_widths", base("""
 SELECT slice, CAST(w AS BIGINT) AS width, CAST(w * 32 AS BIGINT) AS padded FROM (SELECT r // 32 AS slice, (max(k) + 3) // 4 * 4 AS w FROM len GROUP BY 1)"""))
+on(lambda m: layout.padded_total(m, 32, 4), "total_padded_nnz", base("SELECT CAST(sum(w) * 32 AS BIGINT) AS padded FROM (SELECT (max(k) + 3) // 4 * 4 AS w FROM len GROUP BY r // 32)"))
+on(lambda m: layout.csr(m).select("row", "start", F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols")), "coo_to_csr", base("""
+SELECT len.r AS "row", CAST(sum(k) OVER (ORDER BY len.r) - k AS BIGINT) AS start, coalesce(cols, '') AS cols
+FROM len LEFT JOIN (SELECT r, string_agg(c, ',' ORDER BY c) AS cols FROM m GROUP BY r) q ON q.r = len.r"""))
 on(lambda m: layout.power_bins(m).entries.groupBy("bin").agg(F.count_distinct("row").alias("n_rows"), F.count("*").alias("nnz")), "pow2_bins", base("""
 SELECT CAST(floor(log2(k)) AS BIGINT) AS bin, count(*) AS n_rows, CAST(sum(k) AS BIGINT) AS nnz FROM len WHERE k > 0 GROUP BY 1"""))
 on(lambda m: layout.merge_path_workers(m, 64), "merge_path_workers", base("""
@@ -349,6 +358,8 @@ on(lambda m: runs.segmented_sort(lengths_seq(m), "key", "value").select("pos", "
 on(lambda m: runs.histogram_even(lengths_seq(m), "key", 0, 16, 8), "histogram_even", base("""
 SELECT b.bin, count(len.r) AS n FROM (SELECT CAST(unnest(range(0, 8)) AS BIGINT) AS bin) b LEFT JOIN len ON k // 2 = b.bin GROUP BY 1"""))
 on(lambda m: runs.partition_flagged(lengths_seq(m).withColumn("flag", F.col("key") > 4), "flag").select("pos", "place"), "partition_flagged", base("SELECT r AS pos, row_number() OVER (ORDER BY k > 4 DESC, r) - 1 AS place FROM len"))
+on(lambda m: runs.grouped(lengths_seq(m), "key", 64).select("part", F.array_join(F.col("values").cast("array<string>"), ",").alias("values")), "group_by_slice", base("""
+SELECT r // 64 AS part, string_agg(k, ',' ORDER BY r) AS "values" FROM len GROUP BY 1"""))
 on(lambda m: runs.lanes(lengths_seq(m).withColumn("flag", F.col("key") > 4), "flag").select("pos", "wlb", "lane", "reduce_offset"), "warp_reduce_offsets", base("""
 SELECT r AS pos, r // 32 AS wlb, r % 32 AS lane, coalesce(min(CASE WHEN k > 4 THEN r % 32 END) OVER (PARTITION BY r // 32 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 32) - r % 32 AS reduce_offset FROM len"""))
 on(lambda m: runs.pack_bits(lengths_seq(m).withColumn("flag", F.col("key") > 4), "flag", "value", 4).select("pos", "packed", "bits"), "pack_bits", base("""

@@ -55,6 +55,20 @@ def slice_widths(matrix: SparseMatrix, height: int, threads: int) -> DataFrame:
     return lengths.groupBy("slice").agg(width.alias("width"), (width * height).alias("padded"))
 
 
+def csr(matrix: SparseMatrix) -> DataFrame:
+    """row, start, and the row's cols and vals in column order, for every row. A row's arrays are as long as the row."""
+    arrays = matrix.entries.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias("e"))
+    starts = running_sum(matrix.row_nnz(), "row", "k", "start")
+    none = F.array().cast("array<struct<col: bigint, val: double>>")
+    both = starts.join(arrays, "row", "left").select("row", "start", F.coalesce("e", none).alias("e"))
+    return both.select("row", "start", F.col("e.col").alias("cols"), F.col("e.val").alias("vals"))
+
+
+def padded_total(matrix: SparseMatrix, height: int, threads: int) -> DataFrame:
+    """One row: entries that the sliced layout stores, pads included."""
+    return slice_widths(matrix, height, threads).agg(F.sum("padded").alias("padded"))
+
+
 def hyb(matrix: SparseMatrix, width: int) -> tuple[SparseMatrix, SparseMatrix]:
     """The first `width` entries of every row, and the overflow."""
     placed = places(matrix)

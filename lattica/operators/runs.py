@@ -76,6 +76,12 @@ def lanes(seq: DataFrame, flag: str, warp: int = 32, pos: str = "pos") -> DataFr
     return tagged.withColumn("reduce_offset", F.coalesce(following, F.lit(warp)) - F.col("lane"))
 
 
+def grouped(seq: DataFrame, value: str, size: int, pos: str = "pos") -> DataFrame:
+    """part and values: `size` consecutive values as one array, in order."""
+    parts = seq.groupBy(F.floor(F.col(pos) / size).alias("part")).agg(F.sort_array(F.collect_list(F.struct(pos, value))).alias("e"))
+    return parts.select("part", F.col("e").getField(value).alias("values"))
+
+
 def pack_bits(seq: DataFrame, flag: str, offset: str, offset_bits: int) -> DataFrame:
     """seq with packed (the flag above the offset's bits) and its bits as text."""
     packed = F.shiftleft(F.col(flag).cast("long"), offset_bits).bitwiseOR(F.col(offset).cast("long"))

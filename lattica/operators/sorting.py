@@ -28,6 +28,14 @@ def by_length_in_bands(matrix: SparseMatrix, height: int) -> DataFrame:
     return placed.select((F.col("zone") * height + F.col("place")).alias("new_row"), F.col("row").alias("old_row"), "k")
 
 
+def by_length_in_blocks(tagged: DataFrame, chosen: Sequence[int] | None = None) -> DataFrame:
+    """block, row and place: non-empty rows of each block by their entries in it, longest first. chosen: blocks to sort, all by default; the others keep the rows' order."""
+    lengths = tagged.groupBy("block", "row").agg(F.count("*").alias("k"))
+    if chosen is not None:
+        lengths = lengths.withColumn("k", F.when(F.col("block").isin(*chosen), F.col("k")).otherwise(F.lit(0)))
+    return global_position(lengths, [F.desc("k")], ["k"], "row", "place", within=["block"]).select("block", "row", "place")
+
+
 def coarse(matrix: SparseMatrix, bounds: Sequence[int]) -> DataFrame:
     """new_row, old_row and bin: bins by lower bounds (the first 0), the highest first, empty rows last."""
     lengths = matrix.row_nnz().withColumn("bin", F.when(F.col("k") == 0, F.lit(-1)).otherwise(bucket_of(F.col("k"), bounds)))

@@ -106,6 +106,16 @@ def best(log: DataFrame) -> DataFrame:
     return top.select("trial.*", "metric")
 
 
+def append_log(log: DataFrame, path: str) -> None:
+    """Adds trials to the Parquet log at path."""
+    log.write.mode("append").parquet(path)
+
+
+def write_report(log: DataFrame, path: str) -> None:
+    """The best trial as JSON, over what was there."""
+    best(log).coalesce(1).write.mode("overwrite").json(path)
+
+
 def split_time(total: float, shares: tuple[float, ...] = (0.1, 0.25, 1.0), used: float = 0.95) -> list[float]:
     """Seconds for each matrix strategy: a share of what is left, the next ones get the rest."""
     out, left = [], total * used

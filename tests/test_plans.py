@@ -54,7 +54,7 @@ def test_templates(spark):
     assert templates.worth_trying({"direct"}) == {"direct"}
 
 
-def test_search_stops_and_finds_the_best(spark):
+def test_search_stops_and_finds_the_best(spark, tmp_path):
     m = of_lengths(spark, [3, 1, 2])
     x = m.cols().withColumn("x", F.lit(2.0))
     clock = iter([0.0, 1.0, 1.0, 1.5, 2.0, 4.0, 5.0, 9.0])
@@ -62,6 +62,11 @@ def test_search_stops_and_finds_the_best(spark):
     assert log.count() == 3
     assert tuner.best(log).first()["template"] == "tiles"
     assert sum(tuner.split_time(100)) == pytest.approx(95)
+    for _ in range(2):
+        tuner.append_log(log, str(tmp_path / "log"))
+        tuner.write_report(log, str(tmp_path / "best"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 6
+    assert spark.read.json(str(tmp_path / "best")).first()["template"] == "tiles"
 
 
 def test_grid(spark):
