@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.filter(F.col("size") > SMALL).select("bucket", "node").withColumn("component", F.col("node"))
     reps = large.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rep"))
     star = large.join(reps, "bucket").filter("node != rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-    known = settle(verify(pairs.unionByName(star).distinct(), texts, model, name))
+    known = settle(verify(settle(pairs.unionByName(star).distinct()), texts, model, name))
     linked = components(known.filter(F.col("sim") >= similar))
     for k in range(1, STARS):
         if large.isEmpty():
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             centre = outside.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("rep"))
         reps = settle(centre)
         starred = reps.join(large.select("bucket", F.col("node").alias("rep"), F.col("component").alias("rep_component")), ["bucket", "rep"])
-        fresh = settle(verify(_stars(large, starred, known), texts, model, name))
+        fresh = settle(verify(settle(_stars(large, starred, known)), texts, model, name))
         known = settle(known.unionByName(fresh))
         if not fresh.filter(F.col("sim") >= similar).isEmpty():
             linked = components(known.filter(F.col("sim") >= similar))
