@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from bisect import insort
 from collections.abc import Iterator, Sequence
@@ -42,7 +43,7 @@ NBEST = 3
 UNKNOWN_COST = 10.0
 NEVER = float("-inf")
 SPACE = "▁"
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 Ranked = list[tuple[float, tuple[int, ...]]]
 
@@ -174,28 +175,35 @@ def merge(lists: list[Ranked], n: int) -> Ranked:
     return out
 
 
+PAIR = struct.Struct("<dd")
+
+
+def pack(score: float, ids: tuple[int, ...], loss: float) -> bytes:
+    """A best segmentation as bytes: its score, what the second best loses, and 32-bit ids. Memos hold these: they are small."""
+    return struct.pack(f"<dd{len(ids)}i", score, loss, *ids)
+
+
+def joined(parts: list[bytes]) -> bytes:
+    """The packed best segmentation of cells side by side."""
+    pairs = [PAIR.unpack_from(p) for p in parts]
+    return PAIR.pack(sum(p[0] for p in pairs), min(p[1] for p in pairs)) + b"".join(p[16:] for p in parts)
+
+
 class NBestCoder:
     """Encodes texts with a model's pieces."""
 
     def __init__(self, model: str = MODEL, n: int = NBEST):
         self.pieces, self.n = Pieces(model), n
         self.table = pa.array(self.pieces.as_bytes, pa.large_binary())
-        self.firsts = Memo(lambda items: [self.pieces.first(x) for x in items], 600_000)
-        self.units = Memo(self._units_first, 150_000)
-        self.ranked = Memo(lambda items: [self.rank(x) for x in items], 50_000)
+        self.firsts = Memo(lambda items: [pack(*self.pieces.first(x)) for x in items], 400_000)
+        self.units = Memo(self._units_first, 50_000)
+        self.ranked = Memo(lambda items: [self.rank(x) for x in items], 10_000)
 
-    def _units_first(self, items: list[str]) -> list[tuple[float, tuple[int, ...], float]]:
-        """Score and ids of the best segmentation of each unit, and the loss of its second best."""
+    def _units_first(self, items: list[str]) -> list[bytes]:
+        """The packed best segmentation of each unit."""
         cells = [self.pieces.cells(x) for x in items]
         got = iter(self.firsts(list(chain.from_iterable(cells))))
-        out = []
-        for own in cells:
-            if len(own) == 1:
-                out.append(next(got))
-            else:
-                parts = [next(got) for _ in own]
-                out.append((sum(p[0] for p in parts), tuple(chain.from_iterable(p[1] for p in parts)), min((p[2] for p in parts), default=NEVER)))
-        return out
+        return [next(got) if len(own) == 1 else joined([next(got) for _ in own]) for own in cells]
 
     def rank(self, text: str) -> Ranked:
         """The n best segmentations of normal text."""
@@ -228,12 +236,13 @@ class NBestCoder:
         units, offsets = self._units(texts)
         vocabulary, index = distinct(units)
         names = vocabulary.to_pylist()
-        first = self.units(names)
-        best = np.array([x[0] for x in first], dtype=np.float64)
-        loss = np.array([x[2] for x in first], dtype=np.float64)
-        length = np.array([len(x[1]) for x in first], dtype=np.int64)
-        begin = np.concatenate(([0], np.cumsum(length)))
-        every = np.fromiter(chain.from_iterable(x[1] for x in first), np.int32, begin[-1])
+        packed = self.units(names)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        every = np.frombuffer(b"".join(packed), dtype="<i4")
+        start = np.cumsum(size) - size
+        head = np.ascontiguousarray(every[start[:, None] + np.arange(4)]).view("<f8")
+        best, loss = head[:, 0], head[:, 1]
+        begin, length = start + 4, size - 4
         each = length[index]
         ends = np.concatenate(([0], np.cumsum(each)))
         ids = every[np.repeat(begin[index] - ends[:-1], each) + np.arange(ends[-1])]
@@ -246,6 +255,7 @@ class NBestCoder:
             total = best[own].sum()
             losses = [[s - r[0][0] for s, _ in r] for r in self.ranked([names[own[i]] for i in few])]
             scores.append([float(total + s) for s in sums(losses, self.n)])
+        pa.default_memory_pool().release_unused()
         decoded = pc.binary_join(pa.ListArray.from_arrays(bounds, self.table.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
         space, nothing = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
         expected = pc.binary_join_element_wise(space, texts.cast(pa.large_binary()), nothing)
@@ -271,9 +281,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(("pieces", model, n), lambda: NBestCoder(model, n))
         for batch in batches:
-            texts = as_strings(batch.column(1))
+            texts = batch.column(1)
             for a, b in slices(texts, SLICE_BYTES):
-                ids, scores, same = coder.encode_batch(texts.slice(a, b - a))
+                ids, scores, same = coder.encode_batch(as_strings(texts.slice(a, b - a)))
                 size = pc.list_value_length(ids).cast(pa.int64())
                 columns = [batch.column(0).slice(a, b - a), size, ids, pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -300,9 +310,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     @F.arrow_udf("struct<n_pieces: bigint, ids_crc32: bigint, scores: array<double>, round_trip: boolean>")
     def digested(texts: pa.Array) -> pa.Array:
         coder = held(("pieces", model, n), lambda: NBestCoder(model, n))
-        texts, out = as_strings(texts), []
+        out: list[dict] = []
         for a, b in slices(texts, SLICE_BYTES):
-            ids, scores, same = coder.encode_batch(texts.slice(a, b - a))
+            ids, scores, same = coder.encode_batch(as_strings(texts.slice(a, b - a)))
             flat, ends = np.asarray(ids.values).astype("<i4"), ids.offsets.to_pylist()
             out += [{"n_pieces": y - x, "ids_crc32": zlib.crc32(flat[x:y].tobytes()), "scores": s, "round_trip": z} for x, y, s, z in zip(ends, ends[1:], scores, same.tolist(), strict=False)]
         return pa.array(out, pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())]))
