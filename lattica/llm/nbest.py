@@ -171,7 +171,8 @@ def merge(lists: list[Ranked], n: int) -> Ranked:
             score, ids = ranked[0]
             out = [(s + score, i + ids) for s, i in out]
         else:
-            out = [(-s, i) for s, i in sorted([(-(s + t), i + j) for s, i in out for t, j in ranked])[:n]]
+            both = sorted([(-(s + t), i + j) for s, i in out for t, j in ranked], key=lambda x: (x[0], x[1][::-1]))
+            out = [(-s, i) for s, i in both[:n]]
     return out
 
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -77,6 +77,7 @@ def test_search_equals_enumeration(coder, text):
 
 
 @given(st.text(alphabet=st.sampled_from("the of rain. ,\n\té日🙂"), max_size=40))
+@example("aaaaaa")
 @settings(max_examples=80, deadline=None)
 def test_batches_equal_single_texts_and_decode(coder, text):
     ids, scores, same = coder.encode_batch(as_strings(pa.array([text, "plain text", text])))
