@@ -27,6 +27,7 @@ from lattica.llm.text import Memo, as_strings, distinct, held, per_text, slices,
 
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 50_000
 UNDETERMINED = "und"
+SLICE_BYTES = 3 << 20
 
 
 def letters(word: str) -> str:
@@ -85,7 +86,7 @@ class CrossParser:
         self.languages = sorted(samples)
         self.automata = [SuffixAutomaton(samples[x]) for x in self.languages]
         self.bits = np.array([math.log2(2 + sum(len(w) + 1 for w in samples[x])) for x in self.languages])
-        self.memo = Memo(self._parse, 200_000)
+        self.memo = Memo(self._parse, 150_000)
 
     def _parse(self, items: list[str]) -> list[tuple[int, ...]]:
         out = []
@@ -150,13 +151,13 @@ def predict(text: Column, spark, samples: dict[str, list[str]]) -> Column:
     @F.arrow_udf("struct<lang string, score double>")
     def predicted(texts: pa.Array) -> pa.Array:
         parser = held(name, lambda: CrossParser(model.value))
-        texts = as_strings(texts)
         langs: list[str] = []
         scores: list[float] = []
-        for a, b in slices(texts):
-            got, score = parser.predict(texts.slice(a, b - a))
+        for a, b in slices(texts, SLICE_BYTES):
+            got, score = parser.predict(as_strings(texts.slice(a, b - a)))
             langs += got
             scores += score.tolist()
+            pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return predicted(text)
