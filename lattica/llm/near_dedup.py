@@ -12,11 +12,15 @@ at 0.8. Candidates are verified by their exact weighted Jaccard similarity, and
 to components.
 
 Work in a bucket grows with its members and not with their square: texts with equal words count once
-(they are one node); in buckets of at most `SMALL` nodes all pairs are verified; larger buckets are
+(they are one node); in buckets of at most `SMALL` nodes all pairs are verified; larger buckets are first
 verified in stars: every member against a first node, then against the member most similar to that (in a
 group of edited copies the one nearest to the original), then, while a bucket still holds several
-components, against nodes outside the centre's component. A pair inside such a bucket that no star
-compares and that no other bucket links can stay apart; see README.
+components, against nodes outside the centre's component.
+
+Stars do not compare all pairs. The members of buckets that still hold several components are therefore
+joined exactly by prefixes (`unlinked`): shingles are ordered from rare to common, and two texts that are
+similar enough share a shingle before the weight that is left, from there on, is too little for a link.
+Every such pair of different components is verified, so no link between bucket mates is lost.
 
 Defined results: a text without words is a class of its own, as is a null text; classes are named by
 the least doc_id in them; repeated rows are in one class.
@@ -46,6 +50,8 @@ SMALL, STARS = 8, 4
 DF_BITS, IDF_PART = 16, 0.05
 DF_BUCKETS = 1 << DF_BITS
 SLICE_BYTES = 2 << 20
+#: Hashed frequencies that order shingles for the prefix join; they change what is compared first, not the result.
+RARE_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(20240607).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -133,25 +139,31 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (a[1].sum() + b[1].sum() - common)) if common else 0.0
 
 
-def fit_idf(rows: DataFrame) -> np.ndarray:
-    """idf (0 to 1) of each bucket of shingles, from all texts."""
+def hashed_frequencies(texts: DataFrame, bits: int) -> DataFrame:
+    """bucket and n: in how many texts the shingles of each of 2^bits buckets occur; bucket -1 counts the texts with words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        total, n = np.zeros(DF_BUCKETS, np.int64), 0
+        total, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             texts = as_strings(batch.column(0))
             for a, b in slices(texts, SLICE_BYTES):
                 for node, keys, _ in features(texts.slice(a, b - a)):
                     if node is not None:
                         n += 1
-                        np.add.at(total, (keys >> np.uint64(64 - DF_BITS)).astype(np.int64), 1)
+                        np.add.at(total, (keys >> np.uint64(64 - bits)).astype(np.int64), 1)
         full = np.flatnonzero(total)
         bucket, count = np.append(full, -1), np.append(total[full], n)
         for i in range(0, len(bucket), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + 10_000].astype(np.int32)), pa.array(count[i : i + 10_000])], ["bucket", "n"])
 
-    table = rows.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    return texts.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def fit_idf(rows: DataFrame) -> np.ndarray:
+    """idf (0 to 1) of each bucket of shingles, from all texts."""
+
+    table = hashed_frequencies(rows.select("text"), DF_BITS).toArrow()
     bucket, n = np.asarray(table["bucket"], dtype=np.int64), np.asarray(table["n"], dtype=np.int64)
     docs = int(n[bucket == -1].sum())
     df = np.zeros(DF_BUCKETS)
@@ -213,6 +225,55 @@ def _stars(members: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def prefix(keys: np.ndarray, weight: np.ndarray, frequency: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles among which a text has its first one in common with any similar text; with the weight left from
+    each on, and whether it also is early enough where the other text weighs as much or more. Those that no
+    other text has are left out."""
+    often = frequency[(keys >> np.uint64(64 - RARE_BITS)).astype(np.int64)]
+    order = np.lexsort((keys, often))
+    rest = np.cumsum(weight[order][::-1])[::-1]
+    slack = (1 - 1e-9) * (rest[0] if len(rest) else 0.0)
+    at = np.flatnonzero((rest >= similar * slack) & (often[order] > 1))
+    return keys[order[at]], rest[at], rest[at] >= 2 * similar / (1 + similar) * slack
+
+
+def unlinked(nodes: DataFrame, known: DataFrame, model, similar: float) -> DataFrame:
+    """a and b: every pair of nodes in different components that can be similar enough, without the known pairs.
+
+    nodes: text, node, component. Similarity of at least t needs a common weight of t / (1 + t) of both
+    texts' weights. In any order of shingles the common weight is at most what is left from the first common one on.
+    """
+    spark = nodes.sparkSession
+    table = hashed_frequencies(nodes.select("text"), RARE_BITS).filter("bucket >= 0").toArrow()
+    frequency = np.zeros(1 << RARE_BITS, np.int32)
+    frequency[np.asarray(table["bucket"], dtype=np.int64)] = np.minimum(np.asarray(table["n"], dtype=np.int64), np.iinfo(np.int32).max)
+    rare, name = spark.sparkContext.broadcast(frequency), uuid.uuid4().hex
+    names = ["key", "node", "component", "whole", "rest", "short"]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, frequency = held(name, lambda: (model.value, rare.value))
+        for batch in batches:
+            texts = as_strings(batch.column(0))
+            for a, b in slices(texts, SLICE_BYTES):
+                for i, (_, keys, counts) in enumerate(features(texts.slice(a, b - a)), a):
+                    weight = weights(keys, counts, idf)
+                    first, rest, short = prefix(keys, weight, frequency, similar)
+                    at = pa.array(np.full(len(first), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), pa.array(np.full(len(first), weight.sum())), pa.array(rest), pa.array(short)], names)
+
+    rows = cut(nodes.select("text", "node", "component").mapInArrow(prefixes, "key long, node long, component long, whole double, rest double, short boolean"))
+    # Two rows of a shingle's largest component need no comparison: one side leaves that component out.
+    main = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
+    main = main.filter("kinds > 1").select("key", "main")
+    one = rows.join(main, "key").filter(F.col("component") != F.col("main")).drop("main").toDF(*[f"{c}_1" if c != "key" else c for c in names])
+    two = rows.toDF(*[f"{c}_2" if c != "key" else c for c in names])
+    enough = F.least("rest_1", "rest_2") >= similar / (1 + similar) * (1 - 1e-9) * (F.col("whole_1") + F.col("whole_2"))
+    lighter = (F.col("short_1") & (F.col("whole_1") <= F.col("whole_2"))) | (F.col("short_2") & (F.col("whole_2") <= F.col("whole_1")))
+    both = one.join(two, "key").filter((F.col("component_1") != F.col("component_2")) & enough & lighter)
+    pairs = both.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_size, one row for each row of docs."""
     rows, signed, model, name = signatures(docs, id_col, text_col)
@@ -250,6 +311,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = settle(known.unionByName(fresh))
         if not fresh.filter(F.col("sim") >= similar).isEmpty():
             linked = components(known.filter(F.col("sim") >= similar))
+    # What the stars have left: pairs of different components, exactly.
+    if not large.isEmpty():
+        placed = large.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
+        left = settle(placed.join(mixed, "bucket").select("node", "component").distinct(), 20_000)
+        fresh = settle(verify(settle(unlinked(cut(texts.join(left, "node")), known, model, similar)), texts, model, name))
+        if not fresh.filter(F.col("sim") >= similar).isEmpty():
+            linked = components(known.unionByName(fresh).filter(F.col("sim") >= similar))
     named = signed.select("doc_id", "row_key", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     got = named.join(classes, "component", "left")

@@ -458,6 +458,38 @@ def test_near_duplicates_equal_brute_force(spark, corpus, prose):
     assert [got[i]["class_size"] for i in range(len(texts))] == [Counter(want)[c] for c in want]
 
 
+def test_pairs_that_share_a_template_are_linked(spark, corpus):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = fresh(200), []
+    for _ in range(250):  # pairs of similarity 0.88 in buckets of many texts of similarity 0.74
+        own = fresh(34)
+        other = list(own)
+        for i in (4, 14, 24):
+            other[i] = fresh(1)[0]
+        texts += [" ".join(template + own), " ".join(template + other)]
+    docs = corpus(texts)
+    got = by_id(near_dedup.near_duplicates(docs))
+    want = brute_classes(docs, texts)
+    assert want == [i - i % 2 for i in range(len(texts))]
+    assert [got[i]["class_id"] for i in range(len(texts))] == want
+
+
+def test_prefixes_meet_in_similar_sets():
+    rng = np.random.default_rng(4)
+    frequency = rng.integers(2, 50, 1 << near_dedup.RARE_BITS).astype(np.int32)
+    for _ in range(300):
+        keys = np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64) << np.uint64(1))
+        a, b = rng.random(len(keys)) < 0.93, rng.random(len(keys)) < 0.93
+        weight = 1 + rng.random(len(keys))
+        x, y = (keys[a], weight[a]), (keys[b], weight[b] * rng.choice([1.0, 0.9], b.sum()))
+        (kx, rx, sx), (ky, ry, sy) = (near_dedup.prefix(*z, frequency, 0.8) for z in (x, y))
+        _, i, j = np.intersect1d(kx, ky, return_indices=True)
+        wx, wy = x[1].sum(), y[1].sum()
+        met = (np.minimum(rx[i], ry[j]) >= 0.8 / 1.8 * (wx + wy) - 1e-6) & (sx[i] if wx <= wy else sy[j])
+        assert met.any() or near_dedup.similarity(x, y) < 0.8
+
+
 def test_samples_estimate_the_similarity():
     rng = np.random.default_rng(3)
     agree, true = [], []
