@@ -11,13 +11,14 @@ with an escape where a context does not know what comes next:
    terminator, trained on each different token once, as it has to code new ones. Escapes are estimated by
    method C, and the symbols of the longer context are excluded on the way down.
 
-Byte contexts end at token boundaries, so a token's byte code is one number for a given trie, and each
-distinct token of a batch is coded once. The trie keeps the pairs (context, symbol) that occur most, at
-most `TRIE_PAIRS` of them (the least count follows from a histogram of counts), which bounds what is
-broadcast. Lower orders are counted before pruning, so that a kept context always has its suffixes.
+Byte contexts end at token boundaries, so a token's byte code is one number, and each distinct token of the
+corpus is coded once. The trie keeps every pair (context, symbol). One of at most `TRIE_PAIRS` pairs is
+broadcast; a larger one is dealt out by the last two symbols of a context, which all longer contexts with them
+share (contexts of fewer symbols are few and go everywhere), and meets there the grams to be coded, with the same
+results. The codes of the `HOT_GRAMS` grams that most tokens hold are broadcast then, the others are joined.
 
-Token counts: the `HOT_TOKENS` most frequent tokens are broadcast; the others go through a shuffle as
-(token hash, text) pairs and meet the table of counts there.
+Token counts: the `HOT_TOKENS` most frequent tokens are broadcast with their byte codes; the others go through a
+shuffle as (token hash, text) pairs and meet the table of counts and codes there.
 
 Defined results: a null text is the empty text, whose one token is its end; repeated rows each get their
 row; with nothing to learn from, symbols are uniform over 256 and every count is 0.
@@ -41,6 +42,8 @@ from lattica.session import cut
 ORDER = 5
 TRIE_PAIRS = 1_000_000
 HOT_TOKENS = 500_000
+HOT_GRAMS = 500_000
+PART_PAIRS = 250_000
 SLICE_BYTES = 4 << 20
 TERMINATOR, ALPHABET = 0x20, 256
 END_TOKEN = "\n"  # no word holds one
@@ -91,29 +94,33 @@ def token_hashes(vocabulary: pa.Array) -> np.ndarray:
     return np.fromiter(map(hash_token, items), np.uint64, len(items)).view(np.int64)
 
 
+#: The end is never spelled: its byte code counts as impossible.
+NO_BYTES = -400.0
 END_HASH = int(np.array(hash_token(END_TOKEN.encode()), np.uint64).view(np.int64))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = as_strings(batch.column(0))
+        texts, train = as_strings(batch.column(0)), np.asarray(batch.column(1))
         for a, b in slices(texts, SLICE_BYTES):
-            vocabulary, index, _ = lower_tokens(texts.slice(a, b - a))
-            n = np.append(np.bincount(index, minlength=len(vocabulary)), b - a)
+            vocabulary, index, offsets = lower_tokens(texts.slice(a, b - a))
+            taught = np.repeat(train[a:b], np.diff(offsets))
+            n = np.append(np.bincount(index[taught], minlength=len(vocabulary)), train[a:b].sum())
             tokens = pa.array([*vocabulary.to_pylist(), END_TOKEN], pa.string())
             yield pa.RecordBatch.from_arrays([tokens, pa.array(n.astype(np.int64))], ["token", "n"])
 
 
 def _type_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens = as_strings(batch.column(0))
-        keys, n = np.unique(token_grams(tokens.filter(pc.not_equal(tokens, END_TOKEN)))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        grams, of = token_grams(as_strings(batch.column(0)))
+        keys, index, m = np.unique(grams, return_inverse=True, return_counts=True)
+        n = np.bincount(index, (np.asarray(batch.column(1)) > 0)[of], len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(m.astype(np.int64)), pa.array(n)], ["key", "m", "n"])
 
 
-def count_tokens(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """token and n, over all training texts; the end is the token END_TOKEN."""
-    return cut(train.select(F.col(text_col)).mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
+def count_tokens(rows: DataFrame) -> DataFrame:
+    """token and its n over the training texts, 0 for one that only others have; the end is the token END_TOKEN. rows: t, held_out."""
+    return cut(rows.select("t", ~F.col("held_out")).mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
 def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
@@ -208,18 +215,81 @@ class Trie:
         return np.bincount(of, self.log10(different)[index], len(tokens))
 
 
-def fit(tokens: DataFrame, pairs: int = TRIE_PAIRS, order: int = ORDER) -> Trie:
-    """The trie of at most `pairs` pairs of all orders; tokens: each different one once."""
-    grams = tokens.select("token").mapInArrow(_type_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _trie(table: pa.Table, order: int = ORDER) -> Trie:
+    return Trie(*(np.asarray(table[c], dtype=np.int64) for c in ("k", "key", "n")), order)
+
+
+def pairs_of(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """k, key and n: all pairs of all orders of the training tokens, each different one once."""
     tagged = []
     for k in range(order + 1):
         reaches = F.shiftrightunsigned("key", 8 * k).bitwiseAND(F.lit(255)) != 0
         cutoff = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
         tagged.append(F.when(reaches, F.struct(F.lit(k).alias("k"), cutoff.alias("key"))))
-    rows = grams.select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("g"), "n")
-    rows = rows.groupBy("g.k", "g.key").agg(F.sum("n").alias("n"))
-    table = _most_frequent(cut(rows), pairs).toArrow()
-    return Trie(np.asarray(table["k"], dtype=np.int64), np.asarray(table["key"], dtype=np.int64), np.asarray(table["n"], dtype=np.int64), order)
+    rows = grams.filter("n > 0").select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("g"), "n")
+    return cut(rows.groupBy("g.k", "g.key").agg(F.sum("n").alias("n")))
+
+
+def code_grams(grams: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """key, m and bits (log10) of each gram, from a trie that is dealt out."""
+    low = grams.sparkSession.sparkContext.broadcast(pairs.filter("k < 2").toArrow().select(["k", "key", "n"]))
+    part = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(-(-n_pairs // PART_PAIRS))).alias("part")
+
+    def coded(left: pa.Table, right: pa.Table) -> pa.Table:
+        trie = _trie(pa.concat_tables([low.value, right.select(["k", "key", "n"]).cast(low.value.schema)]))
+        keys = np.asarray(left["key"], dtype=np.int64).view(np.uint64)
+        return pa.table({"key": left["key"], "m": left["m"], "bits": trie.log10(keys)})
+
+    dealt = grams.select("key", "m", part).groupBy("part").cogroup(pairs.filter("k >= 2").select("k", "key", "n", part).groupBy("part"))
+    return cut(dealt.applyInArrow(coded, "key long, m long, bits double"))
+
+
+def code_tokens(counts: DataFrame, most: int | None = None, hot_grams: int | None = None) -> DataFrame:
+    """h (the token's hash), n and bits, the log10 of its bytes and terminator; the end is never spelled: it has NO_BYTES."""
+    spark, most, hot_grams = counts.sparkSession, TRIE_PAIRS if most is None else most, HOT_GRAMS if hot_grams is None else hot_grams
+    words = counts.filter(F.col("token") != END_TOKEN)
+    ends = counts.filter(F.col("token") == END_TOKEN).select(F.lit(END_HASH).alias("h"), "n", F.lit(NO_BYTES).alias("bits"))
+    grams = cut(words.mapInArrow(_type_grams, "key long, m long, n long").groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n")))
+    pairs = pairs_of(grams)
+    n_pairs, name = pairs.count(), uuid.uuid4().hex
+    if n_pairs <= most:
+        model = spark.sparkContext.broadcast(_trie(pairs.toArrow()))
+
+        def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = held(name, lambda: model.value)
+            for batch in batches:
+                tokens = as_strings(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(token_hashes(tokens)), batch.column(1), pa.array(trie.score_tokens(tokens))], ["h", "n", "bits"])
+
+        return cut(words.select("token", "n").mapInArrow(spelled, "h long, n long, bits double").unionByName(ends))
+
+    codes = code_grams(grams, pairs, n_pairs)
+    hot = _most_frequent(codes.select("key", "bits", F.col("m").alias("n")), hot_grams).toArrow()
+    keys, bits = np.asarray(hot["key"], dtype=np.int64), np.asarray(hot["bits"], dtype=np.float64)
+    order = np.argsort(keys)
+    cache = spark.sparkContext.broadcast((keys[order], bits[order]))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each token one row with the sum of its hot grams' codes, and one row for each other gram."""
+        keys, bits = held(name, lambda: cache.value)
+        for batch in batches:
+            tokens, n = as_strings(batch.column(0)), np.asarray(batch.column(1))
+            h, (grams, of) = token_hashes(tokens), token_grams(tokens)
+            grams = grams.view(np.int64)
+            at, is_hot = Trie._find(keys, grams)
+            own = np.bincount(of[is_hot], bits[at[is_hot]], len(tokens)) if len(keys) else np.zeros(len(tokens))
+            cold = ~is_hot
+            zeros = np.zeros(int(cold.sum()))
+            columns = (
+                np.concatenate((np.zeros(len(tokens), bool), cold[cold])), np.concatenate((h, grams[cold])), np.concatenate((h, h[of[cold]])),
+                np.concatenate((n, zeros.astype(np.int64))), np.concatenate((own, zeros)),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cold", "key", "h", "n", "own"])
+
+    parts = words.select("token", "n").mapInArrow(split, "cold boolean, key long, h long, n long, own double")
+    joined = parts.join(codes.select(F.lit(True).alias("cold"), "key", "bits"), ["cold", "key"], "left")
+    summed = joined.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("own") + F.coalesce("bits", F.lit(0.0))).alias("bits"))
+    return cut(summed.unionByName(ends))
 
 
 def own_contexts(index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,21 +342,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; train: which rows teach."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), (~train).alias("held_out"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("t"))
-    counts = count_tokens(rows.filter(~F.col("held_out")), "t")
-    trie = fit(counts)
-    tokens = counts.select(F.xxhash64("token").alias("h"), F.col("n"))
-    sums = tokens.agg(F.sum("n").alias("N"), F.count("*").alias("V"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    tokens = code_tokens(count_tokens(rows))
+    sums = tokens.agg(F.sum("n").alias("N"), F.count_if(F.col("n") > 0).alias("V"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     total, different = sums["N"] or 0, sums["V"] or 0
     discount = min(max(sums["once"] / max(sums["once"] + 2 * sums["twice"], 1), 0.1), 0.9)
     hot = _most_frequent(tokens, hot_tokens).toArrow()
-    hashes, known = np.asarray(hot["h"], dtype=np.int64), np.asarray(hot["n"], dtype=np.int64)
+    hashes, known, codes = np.asarray(hot["h"], dtype=np.int64), np.asarray(hot["n"], dtype=np.int64), np.asarray(hot["bits"], dtype=np.float64)
     order = np.argsort(hashes)
-    model, name = spark.sparkContext.broadcast((trie, hashes[order], known[order])), uuid.uuid4().hex
-    #: The end is never spelled: its byte code counts as impossible.
-    no_bytes = -400.0
+    model, name = spark.sparkContext.broadcast((hashes[order], known[order], codes[order])), uuid.uuid4().hex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hashes, known = held(name, lambda: model.value)
+        hashes, known, codes = held(name, lambda: model.value)
         for batch in batches:
             ids, out, keys, texts = (batch.column(i) for i in range(4))
             texts = as_strings(texts)
@@ -295,14 +361,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 hashed, size = token_hashes(vocabulary), np.diff(offsets)
                 at, is_hot = Trie._find(hashes, hashed)
                 count = np.where(is_hot, known[at], 0.0) if len(known) else np.zeros(len(hashed))
-                spelled = trie.score_tokens(vocabulary)
+                spelled = np.where(is_hot, codes[at], 0.0) if len(known) else np.zeros(len(hashed))
                 adaptive, low = own_contexts(index, offsets)
                 hot_score = np.where(is_hot, log_token(count, spelled, total, different, discount), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.slice(a, b - a), pa.array(np.full(b - a, TEXT, np.int8)), ids.slice(a, b - a), out.slice(a, b - a),
                         pa.array(np.arange(b - a)), pa.array((size + 1).astype(np.int32)),
-                        pa.array(per_text(is_hot[index].astype(np.int64), offsets).astype(np.int32)),
+                        pa.array(per_text((count > 0)[index].astype(np.int64), offsets).astype(np.int32)),
                         pa.array(per_text(np.log10(1.0 + count)[index], offsets)),
                         pa.array(per_text(adaptive + np.where(low, hot_score[index], 0.0), offsets)),
                     ],
@@ -319,22 +385,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 one = np.ones(b - a, np.int32)
                 h = np.concatenate((hashed[what], np.full(b - a, END_HASH)))
                 n, n_low = np.concatenate((n.astype(np.int32), one)), np.concatenate((n_low, one))
-                bits = np.concatenate((spelled[what], np.full(b - a, no_bytes)))
                 for i in range(0, len(who), 100_000):
                     j = min(len(who), i + 100_000)
                     none = pa.nulls(j - i, ids.type)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(who[i:j])), pa.array(np.full(j - i, COLD, np.int8)), none, pa.nulls(j - i, pa.bool_()), pa.array(h[i:j]), pa.array(n[i:j]), pa.array(n_low[i:j]), pa.nulls(j - i, pa.float64()), pa.array(bits[i:j])], names)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(who[i:j])), pa.array(np.full(j - i, COLD, np.int8)), none, pa.nulls(j - i, pa.bool_()), pa.array(h[i:j]), pa.array(n[i:j]), pa.array(n_low[i:j]), pa.nulls(j - i, pa.float64()), pa.nulls(j - i, pa.float64())], names)
 
     schema = f"row_key long, kind byte, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, h long, n int, m int, part double, score double"
     names = [x.split()[0] for x in schema.split(", ")]
     parts = rows.select("doc_id", "held_out", "row_key", "t").mapInArrow(scored, schema)
-    table = tokens.select(F.lit(COLD).cast("byte").alias("kind"), "h", F.col("n").alias("c"))
+    table = tokens.select(F.lit(COLD).cast("byte").alias("kind"), "h", F.col("n").alias("c"), "bits")
     joined = parts.join(table.hint("shuffle_hash"), ["kind", "h"], "left")
     is_text, count = F.col("kind") == TEXT, F.coalesce(F.col("c"), F.lit(0))
     if total:
-        coded = F.log10(F.greatest(count - discount, F.lit(0.0)) / total + discount * different / total * F.pow(F.lit(10.0), "score"))
+        coded = F.log10(F.greatest(count - discount, F.lit(0.0)) / total + discount * different / total * F.pow(F.lit(10.0), "bits"))
     else:
-        coded = F.greatest(F.col("score"), F.lit(-np.log10(ALPHABET)))
+        coded = F.greatest(F.col("bits"), F.lit(-np.log10(ALPHABET)))
     summed = joined.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),

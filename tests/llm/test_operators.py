@@ -172,6 +172,14 @@ def test_ppm_equals_brute_force(spark, corpus, prose, hot):
     assert [g[5:] for g in got] == [pytest.approx(w[5:], abs=1e-4) for w in want]
 
 
+@pytest.mark.parametrize("hot_grams", [0, 20, 100_000])
+def test_no_pair_of_a_large_trie_is_left_out(spark, corpus, prose, monkeypatch, hot_grams):
+    monkeypatch.setattr(ppm, "TRIE_PAIRS", 50)
+    monkeypatch.setattr(ppm, "PART_PAIRS", 100)
+    monkeypatch.setattr(ppm, "HOT_GRAMS", hot_grams)
+    test_ppm_equals_brute_force(spark, corpus, prose, 5)
+
+
 def test_byte_contexts_are_probabilities():
     types = ["tari", "tarimo", "sel", "ku", "kuan"]
     keys, _ = ppm.token_grams(as_strings(pa.array(types)))
