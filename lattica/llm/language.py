@@ -1,7 +1,7 @@
 """Language ID by cross-parsing: the language whose text needs the fewest phrases wins.
 
 For each language a suffix automaton is built over a bounded sample of labelled text (parameters
-`sample_docs` and `sample_chars`). A text is parsed greedily: each phrase is the longest match that
+`sample_docs` and `sample_chars`; of a text longer than that the beginning counts). A text is parsed greedily: each phrase is the longest match that
 the automaton has, and one letter where it has none. Phrases do not reach across words, so the
 parse of a word is a fixed number for each language, and a batch parses each distinct word once.
 The phrases of a text, times the bits of a pointer into the sample and divided by the letters, are
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from lattica.llm.text import Memo, as_strings, distinct, held, per_text, slices, split_words
 
-SAMPLE_DOCS, SAMPLE_CHARS = 80, 50_000
+SAMPLE_DOCS, SAMPLE_CHARS = 80, 150_000
 UNDETERMINED = "und"
 SLICE_BYTES = 3 << 20
 
@@ -63,16 +64,22 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.nexts = nexts
+        # Kept in arrays: the letters on from a state are labels[first[state] : first[state + 1]], to states `to`.
+        self.first, self.to, labels = array("i", [0]), array("i"), []
+        for state in nexts:
+            labels.extend(state)
+            self.to.extend(state.values())
+            self.first.append(len(self.to))
+        self.labels = "".join(labels)
 
     def phrases(self, word: str) -> int:
         """Phrases of the greedy parse of a word with a space at both ends."""
-        nexts, text, i, n = self.nexts, f" {word} ", 0, 0
+        find, first, to, text, i, n = self.labels.find, self.first, self.to, f" {word} ", 0, 0
         end = len(text)
         while i < end:
-            j, state = i, nexts[0]
-            while j < end and (to := state.get(text[j])) is not None:
-                state = nexts[to]
+            j, state = i, 0
+            while j < end and (k := find(text[j], first[state], first[state + 1])) >= 0:
+                state = to[k]
                 j += 1
             i = j if j > i else i + 1
             n += 1
@@ -120,25 +127,28 @@ def fit(
 ) -> dict[str, list[str]]:
     """Distinct words of each language from at most `sample_docs` labelled texts and `sample_chars` letters.
 
-    The texts are those with the smallest hash of the key among the labelled rows; a first pass over
-    the labels alone gives the share of rows to look at, so that only about ten times the sample is sorted.
+    The texts are those with the smallest hash of the key among the labelled rows that hold a letter; a first
+    pass counts these and so gives the share of rows to look at, so that only about ten times the sample is
+    sorted. A longer text gives its first `sample_chars` characters from the first letter on, and what does not
+    fit of a word is cut off, so every label of a text with a letter has a sample.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = rows.filter(F.col("l").isNotNull() & (F.col("l") != ""))
+    rows = rows.filter(F.col("l").isNotNull() & (F.col("l") != "") & F.col("t").rlike(r"\p{L}"))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     rank = F.xxhash64("id")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (10 * sample_docs + 50) / n))])
     near = rows.filter((rank / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("l")])
-    near = near.filter(F.col("t").isNotNull() & (F.length("t") <= sample_chars))
+    near = near.withColumn("t", F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, sample_chars))
     order = Window.partitionBy("l").orderBy(rank, "id", "t")
     sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
     samples: dict[str, list[str]] = {}
     for row in sample.orderBy("l", "k").toLocalIterator():
         seen = samples.setdefault(row["l"], {})
         for word in map(letters, row["t"].split()):
-            if word and seen.get("", 0) + len(word) < sample_chars and word not in seen:
+            word = word[: sample_chars - seen.get("", 0)]
+            if word and word not in seen:
                 seen[word] = None
                 seen[""] = seen.get("", 0) + len(word)
     return {k: [w for w in v if w] for k, v in samples.items()}

@@ -408,6 +408,18 @@ def test_languages_are_told_apart(spark, corpus):
     assert {r["lang_pred"] for r in language.language_id(docs, {}).collect()} == {"und"}
 
 
+def test_long_labelled_texts_teach(spark, corpus):
+    book, unbroken = "sch und keit zu " * 12_000, "\n" + "." * 160_000 + "щ" * 160_000
+    docs = corpus([book, unbroken, *["the tion ing er"] * 4, *[None, "12 !!"] * 1000], ["bb", "dd", *["aa"] * 4, *["bb"] * 2000])
+    samples = language.fit(docs)
+    assert {k: len(v) > 0 for k, v in samples.items()} == {"aa": True, "bb": True, "dd": True}
+    assert sum(map(len, samples["dd"])) == language.SAMPLE_CHARS
+    small = language.fit(docs, sample_chars=8)
+    assert small == {"aa": ["the", "tion", "t"], "bb": ["sch", "und"], "dd": ["щ" * 8]}
+    got = by_id(language.language_id(docs.filter("doc_id in (0, 2)"), samples))
+    assert (got[0]["lang_pred"], got[2]["lang_pred"]) == ("bb", "aa")
+
+
 # 9. Token counts
 
 
