@@ -1,4 +1,4 @@
-"""Substring dedup by relative parsing: documents are factored against an index of the whole corpus.
+"""Substring dedup by anchored window hashing, in place of relative Lempel-Ziv parsing.
 
 A window is `WINDOW` consecutive words of one document. Every word covered by a window that also starts
 somewhere else in the corpus is removed; windows are judged on the input.
