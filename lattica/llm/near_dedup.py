@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.text import as_strings, distinct, held, let_go, slices, split_words
+from lattica.llm.text import as_strings, distinct, held, let_go, row_key, slices, split_words
 from lattica.session import cut, settle
 
 WORDS, SIMILAR = 5, 0.8
@@ -203,7 +203,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str):
     """doc_id, row_key, node (hash of the words) and bands of every row; with the idf broadcast and its name."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model, name = docs.sparkSession.sparkContext.broadcast(fit_idf(rows)), uuid.uuid4().hex
-    rows = rows.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    rows = rows.withColumn("row_key", row_key("doc_id", "text"))
 
     @F.arrow_udf("struct<node: bigint, bands: array<bigint>>")
     def signed(texts: pa.Array) -> pa.Array:

@@ -1,27 +1,24 @@
-"""LM scoring by prediction by partial matching (PPM), with a unigram base score beside it.
+"""LM scoring by prediction by partial matching (PPM) over bytes, with a unigram base score beside it.
 
-A text is its tokens (words with A-Z in lower case, then one end). Contexts are tried from the longest down,
-with an escape where a context does not know what comes next:
+A text is coded as the bytes of its words (A-Z in lower case), each word followed by a space, and one end symbol.
+The model is a pretrained trie of byte contexts of up to `ORDER` symbols that run across words, from the end and
+a space before the first word on. A symbol is looked up after its longest known context; where that has not seen it, an escape
+leads to the next shorter one, in which the symbols of the longer one are excluded; after the empty context
+all other bytes are equally likely. So the probabilities of all texts add up to 1.
 
-1. Adaptive: the three tokens before, where the text itself had them earlier. The share of hits among the
-   text's own earlier trials estimates the escape.
-2. Pretrained, whole paths: the token's count over all training texts, with an absolute discount that the
-   counts of counts give. What the discount takes away is the escape to bytes; both parts are added up.
-3. Pretrained, byte contexts: a trie of at most `ORDER` bytes before each byte of the token and its
-   terminator, trained on each different token once, as it has to code new ones. Escapes are estimated by
-   method C, and the symbols of the longer context are excluded on the way down.
+Counts: the longest contexts count occurrences in training texts, each shorter one counts in how many different
+longer ones a symbol was seen (update exclusion). Escapes are estimated by leaving one out: contexts are put in classes by order,
+different symbols and total, and how often a class would escape if one of its occurrences were missing is summed
+over the whole trie; method C stands in where a class has seen little.
 
-Byte contexts end at token boundaries, so a token's byte code is one number, and each distinct token of the
-corpus is coded once. The trie keeps every pair (context, symbol). One of at most `TRIE_PAIRS` pairs is
-broadcast; a larger one is dealt out by the last two symbols of a context, which all longer contexts with them
-share (contexts of fewer symbols are few and go everywhere), and meets there the grams to be coded, with the same
-results. The codes of the `HOT_GRAMS` grams that most tokens hold are broadcast then, the others are joined.
-
-Token counts: the `HOT_TOKENS` most frequent tokens are broadcast with their byte codes; the others go through a
-shuffle as (token hash, text) pairs and meet the table of counts and codes there.
+The trie is dealt out by the last `DEAL` symbols of a context, which all longer contexts with them share; contexts
+of fewer symbols are few and go everywhere. Each part codes all (context, symbol) pairs of the corpus that fall to
+it, those of unseen texts too. The `HOT_PAIRS` most frequent codes are broadcast; the other pairs of a
+text go through a shuffle and meet their codes there, as do tokens beyond the `HOT_TOKENS` most frequent ones.
+Both limits change the way and not the result.
 
 Defined results: a null text is the empty text, whose one token is its end; repeated rows each get their
-row; with nothing to learn from, symbols are uniform over 256 and every count is 0.
+row; with nothing to learn from, symbols are uniform over 256 and every count is 0. Tokens and rows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,378 +33,409 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import as_strings, distinct, held, per_text, slices, split_words
+from lattica.llm.text import as_strings, distinct, held, let_go, per_text, row_key, slices, split_words
 from lattica.session import cut
 
-ORDER = 5
-TRIE_PAIRS = 1_000_000
-HOT_TOKENS = 500_000
-HOT_GRAMS = 500_000
-PART_PAIRS = 250_000
-SLICE_BYTES = 4 << 20
-TERMINATOR, ALPHABET = 0x20, 256
+ORDER, DEAL = 6, 3
+HOT_TOKENS, HOT_PAIRS = 500_000, 2_000_000
+SLICE_BYTES, CHUNK = 4 << 20, 4 << 20
+#: Rows that a counting task holds before equal ones are added up.
+MOST_ROWS = 3_000_000
+MOST_PARTS = 4096
+ALPHABET = 256
 END_TOKEN = "\n"  # no word holds one
-COLD, TEXT = 0, 1
-MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+BEFORE = b"\n" * (ORDER - 1) + b" "
+COLD, TEXT, PAIR = 0, 1, 2
 
 
-def token_grams(tokens: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, symbol) of every byte and terminator of the tokens, and the token each is of.
+def token_hashes(vocabulary: pa.Array) -> np.ndarray:
+    items = vocabulary.cast(pa.large_binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items)).view(np.int64)
 
-    The symbol is the lowest byte, the context's latest symbol the next one; absent symbols are 0. A byte
-    0 of a token is written as 255, which UTF-8 never has.
-    """
-    binary = tokens.cast(pa.large_binary())
-    ends = np.frombuffer(binary.buffers()[1], dtype=np.int64)[binary.offset : binary.offset + len(binary) + 1]
-    data = np.frombuffer(binary.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
-    length = np.diff(ends)
-    of = np.repeat(np.arange(len(tokens)), length + 1)
-    starts = np.concatenate(([0], np.cumsum(length + 1)))[:-1]
-    place = np.arange(len(of)) - starts[of]
-    symbols = np.full(len(of) + 1, TERMINATOR, np.uint8)  # one terminator before the first token
-    inner = np.ones(len(of), bool)
-    inner[starts + length] = False
-    symbols[1:][inner] = np.where(data == 0, 255, data)
-    keys = symbols[1:].astype(np.uint64)
-    for back in range(1, order + 1):
-        earlier = np.zeros(len(of), np.uint64)
-        reach = np.flatnonzero(place >= back - 1)
-        earlier[reach] = symbols[reach + 1 - back]
-        keys |= earlier << np.uint64(8 * back)
-    return keys, of
-
-
-def lower_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct tokens, the index of each token, and where each text's tokens begin (ends left out)."""
-    flat, offsets = split_words(pc.ascii_lower(texts))
-    vocabulary, index = distinct(flat)
-    return vocabulary, index, offsets
-
-
-def hash_token(token: bytes) -> int:
-    """The hash that Spark's xxhash64() gives."""
-    return xxhash.xxh64_intdigest(token, 42)
 
+END_HASH = int(token_hashes(pa.array([END_TOKEN]))[0])
 
-def token_hashes(vocabulary: pa.Array) -> np.ndarray:
-    items = vocabulary.cast(pa.large_binary()).to_pylist()
-    return np.fromiter(map(hash_token, items), np.uint64, len(items)).view(np.int64)
 
+def streams(flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, one after another, and where each text's context before the first symbol begins."""
+    binary = flat.cast(pa.large_binary())
+    own = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), binary)
+    scalar = lambda x: pa.scalar(x, pa.large_binary())
+    tail = pc.if_else(pa.array(np.diff(offsets) > 0), scalar(b" \n"), scalar(b"\n"))
+    whole = pc.binary_join_element_wise(scalar(BEFORE), pc.binary_join(own, scalar(b" ")), tail, scalar(b""))
+    ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
-#: The end is never spelled: its byte code counts as impossible.
-NO_BYTES = -400.0
-END_HASH = int(np.array(hash_token(END_TOKEN.encode()), np.uint64).view(np.int64))
 
+def pairs(stream: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First place, packed (context, symbol) pairs and whether each is of a text (not of a beginning), by chunks.
 
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The symbol is the lowest byte of a pair, the latest one before it the next byte.
+    """
+    padded = np.concatenate((np.zeros(7, np.uint8), stream))
+    mask = np.uint64((1 << 8 * (ORDER + 1)) - 1)
+    for a in range(0, len(stream), CHUNK):
+        b = min(len(stream), a + CHUNK)
+        window = np.ndarray((b - a,), ">u8", padded.data, a, (1,))
+        real = np.ones(b - a, bool)
+        first = starts[np.searchsorted(starts, a - ORDER) : np.searchsorted(starts, b)]
+        at = (first[:, None] + np.arange(ORDER)).ravel() - a
+        real[at[(at >= 0) & (at < b - a)]] = False
+        yield a, window.astype(np.uint64) & mask, real
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their counts."""
+    key, n = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Sums:
+    """Counts by key, added up in bounded memory."""
+
+    def __init__(self):
+        self.keys, self.counts, self.rows = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
+        """Takes rows in; whether more than MOST_ROWS different keys are held."""
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.rows += len(keys)
+        if self.rows <= MOST_ROWS:
+            return False
+        key, n = added(self.keys, self.counts)
+        self.keys, self.counts, self.rows = [key], [n], len(key)
+        return 2 * self.rows > MOST_ROWS
+
+    def batches(self, names: tuple[str, ...], *more: int) -> Iterator[pa.RecordBatch]:
+        """What is held, as rows; then empty."""
+        key, n = added(self.keys, self.counts)
+        self.keys, self.counts, self.rows = [], [], 0
+        for i in range(0, len(key), 50_000):
+            part = key[i : i + 50_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(part), x, np.int8)) for x in more], pa.array(part), pa.array(n[i : i + 50_000])], names)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, n): tokens by hash and (context, symbol) pairs, counted over training texts; 0 for those of other texts."""
+    let_go()
+    names, sums = ("kind", "key", "n"), {COLD: Sums(), PAIR: Sums()}
     for batch in batches:
         texts, train = as_strings(batch.column(0)), np.asarray(batch.column(1))
         for a, b in slices(texts, SLICE_BYTES):
-            vocabulary, index, offsets = lower_tokens(texts.slice(a, b - a))
+            flat, offsets = split_words(pc.ascii_lower(texts.slice(a, b - a)))
+            vocabulary, index = distinct(flat)
             taught = np.repeat(train[a:b], np.diff(offsets))
             n = np.append(np.bincount(index[taught], minlength=len(vocabulary)), train[a:b].sum())
-            tokens = pa.array([*vocabulary.to_pylist(), END_TOKEN], pa.string())
-            yield pa.RecordBatch.from_arrays([tokens, pa.array(n.astype(np.int64))], ["token", "n"])
-
-
-def _type_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sums[COLD].add(np.append(token_hashes(vocabulary), END_HASH).view(np.uint64), n.astype(np.int64)):
+                yield from sums[COLD].batches(names, COLD)
+            stream, starts = streams(flat, offsets)
+            teaches = np.repeat(train[a:b], np.diff(starts))
+            for first, keys, real in pairs(stream, starts):
+                own = teaches[first : first + len(keys)]
+                full = False
+                for which, weight in ((real & own, 1), (real & ~own, 0)):
+                    key, n = np.unique(keys[which], return_counts=True)
+                    full = sums[PAIR].add(key, n * weight)
+                if full:
+                    yield from sums[PAIR].batches(names, PAIR)
+    for kind, held_sums in sums.items():
+        yield from held_sums.batches(names, kind)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition, in which all rows of a key are, added up."""
+    let_go()
+    sums = Sums()
     for batch in batches:
-        grams, of = token_grams(as_strings(batch.column(0)))
-        keys, index, m = np.unique(grams, return_inverse=True, return_counts=True)
-        n = np.bincount(index, (np.asarray(batch.column(1)) > 0)[of], len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(m.astype(np.int64)), pa.array(n)], ["key", "m", "n"])
+        sums.add(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64), np.asarray(batch.column(1), dtype=np.int64))
+    yield from sums.batches(("key", "n"))
 
 
-def count_tokens(rows: DataFrame) -> DataFrame:
-    """token and its n over the training texts, 0 for one that only others have; the end is the token END_TOKEN. rows: t, held_out."""
-    return cut(rows.select("t", ~F.col("held_out")).mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
+def counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens (key, n) and pairs (key, n); a partition of pairs holds whole contexts of DEAL symbols. rows: t, held_out."""
+    spark = rows.sparkSession
+    counted = cut(rows.select("t", ~F.col("held_out")).mapInArrow(_counted, "kind byte, key long, n long"))
+    tokens = cut(counted.filter(F.col("kind") == COLD).groupBy("key").agg(F.sum("n").alias("n")))
+    deal = F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * DEAL) - 1)))
+    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.rdd.getNumPartitions()))
+    dealt = counted.filter(F.col("kind") == PAIR).select("key", "n").repartition(parts, deal)
+    return tokens, cut(dealt.mapInArrow(_summed, "key long, n long"))
 
 
-def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
+def most_frequent(rows: DataFrame, most: int) -> DataFrame:
     """The rows with the largest n, at most `most` of them: all with n of at least some number."""
-    classes = rows.groupBy("n").agg(F.count("*").alias("rows"))
-    total = classes.agg(F.sum("rows")).first()[0] or 0
-    if total <= most:
-        return rows
-    # Counts of counts grow slowly; those over 1000 are put together by their leading digits.
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.pow(F.lit(10.0), F.floor(F.log10("n") * 20) / 20).cast("long"))
-    held_rows = sorted(((r["s"], r["rows"]) for r in rows.groupBy(step.alias("s")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    least, got = held_rows[0][0] + 1, 0
-    for value, n in held_rows:
+    sizes = sorted(((r["s"], r["rows"]) for r in rows.groupBy(step.alias("s")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, got = (sizes[0][0] + 1 if sizes else 0), 0
+    for value, n in sizes:
         if got + n > most:
             break
         least, got = value, got + n
     return rows.filter(step >= least)
 
 
-class Trie:
-    """Byte-context trie in sorted arrays: pairs (context, symbol) and contexts by order."""
-
-    def __init__(self, order_of: np.ndarray, key: np.ndarray, n: np.ndarray, order: int = ORDER):
-        tag = order_of.astype(np.uint64) << np.uint64(56)
-        pair = tag | key.astype(np.uint64)
-        at = np.argsort(pair)
-        self.order, self.pair, count = order, pair[at], n[at].astype(np.float64)
-        k, key = order_of[at].astype(np.int64), key[at].astype(np.uint64)
-        context = (tag[at]) | (key >> np.uint64(8))
-        self.context, of = np.unique(context, return_inverse=True)
-        total = np.bincount(of, count, len(self.context))
-        kinds = np.bincount(of, minlength=len(self.context)).astype(np.float64)
-        self.log_count = np.log10(count)
-        self.log_start = self.log_count - np.log10(total + kinds)[of]
-        self.log_escape = np.log10(kinds) - np.log10(total + kinds)
-        # Of the suffix of each context: what is left when this context's symbols are excluded.
-        has = np.flatnonzero(k > 0)
-        mask = (np.uint64(1) << (np.uint64(8) * k[has].astype(np.uint64))) - np.uint64(1)
-        suffix_pair = ((k[has] - 1).astype(np.uint64) << np.uint64(56)) | (key[has] & mask)
-        there = np.searchsorted(self.pair, suffix_pair)
-        excluded = np.bincount(of[has], count[there], len(self.context))
-        parent = np.full(len(self.context), -1)
-        parent[of[has]] = of[there]
-        left_total = np.where(parent >= 0, total[parent] - excluded, 0.0)
-        left_kinds = np.where(parent >= 0, kinds[parent] - kinds, 0.0)
-        none = left_kinds <= 0
-        whole = np.where(none, 1.0, left_total + left_kinds)
-        self.log_left = np.log10(whole)
-        self.log_escape_left = np.where(none, 0.0, np.log10(np.where(none, 1.0, left_kinds)) - self.log_left)
-        root = np.flatnonzero(self.context >> np.uint64(56) == 0)
-        self.log_uniform = -np.log10(ALPHABET - (kinds[root[0]] if len(root) and kinds[root[0]] < ALPHABET else 0))
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the symbol of each packed (context, symbol)."""
-        out, came = np.zeros(len(grams)), np.full(len(grams), -1)
-        size = np.zeros(len(grams), np.int64)
-        for back in range(1, self.order + 1):
-            size += (grams >> np.uint64(8 * back)) & np.uint64(255) != 0
-        live = np.ones(len(grams), bool)
-        for k in range(self.order, -1, -1):
-            at = np.flatnonzero(live & (size >= k))
-            key = grams[at] & np.uint64((1 << 8 * (k + 1)) - 1)
-            tag = np.uint64(k << 56)
-            pair, found = self._find(self.pair, tag | key)
-            from_child = came[at] >= 0
-            start, hit = found & ~from_child, found & from_child
-            out[at[start]] += self.log_start[pair[start]]
-            out[at[hit]] += self.log_count[pair[hit]] - self.log_left[came[at[hit]]]
-            live[at[found]] = False
-            rest = at[~found]
-            context, exists = self._find(self.context, tag | (key[~found] >> np.uint64(8)))
-            rest, context = rest[exists], context[exists]
-            child = came[rest]
-            out[rest] += np.where(child >= 0, self.log_escape_left[child], self.log_escape[context])
-            came[rest] = context
-        out[live] += np.where(came[live] >= 0, self.log_uniform, -np.log10(ALPHABET))
+class Level:
+    """The pairs of one order, sorted, with their counts; and their contexts."""
+
+    def __init__(self, k: int, key: np.ndarray, n: np.ndarray):
+        self.k, self.key, self.n = k, key, n.astype(np.float64)
+        context = key >> np.uint64(8)
+        new = np.concatenate(([True], context[1:] != context[:-1]))[: len(key)]
+        first = np.flatnonzero(new)
+        self.of, self.context = np.cumsum(new) - 1, context[first]
+        self.kinds = np.diff(np.append(first, len(key))).astype(np.float64)
+        self.total = np.add.reduceat(self.n, first) if len(first) else np.zeros(0)
+
+    @property
+    def mask(self) -> np.uint64:
+        return np.uint64((1 << 8 * (self.k + 1)) - 1)
+
+    def shorter(self) -> Level:
+        """The next shorter order: in how many contexts of this one a pair was seen."""
+        key, n = np.unique(self.key & np.uint64((1 << 8 * self.k) - 1), return_counts=True)
+        return Level(self.k - 1, key, n)
+
+    def left_out(self, parent: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Count and kinds of each context's symbols in the parent, where they are excluded."""
+        n = parent.n[np.searchsorted(parent.key, self.key & parent.mask)]
+        return np.bincount(self.of, n, len(self.context)), self.kinds
+
+
+KINDS, TOTALS = 12, 41
+
+
+def class_of(kinds: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Escape class of contexts: numbers up to 6 as they are, larger ones by powers of 2 (kinds) and of the root of 2 (totals)."""
+    scaled = lambda x, each: np.where(x <= 6, x, 6 + np.floor(np.log2(np.maximum(x, 1) / 6.0) * each)).astype(np.int64)
+    return np.minimum(scaled(kinds, 1), KINDS - 1) * TOTALS + np.minimum(scaled(total, 2), TOTALS - 1)
+
+
+def escape_table(level: Level) -> np.ndarray:
+    """escapes and hits by class, if each occurrence were the one left out."""
+    once = np.bincount(level.of, level.n == 1, len(level.context))
+    out, more = np.zeros((2, KINDS * TOTALS)), level.total > 1
+    gone = more & (once > 0)
+    np.add.at(out[0], class_of(level.kinds[gone] - 1, level.total[gone] - 1), once[gone])
+    np.add.at(out[1], class_of(level.kinds[more], level.total[more] - 1), (level.total - once)[more])
+    return out
+
+
+def escape(table: np.ndarray, kinds: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Probability of an escape; 1 where no symbol is left."""
+    none, at = kinds <= 0, class_of(np.maximum(kinds, 1), np.maximum(total, 1))
+    estimate = (table[0][at] + kinds / np.maximum(kinds + total, 1)) / (table[0][at] + table[1][at] + 1)
+    return np.where(none, 1.0, np.clip(estimate, 1e-9, 1 - 1e-9))
+
+
+def local_levels(key: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The levels ORDER to DEAL of a part's pairs."""
+    seen = n > 0
+    out = [Level(ORDER, key[seen], n[seen])]
+    while out[-1].k > DEAL:
+        out.append(out[-1].shorter())
+    return out
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def log10_codes(levels: list[Level], escapes: dict[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """log10 probability of the symbol of each packed pair. levels: from the longest contexts to the empty one."""
+    out, came = np.zeros(len(keys)), np.full(len(keys), -1)
+    live, longer = np.arange(len(keys)), None
+    for level in levels:
+        key = keys[live] & level.mask
+        context, known = find(level.context, key >> np.uint64(8))
+        child = came[live]
+        kinds, total = np.zeros(len(live)), np.zeros(len(live))
+        if len(level.key):
+            kinds, total = level.kinds[context], level.total[context]
+            if longer is not None and len(longer.key):
+                gone, gone_kinds = longer.left_out(level)
+                total = total - np.where(child >= 0, gone[child], 0.0)
+                kinds = kinds - np.where(child >= 0, gone_kinds[child], 0.0)
+        up = escape(escapes[level.k], kinds, total)
+        pair, hit = find(level.key, key)
+        with np.errstate(divide="ignore"):
+            seen = np.log10(1 - up) + np.log10((level.n[pair] if len(level.n) else 1.0) / np.maximum(total, 1e-300))
+        out[live] += np.where(hit, seen, np.where(known, np.log10(up), 0.0))
+        came[live] = np.where(known, context, -1)
+        live, longer = live[~hit], level
+    root = levels[-1].kinds
+    out[live] -= np.log10(ALPHABET - (root[0] if len(root) else 0))
+    return out
+
+
+def _part(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    table = [(np.asarray(b.column(0), dtype=np.int64).view(np.uint64), np.asarray(b.column(1), dtype=np.int64)) for b in batches]
+    return added([k for k, _ in table], [n for _, n in table])
+
+
+def code_pairs(found: DataFrame) -> DataFrame:
+    """key, n and bits (log10) of each pair. found: as counts() gives them."""
+    spark = found.sparkSession
+    # Contexts under DEAL symbols are as many as there are different runs of that many bytes.
+    cutoff = lambda symbols: F.col("key").bitwiseAND(F.lit((1 << 8 * symbols) - 1)).alias("key")
+    dealt = found.filter("n > 0").select(cutoff(DEAL + 1)).distinct()
+    table = dealt.select(cutoff(DEAL)).groupBy("key").agg(F.count("*").alias("n")).toArrow()
+    low = [Level(DEAL - 1, *added([np.asarray(table["key"], dtype=np.int64).view(np.uint64)], [np.asarray(table["n"], dtype=np.int64)]))]
+    while low[-1].k:
+        low.append(low[-1].shorter())
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for level in local_levels(*_part(batches)):
+            escapes, hits = escape_table(level)
+            at = np.flatnonzero(escapes + hits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level.k)), pa.array(at), pa.array(escapes[at]), pa.array(hits[at])], ["k", "class", "escapes", "hits"])
+
+    sums = found.mapInArrow(classes, "k long, class long, escapes double, hits double").groupBy("k", "class").agg(F.sum("escapes").alias("escapes"), F.sum("hits").alias("hits"))
+    escapes = {k: np.zeros((2, KINDS * TOTALS)) for k in range(ORDER + 1)}
+    for r in sums.collect():  # at most (ORDER + 1) x KINDS x TOTALS rows
+        escapes[r["k"]][:, r["class"]] = r["escapes"], r["hits"]
+    escapes |= {level.k: escape_table(level) for level in low}
+    model = spark.sparkContext.broadcast((low, escapes))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = _part(batches)
+        low, escapes = model.value
+        bits = log10_codes([*local_levels(key, n), *low], escapes, key)
+        for i in range(0, len(key), 50_000):
+            j = i + 50_000
+            yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(n[i:j]), pa.array(bits[i:j])], ["key", "n", "bits"])
+
+    return cut(found.mapInArrow(coded, "key long, n long, bits double"))
+
+
+class Lookup:
+    """Numbers of 64-bit keys in an open hash table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.int64)
+        self.number = np.full(1 << self.bits, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            slot = at[left]
+            free = self.number[slot] < 0
+            self.number[slot[free]] = left[free]  # of several, one stays
+            won = self.number[slot] == left
+            self.keys[slot[won]] = keys[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys.view(np.uint64) ^ (keys.view(np.uint64) >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for one that is not there."""
+        at = self._slot(keys)
+        out = self.number[at]
+        live = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(live):
+            at[live] = (at[live] + 1) & (len(self.keys) - 1)
+            out[live] = self.number[at[live]]
+            live = live[(out[live] >= 0) & (self.keys[at[live]] != keys[live])]
         return out
 
-    def score_tokens(self, tokens: pa.Array) -> np.ndarray:
-        """log10 probability of each token, its terminator included."""
-        if not len(tokens):
-            return np.zeros(0)
-        keys, of = token_grams(tokens, self.order)
-        different, index = np.unique(keys, return_inverse=True)
-        return np.bincount(of, self.log10(different)[index], len(tokens))
-
-
-def _trie(table: pa.Table, order: int = ORDER) -> Trie:
-    return Trie(*(np.asarray(table[c], dtype=np.int64) for c in ("k", "key", "n")), order)
-
-
-def pairs_of(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """k, key and n: all pairs of all orders of the training tokens, each different one once."""
-    tagged = []
-    for k in range(order + 1):
-        reaches = F.shiftrightunsigned("key", 8 * k).bitwiseAND(F.lit(255)) != 0
-        cutoff = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        tagged.append(F.when(reaches, F.struct(F.lit(k).alias("k"), cutoff.alias("key"))))
-    rows = grams.filter("n > 0").select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("g"), "n")
-    return cut(rows.groupBy("g.k", "g.key").agg(F.sum("n").alias("n")))
-
-
-def code_grams(grams: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
-    """key, m and bits (log10) of each gram, from a trie that is dealt out."""
-    low = grams.sparkSession.sparkContext.broadcast(pairs.filter("k < 2").toArrow().select(["k", "key", "n"]))
-    part = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(-(-n_pairs // PART_PAIRS))).alias("part")
-
-    def coded(left: pa.Table, right: pa.Table) -> pa.Table:
-        trie = _trie(pa.concat_tables([low.value, right.select(["k", "key", "n"]).cast(low.value.schema)]))
-        keys = np.asarray(left["key"], dtype=np.int64).view(np.uint64)
-        return pa.table({"key": left["key"], "m": left["m"], "bits": trie.log10(keys)})
-
-    dealt = grams.select("key", "m", part).groupBy("part").cogroup(pairs.filter("k >= 2").select("k", "key", "n", part).groupBy("part"))
-    return cut(dealt.applyInArrow(coded, "key long, m long, bits double"))
-
-
-def code_tokens(counts: DataFrame, most: int | None = None, hot_grams: int | None = None) -> DataFrame:
-    """h (the token's hash), n and bits, the log10 of its bytes and terminator; the end is never spelled: it has NO_BYTES."""
-    spark, most, hot_grams = counts.sparkSession, TRIE_PAIRS if most is None else most, HOT_GRAMS if hot_grams is None else hot_grams
-    words = counts.filter(F.col("token") != END_TOKEN)
-    ends = counts.filter(F.col("token") == END_TOKEN).select(F.lit(END_HASH).alias("h"), "n", F.lit(NO_BYTES).alias("bits"))
-    grams = cut(words.mapInArrow(_type_grams, "key long, m long, n long").groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n")))
-    pairs = pairs_of(grams)
-    n_pairs, name = pairs.count(), uuid.uuid4().hex
-    if n_pairs <= most:
-        model = spark.sparkContext.broadcast(_trie(pairs.toArrow()))
-
-        def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = held(name, lambda: model.value)
-            for batch in batches:
-                tokens = as_strings(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(token_hashes(tokens)), batch.column(1), pa.array(trie.score_tokens(tokens))], ["h", "n", "bits"])
-
-        return cut(words.select("token", "n").mapInArrow(spelled, "h long, n long, bits double").unionByName(ends))
-
-    codes = code_grams(grams, pairs, n_pairs)
-    hot = _most_frequent(codes.select("key", "bits", F.col("m").alias("n")), hot_grams).toArrow()
-    keys, bits = np.asarray(hot["key"], dtype=np.int64), np.asarray(hot["bits"], dtype=np.float64)
-    order = np.argsort(keys)
-    cache = spark.sparkContext.broadcast((keys[order], bits[order]))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each token one row with the sum of its hot grams' codes, and one row for each other gram."""
-        keys, bits = held(name, lambda: cache.value)
-        for batch in batches:
-            tokens, n = as_strings(batch.column(0)), np.asarray(batch.column(1))
-            h, (grams, of) = token_hashes(tokens), token_grams(tokens)
-            grams = grams.view(np.int64)
-            at, is_hot = Trie._find(keys, grams)
-            own = np.bincount(of[is_hot], bits[at[is_hot]], len(tokens)) if len(keys) else np.zeros(len(tokens))
-            cold = ~is_hot
-            zeros = np.zeros(int(cold.sum()))
-            columns = (
-                np.concatenate((np.zeros(len(tokens), bool), cold[cold])), np.concatenate((h, grams[cold])), np.concatenate((h, h[of[cold]])),
-                np.concatenate((n, zeros.astype(np.int64))), np.concatenate((own, zeros)),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cold", "key", "h", "n", "own"])
-
-    parts = words.select("token", "n").mapInArrow(split, "cold boolean, key long, h long, n long, own double")
-    joined = parts.join(codes.select(F.lit(True).alias("cold"), "key", "bits"), ["cold", "key"], "left")
-    summed = joined.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("own") + F.coalesce("bits", F.lit(0.0))).alias("bits"))
-    return cut(summed.unionByName(ends))
-
-
-def own_contexts(index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: its log10 from the adaptive contexts, and whether lower contexts have to code it."""
-    size = len(index)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.arange(size) - offsets[owner]
-    code = index.astype(np.uint64) + np.uint64(1)
-    context = (owner.astype(np.uint64) + np.uint64(1)) * MIX[0]
-    for back in (1, 2, 3):
-        context[back:] += code[:-back] * MIX[back]
-    context ^= context >> np.uint64(29)
-    at = np.flatnonzero(place >= 3)
-
-    def earlier(keys: np.ndarray) -> np.ndarray:
-        """How often each key occurred before."""
-        order = np.argsort(keys, kind="stable")
-        first = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, bool)
-        starts = np.flatnonzero(first)
-        out = np.empty(len(keys), np.int64)
-        out[order] = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
-        return out
 
-    before = earlier(context[at])
-    again = np.isin(context[at], context[at][before > 0]) if (before > 0).any() else np.zeros(len(at), bool)
-    at, before = at[again], before[again]
-    same = earlier(context[at] * MIX[4] + code[at])
-    seen, hit = before > 0, same > 0
-    at, before, same, hit = at[seen], before[seen], same[seen], hit[seen]
-    out, low = np.zeros(size), np.ones(size, bool)
-    if len(at):
-        starts = np.searchsorted(owner[at], owner[at])  # the text's first trial
-        hits = np.concatenate(([0], np.cumsum(hit)))
-        tried = np.arange(len(at)) - starts
-        p = (hits[:-1] - hits[starts] + 0.5) / (tried + 1.0)
-        out[at] = np.where(hit, np.log10(p * np.maximum(same, 1) / before), np.log10(1.0 - p))
-        low[at[hit]] = False
-    return out, low
-
-
-def log_token(count: np.ndarray, log_bytes: np.ndarray, total: int, different: int, discount: float) -> np.ndarray:
-    """log10 probability of tokens from their counts and byte codes."""
-    if not total:
-        return log_bytes
-    known = np.maximum(count - discount, 0.0) / total
-    return np.log10(known + discount * different / total * 10.0**log_bytes)
-
-
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", hot_tokens: int = HOT_TOKENS) -> DataFrame:
+def _tables(tokens: pa.Table, codes: pa.Table) -> tuple:
+    """Lookups with one value more than they have keys, for those that are not there."""
+    known, bits = np.asarray(tokens["n"], dtype=np.int64), np.asarray(codes["bits"], dtype=np.float64)
+    return Lookup(np.asarray(tokens["key"], dtype=np.int64)), np.append(known, 0), Lookup(np.asarray(codes["key"], dtype=np.int64)), np.append(bits, 0.0)
+
+
+def text_scores(flat: pa.Array, offsets: np.ndarray, codes: Lookup, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the known codes by text; and text, pair and number of the others."""
+    stream, starts = streams(flat, offsets)
+    out, cold = np.zeros(len(offsets) - 1), []
+    for first, keys, real in pairs(stream, starts):
+        keys = keys.view(np.int64)
+        number = codes.find(keys)
+        a, b = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(keys))
+        out[a:b] += np.add.reduceat(np.where(real, bits[number], 0.0), np.maximum(starts[a:b] - first, 0))
+        at = np.flatnonzero(real & (number < 0))
+        cold.append((np.searchsorted(starts, at + first, "right") - 1, keys[at]))
+    who, what = (np.concatenate([np.zeros(0, np.int64), *[c[i] for c in cold]]) for i in (0, 1))
+    order = np.lexsort((what, who))
+    who, what = who[order], what[order]
+    new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])))[: len(who)])
+    return out, who[new], what[new], np.diff(np.append(new, len(who)))
+
+
+def score(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", hot_tokens: int | None = None, hot_pairs: int | None = None
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; train: which rows teach."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), (~train).alias("held_out"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("t"))
-    tokens = code_tokens(count_tokens(rows))
-    sums = tokens.agg(F.sum("n").alias("N"), F.count_if(F.col("n") > 0).alias("V"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    rows = docs.select(F.col(id_col).alias("doc_id"), (~train).alias("held_out"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("t"))
+    tokens, found = counts(rows)
+    codes = code_pairs(found)
+    sums = tokens.agg(F.sum("n").alias("N"), F.count_if(F.col("n") > 0).alias("V")).first()
     total, different = sums["N"] or 0, sums["V"] or 0
-    discount = min(max(sums["once"] / max(sums["once"] + 2 * sums["twice"], 1), 0.1), 0.9)
-    hot = _most_frequent(tokens, hot_tokens).toArrow()
-    hashes, known, codes = np.asarray(hot["h"], dtype=np.int64), np.asarray(hot["n"], dtype=np.int64), np.asarray(hot["bits"], dtype=np.float64)
-    order = np.argsort(hashes)
-    model, name = spark.sparkContext.broadcast((hashes[order], known[order], codes[order])), uuid.uuid4().hex
+    hot = [most_frequent(tokens, HOT_TOKENS if hot_tokens is None else hot_tokens), most_frequent(codes, HOT_PAIRS if hot_pairs is None else hot_pairs).select("key", "bits")]
+    model, name = spark.sparkContext.broadcast([x.toArrow() for x in hot]), uuid.uuid4().hex
+    schema = f"row_key long, kind byte, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, key long, n int, m int, part double, score double"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, codes = held(name, lambda: model.value)
+        words, known, table, bits = held(name, lambda: _tables(*model.value))
         for batch in batches:
             ids, out, keys, texts = (batch.column(i) for i in range(4))
             texts = as_strings(texts)
             for a, b in slices(texts, SLICE_BYTES):
-                vocabulary, index, offsets = lower_tokens(texts.slice(a, b - a))
+                flat, offsets = split_words(pc.ascii_lower(texts.slice(a, b - a)))
+                vocabulary, index = distinct(flat)
                 hashed, size = token_hashes(vocabulary), np.diff(offsets)
-                at, is_hot = Trie._find(hashes, hashed)
-                count = np.where(is_hot, known[at], 0.0) if len(known) else np.zeros(len(hashed))
-                spelled = np.where(is_hot, codes[at], 0.0) if len(known) else np.zeros(len(hashed))
-                adaptive, low = own_contexts(index, offsets)
-                hot_score = np.where(is_hot, log_token(count, spelled, total, different, discount), 0.0)
+                number = words.find(hashed)
+                count = known[number]
+                spelled, *rest = text_scores(flat, offsets, table, bits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.slice(a, b - a), pa.array(np.full(b - a, TEXT, np.int8)), ids.slice(a, b - a), out.slice(a, b - a),
-                        pa.array(np.arange(b - a)), pa.array((size + 1).astype(np.int32)),
+                        pa.array(np.zeros(b - a, np.int64)), pa.array((size + 1).astype(np.int32)),
                         pa.array(per_text((count > 0)[index].astype(np.int64), offsets).astype(np.int32)),
-                        pa.array(per_text(np.log10(1.0 + count)[index], offsets)),
-                        pa.array(per_text(adaptive + np.where(low, hot_score[index], 0.0), offsets)),
+                        pa.array(per_text(np.log10(1.0 + count)[index], offsets)), pa.array(spelled),
                     ],
                     names,
                 )
-                # Cold tokens: one pair for a token of a text, with its number there and how often lower contexts code it.
-                cold = np.flatnonzero(~is_hot[index])
+                # One row for a token or pair of a text whose count or code is not here, with its number there.
+                cold = np.flatnonzero((number < 0)[index])
                 owner = np.repeat(np.arange(b - a), size)[cold]
-                width = len(vocabulary) + 1
-                pair, of, n = np.unique(owner * width + index[cold], return_inverse=True, return_counts=True)
-                n_low = np.bincount(of, low[cold], len(pair)).astype(np.int32)
-                what = pair % width
-                who = np.concatenate((pair // width, np.arange(b - a))) + a
-                one = np.ones(b - a, np.int32)
-                h = np.concatenate((hashed[what], np.full(b - a, END_HASH)))
-                n, n_low = np.concatenate((n.astype(np.int32), one)), np.concatenate((n_low, one))
+                pair, n = np.unique(owner * (len(vocabulary) + 1) + index[cold], return_counts=True)
+                who = np.concatenate((pair // (len(vocabulary) + 1), np.arange(b - a), rest[0])) + a
+                what = np.concatenate((hashed[pair % (len(vocabulary) + 1)], np.full(b - a, END_HASH), rest[1]))
+                n = np.concatenate((n, np.ones(b - a, np.int64), rest[2])).astype(np.int32)
+                kind = np.repeat(np.array([COLD, PAIR], np.int8), (len(pair) + b - a, len(rest[0])))
                 for i in range(0, len(who), 100_000):
                     j = min(len(who), i + 100_000)
-                    none = pa.nulls(j - i, ids.type)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(who[i:j])), pa.array(np.full(j - i, COLD, np.int8)), none, pa.nulls(j - i, pa.bool_()), pa.array(h[i:j]), pa.array(n[i:j]), pa.array(n_low[i:j]), pa.nulls(j - i, pa.float64()), pa.nulls(j - i, pa.float64())], names)
+                    none = lambda t: pa.nulls(j - i, t)  # noqa: B023, E731
+                    columns = [keys.take(pa.array(who[i:j])), pa.array(kind[i:j]), none(ids.type), none(pa.bool_()), pa.array(what[i:j]), pa.array(n[i:j])]
+                    yield pa.RecordBatch.from_arrays([*columns, none(pa.int32()), none(pa.float64()), none(pa.float64())], names)
 
-    schema = f"row_key long, kind byte, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, h long, n int, m int, part double, score double"
-    names = [x.split()[0] for x in schema.split(", ")]
     parts = rows.select("doc_id", "held_out", "row_key", "t").mapInArrow(scored, schema)
-    table = tokens.select(F.lit(COLD).cast("byte").alias("kind"), "h", F.col("n").alias("c"), "bits")
-    joined = parts.join(table.hint("shuffle_hash"), ["kind", "h"], "left")
-    is_text, count = F.col("kind") == TEXT, F.coalesce(F.col("c"), F.lit(0))
-    if total:
-        coded = F.log10(F.greatest(count - discount, F.lit(0.0)) / total + discount * different / total * F.pow(F.lit(10.0), "bits"))
-    else:
-        coded = F.greatest(F.col("bits"), F.lit(-np.log10(ALPHABET)))
+    table = tokens.select(F.lit(COLD).cast("byte").alias("kind"), "key", F.col("n").alias("c"), F.lit(0.0).alias("bits"))
+    table = table.unionByName(codes.select(F.lit(PAIR).cast("byte").alias("kind"), "key", F.lit(0).cast("long").alias("c"), "bits"))
+    # A key of a text is one row whatever its kind: a skewed side is a common token or pair, and those are broadcast.
+    joined = parts.join(table.hint("shuffle_hash"), ["kind", "key"], "left")
+    is_text, is_token, count = F.col("kind") == TEXT, F.col("kind") == COLD, F.coalesce(F.col("c"), F.lit(0))
     summed = joined.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.count_if(is_text).alias("copies"),
         F.sum(F.when(is_text, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(is_text, F.col("m")).when(count > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(is_text, F.col("part")).otherwise(F.col("n") * F.log10(count + 1.0))).alias("part"),
-        F.sum(F.when(is_text, F.col("score")).when(F.col("m") > 0, F.col("m") * coded).otherwise(0.0)).alias("score"),
+        F.sum(F.when(is_text, F.col("m")).when(is_token & (count > 0), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(is_text, F.col("part")).when(is_token, F.col("n") * F.log10(count + 1.0)).otherwise(0.0)).alias("part"),
+        F.sum(F.when(is_text, F.col("score")).when(is_token, 0.0).otherwise(F.col("n") * F.col("bits"))).alias("score"),
     )
     # Equal rows were added up: each gets its share again.
     share = lambda c: F.col(c) / F.col("copies")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.near_dedup import BASE, mix
-from lattica.llm.text import as_strings, distinct, held, slices, split_words
+from lattica.llm.text import as_strings, distinct, held, row_key, slices, split_words
 from lattica.session import cut
 
 WINDOW, ANCHOR = 35, 8
@@ -191,7 +191,7 @@ OUT = "struct<n_words: bigint, n_removed: bigint, kept: string>"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space), one row for each row of docs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    rows = rows.withColumn("row_key", row_key("doc_id", "text"))
     spans = duplicate_windows(rows, window, anchor)
     spans = spans.groupBy("row_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 

@@ -29,6 +29,12 @@ def crc_mod(key: Column | str, m: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """64-bit key of a row's id and text, in which a null is told apart from every value and place."""
+    key, text = F.col(id_col), F.col(text_col)
+    return F.xxhash64(key.isNull(), key.cast("string"), text.isNull(), text)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
