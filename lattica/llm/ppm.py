@@ -149,33 +149,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a partition, in which all rows of a key are, added up."""
     let_go()
-    sums = Sums()
+    names, sums = ("kind", "key", "n"), {COLD: Sums(), PAIR: Sums()}
     for batch in batches:
-        sums.add(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64), np.asarray(batch.column(1), dtype=np.int64))
-    yield from sums.batches(("key", "n"))
+        kind, key, n = (np.asarray(batch.column(i), dtype=np.int64) for i in range(3))
+        for which, held_sums in sums.items():
+            held_sums.add(key[kind == which].view(np.uint64), n[kind == which])
+    for which, held_sums in sums.items():
+        yield from held_sums.batches(names, which)
 
 
 def counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tokens (key, n) and pairs (key, n); a partition of pairs holds whole contexts of DEAL symbols. rows: t, held_out."""
     spark = rows.sparkSession
-    counted = cut(rows.select("t", ~F.col("held_out")).mapInArrow(_counted, "kind byte, key long, n long"))
-    tokens = cut(counted.filter(F.col("kind") == COLD).groupBy("key").agg(F.sum("n").alias("n")))
-    deal = F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * DEAL) - 1)))
+    counted = rows.select("t", ~F.col("held_out")).mapInArrow(_counted, "kind byte, key long, n long")
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * DEAL) - 1))
     parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.rdd.getNumPartitions()))
-    dealt = counted.filter(F.col("kind") == PAIR).select("key", "n").repartition(parts, deal)
-    return tokens, cut(dealt.mapInArrow(_summed, "key long, n long"))
+    dealt = counted.repartition(parts, F.xxhash64(F.when(F.col("kind") == PAIR, context).otherwise(F.col("key"))))
+    summed = cut(dealt.mapInArrow(_summed, "kind byte, key long, n long"))
+    return tuple(summed.filter(F.col("kind") == kind).select("key", "n") for kind in (COLD, PAIR))
 
 
-def most_frequent(rows: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest n, at most `most` of them: all with n of at least some number."""
-    step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.pow(F.lit(10.0), F.floor(F.log10("n") * 20) / 20).cast("long"))
+def least_n(rows: DataFrame, most: int) -> int:
+    """The least n such that at most `most` rows have that or more."""
+    step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.ceil(F.pow(F.lit(10.0), F.floor(F.log10("n") * 20) / 20)))
     sizes = sorted(((r["s"], r["rows"]) for r in rows.groupBy(step.alias("s")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    least, got = (sizes[0][0] + 1 if sizes else 0), 0
+    got, least = 0, int(sizes[0][0] * 1.13) + 2 if sizes else 0
     for value, n in sizes:
         if got + n > most:
             break
-        least, got = value, got + n
-    return rows.filter(step >= least)
+        least, got = int(value), got + n
+    return least
+
+
+def most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    return rows.filter(F.col("n") >= least_n(rows, most))
 
 
 class Level:
@@ -312,7 +319,7 @@ def code_pairs(found: DataFrame) -> DataFrame:
             j = i + 50_000
             yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(n[i:j]), pa.array(bits[i:j])], ["key", "n", "bits"])
 
-    return cut(found.mapInArrow(coded, "key long, n long, bits double"))
+    return found.mapInArrow(coded, "key long, n long, bits double")
 
 
 class Lookup:
@@ -382,8 +389,10 @@ def score(
     codes = code_pairs(found)
     sums = tokens.agg(F.sum("n").alias("N"), F.count_if(F.col("n") > 0).alias("V")).first()
     total, different = sums["N"] or 0, sums["V"] or 0
-    hot = [most_frequent(tokens, HOT_TOKENS if hot_tokens is None else hot_tokens), most_frequent(codes, HOT_PAIRS if hot_pairs is None else hot_pairs).select("key", "bits")]
-    model, name = spark.sparkContext.broadcast([x.toArrow() for x in hot]), uuid.uuid4().hex
+    hot = most_frequent(tokens, HOT_TOKENS if hot_tokens is None else hot_tokens).toArrow()
+    # Codes are made again for the join: that takes less than to write them.
+    hot_codes = codes.filter(F.col("n") >= least_n(found, HOT_PAIRS if hot_pairs is None else hot_pairs)).select("key", "bits").toArrow()
+    model, name = spark.sparkContext.broadcast((hot, hot_codes)), uuid.uuid4().hex
     schema = f"row_key long, kind byte, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, key long, n int, m int, part double, score double"
     names = [x.split()[0] for x in schema.split(", ")]
 

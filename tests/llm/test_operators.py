@@ -99,102 +99,128 @@ def test_library_decodes_the_ids(coder):
 # 2. PPM
 
 
-def byte_model(types, order):
-    """Method C with exclusion, as nested dictionaries."""
-    table = defaultdict(Counter)
-    for token in types:
-        symbols = [0x20, *token.encode(), 0x20]
-        for i in range(1, len(symbols)):
-            for k in range(min(order, i) + 1):
-                table[tuple(symbols[i - k : i])][symbols[i]] += 1
-
-    def probability(context, symbol):
-        out, excluded = 1.0, set()
-        for k in range(len(context), -1, -1):
-            seen = table.get(tuple(context[len(context) - k :]))
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def symbols_of(text):
+    return [*b"".join(w.translate(LOWER).encode() + b" " for w in WORD.findall(text or "")), 0x0A]
+
+
+class ByteModel:
+    """Contexts as tuples in nested dictionaries."""
+
+    def __init__(self, texts, order=ppm.ORDER):
+        self.order, self.tables = order, [defaultdict(Counter) for _ in range(order + 1)]
+        for text in texts:
+            stream = [*ppm.BEFORE, *symbols_of(text)]
+            for i in range(order, len(stream)):
+                self.tables[order][tuple(stream[i - order : i])][stream[i]] += 1
+        for k in range(order, 0, -1):
+            for context, seen in self.tables[k].items():
+                for symbol in seen:
+                    self.tables[k - 1][context[1:]][symbol] += 1
+        self.escapes = defaultdict(lambda: [0, 0])
+        for k, table in enumerate(self.tables):
+            for seen in table.values():
+                total = sum(seen.values())
+                for n in seen.values():
+                    if total > 1 and n == 1:
+                        self.escapes[k, self.kind(len(seen) - 1, 1, 11), self.kind(total - 1, 2, 40)][0] += 1
+                    elif total > 1:
+                        self.escapes[k, self.kind(len(seen), 1, 11), self.kind(total - 1, 2, 40)][1] += n
+
+    @staticmethod
+    def kind(x, each, most):
+        return min(x if x <= 6 else 6 + int(np.floor(np.log2(x / 6) * each)), most)
+
+    def log10(self, context, symbol):
+        out, excluded = 0.0, set()
+        for k in range(self.order, -1, -1):
+            seen = self.tables[k].get(tuple(context[len(context) - k :]))
             if not seen:
                 continue
             left = {s: n for s, n in seen.items() if s not in excluded}
-            total, kinds = sum(left.values()), len(left)
-            if kinds:
-                if symbol in left:
-                    return out * left[symbol] / (total + kinds)
-                out *= kinds / (total + kinds)
             excluded |= set(seen)
-        return out / (256 - len(excluded))
-
-    def token_probability(token):
-        symbols, out = [0x20, *token.encode(), 0x20], 1.0
-        for i in range(1, len(symbols)):
-            out *= probability(symbols[max(0, i - order) : i], symbols[i])
-        return out
+            if left:
+                total, kinds = sum(left.values()), len(left)
+                gone, stayed = self.escapes[k, self.kind(kinds, 1, 11), self.kind(total, 2, 40)]
+                escape = (gone + kinds / (kinds + total)) / (gone + stayed + 1)
+                if symbol in left:
+                    return out + np.log10((1 - escape) * left[symbol] / total)
+                out += np.log10(escape)
+        return out - np.log10(256 - len(excluded))
 
-    return token_probability, probability
+    def text(self, text):
+        stream = [*ppm.BEFORE, *symbols_of(text)]
+        return sum(self.log10(stream[i - self.order : i], stream[i]) for i in range(self.order, len(stream)))
 
 
 def brute_scores(rows, held_out):
-    tokens = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(t or "")]
-    counts = Counter()
-    for i, t in rows:
-        if not held_out(i):
-            counts.update([*tokens(t), None])
-    total, different = sum(counts.values()), len(counts)
-    spell, _ = byte_model([c for c in counts if c is not None], ppm.ORDER)
-    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    tokens = lambda t: [*(w.translate(LOWER) for w in WORD.findall(t or "")), None]
+    counts = Counter(w for i, t in rows if not held_out(i) for w in tokens(t))
+    model, total, different = ByteModel([t for i, t in rows if not held_out(i)]), sum(counts.values()), len(counts)
     out = []
     for i, t in rows:
-        words, score, hits, tried = tokens(t), 0.0, 0, 0
-        for j, w in enumerate([*words, None]):
-            if w is not None and j >= 3:
-                followers = [words[m] for m in range(3, j) if words[m - 3 : m] == words[j - 3 : j]]
-                if followers:
-                    p, same = (hits + 0.5) / (tried + 1), followers.count(w)
-                    hits, tried = hits + (same > 0), tried + 1
-                    if same:
-                        score += np.log10(p * same / len(followers))
-                        continue
-                    score += np.log10(1 - p)
-            score += np.log10(max(counts[w] - discount, 0) / total + discount * different / total * (spell(w) if w is not None else 0))
-        base = sum(np.log10((counts[w] + 1) / (total + different + 1)) for w in [*words, None])
-        out.append((i, held_out(i), len(words) + 1, sum(counts[w] > 0 for w in [*words, None]), total, round(base, 6), round(score, 6)))
+        base = sum(np.log10((counts[w] + 1) / (total + different + 1)) for w in tokens(t))
+        out.append((i, held_out(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), total, base, model.text(t)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [0, 5, 100_000])
-def test_ppm_equals_brute_force(spark, corpus, prose, hot):
-    texts = [*prose[:14], "a b c d a b c d a b c e a b c d", None, "", "Ein Ü\x00x", prose[2]]
-    docs = corpus(texts)
-    got = ppm.score(docs, crc_mod("doc_id", 7) != 2, hot_tokens=hot)
-    got = sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect())
+def ppm_rows(docs, **options):
+    got = ppm.score(docs, crc_mod("doc_id", 7) != 2, **options)
+    return sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got.collect())
+
+
+@pytest.mark.parametrize(("hot", "rows", "chunk"), [(0, 500, 100), (20, 10**6, 10**6), (100_000, 10**6, 997)])
+def test_ppm_equals_brute_force(spark, corpus, prose, monkeypatch, hot, rows, chunk):
+    monkeypatch.setattr(ppm, "MOST_ROWS", rows)
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    texts = [*prose[:14], "a b c d a b c d a b c e a b c d", None, "", "Ein Ü\x00x", prose[2], "z" * 200, "qx" * 2000, "\U0001f642" * 50]
+    got = ppm_rows(corpus(texts), hot_tokens=hot, hot_pairs=hot)
     want = brute_scores(list(enumerate(texts)), lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert [g[5:] for g in got] == [pytest.approx(w[5:], abs=1e-4) for w in want]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:]) for w in want]
+
+
+def test_every_added_byte_costs(spark):
+    rng = random.Random(8)
+    junk = "".join(rng.choice("!?#0123456789XYZ") for _ in range(100_000))
+    texts = ["alpha beta gamma " * 30] * 60 + [f"alpha {junk[:n]} beta" if n else "alpha beta" for n in (0, 1, 2, 40, 200, 4_000, 100_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, F.col("doc_id") < 60).collect()}
+    last = [got[i] for i in range(60, 67)]
+    assert last == sorted(last, reverse=True) and last[-1] < 10 * last[-2] < 100 * last[-3]
+
+
+def test_nothing_to_learn_from(spark, corpus):
+    got = by_id(ppm.score(corpus(["a", "abcdefghij", None, "a b"]), F.lit(False)))
+    assert [got[i]["score"] for i in range(4)] == pytest.approx([-np.log10(256) * n for n in (3, 12, 1, 5)])
+    assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in got.values()} == {(0, 0, 0.0)}
 
 
-@pytest.mark.parametrize("hot_grams", [0, 20, 100_000])
-def test_no_pair_of_a_large_trie_is_left_out(spark, corpus, prose, monkeypatch, hot_grams):
-    monkeypatch.setattr(ppm, "TRIE_PAIRS", 50)
-    monkeypatch.setattr(ppm, "PART_PAIRS", 100)
-    monkeypatch.setattr(ppm, "HOT_GRAMS", hot_grams)
-    test_ppm_equals_brute_force(spark, corpus, prose, 5)
+def test_a_null_is_no_text_and_no_id(spark):
+    docs = spark.createDataFrame([(5, None), (None, "5"), (5, ""), (None, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in ppm.score(docs, F.lit(True)).collect())
+    assert got == [("5", 1), ("5", 1), ("None", 1), ("None", 2)]
+    assert sorted(r["n_words"] for r in substring_dedup.remove_repeats(docs).collect()) == [0, 0, 0, 1]
+    assert sorted((str(r["doc_id"]), r["class_size"]) for r in near_dedup.near_duplicates(docs).collect()) == [("5", 1), ("5", 1), ("None", 1), ("None", 1)]
 
 
 def test_byte_contexts_are_probabilities():
-    types = ["tari", "tarimo", "sel", "ku", "kuan"]
-    keys, _ = ppm.token_grams(as_strings(pa.array(types)))
-    table = Counter()
-    for key in keys.tolist():
-        for k in range(ppm.ORDER + 1):
-            if (key >> 8 * k) & 255:
-                table[k, key & ((1 << 8 * (k + 1)) - 1)] += 1
-    trie = ppm.Trie(np.array([k for k, _ in table]), np.array([x for _, x in table], dtype=np.uint64), np.array(list(table.values())))
-    _, probability = byte_model(types, ppm.ORDER)
-    for context in ([0x20], [0x20, *b"ta"], [0x20, *b"zz"], [*b"arimo"]):
+    texts = ["tari tarimo", "sel ku kuan tari", "ku"]
+    model, counts = ByteModel(texts), Counter()
+    for t in texts:
+        stream = [*ppm.BEFORE, *symbols_of(t)]
+        counts.update(sum(c << 8 * j for j, c in enumerate(reversed(stream[i - ppm.ORDER : i + 1]))) for i in range(ppm.ORDER, len(stream)))
+    levels = ppm.local_levels(np.array(sorted(counts), np.uint64), np.array([counts[k] for k in sorted(counts)]))
+    while levels[-1].k:
+        levels.append(levels[-1].shorter())
+    escapes = {x.k: ppm.escape_table(x) for x in levels}
+    for context in (list(ppm.BEFORE), [*b"l tari"], [*b"zztari"], [*b"zzzzzz"], [*b"zzz ku"]):
         packed = sum(c << 8 * (i + 1) for i, c in enumerate(reversed(context)))
-        got = 10.0 ** trie.log10(np.array([packed | s for s in range(1, 256)], dtype=np.uint64))
-        assert got == pytest.approx([probability(context, s) for s in range(1, 256)])
-        assert got.sum() <= 1 + 1e-9
+        got = ppm.log10_codes(levels, escapes, np.array([packed | s for s in range(256)], dtype=np.uint64))
+        assert got == pytest.approx([model.log10(context, s) for s in range(256)])
+        assert (10.0**got).sum() == pytest.approx(1)
 
 
 # 3. Quality rules
