@@ -38,9 +38,9 @@ from lattica.session import cut
 
 ORDER, DEAL = 6, 3
 HOT_TOKENS, HOT_PAIRS = 500_000, 2_000_000
-SLICE_BYTES, CHUNK = 4 << 20, 4 << 20
+SLICE_BYTES, CHUNK = 4 << 20, 2 << 20
 #: Rows that a counting task holds before equal ones are added up.
-MOST_ROWS = 3_000_000
+MOST_ROWS = 4_000_000
 MOST_PARTS = 4096
 ALPHABET = 256
 END_TOKEN = "\n"  # no word holds one
@@ -323,54 +323,65 @@ def code_pairs(found: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Numbers of 64-bit keys in an open hash table."""
+    """Values of 64-bit keys in an open hash table; it is asked in blocks that stay in a processor's cache."""
 
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.int64)
-        self.number = np.full(1 << self.bits, -1, np.int32)
+    EMPTY, BLOCK = np.int64(np.iinfo(np.int64).min), 1 << 15
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.size = size = 1 << max(4, (2 * len(keys)).bit_length())
+        table, own = np.full(size, self.EMPTY), np.zeros(size, values.dtype)
         at, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             slot = at[left]
-            free = self.number[slot] < 0
-            self.number[slot[free]] = left[free]  # of several, one stays
-            won = self.number[slot] == left
-            self.keys[slot[won]] = keys[left[won]]
+            free = table[slot] == self.EMPTY
+            table[slot[free]] = keys[left[free]]  # of several, one stays
+            won = table[slot] == keys[left]
+            own[slot[won]] = values[left[won]]
             left = left[~won]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            at[left] = (at[left] + 1) & (size - 1)
+        # Key and value side by side: one access to memory gives both.
+        self.table, self.kind = np.stack((table, own.view(np.int64)), axis=1), values.dtype
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = (keys.view(np.uint64) ^ (keys.view(np.uint64) >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 for one that is not there."""
-        at = self._slot(keys)
-        out = self.number[at]
-        live = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
-        while len(live):
-            at[live] = (at[live] + 1) & (len(self.keys) - 1)
-            out[live] = self.number[at[live]]
-            live = live[(out[live] >= 0) & (self.keys[at[live]] != keys[live])]
-        return out
-
-
-def _tables(tokens: pa.Table, codes: pa.Table) -> tuple:
-    """Lookups with one value more than they have keys, for those that are not there."""
-    known, bits = np.asarray(tokens["n"], dtype=np.int64), np.asarray(codes["bits"], dtype=np.float64)
-    return Lookup(np.asarray(tokens["key"], dtype=np.int64)), np.append(known, 0), Lookup(np.asarray(codes["key"], dtype=np.int64)), np.append(bits, 0.0)
-
-
-def text_scores(flat: pa.Array, offsets: np.ndarray, codes: Lookup, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - self.size.bit_length())).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 for one that is not there, and whether it is."""
+        out, known = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+        for a in range(0, len(keys), self.BLOCK):
+            key, value, hit = keys[a : a + self.BLOCK], out[a : a + self.BLOCK], known[a : a + self.BLOCK]
+            at = self._slot(key)
+            got = self.table.take(at, axis=0)
+            np.equal(got[:, 0], key, out=hit)
+            value[:] = got[:, 1]
+            live = np.flatnonzero(~hit)
+            value[live], at, there = 0, at[live], got[live, 0]
+            while len(live):
+                more = there != self.EMPTY
+                live, at = live[more], (at[more] + 1) & (self.size - 1)
+                got = self.table.take(at, axis=0)
+                there = got[:, 0]
+                found = there == key[live]
+                value[live[found]], hit[live[found]] = got[found, 1], True
+                live, at, there = live[~found], at[~found], there[~found]
+        return out.view(self.kind), known
+
+
+def _lookup(table: pa.Table, value: str, kind: type) -> Lookup:
+    return Lookup(np.asarray(table["key"], dtype=np.int64), np.asarray(table[value], dtype=kind))
+
+
+def text_scores(flat: pa.Array, offsets: np.ndarray, codes: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the known codes by text; and text, pair and number of the others."""
     stream, starts = streams(flat, offsets)
     out, cold = np.zeros(len(offsets) - 1), []
     for first, keys, real in pairs(stream, starts):
         keys = keys.view(np.int64)
-        number = codes.find(keys)
+        bits, known = codes.find(keys)
         a, b = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(keys))
-        out[a:b] += np.add.reduceat(np.where(real, bits[number], 0.0), np.maximum(starts[a:b] - first, 0))
-        at = np.flatnonzero(real & (number < 0))
+        bits[~real] = 0.0
+        out[a:b] += np.add.reduceat(bits, np.maximum(starts[a:b] - first, 0))
+        at = np.flatnonzero(real & ~known)
         cold.append((np.searchsorted(starts, at + first, "right") - 1, keys[at]))
     who, what = (np.concatenate([np.zeros(0, np.int64), *[c[i] for c in cold]]) for i in (0, 1))
     order = np.lexsort((what, who))
@@ -391,13 +402,13 @@ def score(
     total, different = sums["N"] or 0, sums["V"] or 0
     hot = most_frequent(tokens, HOT_TOKENS if hot_tokens is None else hot_tokens).toArrow()
     # Codes are made again for the join: that takes less than to write them.
-    hot_codes = codes.filter(F.col("n") >= least_n(found, HOT_PAIRS if hot_pairs is None else hot_pairs)).select("key", "bits").toArrow()
+    hot_codes = codes.filter(F.col("n") >= least_n(found, HOT_PAIRS if hot_pairs is None else hot_pairs)).toArrow()
     model, name = spark.sparkContext.broadcast((hot, hot_codes)), uuid.uuid4().hex
     schema = f"row_key long, kind byte, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, key long, n int, m int, part double, score double"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, table, bits = held(name, lambda: _tables(*model.value))
+        words, codes = held(name, lambda: (_lookup(model.value[0], "n", np.int64), _lookup(model.value[1], "bits", np.float64)))
         for batch in batches:
             ids, out, keys, texts = (batch.column(i) for i in range(4))
             texts = as_strings(texts)
@@ -405,9 +416,8 @@ def score(
                 flat, offsets = split_words(pc.ascii_lower(texts.slice(a, b - a)))
                 vocabulary, index = distinct(flat)
                 hashed, size = token_hashes(vocabulary), np.diff(offsets)
-                number = words.find(hashed)
-                count = known[number]
-                spelled, *rest = text_scores(flat, offsets, table, bits)
+                count, known = words.find(hashed)
+                spelled, *rest = text_scores(flat, offsets, codes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.slice(a, b - a), pa.array(np.full(b - a, TEXT, np.int8)), ids.slice(a, b - a), out.slice(a, b - a),
@@ -418,7 +428,7 @@ def score(
                     names,
                 )
                 # One row for a token or pair of a text whose count or code is not here, with its number there.
-                cold = np.flatnonzero((number < 0)[index])
+                cold = np.flatnonzero(~known[index])
                 owner = np.repeat(np.arange(b - a), size)[cold]
                 pair, n = np.unique(owner * (len(vocabulary) + 1) + index[cold], return_counts=True)
                 who = np.concatenate((pair // (len(vocabulary) + 1), np.arange(b - a), rest[0])) + a
