@@ -1,11 +1,13 @@
 """Language ID by cross-parsing: the language whose text needs the fewest phrases wins.
 
-For each language a suffix automaton is built over a bounded sample of labelled text (parameters
-`sample_docs` and `sample_chars`; of a text longer than that the beginning counts). A text is parsed greedily: each phrase is the longest match that
-the automaton has, and one letter where it has none. Phrases do not reach across words, so the
-parse of a word is a fixed number for each language, and a batch parses each distinct word once.
-The phrases of a text, times the bits of a pointer into the sample and divided by the letters, are
-its cross entropy under the language.
+For each language a suffix automaton is built over a bounded sample of labelled running text (parameters
+`sample_docs` and `sample_chars`). A text is its letters in lower case with one space for each stretch of other
+characters. It is parsed greedily: each phrase is the longest match that the automaton has, across words,
+and one character where it has none. The phrases of a text, times the bits of a pointer into the sample and
+divided by the letters, are its cross entropy under the language.
+
+All texts of a batch are parsed side by side, a character each at a time. For that a text is cut into
+segments of `SEGMENT` characters, whatever its length; a phrase ends where its segment does.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the first
 language in sorted order; without any labelled row every text is `und`. Rows with a null or empty
@@ -16,32 +18,52 @@ from __future__ import annotations
 
 import math
 import uuid
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.text import Memo, as_strings, distinct, held, per_text, slices, split_words
+from lattica.llm.text import Lookup, as_strings, held, slices
+from lattica.session import cut
 
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 150_000
+SEGMENT = 2048
 UNDETERMINED = "und"
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 4 << 20
+#: Bits of a code point in a transition's key.
+POINT_BITS = 21
+SPACE = ord(" ")
+#: What the arrays of all automata of a worker may take.
+TABLE_BYTES = 200 << 20
+
 
+def running(texts: pa.Array) -> pa.Array:
+    """Letters in lower case, with one space for each stretch of other characters and at both ends."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"\P{L}+", " ")
+    space, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    return pc.binary_join_element_wise(space, pc.utf8_trim(spaced, characters=" "), space, nothing)
 
-def letters(word: str) -> str:
-    word = word.lower()
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after another, and where each text's begin."""
+    size = np.asarray(pc.utf8_length(texts), dtype=np.int64)
+    whole = "".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(whole, "<u4").astype(np.int64), np.concatenate(([0], np.cumsum(size)))
 
 
 class SuffixAutomaton:
-    """Accepts every substring of the words given, with a space at both ends of a word."""
+    """Accepts every substring of a text.
+
+    Steps on the most frequent characters, at most `columns` of them, are kept as an array by state and
+    character, the others as a hash table.
+    """
 
-    def __init__(self, sample: list[str]):
+    def __init__(self, text: str, columns: int = 64):
         nexts, link, length, last = [{}], [-1], [0], 0
-        for c in " " + " ".join(sample) + " ":
+        for c in text:
             new = len(nexts)
             nexts.append({})
             link.append(0)
@@ -64,73 +86,105 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        # Kept in arrays: the letters on from a state are labels[first[state] : first[state + 1]], to states `to`.
-        self.first, self.to, labels = array("i", [0]), array("i"), []
-        for state in nexts:
-            labels.extend(state)
-            self.to.extend(state.values())
-            self.first.append(len(self.to))
-        self.labels = "".join(labels)
-
-    def phrases(self, word: str) -> int:
-        """Phrases of the greedy parse of a word with a space at both ends."""
-        find, first, to, text, i, n = self.labels.find, self.first, self.to, f" {word} ", 0, 0
-        end = len(text)
-        while i < end:
-            j, state = i, 0
-            while j < end and (k := find(text[j], first[state], first[state + 1])) >= 0:
-                state = to[k]
-                j += 1
-            i = j if j > i else i + 1
-            n += 1
-        return n
+        # Characters are numbered from the most frequent one on; number 0 is for those that the text lacks.
+        points, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[points[np.argsort(-n, kind="stable")]] = np.arange(1, len(points) + 1)
+        size = sum(map(len, nexts))
+        state = np.repeat(np.arange(len(nexts)), np.fromiter(map(len, nexts), np.int64, len(nexts)))
+        number = self.number[np.fromiter((ord(c) for x in nexts for c in x), np.int64, size)]
+        to = np.fromiter((s for x in nexts for s in x.values()), np.int64, size)
+        self.columns = max(1, min(columns, len(points) + 1))
+        near = number < self.columns
+        self.near = np.full((len(nexts), self.columns), -1, np.int32)
+        self.near[state[near], number[near]] = to[near]
+        self.near = self.near.ravel()
+        self.far = None if near.all() else Lookup((state[~near] << POINT_BITS) | number[~near], to[~near])
+        self.first = np.full(len(points) + 1, -1, np.int32)
+        self.first[number[state == 0]] = to[state == 0]
+
+    def phrases(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of the greedy parse of each segment. Segments come from the longest to the shortest one."""
+        numbers = self.number.take(points)
+        count, state = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+        longest = int(sizes[0]) if len(sizes) else 0
+        active = np.searchsorted(-sizes, -np.arange(longest))  # how many segments are longer than each place
+        for place, n in enumerate(active.tolist()):
+            c, now = numbers.take(starts[:n] + place), state[:n]
+            if self.far is None:
+                to = self.near.take(now.astype(np.int64) * self.columns + c)
+            else:
+                to = self.near.take(now.astype(np.int64) * self.columns + np.minimum(c, self.columns - 1))
+                rare = np.flatnonzero(c >= self.columns)
+                got, there = self.far.find((now[rare].astype(np.int64) << POINT_BITS) | c[rare])
+                to[rare] = np.where(there, got, -1)
+            stopped = np.flatnonzero(to < 0)
+            # A phrase ends before this character, which begins the next one, or is one by itself if the sample lacks it.
+            first = self.first.take(c[stopped])
+            count[stopped] += (now[stopped] > 0).astype(np.int32) + (first < 0)
+            to[stopped] = np.maximum(first, 0)
+            state[:n] = to
+        return count + (state > 0)
 
 
 class CrossParser:
     """Languages by the automata of their samples."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        self.automata = [SuffixAutomaton(samples[x]) for x in self.languages]
-        self.bits = np.array([math.log2(2 + sum(len(w) + 1 for w in samples[x])) for x in self.languages])
-        self.memo = Memo(self._parse, 150_000)
-
-    def _parse(self, items: list[str]) -> list[tuple[int, ...]]:
-        out = []
-        for item in items:
-            word = letters(item)
-            out.append((len(word), *(a.phrases(word) for a in self.automata)) if word else (0,) * (1 + len(self.automata)))
-        return out
+        # A state for each two characters at most, and four bytes for each of its columns.
+        columns = TABLE_BYTES // (8 * max(1, sum(len(x) for x in samples.values())))
+        self.automata = [SuffixAutomaton(samples[x], columns) for x in self.languages]
+        self.bits = np.array([math.log2(2 + len(samples[x])) for x in self.languages])
+
+    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cross entropy of each text under each language, and its letters."""
+        points, offsets = code_points(running(texts))
+        letters = np.diff(np.concatenate(([0], np.cumsum(points != SPACE)))[offsets])
+        each = -(-np.diff(offsets) // SEGMENT)
+        owner = np.repeat(np.arange(len(texts)), each)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)) * SEGMENT
+        starts = offsets[owner] + place
+        sizes = np.minimum(SEGMENT, offsets[owner + 1] - starts)
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes, owner = starts[order], sizes[order], owner[order]
+        phrases = [np.bincount(owner, a.phrases(points, starts, sizes), len(texts)) for a in self.automata]
+        return np.array([p * b for p, b in zip(phrases, self.bits, strict=True)]).reshape(len(self.languages), -1) / np.maximum(letters, 1), letters
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        flat, offsets = split_words(texts)
-        vocabulary, index = distinct(flat)
-        table = np.array(self.memo(vocabulary.to_pylist()), dtype=np.int64).reshape(-1, 1 + len(self.languages))
-        n_letters = per_text(table[index, 0], offsets)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        entropy = np.stack([per_text(table[index, 1 + k], offsets) * b for k, b in enumerate(self.bits)])
-        entropy = entropy / np.maximum(n_letters, 1)
+        entropy, letters = self.entropies(texts)
         best = entropy.argmin(axis=0)
         ordered = np.sort(entropy, axis=0)
         if len(self.languages) > 1:
             score = ordered[1] / np.maximum(ordered[0] + ordered[1], 1e-300)
         else:
             score = np.ones(len(texts))
-        known = n_letters > 0
-        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
+        return [self.languages[b] if n else UNDETERMINED for b, n in zip(best, letters, strict=True)], np.where(letters > 0, score, 0.0)
+
+
+def shared_out(texts: list[str], most: int) -> str:
+    """At most `most` characters of the texts: each gives an equal share, and what short ones leave goes to the first that have more."""
+    share = most // max(len(texts), 1)
+    spare = most - sum(min(len(t), share) for t in texts)
+    taken = []
+    for t in texts:
+        more = min(max(len(t) - share, 0), spare)
+        spare -= more
+        taken.append(t[: share + more])
+    return "".join(taken)
 
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
-) -> dict[str, list[str]]:
-    """Distinct words of each language from at most `sample_docs` labelled texts and `sample_chars` letters.
+) -> dict[str, str]:
+    """Running text of each language: at most `sample_chars` characters of at most `sample_docs` labelled texts.
 
     The texts are those with the smallest hash of the key among the labelled rows that hold a letter; a first
     pass counts these and so gives the share of rows to look at, so that only about ten times the sample is
-    sorted. A longer text gives its first `sample_chars` characters from the first letter on, and what does not
-    fit of a word is cut off, so every label of a text with a letter has a sample.
+    sorted. A longer text gives its beginning from the first letter on, so every label of a text with a letter has a sample.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (F.col("l") != "") & F.col("t").rlike(r"\p{L}"))
@@ -142,19 +196,14 @@ def fit(
     near = rows.filter((rank / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("l")])
     near = near.withColumn("t", F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, sample_chars))
     order = Window.partitionBy("l").orderBy(rank, "id", "t")
-    sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
-    samples: dict[str, list[str]] = {}
+    sample = cut(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs))
+    texts: dict[str, list[str]] = {}
     for row in sample.orderBy("l", "k").toLocalIterator():
-        seen = samples.setdefault(row["l"], {})
-        for word in map(letters, row["t"].split()):
-            word = word[: sample_chars - seen.get("", 0)]
-            if word and word not in seen:
-                seen[word] = None
-                seen[""] = seen.get("", 0) + len(word)
-    return {k: [w for w in v if w] for k, v in samples.items()}
+        texts.setdefault(row["l"], []).append(running(pa.array([row["t"]], pa.large_string()))[0].as_py())
+    return {k: shared_out(v, sample_chars) for k, v in texts.items()}
 
 
-def predict(text: Column, spark, samples: dict[str, list[str]]) -> Column:
+def predict(text: Column, spark, samples: dict[str, str]) -> Column:
     """struct<lang, score> of each text."""
     model, name = spark.sparkContext.broadcast(samples), uuid.uuid4().hex
 
@@ -174,7 +223,7 @@ def predict(text: Column, spark, samples: dict[str, list[str]]) -> Column:
 
 
 def language_id(
-    docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, lang_pred and score (the runner-up's share of both entropies, 0.5 to 1; 0 for `und`)."""
     got = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col), docs.sparkSession, samples).alias("got"))

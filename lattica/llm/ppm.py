@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import as_strings, distinct, held, let_go, per_text, row_key, slices, split_words
+from lattica.llm.text import Lookup, as_strings, distinct, held, let_go, per_text, row_key, slices, split_words
 from lattica.session import cut
 
 ORDER, DEAL = 6, 3
@@ -322,51 +322,6 @@ def code_pairs(found: DataFrame) -> DataFrame:
     return found.mapInArrow(coded, "key long, n long, bits double")
 
 
-class Lookup:
-    """Values of 64-bit keys in an open hash table; it is asked in blocks that stay in a processor's cache."""
-
-    EMPTY, BLOCK = np.int64(np.iinfo(np.int64).min), 1 << 15
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.size = size = 1 << max(4, (2 * len(keys)).bit_length())
-        table, own = np.full(size, self.EMPTY), np.zeros(size, values.dtype)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            slot = at[left]
-            free = table[slot] == self.EMPTY
-            table[slot[free]] = keys[left[free]]  # of several, one stays
-            won = table[slot] == keys[left]
-            own[slot[won]] = values[left[won]]
-            left = left[~won]
-            at[left] = (at[left] + 1) & (size - 1)
-        # Key and value side by side: one access to memory gives both.
-        self.table, self.kind = np.stack((table, own.view(np.int64)), axis=1), values.dtype
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - self.size.bit_length())).view(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The value of each key, 0 for one that is not there, and whether it is."""
-        out, known = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-        for a in range(0, len(keys), self.BLOCK):
-            key, value, hit = keys[a : a + self.BLOCK], out[a : a + self.BLOCK], known[a : a + self.BLOCK]
-            at = self._slot(key)
-            got = self.table.take(at, axis=0)
-            np.equal(got[:, 0], key, out=hit)
-            value[:] = got[:, 1]
-            live = np.flatnonzero(~hit)
-            value[live], at, there = 0, at[live], got[live, 0]
-            while len(live):
-                more = there != self.EMPTY
-                live, at = live[more], (at[more] + 1) & (self.size - 1)
-                got = self.table.take(at, axis=0)
-                there = got[:, 0]
-                found = there == key[live]
-                value[live[found]], hit[live[found]] = got[found, 1], True
-                live, at, there = live[~found], at[~found], there[~found]
-        return out.view(self.kind), known
-
-
 def _lookup(table: pa.Table, value: str, kind: type) -> Lookup:
     return Lookup(np.asarray(table["key"], dtype=np.int64), np.asarray(table[value], dtype=kind))
 

@@ -407,17 +407,46 @@ def test_levels_and_first_lines(spark, corpus):
 # 8. Language ID
 
 
-def test_phrases_equal_substring_search():
-    sample = ["tari", "rimo", "selan"]
-    automaton, joined = language.SuffixAutomaton(sample), " tari rimo selan "
-    for word in ("tarimo", "selku", "x", "arim", "tari"):
-        text, i, n = f" {word} ", 0, 0
-        while i < len(text):
-            j = i + 1
-            while j <= len(text) and text[i:j] in joined:
-                j += 1
-            i, n = max(i + 1, j - 1), n + 1
-        assert automaton.phrases(word) == n
+def greedy_phrases(sample, text):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
+    return n
+
+
+def running_text(text):
+    return f" {' '.join(re.sub(r'[\W\d_]', ' ', (text or '').lower()).split())} "
+
+
+@given(st.lists(st.text(alphabet="abc x", max_size=40), min_size=1, max_size=6), st.text(alphabet="abc  ", max_size=50), st.sampled_from([1, 2, 64]))
+@settings(max_examples=80, deadline=None)
+def test_phrases_equal_substring_search(texts, sample, columns):
+    automaton = language.SuffixAutomaton(sample, columns)
+    texts = sorted(texts, key=len, reverse=True)
+    points, offsets = language.code_points(as_strings(pa.array(texts)))
+    assert automaton.phrases(points, offsets[:-1], np.diff(offsets)).tolist() == [greedy_phrases(sample, t) for t in texts]
+
+
+def test_entropies_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(language, "SEGMENT", 16)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abdeéß") for _ in range(rng.randrange(1, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    samples = {x: running_text(text(60)) for x in ("aa", "bb", "cc")}
+    texts = [text(rng.randrange(1, 30)) for _ in range(40)] + ["A1b2!", "", "12", samples["bb"], "É" * 50]
+    parser = language.CrossParser(samples)
+    entropy, letters = parser.entropies(as_strings(pa.array(texts)))
+    for i, t in enumerate(map(running_text, texts)):
+        n = sum(c != " " for c in t)
+        parts = [t[j : j + 16] for j in range(0, len(t), 16)]
+        want = [sum(greedy_phrases(samples[x], p) for p in parts) * np.log2(2 + len(samples[x])) / max(n, 1) for x in sorted(samples)]
+        assert letters[i] == n and entropy[:, i] == pytest.approx(want)
+        lang, score = ("und", 0.0) if not n else (sorted(samples)[int(np.argmin(want))], sorted(want)[1] / sum(sorted(want)[:2]))
+        got = parser.predict(as_strings(pa.array([texts[i]])))
+        assert (got[0][0], got[1][0]) == (lang, pytest.approx(score))
 
 
 def test_languages_are_told_apart(spark, corpus):
@@ -439,11 +468,12 @@ def test_long_labelled_texts_teach(spark, corpus):
     docs = corpus([book, unbroken, *["the tion ing er"] * 4, *[None, "12 !!"] * 1000], ["bb", "dd", *["aa"] * 4, *["bb"] * 2000])
     samples = language.fit(docs)
     assert {k: len(v) > 0 for k, v in samples.items()} == {"aa": True, "bb": True, "dd": True}
-    assert sum(map(len, samples["dd"])) == language.SAMPLE_CHARS
-    small = language.fit(docs, sample_chars=8)
-    assert small == {"aa": ["the", "tion", "t"], "bb": ["sch", "und"], "dd": ["щ" * 8]}
+    assert len(samples["dd"]) == language.SAMPLE_CHARS
+    small = language.fit(docs, sample_chars=12)
+    assert small == {"aa": " th th th th"[:12], "bb": " sch und kei", "dd": " " + "щ" * 11}
     got = by_id(language.language_id(docs.filter("doc_id in (0, 2)"), samples))
     assert (got[0]["lang_pred"], got[2]["lang_pred"]) == ("bb", "aa")
+    assert language.shared_out(["abcdef", "x", "klmnop"], 9) == "abcdexklm"
 
 
 # 9. Token counts
