@@ -15,8 +15,8 @@ Text handling is that of the model's own normaliser (identity, one space put bef
 written as U+2581). Decoding joins pieces and bytes and takes the first space away again.
 
 Defined results: null and empty texts have no pieces, score 0 and decode to the empty text; a text
-that holds U+2581 itself decodes to spaces there (round_trip is false); ties go to the segmentation
-whose last pieces have the smaller ids; a text with fewer than N segmentations has fewer scores.
+that holds U+2581 itself decodes to spaces there (round_trip is false); of equal best segmentations of a cell the one
+whose last pieces have the smaller ids comes first; a text with fewer than N segmentations has fewer scores.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from bisect import insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -42,6 +44,8 @@ MODEL = "piece_bpe_32k.model"
 NBEST = 3
 UNKNOWN_COST = 10.0
 NEVER = float("-inf")
+#: Characters of a cell whose lattice is kept while it is searched.
+KEPT = 4096
 SPACE = "▁"
 SLICE_BYTES = 3 << 20
 
@@ -58,7 +62,7 @@ class Pieces:
 
         path = model if os.path.isabs(model) else public_tokenizers.path(model)
         library = SentencePieceProcessor(model_file=path)
-        self.score, self.root, self.pairs = {}, {}, set()
+        self.score, self.known, self.root, self.pairs = {}, {}, {}, set()
         self.as_bytes, self.byte_id = [], {}
         for i in range(library.get_piece_size()):
             piece = library.id_to_piece(i)
@@ -74,7 +78,7 @@ class Pieces:
                 node = self.root
                 for c in piece:
                     node = node.setdefault(c, {})
-                node[""] = (self.score[piece], i)
+                node[""] = self.known[piece] = (self.score[piece], i)
                 self.pairs.update(zip(piece, piece[1:], strict=False))
         self.longest = max(map(len, self.score), default=1)
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_COST
@@ -86,27 +90,39 @@ class Pieces:
         cuts = [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in self.pairs]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
-    def forward(self, text: str) -> tuple[list[list], list[float]]:
-        """The lattice as nodes (begin, score, piece) by end, and the Viterbi score of every prefix."""
-        size, root, unknown = len(text), self.root, self.unknown
-        ends: list[list] = [[] for _ in range(size + 1)]
-        best = [0.0] + [NEVER] * size
+    def forward(self, text: str) -> tuple[list[float] | array, Callable[[int], list]]:
+        """The Viterbi score of every prefix, and the steps (piece, begin, score) of the lattice into each place.
+
+        Steps are kept for texts of at most `KEPT` characters; for longer ones they are looked up again.
+        """
+        size, root, unknown, longest = len(text), self.root, self.unknown, self.longest
+        kept = size <= KEPT
+        ends: list[list] = [[] for _ in range(size + 1)] if kept else []
+        best = [0.0] + [NEVER] * size if kept else array("d", [0.0]) + array("d", [NEVER]) * size
         for a in range(size):
             node, base, alone = root, best[a], False
-            for b, c in enumerate(text[a : a + self.longest], a + 1):
+            for b, c in enumerate(text[a : a + longest], a + 1):
                 node = node.get(c)
                 if node is None:
                     break
                 if "" in node:
                     score, piece = node[""]
-                    ends[b].append((a, score, piece))
+                    if kept:
+                        ends[b].append((piece, a, score))
                     alone = alone or b == a + 1
                     if base + score > best[b]:
                         best[b] = base + score
             if not alone:
-                ends[a + 1].append((a, unknown, -ord(text[a]) - 1))
+                if kept:
+                    ends[a + 1].append((-ord(text[a]) - 1, a, unknown))
                 best[a + 1] = max(best[a + 1], base + unknown)
-        return ends, best
+
+        def into(end: int) -> list[tuple[int, int, float]]:
+            known = self.known
+            out = [(own[1], a, own[0]) for a in range(max(0, end - longest), end) if (own := known.get(text[a:end]))]
+            return out if text[end - 1] in known else [*out, (-ord(text[end - 1]) - 1, end - 1, unknown)]
+
+        return best, ends.__getitem__ if kept else into
 
     def first(self, text: str) -> tuple[float, tuple[int, ...], float]:
         """The best segmentation's score and ids, and what the second best loses against it.
@@ -114,13 +130,12 @@ class Pieces:
         The second best leaves the best path at one place at least, and before the last such place it is
         itself the best: the first step of the backward search sees its exact score.
         """
-        ends, best = self.forward(text)
+        best, into = self.forward(text)
         at, trail, loss = len(text), [], float("inf")
         while at:
             choice = None
-            for a, own, piece in ends[at]:
-                lost = best[at] - best[a] - own
-                entry = (lost, piece, a)
+            for piece, a, own in into(at):
+                entry = (best[at] - best[a] - own, piece, a)
                 if choice is None or entry < choice:
                     choice, entry = entry, choice
                 if entry is not None and entry[0] < loss:
@@ -133,20 +148,22 @@ class Pieces:
         """The n best segmentations with their scores, best first: A-star backward over the lattice.
 
         A partial segmentation's estimate is exact, so each one on the agenda stands for a whole
-        segmentation of just that score. Hence the agenda never needs more than n entries.
+        segmentation of just that score. Hence the agenda never needs more than n entries. An entry points back to
+        the one it goes on from, so that a step costs the same however long the text is.
         """
-        ends, best = self.forward(text)
-        agenda, found = [(-best[-1], (), len(text), 0.0)], []
+        best, into = self.forward(text)
+        agenda, found, steps = [(-best[-1], 0, 0, len(text), 0.0, None)], [], 0
         while agenda:
-            total, trail, at, score = agenda.pop(0)
+            total, _, _, at, score, trail = agenda.pop(0)
             if not at:
-                found.append((-total, self._ids(trail)))
+                found.append((-total, self._ids(unwound(trail))))
                 n -= 1
                 continue
-            for a, own, piece in ends[at]:
+            steps -= 1  # of equal ones, what goes on from the latest entry comes first
+            for i, (piece, a, own) in enumerate(sorted(into(at))):
                 own += score
-                entry = (-best[a] - own, (*trail, piece), a, own)
-                if len(agenda) < n or entry < agenda[-1]:
+                entry = (-best[a] - own, steps, i, a, own, (piece, trail))
+                if len(agenda) < n or entry[:3] < agenda[-1][:3]:
                     insort(agenda, entry)
                     if len(agenda) > n:
                         agenda.pop()
@@ -163,16 +180,24 @@ class Pieces:
         return tuple(out)
 
 
+def unwound(trail: tuple | None) -> list[int]:
+    """The pieces of a chain of (piece, chain), from the last to the first."""
+    out = []
+    while trail:
+        piece, trail = trail
+        out.append(piece)
+    return out[::-1]
+
+
 def merge(lists: list[Ranked], n: int) -> Ranked:
     """The n best ways to take one entry of each list, in order, best first."""
-    out: Ranked = [(0.0, ())]
-    for ranked in lists:
-        if len(ranked) == 1:
-            score, ids = ranked[0]
-            out = [(s + score, i + ids) for s, i in out]
-        else:
-            both = sorted([(-(s + t), i + j) for s, i in out for t, j in ranked], key=lambda x: (x[0], x[1][::-1]))
-            out = [(-s, i) for s, i in both[:n]]
+    open_lists = [i for i, ranked in enumerate(lists) if len(ranked) > 1]
+    # Only the n - 1 lists with the smallest losses can have another entry than their first.
+    few = sorted(heapq.nsmallest(n - 1, open_lists, key=lambda i: lists[i][0][0] - lists[i][1][0]))
+    total, out = sum(ranked[0][0] for ranked in lists), []
+    for lost, taken in changes({i: lists[i] for i in few}, n):
+        other = dict(taken)
+        out.append((total + lost, tuple(chain.from_iterable(ranked[other.get(i, 0)][1] for i, ranked in enumerate(lists)))))
     return out
 
 
@@ -232,8 +257,8 @@ class NBestCoder:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in own])))
         return pa.array(list(chain.from_iterable(own)), pa.large_string()), offsets
 
-    def encode_batch(self, texts: pa.Array) -> tuple[pa.Array, list[list[float]], np.ndarray]:
-        """Ids of the best segmentation, the n best scores, and whether decoding gives the text again."""
+    def encode_batch(self, texts: pa.Array) -> Encoded:
+        """The n best segmentations of each text."""
         units, offsets = self._units(texts)
         vocabulary, index = distinct(units)
         names = vocabulary.to_pylist()
@@ -247,28 +272,59 @@ class NBestCoder:
         each = length[index]
         ends = np.concatenate(([0], np.cumsum(each)))
         ids = every[np.repeat(begin[index] - ends[:-1], each) + np.arange(ends[-1])]
-        bounds = pa.array(ends[offsets], pa.int32())
-        scores = []
+        scores, choices = [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             own = index[a:b]
             # Only the n - 1 units with the smallest losses can be another choice in the n best.
-            few = np.sort(np.argpartition(loss[own], self.n - 2)[: self.n - 1]) if len(own) >= self.n else np.arange(len(own))
+            few = np.sort(np.argpartition(loss[own], self.n - 2)[: self.n - 1]) if len(own) >= self.n > 1 else np.arange(len(own))
             total = best[own].sum()
-            losses = [[s - r[0][0] for s, _ in r] for r in self.ranked([names[own[i]] for i in few])]
-            scores.append([float(total + s) for s in sums(losses, self.n)])
+            ranked = {int(a + i): r for i, r in zip(few, self.ranked([names[own[i]] for i in few]), strict=True)}
+            top = changes(ranked, self.n)
+            scores.append([float(total + s) for s, _ in top])
+            choices.append([[(at, ranked[at][k][1]) for at, k in taken] for _, taken in top])
         pa.default_memory_pool().release_unused()
+        bounds = pa.array(ends[offsets], pa.int32())
         decoded = pc.binary_join(pa.ListArray.from_arrays(bounds, self.table.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
         space, nothing = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
         expected = pc.binary_join_element_wise(space, texts.cast(pa.large_binary()), nothing)
         same = pc.or_(pc.equal(decoded, expected), pc.equal(pc.binary_length(texts), 0))
-        return pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32())), scores, np.asarray(same)
-
-
-def sums(lists: list[list[float]], n: int) -> list[float]:
-    """The n best sums of one entry of each list."""
-    out = [0.0]
-    for ranked in lists:
-        out = heapq.nlargest(n, (s + t for s in out for t in ranked))
+        return Encoded(ids, ends, offsets, scores, choices, np.asarray(same))
+
+
+@dataclass
+class Encoded:
+    """The n best segmentations of some texts: the ids of the best ones, and what the others have instead of them."""
+
+    ids: np.ndarray
+    #: Where the ids of each unit begin, and at which unit each text begins.
+    ends: np.ndarray
+    offsets: np.ndarray
+    scores: list[list[float]]
+    #: For each segmentation of a text: the units in which it differs from the best one, in order, with their ids.
+    choices: list[list[list[tuple[int, tuple[int, ...]]]]]
+    round_trip: np.ndarray
+
+    def best(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.ends[self.offsets], pa.int32()), pa.array(self.ids, pa.int32()))
+
+    def segmentations(self, text: int) -> Iterator[np.ndarray]:
+        """The ids of a text's segmentations, best first."""
+        last = self.ends[self.offsets[text + 1]]
+        for choice in self.choices[text]:
+            parts, at = [], self.ends[self.offsets[text]]
+            for unit, ids in choice:
+                parts += [self.ids[at : self.ends[unit]], np.array(ids, "<i4")]
+                at = self.ends[unit + 1]
+            yield np.concatenate([*parts, self.ids[at:last]]).astype("<i4")
+
+
+def changes(ranked: dict[int, Ranked], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The n best ways to take one entry of each unit: what it loses, and which units have another entry than their first."""
+    out: list = [(0.0, ())]
+    for unit, own in ranked.items():
+        if len(own) > 1:
+            both = [(lost + s - own[0][0], taken + ((unit, k),) * (k > 0)) for lost, taken in out for k, (s, _) in enumerate(own)]
+            out = sorted(both, key=lambda x: -x[0])[:n]
     return out
 
 
@@ -284,9 +340,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices(texts, SLICE_BYTES):
-                ids, scores, same = coder.encode_batch(as_strings(texts.slice(a, b - a)))
+                got = coder.encode_batch(as_strings(texts.slice(a, b - a)))
+                ids = got.best()
                 size = pc.list_value_length(ids).cast(pa.int64())
-                columns = [batch.column(0).slice(a, b - a), size, ids, pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
+                columns = [batch.column(0).slice(a, b - a), size, ids, pa.array(got.scores, pa.list_(pa.float64())), pa.array(got.round_trip)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -305,18 +362,40 @@ def decode(ids: Column, model: str = MODEL) -> Column:
     return decoded(ids)
 
 
+def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = NBEST) -> DataFrame:
+    """doc_id, rank (from 1), score and ids: a row for each of the n best segmentations of every whole text."""
+    names = ["doc_id", "rank", "score", "ids"]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = held(("pieces", model, n), lambda: NBestCoder(model, n))
+        for batch in batches:
+            for a, b in slices(batch.column(1), SLICE_BYTES):
+                got = coder.encode_batch(as_strings(batch.column(1).slice(a, b - a)))
+                for i, scores in enumerate(got.scores):
+                    ids = batch.column(0).take(pa.array([a + i] * len(scores)))
+                    lists = pa.array([x.tolist() for x in got.segmentations(i)], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(1, len(scores) + 1), pa.int32()), pa.array(scores, pa.float64()), lists], names)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(listed, f"doc_id {dict(rows.dtypes)['doc_id']}, rank int, score double, ids array<int>")
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = NBEST) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as 32-bit little-endian numbers), scores and round_trip of every whole text."""
+    """doc_id, n_pieces, ids_crc32 (of the best ids as 32-bit little-endian numbers), scores, nbest_crc32 (of the ids of each of
+    the n best segmentations) and round_trip of every whole text."""
+    kind = pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.float64())), ("nbest_crc32", pa.list_(pa.int64())), ("round_trip", pa.bool_())])
 
-    @F.arrow_udf("struct<n_pieces: bigint, ids_crc32: bigint, scores: array<double>, round_trip: boolean>")
+    @F.arrow_udf("struct<n_pieces: bigint, ids_crc32: bigint, scores: array<double>, nbest_crc32: array<bigint>, round_trip: boolean>")
     def digested(texts: pa.Array) -> pa.Array:
         coder = held(("pieces", model, n), lambda: NBestCoder(model, n))
         out: list[dict] = []
         for a, b in slices(texts, SLICE_BYTES):
-            ids, scores, same = coder.encode_batch(as_strings(texts.slice(a, b - a)))
-            flat, ends = np.asarray(ids.values).astype("<i4"), ids.offsets.to_pylist()
-            out += [{"n_pieces": y - x, "ids_crc32": zlib.crc32(flat[x:y].tobytes()), "scores": s, "round_trip": z} for x, y, s, z in zip(ends, ends[1:], scores, same.tolist(), strict=False)]
-        return pa.array(out, pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())]))
+            got = coder.encode_batch(as_strings(texts.slice(a, b - a)))
+            size = np.diff(got.ends[got.offsets]).tolist()
+            for i, (k, scores, same) in enumerate(zip(size, got.scores, got.round_trip.tolist(), strict=True)):
+                crc = [zlib.crc32(x) for x in got.segmentations(i)]
+                out.append({"n_pieces": k, "ids_crc32": crc[0], "scores": scores, "nbest_crc32": crc, "round_trip": same})
+        return pa.array(out, kind)
 
     got = docs.select(F.col(id_col).alias("doc_id"), digested(F.col(text_col)).alias("got"))
     return got.select("doc_id", "got.*")

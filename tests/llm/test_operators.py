@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,11 +81,46 @@ def test_search_equals_enumeration(coder, text):
 @example("aaaaaa")
 @settings(max_examples=80, deadline=None)
 def test_batches_equal_single_texts_and_decode(coder, text):
-    ids, scores, same = coder.encode_batch(as_strings(pa.array([text, "plain text", text])))
-    ranked = coder.encode(text)
+    got = coder.encode_batch(as_strings(pa.array([text, "plain text", text])))
+    ids, ranked = got.best(), coder.encode(text)
     assert tuple(ids[0].as_py()) == ranked[0][1] and ids[2].as_py() == ids[0].as_py()
-    assert scores[0] == pytest.approx([s for s, _ in ranked])
-    assert same.all() and coder.decode(ids[0].as_py()) == text
+    assert got.scores[0] == pytest.approx([s for s, _ in ranked])
+    assert got.round_trip.all() and coder.decode(ids[0].as_py()) == text
+    lists = [x.tolist() for x in got.segmentations(0)]
+    assert [coder.decode(x) for x in lists] == [text] * len(ranked) and len(set(map(tuple, lists))) == len(lists) == len(got.scores[0])
+    assert [total_score(coder, x) for x in lists] == pytest.approx(got.scores[0])
+
+
+def total_score(coder, ids):
+    """Pieces have their score; bytes are those of a character that no piece has."""
+    known = {i: s for s, i in coder.pieces.known.values()}
+    letters = b"".join(coder.pieces.as_bytes[i] for i in ids if i not in known).decode("utf-8", "surrogatepass")
+    return sum(known.get(i, 0.0) for i in ids) + len(letters) * coder.pieces.unknown
+
+
+@pytest.mark.parametrize("text", ["then", "▁reason", "aaaaaaa", "日x日"])
+def test_kept_and_looked_up_steps_give_the_same(coder, monkeypatch, text):
+    want = coder.pieces.search(text, 6), coder.pieces.first(text)
+    monkeypatch.setattr(nbest, "KEPT", 0)
+    assert (coder.pieces.search(text, 6), coder.pieces.first(text)) == want
+
+
+def test_an_unbroken_text_takes_linear_time(coder):
+    rng = random.Random(1)
+    for text in ("a" * 300_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=300_000))):
+        began = time.monotonic()
+        got = coder.encode_batch(as_strings(pa.array([text])))
+        assert time.monotonic() - began < 20 and got.round_trip.all() and len(got.scores[0]) == 4
+        assert all(coder.decode(x) == text for x in got.segmentations(0))
+
+
+def test_segmentations_as_rows(spark, corpus, coder):
+    texts = ["then the reason", None, "", "naïve日"]
+    got = sorted(map(tuple, nbest.segmentations(corpus(texts), n=4).collect()))
+    want = [(i, k, pytest.approx(s), list(ids)) for i, t in enumerate(texts) for k, (s, ids) in enumerate(coder.encode(t or ""), 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and got[0][3] == want[0][3]
+    crc = {r["doc_id"]: r["nbest_crc32"] for r in nbest.digest(corpus(texts), n=4).collect()}
+    assert [zlib.crc32(np.array(g[3], "<i4").tobytes()) for g in got] == [c for i in range(4) for c in crc[i]]
 
 
 def test_library_decodes_the_ids(coder):
