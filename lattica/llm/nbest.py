@@ -75,11 +75,14 @@ class Pieces:
             else:
                 self.as_bytes.append(piece.replace(SPACE, " ").encode())
                 self.score[piece] = library.get_score(i)
-                node = self.root
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = self.known[piece] = (self.score[piece], i)
+                self.known[piece] = (self.score[piece], i)
                 self.pairs.update(zip(piece, piece[1:], strict=False))
+        # From a character to what follows it in pieces, and the piece that ends with it.
+        for piece, own in self.known.items():
+            node = self.root
+            for c in piece[:-1]:
+                node = node.setdefault(c, [{}, None])[0]
+            node.setdefault(piece[-1], [{}, None])[1] = own
         self.longest = max(map(len, self.score), default=1)
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_COST
 
@@ -102,11 +105,12 @@ class Pieces:
         for a in range(size):
             node, base, alone = root, best[a], False
             for b, c in enumerate(text[a : a + longest], a + 1):
-                node = node.get(c)
-                if node is None:
+                hit = node.get(c)
+                if hit is None:
                     break
-                if "" in node:
-                    score, piece = node[""]
+                node, own = hit
+                if own is not None:
+                    score, piece = own
                     if kept:
                         ends[b].append((piece, a, score))
                     alone = alone or b == a + 1
