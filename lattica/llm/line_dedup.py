@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches. A batch's line keys are counted (each once for a document), the keys that
-are settled already are taken away by a merge anti-join, and the rest becomes a sorted run of
-(128-bit hash, documents) at level 0. When a level holds `fanout` runs they are compacted into one
-run of the next level; keys that have reached `min_docs` documents move to the settled run. After
-the last batch all levels are compacted, and the settled run holds just the keys to drop. Runs are
-hash-partitioned by key, sorted within partitions and kept in the shared folder.
+Documents come in batches, which one pass over the texts deals out by a hash of the text. A batch's line keys
+are counted (each once for a document), the keys that are settled already are taken away by a merge anti-join with
+each settled run, and the rest becomes a sorted run of (128-bit hash, documents) at level 0. When a level
+holds `fanout` runs they are compacted into one run of the next level; keys that have reached `min_docs`
+documents leave it as a settled run, and settled runs are compacted in the same way. After the last batch all levels are compacted,
+and the settled runs hold just the keys to drop. Runs are hash-partitioned by key into partitions of about
+`RUN_ROWS` keys, sorted within partitions and kept in the shared folder.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case.
 
@@ -24,15 +25,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.text import as_strings, distinct, held, let_go, slices
-from lattica.session import cut
+from lattica.session import cut, parts, shared_dir
 
 KEY = ["h1", "h2"]
 #: Settled keys up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+RUN_ROWS = 500_000
+BATCHES, FANOUT = 6, 2
 
 
 def line_hashes(texts: pa.Array, min_chars: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,18 +50,21 @@ def line_hashes(texts: pa.Array, min_chars: int) -> tuple[pa.Array, np.ndarray,
     return lines, offsets - offsets[0], pairs[index], long[index]
 
 
-def batch_keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """h1, h2 and n: the documents that hold each key, with counts of byte-balanced pieces still apart."""
+COUNTS = "h1 long, h2 long, n long, batch int"
+
+
+def batch_keys(docs: DataFrame, text_col: str, min_chars: int, batch: Column | None = None) -> DataFrame:
+    """h1, h2, n (the documents that hold each key, with counts of byte-balanced pieces still apart) and batch."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batches:
-            texts = as_strings(batch.column(0))
+        for rows in batches:
+            texts, dealt = as_strings(rows.column(0)), np.asarray(rows.column(1), dtype=np.int64)
             for a, b in slices(texts):
                 _, offsets, pairs, long = line_hashes(texts.slice(a, b - a), min_chars)
                 owner = np.repeat(np.arange(b - a), np.diff(offsets))[long]
-                pairs = pairs[long]
-                order = np.lexsort((owner, pairs[:, 1], pairs[:, 0]))
+                pairs = np.column_stack((pairs[long], dealt[a:b][owner]))
+                order = np.lexsort((owner, pairs[:, 2], pairs[:, 1], pairs[:, 0]))
                 pairs, owner = pairs[order], owner[order]
                 new_key = np.ones(len(pairs), bool)
                 new_key[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
@@ -66,45 +72,63 @@ def batch_keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                 new[1:] |= owner[1:] != owner[:-1]
                 starts = np.flatnonzero(new_key)
                 counts = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[starts, 0]), pa.array(pairs[starts, 1]), pa.array(counts)], ["h1", "h2", "n"])
+                columns = pairs[starts, 0], pairs[starts, 1], counts, pairs[starts, 2].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "n", "batch"])
 
-    return docs.select(F.col(text_col)).mapInArrow(keys, "h1 long, h2 long, n long")
+    return docs.select(F.col(text_col), (F.lit(0) if batch is None else batch).cast("int")).mapInArrow(keys, COUNTS)
+
+
+def dealt_keys(docs: DataFrame, batches: int, text_col: str, min_chars: int) -> tuple[list[DataFrame], int]:
+    """The keys of each batch, written to the shared folder in one pass, and their number."""
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/line-keys-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(text_col), F.lit(batches))
+    batch_keys(docs, text_col, min_chars, part).write.partitionBy("batch").parquet(path)
+    kept = spark.read.schema(COUNTS).parquet(path)
+    return [kept.filter(F.col("batch") == i).select(*KEY, "n") for i in range(batches)], kept.count()
 
 
 class LineRuns:
-    """Sorted runs of line keys by level, and the settled run."""
+    """Sorted runs of line keys by level, and the settled runs."""
 
-    def __init__(self, spark, min_docs: int, fanout: int = 4, partitions: int | None = None):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, spark, min_docs: int, fanout: int = FANOUT, partitions: int | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
-        self.settled = spark.createDataFrame([], "h1 long, h2 long")
+        self.settled: list[DataFrame] = []
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        summed = rows.groupBy(*KEY).agg(F.sum("n").alias("n"))
-        return cut(summed.repartition(self.partitions, *KEY).sortWithinPartitions(*KEY))
+    def _run(self, rows: DataFrame, *counted: Column) -> DataFrame:
+        dealt = rows.repartition(self.partitions, *KEY)  # the aggregation and the merge joins keep this partitioning
+        return cut(dealt.groupBy(*KEY).agg(*counted).sortWithinPartitions(*KEY) if counted else dealt.dropDuplicates(KEY).sortWithinPartitions(*KEY))
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows whose key no earlier batch had."""
-        for run in [self.settled, *(r for level in self.levels for r in level)]:
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return self._run(rows.groupBy(*KEY).agg(F.sum("n").alias("n")), F.sum("n").alias("n"))
+
+    def _without(self, keys: DataFrame, runs: Sequence[DataFrame]) -> DataFrame:
+        for run in runs:
             keys = keys.join(run.hint("merge"), KEY, "left_anti")
         return keys
 
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The rows whose key no earlier batch had."""
+        return self._without(keys, [*self.settled, *(r for level in self.levels for r in level)])
+
     def add(self, counts: DataFrame) -> None:
         """Takes in a batch's counts; compacts the levels that are full."""
-        self.levels[0].append(self._run(counts.join(self.settled.hint("merge"), KEY, "left_anti")))
+        self.levels[0].append(self._summed(self._without(counts, self.settled)))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
 
     def _compact(self, level: int) -> None:
-        merged = self._run(functools.reduce(DataFrame.unionByName, self.levels[level]))
+        merged = self._summed(functools.reduce(DataFrame.unionByName, self.levels[level]))
         self.levels[level] = []
         if len(self.levels) == level + 1:
             self.levels.append([])
         over = F.col("n") >= self.min_docs
         # A key that is split over levels settles when these meet; no count is lost before.
-        self.settled = cut(self.settled.unionByName(merged.filter(over).select(*KEY)))
+        self.settled.append(merged.filter(over).select(*KEY))
+        if len(self.settled) > self.fanout:
+            self.settled = [self._run(functools.reduce(DataFrame.unionByName, self.settled))]
         self.levels[level + 1].append(merged.filter(~over))
 
     def finish(self) -> DataFrame:
@@ -113,7 +137,9 @@ class LineRuns:
         if len(rest) > 1 or self.levels[0]:
             self.levels = [rest]
             self._compact(0)
-        return self.settled
+        if not self.settled:
+            return self.spark.createDataFrame([], "h1 long, h2 long")
+        return self.settled[0] if len(self.settled) == 1 else self._run(functools.reduce(DataFrame.unionByName, self.settled))
 
 
 def _dropped(texts: pa.Array, min_chars: int, drop) -> tuple[list[int], list[int], pa.Array]:
@@ -207,20 +233,20 @@ def _drop_by_shuffle(docs: DataFrame, settled: DataFrame, into: str, text_col: s
     return keyed.select("row.*", dropped(F.col(f"row.{text_col}"), F.col("hits")).alias(into))
 
 
-def settled_keys(batches: Sequence[DataFrame], min_docs: int, min_chars: int = 1, text_col: str = "text", fanout: int = 4) -> DataFrame:
-    """Keys (h1, h2) of lines found in at least `min_docs` documents of all batches."""
-    runs = LineRuns(batches[0].sparkSession, min_docs, fanout)
-    for batch in batches:
-        runs.add(batch_keys(batch, text_col, min_chars))
+def settled_keys(batches: Sequence[DataFrame], min_docs: int, fanout: int = FANOUT, partitions: int | None = None) -> DataFrame:
+    """Keys (h1, h2) of lines found in at least `min_docs` documents of all batches of counts."""
+    runs = LineRuns(batches[0].sparkSession, min_docs, fanout, partitions)
+    for counts in batches:
+        runs.add(counts)
     return runs.finish()
 
 
 def line_dedup(
-    docs: DataFrame, into: str, min_docs: int = 10, min_chars: int = 1, batches: int = 4, text_col: str = "text"
+    docs: DataFrame, into: str, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, text_col: str = "text"
 ) -> DataFrame:
     """docs with the struct column of drop_lines(); the batches are dealt by a hash of the text."""
-    part = F.pmod(F.xxhash64(text_col), F.lit(batches))
-    settled = settled_keys([docs.filter(part == i) for i in range(batches)], min_docs, min_chars, text_col)
+    counts, rows = dealt_keys(docs, batches, text_col, min_chars)
+    settled = settled_keys(counts, min_docs, partitions=parts(rows, RUN_ROWS))
     return drop_lines(docs, settled, into, text_col, min_chars)
 
 

@@ -75,37 +75,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP7_SQL = """
-WITH lines AS (
-  SELECT doc_id, i, parts[i] AS line,
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT d, doc_id, i, parts[i] AS line,
          translate(trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+  FROM (SELECT d, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM docs)),
 frequent AS (
-  SELECT line_key FROM lines WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(f.line_key) AS n_dropped,
+  SELECT line_key FROM lines WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT d) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.line_key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.line_key IS NULL), '')) AS kept_sha256
-FROM lines LEFT JOIN frequent f USING (line_key) GROUP BY doc_id
+FROM lines LEFT JOIN frequent f USING (line_key) GROUP BY d
 """
 
 
 OP6_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH words AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (
-  SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM words WHERE len(w) >= 35)),
+  SELECT d, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
+  FROM (SELECT d, w, unnest(range(1, len(w) - 33)) AS s FROM words WHERE len(w) >= 35)),
 repeated AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM starts WHERE h IN (SELECT h FROM repeated)),
-places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+  SELECT DISTINCT d, unnest(range(s, s + 35)) AS i FROM starts WHERE h IN (SELECT h FROM repeated)),
+places AS (SELECT d, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 kept AS (
-  SELECT p.doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed,
+  SELECT p.d, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed,
          string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS t
-  FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+  FROM places p LEFT JOIN gone g ON p.d = g.d AND p.i = g.i GROUP BY p.d)
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
-FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+FROM words LEFT JOIN kept ON words.d = kept.d
 """
 
 

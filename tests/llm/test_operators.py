@@ -434,12 +434,30 @@ def test_line_dedup_equals_brute_force(spark, corpus, monkeypatch, batches, most
 def test_levels_and_first_lines(spark, corpus):
     parts = [corpus(["a\nb", "c"]), corpus(["b\nd"]), corpus(["a\ne", "e"]), corpus(["f"])]
     assert [x.count() for x in line_dedup.first_lines(parts)] == [3, 1, 1, 1]
-    runs = line_dedup.LineRuns(spark, 2, fanout=2)
+    runs, levels = line_dedup.LineRuns(spark, 2, fanout=2), []
     for part in parts:
         runs.add(line_dedup.batch_keys(part, "text", 1))
+        levels.append([len(level) for level in runs.levels])
+    assert levels == [[1], [0, 1], [1, 1], [0, 0, 1]]
     assert runs.finish().distinct().count() == 3  # a, b, e
 
 
+def test_batches_are_dealt_in_one_pass(spark, corpus):
+    texts = [f"line {i % 7}\nown {i}" for i in range(50)]
+    counts, rows = line_dedup.dealt_keys(corpus(texts), 6, "text", 1)
+    assert rows == sum(c.count() for c in counts) and sum(c.agg(F.sum("n")).first()[0] or 0 for c in counts) == 100
+    runs = line_dedup.LineRuns(spark, 5)
+    for c in counts:
+        runs.add(c)
+    assert len(runs.levels) == 3 and runs.finish().count() == 7
+
+
+def test_repeated_rows_are_documents(spark, corpus):
+    docs = corpus(["again\nonce"]).unionByName(corpus(["again\ntwice"])).unionByName(corpus(["again\ntwice"]))
+    got = line_dedup.line_dedup(docs, "got", min_docs=3).select("got.*").collect()
+    assert sorted(map(tuple, got)) == [(2, 1, "once"), (2, 1, "twice"), (2, 1, "twice")]
+
+
 # 8. Language ID
 
 
