@@ -6,7 +6,8 @@ match holds at least one piece unchanged: an Aho-Corasick automaton of all piece
 hits of a text in one pass, and Myers' bit-parallel distance verifies the windows around the hits.
 
 The items are read in blocks of at most `BLOCK_CHARS` characters; each block is broadcast and meets all
-texts in a pass of its own, so that a large benchmark costs more passes and not more memory.
+texts in a pass of its own, whose hits are written to the shared folder before the next block is read and broadcast,
+so that a large benchmark costs more passes and not more memory.
 
 Defined results: null or empty texts match nothing; null or blank items are left out; repeated items
 report each their id; rows stay one to one.
@@ -14,7 +15,6 @@ report each their id; rows stay one to one.
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.text import held
+from lattica.session import shared_dir
 
 ERROR_RATE = 0.06
 BLOCK_CHARS = 2_000_000
@@ -137,9 +138,9 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Itera
     yield block
 
 
-def matches(text: Column, spark, block: list[tuple[int, str]], rate: float = ERROR_RATE) -> Column:
-    """Items of a block that each text holds, with distances and places in the normal text."""
-    model, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+def matches(text: Column, model, rate: float = ERROR_RATE) -> Column:
+    """Items of a block (a broadcast) that each text holds, with distances and places in the normal text."""
+    name = uuid.uuid4().hex
 
     @F.arrow_udf(MATCH)
     def found(texts: pa.Array) -> pa.Array:
@@ -158,17 +159,20 @@ def with_matches(
     item_text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """docs with a column `into`: the items that each text holds, in the order of their ids."""
-    spark, all_blocks = docs.sparkSession, blocks(benchmark, item_col, item_text_col, block_chars)
-    first, second = next(all_blocks), next(all_blocks, None)
-    if second is None:
-        return docs.withColumn(into, matches(F.col(text_col), spark, first, rate))
+    spark, rest = docs.sparkSession, blocks(benchmark, item_col, item_text_col, block_chars)
+    block, following = next(rest), next(rest, None)
+    if following is None:
+        return docs.withColumn(into, matches(F.col(text_col), spark.sparkContext.broadcast(block), rate))
     key = F.struct(F.xxhash64(text_col), F.xxhash64(text_col, F.lit(1)))  # equal texts hold equal items
-    texts = docs.select(key.alias("text_key"), F.col(text_col).alias("t")).dropDuplicates(["text_key"])
-    parts = [
-        texts.select("text_key", F.explode(matches(F.col("t"), spark, block, rate)).alias("m"))
-        for block in (first, second, *all_blocks)
-    ]
-    merged = functools.reduce(DataFrame.unionByName, parts).groupBy("text_key").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    path = f"{shared_dir(spark)}/edit-matches-{uuid.uuid4().hex}"
+    while block is not None:
+        model = spark.sparkContext.broadcast(block)
+        hits = docs.select(key.alias("text_key"), F.explode(matches(F.col(text_col), model, rate)).alias("m"))
+        hits.write.mode("append").parquet(path)
+        model.destroy()
+        block, following = following, next(rest, None)
+    merged = spark.read.schema(f"text_key struct<col1: bigint, col2: bigint>, m {MATCH[6:-1]}").parquet(path)
+    merged = merged.groupBy("text_key").agg(F.sort_array(F.collect_set("m")).alias("m"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("text_key")).join(merged, "text_key", "left")
     return keyed.select("row.*", F.coalesce("m", F.array().cast(MATCH)).alias(into))
 

@@ -53,6 +53,8 @@ SLICE_BYTES = 2 << 20
 #: Hashed frequencies that order shingles for the prefix join; they change what is compared first, not the result.
 RARE_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Column names that no table of documents has.
+KEPT, KEPT_KEY, COPIES = "near_dedup_kept", "near_dedup_key", "near_dedup_copies"
 _ODD = np.random.default_rng(20240607).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -274,8 +276,8 @@ def unlinked(nodes: DataFrame, known: DataFrame, model, similar: float) -> DataF
     return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and class_size, one row for each row of docs."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """doc_id, row_key, node and component of every row of docs; both null for a text without words."""
     rows, signed, model, name = signatures(docs, id_col, text_col)
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -319,7 +321,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = settle(verify(settle(unlinked(cut(texts.join(left, "node")), known, model, similar)), texts, model, name))
         if not fresh.filter(F.col("sim") >= similar).isEmpty():
             linked = components(known.unionByName(fresh).filter(F.col("sim") >= similar))
-    named = signed.select("doc_id", "row_key", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed.select("doc_id", "row_key", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) and class_size, one row for each row of docs."""
+    named = labelled(docs, id_col, text_col, similar)
     classes = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     got = named.join(classes, "component", "left")
     return got.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row of each class: that with the least id (nulls last), of several with that id one. Texts without words all stay."""
+    named = cut(labelled(docs, id_col, text_col, similar))
+    words = named.filter(F.col("component").isNotNull())
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
+    kept = words.groupBy("component").agg(least.alias("row_key")).select("row_key")
+    copies = words.groupBy("row_key").agg(F.count("*").alias("n"))
+    keep = kept.join(copies, "row_key").unionByName(named.filter(F.col("component").isNull()).select("row_key", F.lit(1).cast("long").alias("n")).distinct())
+    keep = cut(keep.toDF(KEPT, COPIES))
+    left = docs.withColumn(KEPT_KEY, row_key(id_col, text_col)).join(keep, F.col(KEPT_KEY) == F.col(KEPT))
+    once = left.filter(F.col(COPIES) == 1)
+    if not keep.filter(F.col(COPIES) > 1).isEmpty():
+        once = once.unionByName(left.filter(F.col(COPIES) > 1).dropDuplicates([KEPT_KEY]))
+    return once.drop(KEPT, KEPT_KEY, COPIES)

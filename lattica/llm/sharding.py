@@ -3,11 +3,12 @@
 A key's jumps are drawn from a generator seeded by the key alone. A larger number of shards only
 adds later jumps, so that appending a shard moves just the keys whose next jump lands in it.
 
-Slots are dealt in two levels: each shard's rows are spread over `BINS` bins by a hash of the key,
-rows are numbered within a bin and the bins' sizes give where each bin begins. No task holds a whole shard.
+Slots are dealt in two levels: each shard's rows are spread over bins by a hash of the whole row, as many as keep a bin at
+about `BIN_ROWS` rows; rows are numbered within a bin and the bins' sizes give where each bin begins. No task holds a whole
+shard. Rows that are equal in id, size and checksum are counted before they are numbered, and so may be of any number.
 
 Defined results: a null key hashes like the text `null`; a null text has 0 bytes and the crc32 of the
-empty text; repeated rows go to one shard and get a slot each.
+empty text; repeated rows, and different rows of one id, go to one shard and get a slot each.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.session import parts
+
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
-BINS = 64
+BIN_ROWS = 50_000
 #: Multiplier of the published generator.
 STEP = np.uint64(2862933555777941757)
 
@@ -55,22 +58,24 @@ def shard_of(key: Column, shards: int) -> Column:
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in a shard) and grown_shard (with one shard more)."""
     text, key = F.col(text_col), F.col(id_col)
+    bins = parts(docs.count(), BIN_ROWS * shards)
     rows = docs.select(
         key.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         shard_of(key, shards).alias("shard"),
         shard_of(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key.cast("string"), F.lit(7)), F.lit(BINS)).cast("int").alias("bin"),
     )
-    order = Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("number", F.row_number().over(order))
-    sizes = rows.groupBy("shard", "bin").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "bin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    # At most shards x BINS rows, whatever the input holds.
-    placed = numbered.join(F.broadcast(starts), ["shard", "bin"])
+    own = ["shard", "bin", "doc_id", "text_crc32", "size", "grown_shard"]
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "size", "text_crc32", F.lit(7)), F.lit(bins)).cast("int"))
+    different = rows.groupBy(*own).agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = different.withColumn("number", before(Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size")))
+    sizes = different.groupBy("shard", "bin").agg(F.sum("n").alias("n"))
+    starts = sizes.select("shard", "bin", before(Window.partitionBy("shard").orderBy("bin")).alias("start"))
+    placed = numbered.join(starts, ["shard", "bin"])
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("start") + F.col("number") - 1).alias("slot"), "grown_shard",
-    )
+        (F.col("start") + F.col("number")).alias("slot"), "grown_shard", each.alias("copy"),
+    ).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("slot") + F.col("copy")).alias("slot"), "grown_shard")

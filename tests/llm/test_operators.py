@@ -384,6 +384,17 @@ def test_shards(spark, corpus, prose):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_rows_of_one_id_get_a_slot_each(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BIN_ROWS", 3)
+    rows = [(7, "same")] * 40 + [(7, f"text {i}") for i in range(40)] + [(None, None)] * 5 + [(i, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, slots = sharding.shard(docs, 4).collect(), defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+
+
 # 6. Substring dedup
 
 

@@ -11,7 +11,7 @@ from lattica.llm import nbest, queries
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
-    "op1_nbest_pieces": {"doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"},
+    "op1_nbest_pieces": {"doc_id", "n_pieces", "ids_crc32", "scores", "nbest_crc32", "round_trip"},
     "op2_ppm_score": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op3_target_ratio": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"},
     "op4_edit_matches": {"doc_id", "contaminated", "item_ids", "distances"},
@@ -70,6 +70,14 @@ def test_repeated_rows_leave_one(spark, tmp_path, prose):
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()) == [7, 8]
 
 
+def test_different_texts_under_one_id(spark, tmp_path, prose):
+    texts = [(1, prose[0]), (2, prose[0]), (2, prose[3]), (None, prose[3]), (None, None), (5, None), (6, prose[4]), (6, prose[4])]
+    folder = tables(spark, tmp_path, [(i, t, "en", "s", 1, 1, 2) for i, t in texts], [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, prose[0]), (2, prose[3]), (None, None), (5, None), (6, prose[4])], key=repr)
+
+
 def test_no_documents(spark, tmp_path):
     folder = tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
