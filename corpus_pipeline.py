@@ -37,13 +37,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_dedup.near_duplicates(docs)
-    kept = cut(classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    ids = kept.select(F.col("doc_id").alias(MARK))
-    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids[MARK]), "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id", "text"])  # repeated rows
+    return near_dedup.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
