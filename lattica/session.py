@@ -30,10 +30,12 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where none is set, as in tests, a temporary one."""
+    """The folder named by spark.checkpoint.dir. Only where none is set on a local master, as in tests, a temporary one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.getCheckpointDir() and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = context.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "lattica-checkpoints")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
