@@ -155,7 +155,9 @@ on(lambda m: rounded(features.row_length_stats(m), 6), "row_length_stats", base(
 SELECT round(mu, 6) AS mean, round(sd, 6) AS std, round(sd / mu, 6) AS variation, round(avg(pow((k - mu) / sd, 3)), 6) AS skewness
 FROM len, (SELECT avg(k) AS mu, stddev_pop(k) AS sd FROM len) GROUP BY mu, sd"""))
 on(lambda m: rounded(features.diagonal_distance(m), 3), "diag_distance", base("SELECT round(avg(abs(c - r)), 3) AS mean_distance, round(var_pop(abs(c - r)), 3) AS var_distance FROM m"))
-on(lambda m: rounded(features.row_col_correlation(m), 6).select("pearson_r"), "pearson_row_col", base("SELECT round(corr(c, r), 6) AS pearson_r FROM m"))
+on(lambda m: rounded(features.row_col_correlation(m), 3), "pearson_row_col", base("""
+SELECT round(p, 3) AS pearson_r, round((sy - sx + sqrt(pow(sy - sx, 2) + 4 * sxy * sxy)) / (2 * sxy), 3) AS deming_slope
+FROM (SELECT corr(c, r) AS p, var_pop(c) AS sx, var_pop(r) AS sy, covar_pop(c, r) AS sxy FROM m)"""))
 on(features.degree_histogram, "log10_degree_hist", base("""
 SELECT CASE WHEN k = 0 THEN -1 ELSE length(CAST(k AS VARCHAR)) - 1 END AS bin, count(*) AS n_rows FROM len GROUP BY 1"""))
 on(features.empty_rows, "empty_rows", base('SELECT r AS "row" FROM len WHERE k = 0'))
@@ -182,17 +184,22 @@ def input_order_violations(spark, sf_dir):
     return features.order_violations(events, "pos").select("pos", "row", "col")
 
 
-@query(base("SELECT CAST(0 AS BIGINT) AS violations FROM d"))
+@query(base("SELECT count(*) AS violations FROM m WHERE r % 1000 >= 990 OR c > 1500"))
 def division_check(spark, sf_dir):
-    tagged = division.row_bands(matrix(spark, sf_dir), 1000)
-    blocks = tagged.groupBy("block").agg(F.min("row").alias("row_lo"), F.max("row").alias("row_hi"), F.min("col").alias("col_lo"), F.max("col").alias("col_hi"))
+    """Blocks whose ranges are stated too small: ten rows short at their ends, and up to column 1500."""
+    tagged = matrix(spark, sf_dir).entries.withColumn("block", F.floor(F.col("row") / 1000))
+    low = F.col("block") * 1000
+    blocks = tagged.select("block").distinct().select("block", low.alias("row_lo"), (low + 989).alias("row_hi"), F.lit(0).alias("col_lo"), F.lit(1500).alias("col_hi"))
     return features.division_violations(tagged, blocks)
 
 
-@query(base("SELECT CAST(0 AS BIGINT) AS violations FROM d"))
+@query(base("""
+SELECT count(*) FILTER (WHERE begins <> p + n) AS violations FROM (
+  SELECT begins, lag(begins) OVER (ORDER BY t) AS p, lag(n) OVER (ORDER BY t) AS n FROM (SELECT nz // 256 AS t, min(nz) + CASE WHEN nz // 256 % 7 = 3 THEN 1 ELSE 0 END AS begins, count(*) AS n FROM nz GROUP BY 1))"""))
 def level_check(spark, sf_dir):
-    tiles = division.tile_table(matrix(spark, sf_dir), 256)
-    return features.level_violations(tiles.select(F.col("tlb").alias("level_id"), (F.col("tlb") * 256).alias("nz_begin"), F.col("nnz").alias("nz_size")))
+    """Tiles as they lie, but that every seventh is stated to begin one entry late."""
+    tiles = division.numbered(matrix(spark, sf_dir)).groupBy(F.floor(F.col("nz") / 256).alias("level_id")).agg(F.min("nz").alias("nz_begin"), F.count("*").alias("nz_size"))
+    return features.level_violations(tiles.withColumn("nz_begin", F.col("nz_begin") + (F.col("level_id") % 7 == 3).cast("long")))
 
 
 # Orders of rows.
@@ -399,10 +406,10 @@ def uniform_generator(spark, sf_dir):
 
 
 @query(base("""
-SELECT r AS "row", c AS col, sum(v) AS val FROM (SELECT r, c, v FROM m WHERE r < 500 AND c < r UNION ALL SELECT c, r, v FROM m WHERE r < 500 AND c < r) GROUP BY 1, 2""", "supp_part"))
+SELECT r AS "row", c AS col, sum(v) AS val FROM (SELECT r, c, v FROM m WHERE c < r UNION ALL SELECT c, r, v FROM m WHERE c < r) GROUP BY 1, 2""", "supp_part"))
 def symmetric_expand(spark, sf_dir):
     m = matrix(spark, sf_dir, "supp_part")
-    lower = m.entries.filter("row < 500 and col < row")
+    lower = m.entries.filter("col < row")
     return text.expand_symmetric(lower).groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
@@ -440,11 +447,12 @@ def param_grid(spark, sf_dir):
     return tuner.grid(spark, {"a": (32, 256, 32), "b": (1, 16, 3)}, keep="a * b <= 1024", derived={"warps": "cast(a as bigint) % 64"})
 
 
-@query("SELECT p_brand AS template, p_partkey AS trial, p_retailprice AS metric FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice DESC, p_partkey DESC) = 1")
+@query("SELECT p_brand AS template, CAST(p_partkey AS DOUBLE) AS trial, p_retailprice + p_partkey / 1000000.0 AS metric FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice + p_partkey / 1000000.0 DESC) = 1")
 def best_trial(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    best = part.agg(F.max_by(F.struct("p_brand", "p_partkey"), F.struct("p_retailprice", "p_partkey")).alias("t"), F.max("p_retailprice").alias("metric"))
-    return best.select(F.col("t.p_brand").alias("template"), F.col("t.p_partkey").alias("trial"), "metric")
+    none = F.array().cast("array<string>")
+    metric = F.col("p_retailprice") + F.col("p_partkey") / 1000000.0
+    log = table(spark, sf_dir, "part").select(none.alias("ops"), none.alias("strategies"), F.col("p_brand").alias("template"), F.array(F.col("p_partkey").cast("double")).alias("params"), metric.alias("metric"))
+    return tuner.best(log).select("template", F.col("params")[0].alias("trial"), "metric")
 
 
 @query("""
@@ -457,8 +465,12 @@ def trial_log_parse(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    import lattica.plan_queries  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import lattica.plan_queries  # noqa: F401
+
     return dict(_SQL)

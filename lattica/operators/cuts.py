@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators.order import previous
+from lattica.operators.order import global_position, previous
 
 
 def exponential_bounds(start: int, rate: int, cap: int | None, longest: int) -> list[int]:
@@ -49,10 +49,17 @@ def exponential_blocks(matrix: SparseMatrix, start: int, rate: int, cap: int | N
     return windows.groupBy("window").agg(F.count("*").alias("n_rows"), F.sum("k").alias("nnz"))
 
 
+#: Bounds that a plan can hold; a matrix with more different lengths needs a larger step.
+MOST_BOUNDS = 10_000
+
+
 def coarse_bounds(matrix: SparseMatrix, every: int = 1) -> list[int]:
-    """Every `every`-th different row length in order, the first replaced by 0. Lengths are collected: there are few."""
-    lengths = [r["k"] for r in matrix.row_nnz().select("k").distinct().orderBy("k").collect()]
-    return [0, *lengths[every::every]] if lengths else [0]
+    """Every `every`-th different row length in order, the first replaced by 0."""
+    placed = global_position(matrix.row_nnz().select("k").distinct(), [], [], "k", "i")
+    lengths = [r["k"] for r in placed.filter(F.col("i") % every == 0).orderBy("i").select("k").limit(MOST_BOUNDS + 1).collect()]
+    if len(lengths) > MOST_BOUNDS:
+        raise ValueError(f"more than {MOST_BOUNDS} bounds: take a larger step")
+    return [0, *lengths[1:]]
 
 
 def chunk_sizes(k: Column, size: int, merge_tail: bool) -> Column:
@@ -118,11 +125,3 @@ def adjacent_average_cuts(matrix: SparseMatrix, rate: float, width: int) -> Data
         return ((k,) if cut else (*state, k)[-(width - 1) :]), cut
 
     return _scan(matrix, tuple, step)
-
-
-def blocks_between(matrix: SparseMatrix, cuts: Sequence[int]) -> DataFrame:
-    """first_row, n_rows and nnz of the rows between consecutive cuts."""
-    from lattica.operators.division import bucket_of
-
-    firsts = list(cuts)[:-1]
-    return matrix.row_nnz().groupBy(bucket_of(F.col("row"), firsts).alias("block")).agg(F.min("row").alias("first_row"), F.count("*").alias("n_rows"), F.sum("k").alias("nnz"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.model import SparseMatrix
-from lattica.operators.order import running_sum
+from lattica.operators.order import global_position, running_sum
 
 
 def bucket_of(value: Column, bounds: Sequence[int]) -> Column:
@@ -24,9 +24,21 @@ def bucket_of(value: Column, bounds: Sequence[int]) -> Column:
     return out
 
 
+#: Columns of a band in which a row's entries are numbered, so that no task has to sort a whole hot row.
+COLUMN_BAND = 65_536
+
+
 def places(matrix: SparseMatrix, more: tuple[str, ...] = ()) -> DataFrame:
     """Entries with rn, their 0-based place in the row by column."""
-    return matrix.entries.withColumn("rn", F.row_number().over(Window.partitionBy("row").orderBy("col", "val")) - 1)
+    e = matrix.entries
+    if matrix.n_cols <= COLUMN_BAND:
+        return e.withColumn("rn", F.row_number().over(Window.partitionBy("row").orderBy("col", "val")) - 1)
+    e = e.withColumn("_band", F.floor(F.col("col") / COLUMN_BAND))
+    sizes = e.groupBy("row", "_band").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("row").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("row", "_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = e.withColumn("_at", F.row_number().over(Window.partitionBy("row", "_band").orderBy("col", "val")) - 1)
+    return inside.join(starts, ["row", "_band"]).withColumn("rn", F.col("_before") + F.col("_at")).drop("_band", "_at", "_before")
 
 
 def numbered(matrix: SparseMatrix) -> DataFrame:
@@ -47,6 +59,17 @@ def row_bands(matrix: SparseMatrix, length: int) -> DataFrame:
     return _gapless(matrix.entries.withColumn("raw", F.floor(F.col("row") / length)))
 
 
+def divided_again(entries: DataFrame, block: int, length: int) -> DataFrame:
+    """One block of banded rows divided into bands of `length` rows: it goes, and its children follow after the other blocks."""
+    low = entries.filter(F.col("block") == block).agg(F.min("row")).first()[0]
+    last = entries.agg(F.max("block")).first()[0]
+    if low is None:
+        return entries
+    low = low // length * length
+    raw = F.when(F.col("block") == block, last + 1 + F.floor((F.col("row") - low) / length)).otherwise(F.col("block"))
+    return _gapless(entries.withColumn("raw", raw).drop("block"))
+
+
 def row_ranges(matrix: SparseMatrix, cuts: Sequence[int]) -> DataFrame:
     """Entries with block: rows between consecutive cut points (the first 0, the last n_rows)."""
     return _gapless(matrix.entries.withColumn("raw", bucket_of(F.col("row"), list(cuts)[:-1])))
@@ -54,7 +77,7 @@ def row_ranges(matrix: SparseMatrix, cuts: Sequence[int]) -> DataFrame:
 
 def _gapless(entries: DataFrame) -> DataFrame:
     used = entries.select("raw").distinct()
-    ids = used.withColumn("block", F.row_number().over(Window.orderBy("raw")) - 1)  # one row for each block
+    ids = global_position(used, [], [], "raw", "block")
     return entries.join(ids, "raw").drop("raw")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators.division import numbered, places
+from lattica.operators.division import places
 from lattica.operators.order import running_sum
+from lattica.session import cut
 
 
 def ell(matrix: SparseMatrix) -> SparseMatrix:
@@ -19,6 +20,29 @@ def ell(matrix: SparseMatrix) -> SparseMatrix:
     return pad_cols(matrix, top)
 
 
+#: Stored entries, pads included, for each entry of the matrix, beyond which a padded layout is refused.
+MOST_PADDING = 4
+
+
+def ell_slots(matrix: SparseMatrix) -> DataFrame:
+    """Entries with slot, without the pads."""
+    return places(matrix).withColumnRenamed("rn", "slot")
+
+
+def check_padding(widths: DataFrame, matrix: SparseMatrix, most: int = MOST_PADDING) -> None:
+    """Raises where the slices of a layout store more than `most` times the entries (whole numbers)."""
+    padded, nnz = widths.agg(F.sum("padded")).first()[0] or 0, matrix.entries.count()
+    if nnz and padded // nnz > most:
+        raise ValueError(f"{padded} stored for {nnz} entries: the padding is more than {most} times")
+
+
+def sell_chunks(matrix: SparseMatrix, height: int, threads: int) -> SparseMatrix:
+    """Entries with slice and chunk: a row of a slice is dealt to `threads` chunks of equal width."""
+    widths = slice_widths(matrix, height, threads).select("slice", (F.col("width") / threads).cast("long").alias("_each"))
+    placed = places(sell(matrix, height)).join(widths, "slice")
+    return matrix.with_entries(placed.withColumn("chunk", F.floor(F.col("rn") / F.greatest("_each", F.lit(1)))).drop("rn", "_each"))
+
+
 def pad_cols(matrix: SparseMatrix, target: int, empty_rows: bool = False) -> SparseMatrix:
     """Rows shorter than target get zeros at their last column (column 0 for empty rows, when these are asked for)."""
     placed = places(matrix).select("row", "col", "val", F.col("rn").alias("slot"), F.lit(False).alias("is_pad"))
@@ -82,22 +106,29 @@ def power_bins(matrix: SparseMatrix) -> SparseMatrix:
     return matrix.with_entries(matrix.entries.join(bins, "row"))
 
 
+def _merged(matrix: SparseMatrix, workers: int) -> tuple[DataFrame, int]:
+    """row, k and start, and the share of a worker."""
+    offsets = cut(running_sum(matrix.row_nnz(), "row", "k", "start"))
+    nnz = offsets.agg(F.sum("k")).first()[0] or 0
+    return offsets, max(1, -(-(nnz + matrix.n_rows) // workers))
+
+
 def merge_path(matrix: SparseMatrix, workers: int) -> SparseMatrix:
     """Entries with worker: equal shares of the merged list of entries and row ends.
 
     Entry nz of row r stands at place nz + r of that list, and the end of row r at r + its row's end.
     """
-    nnz = matrix.entries.count()
-    share = max(1, -(-(nnz + matrix.n_rows) // workers))
-    placed = numbered(matrix).withColumn("worker", F.floor((F.col("nz") + F.col("row")) / share))
+    offsets, share = _merged(matrix, workers)
+    placed = places(matrix).join(offsets, "row").withColumn("worker", F.floor((F.col("start") + F.col("rn") + F.col("row")) / share))
     return matrix.with_entries(placed.select("row", "col", "val", "worker"))
 
 
 def merge_path_workers(matrix: SparseMatrix, workers: int) -> DataFrame:
-    """worker, entries and row_ends of each share of the merge path."""
-    nnz = matrix.entries.count()
-    share = max(1, -(-(nnz + matrix.n_rows) // workers))
-    lengths = running_sum(matrix.row_nnz(), "row", "k", "start")
-    ends = lengths.select(F.floor((F.col("row") + F.col("start") + F.col("k")) / share).alias("worker"), F.lit(0).alias("e"), F.lit(1).alias("r"))
-    entries = merge_path(matrix, workers).entries.select("worker", F.lit(1).alias("e"), F.lit(0).alias("r"))
+    """worker, entries and row_ends of each share of the merge path: a row's entries lie in consecutive places, so rows are counted, not entries."""
+    offsets, share = _merged(matrix, workers)
+    at = F.col("row") + F.col("start")
+    ends = offsets.select(F.floor((at + F.col("k")) / share).alias("worker"), F.lit(0).cast("long").alias("e"), F.lit(1).cast("long").alias("r"))
+    full = offsets.filter("k > 0").withColumn("worker", F.explode(F.sequence(F.floor(at / share), F.floor((at + F.col("k") - 1) / share))))
+    inside = F.least(at + F.col("k"), (F.col("worker") + 1) * share) - F.greatest(at, F.col("worker") * share)
+    entries = full.select("worker", inside.alias("e"), F.lit(0).cast("long").alias("r"))
     return entries.unionByName(ends).groupBy("worker").agg(F.sum("e").alias("entries"), F.sum("r").alias("row_ends"))

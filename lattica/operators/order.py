@@ -38,7 +38,10 @@ def global_position(df: DataFrame, order: list[Column], names: list[str], row: s
     return df.withColumn("_inside", inside).join(starts, keys).withColumn(into, F.col("_start") + F.col("_inside")).drop("_band", "_start", "_inside")
 
 
-def previous(df: DataFrame, row: str, value: str, into: str) -> DataFrame:
-    """df with `into`: the value of the row before (rows are consecutive numbers), by an equi-join."""
-    before = df.select((F.col(row) + 1).alias(row), F.col(value).alias(into))
-    return df.join(before, row, "left")
+def previous(df: DataFrame, row: str, value: str, into: str, band: int = BAND) -> DataFrame:
+    """df with `into`: the value of the row before (rows are consecutive numbers); the last rows of bands are joined to the next band's first."""
+    df = df.withColumn("_band", F.floor(F.col(row) / band))
+    edges = df.filter(F.pmod(F.col(row), F.lit(band)) == band - 1).select((F.col("_band") + 1).alias("_band"), F.col(value).alias("_edge"))
+    inside = F.lag(value).over(Window.partitionBy("_band").orderBy(row))
+    first = F.pmod(F.col(row), F.lit(band)) == 0
+    return df.withColumn("_inside", inside).join(edges, "_band", "left").withColumn(into, F.when(first, F.col("_edge")).otherwise(F.col("_inside"))).drop("_band", "_inside", "_edge")

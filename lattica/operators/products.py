@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import division, layout
-from lattica.session import cut
+from lattica.operators import cuts, division, layout, levels
 
 #: A vector of at most this many entries (16 bytes each) may be broadcast.
 MOST_BROADCAST = 1_000_000
@@ -55,12 +54,31 @@ def restored_product(matrix: SparseMatrix, x: DataFrame) -> DataFrame:
     return back.select(F.col("old_row").alias("row"), F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
+def _by_bins(matrix: SparseMatrix, x: DataFrame, long_bin: int) -> DataFrame:
+    """Rows of the bins under `long_bin` are summed at once, rows of longer ones by chunks of 2^long_bin entries first: a plan for each kind of bin."""
+    binned = layout.power_bins(matrix)
+    short = matrix.with_entries(binned.entries.filter(F.col("bin") < long_bin).drop("bin"))
+    long = matrix.with_entries(binned.entries.filter(F.col("bin") >= long_bin).drop("bin"))
+    chunked = gather(division.row_chunks(long, 1 << long_bin), x, ("chunk",)).groupBy("row", "chunk").agg(F.sum("product").alias("part"))
+    sums = gather(short, x).groupBy("row").agg(F.sum("product").alias("y")).unionByName(chunked.groupBy("row").agg(F.sum("part").alias("y")))
+    return complete(matrix, sums)
+
+
+def _by_adaptive_blocks(matrix: SparseMatrix, x: DataFrame, most: int) -> DataFrame:
+    """Blocks of rows with at most `most` entries are summed by (block, row); a longer row is a block, and summed by chunks first."""
+    tagged = levels.blb_rows_at(levels.opened(matrix), cuts.adaptive_cuts(matrix, most))
+    chunked = matrix.with_entries(tagged.entries.withColumn("chunk", F.floor(F.col("at") / most)))
+    parts = gather(chunked, x, ("blb", "chunk")).groupBy("blb", "chunk", "row").agg(F.sum("product").alias("part"))
+    return complete(matrix, parts.groupBy("row").agg(F.sum("part").alias("y")))
+
+
 #: Strategies by name: partition the entries, then sum along the partition. Each gives product().
 def by_strategy(matrix: SparseMatrix, x: DataFrame, name: str, **options) -> DataFrame:
-    """y by a named strategy: direct, tiles, merge_path, chunks, hyb, sell, acsr, col_blocks, ell, salted."""
-    if name in ("direct", "ell"):
-        tagged = layout.ell(matrix) if name == "ell" else matrix
-        return product(tagged, x)
+    """y by a named strategy, one of STRATEGIES."""
+    if name == "direct":
+        return product(matrix, x)
+    if name == "ell":  # a thread a slot; pads carry nothing, and are not made for the product
+        return tree_product(matrix.with_entries(layout.ell_slots(matrix)), x, "slot")
     if name == "tiles":
         return tree_product(division.nnz_tiles(matrix, options.get("size", 256)), x, "tlb")
     if name == "merge_path":
@@ -68,9 +86,13 @@ def by_strategy(matrix: SparseMatrix, x: DataFrame, name: str, **options) -> Dat
     if name == "chunks":
         return tree_product(division.row_chunks(matrix, options.get("size", 4)), x, "chunk")
     if name == "sell":
-        return tree_product(layout.sell(matrix, options.get("height", 32)), x, "slice")
+        height, threads = options.get("height", 32), options.get("threads", 4)
+        layout.check_padding(layout.slice_widths(matrix, height, threads), matrix)
+        return tree_product(layout.sell_chunks(matrix, height, threads), x, "chunk")
     if name == "acsr":
-        return tree_product(layout.power_bins(matrix), x, "bin")
+        return _by_bins(matrix, x, options.get("long", 5))
+    if name == "adaptive":
+        return _by_adaptive_blocks(matrix, x, options.get("most", 1024))
     if name == "col_blocks":
         return tree_product(division.col_blocks(matrix, options.get("width", 256)), x, "block")
     if name == "hyb":
@@ -83,13 +105,4 @@ def by_strategy(matrix: SparseMatrix, x: DataFrame, name: str, **options) -> Dat
     raise ValueError(f"no strategy {name}")
 
 
-STRATEGIES = ("direct", "ell", "tiles", "merge_path", "chunks", "sell", "acsr", "col_blocks", "hyb", "salted")
-
-
-def power_iteration(matrix: SparseMatrix, x: DataFrame, steps: int) -> DataFrame:
-    """x after `steps` products with a square matrix; lineage is cut at each step."""
-    if matrix.n_rows != matrix.n_cols:
-        raise ValueError("a square matrix is needed")
-    for _ in range(steps):
-        x = cut(product(matrix, x).select(F.col("row").alias("col"), F.col("y").alias("x")))
-    return x
+STRATEGIES = ("direct", "ell", "tiles", "merge_path", "chunks", "sell", "acsr", "adaptive", "col_blocks", "hyb", "salted")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.operators.order import BAND, previous, running_sum
+from lattica.operators.order import BAND, global_position, previous, running_sum
 
 
 def run_ids(seq: DataFrame, pos: str = "pos", key: str = "key", band: int = BAND) -> DataFrame:
@@ -86,3 +86,43 @@ def pack_bits(seq: DataFrame, flag: str, offset: str, offset_bits: int) -> DataF
     """seq with packed (the flag above the offset's bits) and its bits as text."""
     packed = F.shiftleft(F.col(flag).cast("long"), offset_bits).bitwiseOR(F.col(offset).cast("long"))
     return seq.withColumn("packed", packed).withColumn("bits", F.lpad(F.bin("packed"), offset_bits + 1, "0"))
+
+
+def arg_extremes(seq: DataFrame, value: str, pos: str = "pos") -> DataFrame:
+    """One row: least and most, and the first position of each."""
+    low, high = F.min(F.struct(value, pos)), F.max(F.struct(F.col(value), (-F.col(pos)).alias(pos)))
+    return seq.agg(low.alias("lo"), high.alias("hi")).select(F.col("lo")[value].alias("least"), F.col("lo")[pos].alias("least_at"), F.col("hi")[value].alias("most"), (-F.col("hi")[pos]).alias("most_at"))
+
+
+def scan_max(seq: DataFrame, value: str, pos: str = "pos", band: int = BAND) -> DataFrame:
+    """seq with scan: the largest value up to here, by bands whose own largest values are scanned first."""
+    seq = seq.withColumn("_band", F.floor(F.col(pos) / band))
+    tops = seq.groupBy("_band").agg(F.max(value).alias("_top"))
+    before = tops.select("_band", F.max("_top").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max(value).over(Window.partitionBy("_band").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return seq.withColumn("_inside", inside).join(before, "_band").withColumn("scan", F.greatest("_before", "_inside")).drop("_band", "_inside", "_before")
+
+
+def histogram_range(values: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """bin and n for bins between consecutive bounds; values outside are left out, empty bins have 0."""
+    inside = values.filter((F.col(value) >= bounds[0]) & (F.col(value) < bounds[-1]))
+    bin_of = F.lit(0)
+    for i, b in enumerate(bounds[1:-1], 1):
+        bin_of = F.when(F.col(value) >= b, F.lit(i)).otherwise(bin_of)
+    counts = inside.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"))
+    every = values.sparkSession.range(len(bounds) - 1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def histogram_multi(values: DataFrame, channels: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """channel, bin and n: equal bins over (low, high, bins) of several columns, from one pass over the values."""
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.floor((F.col(c) - low) / ((high - low) / bins)).alias("bin"), ((F.col(c) >= low) & (F.col(c) < high)).alias("inside")) for c, (low, high, bins) in channels.items()])
+    counts = values.select(F.explode(each).alias("x")).filter("x.inside").groupBy("x.channel", "x.bin").agg(F.count("*").alias("n"))
+    every = values.sparkSession.createDataFrame([(c, i) for c, (_, _, bins) in channels.items() for i in range(bins)], "channel string, bin long")
+    return every.join(counts, ["channel", "bin"], "left").select("channel", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sorted_places(seq: DataFrame, key: str, pos: str = "pos", descending: bool = False) -> DataFrame:
+    """seq with place: the 0-based place by key, equal keys in their order. Keys of few different values, such as row lengths."""
+    order = F.desc(key) if descending else F.asc(key)
+    return global_position(seq, [order], [key], pos, "place")

@@ -1,20 +1,25 @@
-"""Plans: dense steps on the whole matrix, then steps on levels, then a product strategy.
+"""Plans: an input, dense steps on the whole matrix, then steps on levels, then a template or product strategy.
 
-A plan is checked against the rules of order before it runs, and is lowered to DataFrame operations.
+A plan is checked against the rules of order before it runs, and is lowered to DataFrame operations: dense steps
+change the entries or give them a block, level steps give them their blb, wlb and tlb, and the template sums along these.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import cuts, division, features, layout, products, sorting
+from lattica.operators import cuts, division, features, layout, levels, products, sorting
+from lattica.plans import templates
+from lattica.session import cut
+from lattica.sources import generators, text
 
-INPUTS = ("read_coo", "generate", "from_dataframe")
+INPUTS = ("read_coo", "generate", "cached")
 DENSE = ("coarse_sort", "fine_sort", "row_pad_total", "row_div", "col_div", "compress")
 LEVELS = ("row_pad", "blb_row", "blb_col", "wlb_row", "wlb_col", "tlb_row", "tlb_col", "tlb_nnz")
 SORTS, DIVISIONS = ("coarse_sort", "fine_sort"), ("row_div", "col_div")
@@ -60,9 +65,9 @@ def violations(plan: Plan) -> list[str]:
             found.append(f"{name} must come before compression")
         if name == "compress" and (i != len(names) - 1 or name in before):
             found.append("compress is the last dense step, once")
-    levels = [s.name for s in plan.levels]
-    for i, name in enumerate(levels):
-        before = levels[:i]
+    steps = [s.name for s in plan.levels]
+    for i, name in enumerate(steps):
+        before = steps[:i]
         if name not in LEVELS:
             found.append(f"{name} is no level step")
         if name == "row_pad" and before:
@@ -76,43 +81,155 @@ def violations(plan: Plan) -> list[str]:
             found.append("equal shares of entries stand alone")
     if plan.levels and "compress" not in names:
         found.append("levels need a compressed matrix")
-    if plan.strategy not in products.STRATEGIES:
+    if plan.strategy not in products.STRATEGIES + tuple(templates.TREES):
         found.append(f"no strategy {plan.strategy}")
     return found
 
 
-def prepare(matrix: SparseMatrix, plan: Plan) -> SparseMatrix:
-    """The dense steps; the row map of a sort goes along."""
+#: Matrices that `cached` steps name.
+_CACHED: dict[str, SparseMatrix] = {}
+
+
+def remember(name: str, matrix: SparseMatrix) -> SparseMatrix:
+    """Keeps a matrix, computed once, for plans that begin with a `cached` step."""
+    _CACHED[name] = matrix.with_entries(cut(matrix.entries))
+    return _CACHED[name]
+
+
+def source(spark: SparkSession, step: Step) -> SparseMatrix:
+    """The matrix of an input step."""
+    p = step.params
+    if step.name == "read_coo":
+        return text.read_coo(spark, p["path"])
+    if step.name == "generate":
+        return generators.uniform(spark, p["rows"], p["cols"], p["per_row"], p.get("seed", 0))
+    return _CACHED[p["name"]]
+
+
+def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None = None) -> SparseMatrix:
+    """The input and the dense steps; the row map of a sort goes along, division and compression add columns to the entries.
+
+    block: the part of a divided matrix; row_lo and col_lo: what compression takes away from a block's indices.
+    """
     if found := violations(plan):
         raise ValueError("; ".join(found))
-    for step in plan.dense:
+    for i, step in enumerate(plan.dense):
         p = step.params
-        if step.name == "coarse_sort":
-            matrix = sorting.apply(matrix, sorting.coarse(matrix, p.get("bounds") or cuts.coarse_bounds(matrix, p.get("every", 1))))
+        if step.name in DIVISIONS and i and plan.dense[i - 1].name in SORTS:
+            matrix = matrix.with_entries(cut(matrix.entries))  # cut points are looked for in it, and it is divided at them
+        if step.name in INPUTS:
+            matrix = source(spark or SparkSession.active(), step)
+        elif step.name == "coarse_sort":
+            every = p.get("every", 1)
+            if "bounds" in p or every > 1:
+                order = sorting.coarse(matrix, p.get("bounds") or cuts.coarse_bounds(matrix, every))
+            else:  # a bin for each length
+                order = sorting.by_length(matrix)
+            matrix = sorting.apply(matrix, order)
         elif step.name == "fine_sort":
             matrix = sorting.apply(matrix, sorting.by_length(matrix))
         elif step.name == "row_pad_total":
             matrix = layout.pad_rows(matrix, p["multiple"])
         elif step.name == "row_div":
-            points = sorted(r["cut"] for r in cuts.exponential_cuts(matrix, p["start"], p["rate"], p.get("cap")).collect())
-            if len(points) > 2:
-                matrix = matrix.with_entries(division.row_ranges(matrix, points))
+            points = p.get("cuts") or sorted(r["cut"] for r in cuts.exponential_cuts(matrix, p["start"], p["rate"], p.get("cap")).collect())
+            if len(points) > 2:  # one block is no division
+                low = F.element_at(F.array(*[F.lit(x).cast("long") for x in points]), division.bucket_of(F.col("row"), points[:-1]) + 1)
+                matrix = _divided(matrix.with_entries(matrix.entries.withColumn("row_lo", low)), lambda m, cuts=points: division.row_ranges(m, cuts))
         elif step.name == "col_div":
-            matrix = division.col_blocks(matrix, p["width"])
+            matrix = _divided(matrix, lambda m, width=p["width"]: division.col_blocks(m, width).entries)
+        elif step.name == "compress":
+            matrix = compressed(matrix)
     return matrix
 
 
-def run(matrix: SparseMatrix, plan: Plan, x: DataFrame) -> DataFrame:
-    """row and y, by the original rows."""
-    ready = prepare(matrix, plan)
+def _divided(matrix: SparseMatrix, divide: Callable[[SparseMatrix], DataFrame]) -> SparseMatrix:
+    """Entries with block; where they have one already, a block stands for both divisions."""
+    if "block" not in matrix.entries.columns:
+        return matrix.with_entries(divide(matrix))
+    entries = divide(matrix.with_entries(matrix.entries.withColumnRenamed("block", "_earlier")))
+    new = (entries.agg(F.max("block")).first()[0] or 0) + 1
+    return matrix.with_entries(entries.withColumn("block", F.col("_earlier") * new + F.col("block")).drop("_earlier"))
+
+
+def compressed(matrix: SparseMatrix) -> SparseMatrix:
+    """Entries with block (0 if undivided) and its least column, which index widths follow from."""
+    e = matrix.entries
+    for name in ("block", "row_lo"):
+        if name not in e.columns:
+            e = e.withColumn(name, F.lit(0).cast("long"))
+    low = e.groupBy("block").agg(F.min("col").alias("col_lo"))
+    return matrix.with_entries(e.join(low, "block"))
+
+
+def relative(matrix: SparseMatrix) -> DataFrame:
+    """block, rel_row, rel_col and val of a compressed matrix."""
+    return matrix.entries.select("block", (F.col("row") - F.col("row_lo")).alias("rel_row"), (F.col("col") - F.col("col_lo")).alias("rel_col"), "val")
+
+
+def index_widths(matrix: SparseMatrix) -> DataFrame:
+    """block, and the bits that its relative rows and columns take: 8, 16 or 32 (64 beyond)."""
+    bits = lambda c: F.when(c < 1 << 8, 8).when(c < 1 << 16, 16).when(c < 1 << 32, 32).otherwise(64).cast("long")
+    sizes = relative(matrix).groupBy("block").agg(F.max("rel_row").alias("r"), F.max("rel_col").alias("c"))
+    return sizes.select("block", bits(F.col("r")).alias("row_bits"), bits(F.col("c")).alias("col_bits"))
+
+
+def lower(matrix: SparseMatrix, plan: Plan) -> levels.Levels:
+    """The level steps of a plan on a prepared matrix; levels that it leaves out are whole, threads hold one entry."""
+    rows = matrix.n_rows
     for step in plan.levels:
         if step.name == "row_pad":
-            ready = layout.pad_rows(ready, step.params.get("multiple", 32))
-    plain = ready.with_entries(ready.entries.select("row", "col", "val"))
-    sums = products.by_strategy(plain, x, plan.strategy, **{k: v for s in plan.levels for k, v in s.params.items() if k in ("size", "height", "width", "workers")})
+            matrix = padded_rows(matrix, step.params["multiple"])
+    state = levels.opened(matrix)
+    for step in plan.levels:
+        p = step.params
+        if step.name == "blb_row":
+            state = levels.blb_rows(state, p["height"]) if "height" in p else levels.blb_rows_at(state, cuts.least_nnz_cuts(matrix, p["least"]))
+        elif step.name == "blb_col":
+            state = levels.blb_cols(state, p["size"], p.get("merge_tail", True), F.col("len") >= p["from"] if "from" in p else None)
+        elif step.name == "wlb_row":
+            state = levels.wlb_rows(state, p["height"])
+        elif step.name == "wlb_col":
+            state = levels.wlb_cols(state, p["size"])
+        elif step.name == "tlb_row":
+            state = levels.tlb_rows(state)
+        elif step.name == "tlb_col":
+            state = levels.tlb_cols(state, p.get("size"))
+        elif step.name == "tlb_nnz":
+            state = levels.tlb_nnz(state, p["size"])
+    if matrix.n_rows != rows and not state.has:
+        state = levels.blb_whole(state)
+    return levels.completed(state)
+
+
+def padded_rows(matrix: SparseMatrix, multiple: int) -> SparseMatrix:
+    """Rows added at the end until their number is a multiple: is_pad entries of value 0 in the last block."""
+    e, added = matrix.entries, -matrix.n_rows % multiple
+    if "is_pad" not in e.columns:
+        e = e.withColumn("is_pad", F.lit(False))
+    last = e.agg(F.max("block").alias("block"), F.max("row_lo").alias("row_lo")).first()
+    if not added or last["block"] is None:
+        return matrix.with_entries(e)
+    new = matrix.spark.range(matrix.n_rows, matrix.n_rows + added).select(F.col("id").alias("row"))
+    values = {"col": F.lit(0).cast("long"), "val": F.lit(0.0), "block": F.lit(last["block"]), "row_lo": F.lit(last["row_lo"]), "col_lo": F.lit(0).cast("long"), "is_pad": F.lit(True)}
+    return matrix.with_entries(e.unionByName(new.withColumns(values).select(*e.columns)), n_rows=matrix.n_rows + added)
+
+
+def run(matrix: SparseMatrix | None, plan: Plan, x: DataFrame, spark: SparkSession | None = None, check: bool = True) -> DataFrame:
+    """row and y, by the original rows. check: whether the partition supports the template is looked up first."""
+    ready = prepare(matrix, plan, spark)
+    rows = ready.n_rows
+    if plan.strategy in templates.TREES and (plan.levels or plan.strategy not in products.STRATEGIES):
+        state = levels.kept(lower(ready, plan)) if check else lower(ready, plan)
+        if check and not templates.supports(state.entries, plan.strategy):
+            raise ValueError(f"the partition does not support {plan.strategy}")
+        sums = templates.product(state.entries, ready, x, plan.strategy)
+    else:
+        plain = ready.with_entries(ready.entries.select("row", "col", "val"))
+        options = {k: v for s in plan.levels for k, v in s.params.items() if k in ("size", "height", "width", "workers")}
+        sums = products.by_strategy(plain, x, plan.strategy, **options)
     if ready.row_map is not None:
         return ready.row_map.join(sums, F.col("new_row") == F.col("row")).select(F.col("old_row").alias("row"), "y")
-    return sums.filter(F.col("row") < matrix.n_rows)
+    return sums.filter(F.col("row") < (matrix.n_rows if matrix is not None else rows))
 
 
 def padding_allows(matrix: SparseMatrix, height: int, most: float = 4.0) -> bool:

@@ -48,6 +48,12 @@ def cross_validated(rows: DataFrame, width: int, metric: str = "mae", seed: int
     return CrossValidator(estimator=pipeline, estimatorParamMaps=depths, evaluator=judge, numFolds=3, seed=seed).fit(rows)
 
 
+def accepted(model, train: DataFrame, test: DataFrame, least: float = 0.7) -> bool:
+    """Whether the model explains more than `least` of the variance (R2) of both the rows it has seen and those it has not."""
+    judge = RegressionEvaluator(labelCol="target", metricName="r2")
+    return all(judge.evaluate(model.transform(rows)) > least for rows in (train, test))
+
+
 def sweep(model, row: dict[str, float], name: str, values: list[float], spark) -> DataFrame:
     """Predictions for one row with one feature swept over values."""
     rows = spark.createDataFrame([{**row, name: float(v)} for v in values])

@@ -1,6 +1,6 @@
-"""Reduction templates: which of them a partition into three levels supports, and which are worth trying.
+"""Reduction templates: which of them a partition into three levels supports, which are worth trying, and their products.
 
-Levels are the columns blb, wlb (inside blb) and tlb (inside a row) of division.nested().
+Levels are the columns blb, wlb (inside blb) and tlb (inside a row) of division.nested() or levels.Levels.
 """
 
 from __future__ import annotations
@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.model import SparseMatrix
+from lattica.operators import products
+
 #: Threads of one block that a block-wide buffer can hold.
 MOST_THREADS = 3950
 
@@ -23,6 +26,24 @@ TEMPLATES = {
     "direct_warp_reduce": ("wlb", "rows_of_wlb = 1"),
     "unaligned_warp_reduce": ("tlb, row", "blbs = 1 and wlbs = 1"),
 }
+#: Supported where another template is.
+AS = {"unaligned_total_warp_reduce": "unaligned_warp_reduce"}
+#: Sums in turn, each by its columns; a column in brackets is one that the layout fixes for the others, and is carried along.
+TREES = {
+    "direct": (("block", "blb", "wlb", "tlb", "row"), ("row",)),
+    "direct_warp_compress": (("block", "blb", "tlb", "row"), ("row",)),
+    "direct_warp_block_compress": (("block", "tlb", "row"), ("row",)),
+    "shared_memory": (("block", "blb", "wlb", "tlb", "row"), ("block", "blb", "row"), ("row",)),
+    "shared_memory_warp_compress": (("block", "blb", "tlb", "row"), ("block", "blb", "row"), ("row",)),
+    "shared_memory_long_row": (("block", "blb", "(row)"), ("row",)),
+    "shared_memory_warp_reduce": (("block", "blb", "wlb", "(row)"), ("block", "blb", "row"), ("row",)),
+    "direct_warp_reduce": (("block", "blb", "wlb", "(row)"), ("row",)),
+    "unaligned_warp_reduce": (("tlb", "row"), ("row",)),
+    "unaligned_total_warp_reduce": (("tlb", "row"), ("warp", "row"), ("row",)),
+    "empty": (),
+}
+#: Threads of a warp whose sums of one row are added up first.
+WARP = 32
 #: A template on the left is left out when one on the right of it is supported: it does the same with fewer levels.
 DOMINATED = (
     ("direct", ("direct_warp_compress", "direct_warp_block_compress", "direct_warp_reduce")),
@@ -32,9 +53,30 @@ DOMINATED = (
 )
 
 
+def product(tagged: DataFrame, matrix: SparseMatrix, x: DataFrame, template: str) -> DataFrame:
+    """row and y of a partitioned matrix, summed along a template's tree. Pads are left out: a pad times an infinite x would not be 0."""
+    if template not in TREES:
+        raise ValueError(f"no template {template}")
+    if template == "empty":
+        return matrix.rows().select("row", F.lit(0.0).alias("y"))
+    keys = [c for c in ("block", "blb", "wlb", "tlb") if c in tagged.columns]
+    real = tagged.filter(~F.col("is_pad")) if "is_pad" in tagged.columns else tagged
+    sums = products.gather(matrix.with_entries(real.select("row", "col", "val", *keys)), x, tuple(keys)).withColumnRenamed("product", "y")
+    for by in TREES[template]:
+        if "warp" in by:
+            sums = sums.withColumn("warp", F.floor(F.col("tlb") / WARP))
+        fixed = [c[1:-1] for c in by if c.startswith("(")]
+        names = [c for c in by if not c.startswith("(") and c in sums.columns]
+        sums = sums.groupBy(*names).agg(F.sum("y").alias("y"), *[F.min(c).alias(c) for c in fixed])
+    return products.complete(matrix, sums)
+
+
 def facts(tagged: DataFrame) -> DataFrame:
     """One row of counts that the templates' conditions are about."""
-    chunks = tagged.groupBy("blb", "wlb", "row", "tlb").agg(F.count("*").alias("size"))
+    size = F.max("width") if "width" in tagged.columns else F.count("*")  # a thread's pads count
+    if "block" in tagged.columns:  # the parts of a divided matrix have blocks of their own
+        tagged = tagged.withColumn("blb", F.struct("block", "blb"))
+    chunks = tagged.groupBy("blb", "wlb", "row", "tlb").agg(size.alias("size"))
     by_row = chunks.groupBy("row").agg(F.count("*").alias("t"), F.count_distinct("blb", "wlb").alias("w"), F.count_distinct("blb").alias("b"))
     rows = by_row.agg(F.max("t").alias("tlbs_of_row"), F.max("w").alias("wlbs_of_row"), F.count_if(F.col("b") > 1).alias("shared_rows"))
     by_blb = chunks.groupBy("blb").agg(F.count("*").alias("t"), F.count_distinct("row").alias("r"), F.min("size").alias("lo"), F.max("size").alias("hi"))
@@ -52,6 +94,14 @@ def supported(tagged: DataFrame) -> DataFrame:
     return facts(tagged).select(F.explode(named).alias("t")).filter("t.ok").select("t.template", "t.sums")
 
 
+def supports(tagged: DataFrame, template: str) -> bool:
+    """Whether a partition supports a template; `empty` only suits a matrix without entries."""
+    if template == "empty":
+        return tagged.isEmpty()
+    found = supported(tagged).filter(F.col("template") == AS.get(template, template))
+    return not found.isEmpty()
+
+
 def worth_trying(names: set[str]) -> set[str]:
     """What is left when dominated templates are taken away, until nothing changes."""
     left = set(names)

@@ -1,18 +1,20 @@
-"""Plan search: parameter grids, gates by row length, a budget of steps, a log of trials, the best plan."""
+"""Plan search: parameter grids, matrix strategies, skeletons by row length, a budget of steps, a log of trials, the best plan."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import features
-from lattica.plans.graph import Plan, Step, run, violations
+from lattica.operators import cuts, features, products
+from lattica.plans.graph import Plan, Step, prepare, run, violations
+from lattica.session import cut
 
 LOG = "ops array<string>, strategies array<string>, template string, params array<double>, metric double"
 
@@ -54,50 +56,201 @@ class Budget:
         return self.steps > 0 and time.monotonic() - self.began < self.seconds
 
 
-#: Gates on the shortest and longest row, and what each admits: strategy and its option's values.
-GATES = (
-    ("long_rows", lambda lo, hi, is_sorted: lo >= 128, "chunks", "size", (128, 512, 4096)),
-    ("short_padded", lambda lo, hi, is_sorted: hi <= 512, "sell", "height", (64, 128, 256)),
-    ("short_ell", lambda lo, hi, is_sorted: hi <= 512, "ell", "width", (0,)),
-    ("irregular", lambda lo, hi, is_sorted: not is_sorted, "tiles", "size", (256, 1024)),
-    ("middle", lambda lo, hi, is_sorted: lo >= 30 and hi <= 512, "chunks", "size", (32, 64)),
-    ("wide", lambda lo, hi, is_sorted: hi <= 1024, "chunks", "size", (4, 16)),
+PADS, HEIGHTS_BY_NNZ, WIDTHS = (32, 64), (128, 512, 896), tuple(range(1, 17, 3))
+
+
+@dataclass(frozen=True)
+class Block:
+    """What the gates look at: row lengths of one part of a matrix."""
+
+    least: int
+    longest: int
+    average: int
+    is_sorted: bool
+
+
+def _doubled(low: int, high: int) -> list[int]:
+    return [low << i for i in range(32) if low << i <= high]
+
+
+def _warps(b: Block) -> list[int]:
+    return list(range(32, max(32, min(b.longest, 128)) + 1, 32))
+
+
+#: Skeletons: number, gate, template, and the level steps for each choice of sizes.
+SKELETONS: tuple[tuple[int, Callable[[Block], bool], str, Callable[[Block], list[tuple[Step, ...]]]], ...] = (
+    (8, lambda b: b.least >= 128, "shared_memory_long_row", lambda b: [(Step("blb_col", {"size": n}),) for n in _doubled(128, min(4096, -(-b.longest // 32) * 32))]),
+    (1, lambda b: b.longest <= 512, "direct_warp_compress", lambda b: [(Step("row_pad", {"multiple": n}), Step("blb_row", {"height": n}), Step("tlb_row")) for n in range(64, 257, 64)]),
+    (5, lambda b: b.longest <= 512, "direct_warp_block_compress", lambda b: [(Step("row_pad", {"multiple": 32}), Step("tlb_row"))]),
+    (9, lambda b: not b.is_sorted, "unaligned_warp_reduce", lambda b: [(Step("tlb_nnz", {"size": n}),) for n in sorted({max(1, min(b.average, 32) * i // 4) for i in range(1, 5)})]),
+    (4, lambda b: b.least >= 30 and b.longest <= 512, "direct_warp_reduce", lambda b: [(Step("wlb_col", {"size": n}),) for n in _warps(b)]),
+    (6, lambda b: b.least >= 32 and b.longest <= 1024, "shared_memory_warp_reduce", lambda b: [(Step("row_pad", {"multiple": n}), Step("blb_row", {"height": n}), Step("wlb_col", {"size": w})) for n in (2, 4) for w in _warps(b)]),
+    (7, lambda b: b.least >= 32 and b.longest <= 1024, "shared_memory_warp_reduce", lambda b: [(Step("blb_row", {"least": n}), Step("wlb_col", {"size": w})) for n in HEIGHTS_BY_NNZ for w in _warps(b)]),
+    (2, lambda b: b.longest <= 1024, "shared_memory_warp_compress", lambda b: [(Step("row_pad", {"multiple": n}), Step("blb_row", {"height": n}), Step("tlb_col", {"size": w})) for n in PADS for w in WIDTHS]),
+    (3, lambda b: b.longest <= 1024, "shared_memory_warp_compress", lambda b: [(Step("blb_row", {"least": n}), Step("tlb_col", {"size": w})) for n in HEIGHTS_BY_NNZ for w in WIDTHS]),
 )
 
 
-def candidates(matrix: SparseMatrix, blocks: Iterable[tuple[Step, ...]] = ((),)) -> list[Plan]:
-    """Plans that the gates admit, for each prefix of dense steps; all of them are legal."""
+def facts_of(matrix: SparseMatrix) -> Block:
+    """The gates' numbers of a whole matrix, or of a part of one: rows outside the part do not count."""
+    if "row_lo" in matrix.entries.columns:
+        rows = matrix.entries.groupBy("row").agg(F.count("*").alias("k"))
+        got = rows.agg(F.min("k").alias("least"), F.max("k").alias("longest"), F.floor(F.avg("k")).alias("average")).first()
+        return Block(got["least"] or 0, got["longest"] or 0, got["average"] or 0, False)
     info = features.matrix_info(matrix).first()
-    out = [Plan()]
-    for dense, (_, gate, strategy, option, values) in itertools.product(blocks, GATES):
-        if gate(info["min_nnz"], info["max_nnz"], info["is_sorted"]):
-            for value in values:
-                levels = (Step("tlb_col", {option: value}),) if value else ()
-                out.append(Plan((*dense, Step("compress")), levels, strategy))
-    distinct = [Plan.of(record) for record in dict.fromkeys(map(Plan.record, out))]
-    return [plan for plan in distinct if not violations(plan)]
+    return Block(info["min_nnz"] or 0, info["max_nnz"] or 0, info["avg_nnz"] or 0, bool(info["is_sorted"]))
+
+
+def skeleton_plans(block: Block, dense: tuple[Step, ...] = ()) -> list[tuple[int, Plan]]:
+    """Skeletons that the gates admit, with each choice of sizes; all plans are legal."""
+    out = [(number, Plan((*dense, Step("compress")), steps, template)) for number, gate, template, sizes in SKELETONS if gate(block) for steps in sizes(block)]
+    return [(number, plan) for number, plan in out if not violations(plan)]
+
+
+def candidates(matrix: SparseMatrix, dense: tuple[Step, ...] = ()) -> list[Plan]:
+    """The plans of the skeletons for a matrix, each once."""
+    plans = [plan for _, plan in skeleton_plans(facts_of(matrix), dense)]
+    return [Plan.of(record) for record in dict.fromkeys(map(Plan.record, plans))]
+
+
+SECOND = (32, 4, 4096)
+THIRD = tuple((start, rate, 2048) for start in (512, 128, 32) for rate in (4, 8, 16))
+MOST_BLOCKS = 4
+
+
+def sorted_cuts(matrix: SparseMatrix, grid_points: Iterable[tuple[int, int, int]]) -> dict[tuple[int, int, int], list[int]]:
+    """Cut points of exponential divisions after a sort by length, from the rows in each window: a handful of numbers."""
+    points = list(grid_points)
+    lengths = matrix.row_nnz()
+    windows = F.array(*[F.struct(F.lit(i).alias("i"), cuts.window_of(F.col("k"), *p).cast("long").alias("w")) for i, p in enumerate(points)])
+    sizes = lengths.select(F.explode(windows).alias("x")).groupBy("x.i", "x.w").agg(F.count("*").alias("n")).collect()
+    out = {}
+    for i, p in enumerate(points):
+        own = sorted(((r["w"], r["n"]) for r in sizes if r["i"] == i), reverse=True)
+        out[p] = list(itertools.accumulate([0, *[n for _, n in own]]))
+    return out
+
+
+def matrix_strategies(matrix: SparseMatrix) -> list[tuple[int, tuple[int, int, int] | None, list[int], tuple[Step, ...] | None]]:
+    """strategy, (start, rate, cap), cut points, and the dense steps where it is admitted.
+
+    1: the matrix as it is. 2: exponential row division, if it gives 2 to 4 blocks. 3: a sort by length unless the rows are in
+    that order, then each of nine exponential divisions into at most 4 blocks; of equal divisions the first one.
+    """
+    out = [(1, None, [0, matrix.n_rows], ())]
+    start, rate, cap = SECOND
+    # One more cut than can be admitted tells enough.
+    found = cuts.exponential_cuts(matrix, start, rate, cap)
+    points = [r["cut"] for r in found.orderBy("cut").limit(MOST_BLOCKS + 2).collect()]
+    fits = 2 <= len(points) - 1 <= MOST_BLOCKS
+    out.append((2, SECOND, points, (Step("row_div", {"start": start, "rate": rate, "cap": cap}),) if fits else None))
+    in_order = bool(features.sorted_by_length(matrix).first()["descending"])
+    sort, seen = () if in_order else (Step("coarse_sort", {"every": 1}),), set()
+    for p, points in sorted_cuts(matrix, THIRD).items():
+        fits = len(points) - 1 <= MOST_BLOCKS and tuple(points) not in seen
+        seen.add(tuple(points))
+        divide = (Step("row_div", {"cuts": points}),) if len(points) > 2 else ()
+        out.append((3, p, points, (*sort, *divide) if fits else None))
+    return out
+
+
+def split_time(total: float, shares: tuple[float, ...] = (0.1, 0.25, 1.0), used: float = 0.95) -> list[float]:
+    """Seconds for each matrix strategy: a share of what is left, the next ones get the rest."""
+    out, left = [], total * used
+    for share in shares:
+        out.append(left * share)
+        left -= out[-1]
+    return out
 
 
-def matrix_strategies() -> list[tuple[Step, ...]]:
-    """Prefixes of dense steps: none; exponential row division; coarse sort with exponential row divisions."""
-    plain = [(), (Step("row_div", {"start": 32, "rate": 4, "cap": 4096}),)]
-    by_sort = [(Step("coarse_sort", {"every": 1}), Step("row_div", {"start": s, "rate": r, "cap": 2048})) for s in (512, 128, 32) for r in (4, 8, 16)]
-    return plain + by_sort
+def trial(matrix: SparseMatrix, x: DataFrame, plan: Plan, timer: Callable[[], float]) -> tuple:
+    """One row of the log: operations, options, template, numbers and products per second (0 for an unsupported partition)."""
+    began = timer()
+    try:
+        run(matrix, plan, x).write.format("noop").mode("overwrite").save()
+        metric = 1.0 / max(timer() - began, 1e-9)
+    except ValueError:
+        metric = 0.0
+    steps = [*plan.dense, *plan.levels]
+    params = [float(v) for s in steps for v in s.params.values() if isinstance(v, int | float)]
+    return [s.name for s in steps], sorted({k for s in steps for k in s.params}), plan.strategy, params, metric
 
 
 def search(matrix: SparseMatrix, x: DataFrame, plans: Iterable[Plan], budget: Budget, timer: Callable[[], float] = time.perf_counter) -> DataFrame:
     """The log of trials: each plan's operations, options and products per second."""
-    spark, rows = matrix.spark, []
+    rows = []
     for plan in plans:
-        began = timer()
-        run(matrix, plan, x).write.format("noop").mode("overwrite").save()
-        metric = 1.0 / max(timer() - began, 1e-9)
-        steps = [*plan.dense, *plan.levels]
-        params = [float(v) for s in steps for v in s.params.values() if isinstance(v, int | float)]
-        rows.append(([s.name for s in steps], sorted({k for s in steps for k in s.params}), plan.strategy, params, metric))
-        if not budget.tell(metric):
+        rows.append(trial(matrix, x, plan, timer))
+        if not budget.tell(rows[-1][-1]):
             break
-    return spark.createDataFrame(rows, LOG)
+    return matrix.spark.createDataFrame(rows, LOG)
+
+
+def parts_of(matrix: SparseMatrix, dense: tuple[Step, ...]) -> list[SparseMatrix]:
+    """The blocks of a prepared matrix, at most MOST_BLOCKS by the gates, each with all dimensions and one block number."""
+    ready = prepare(matrix, Plan((*dense, Step("compress"))))
+    ready = ready.with_entries(cut(ready.entries))
+    numbers = sorted(r["block"] for r in ready.entries.select("block").distinct().collect())
+    return [ready.with_entries(ready.entries.filter(F.col("block") == n).drop("col_lo")) for n in numbers]
+
+
+def search_blocks(matrix: SparseMatrix, x: DataFrame, dense: tuple[Step, ...], budget: Budget, timer: Callable[[], float] = time.perf_counter) -> list[tuple[Plan, float]]:
+    """The best plan of each block by the metric, the direct one where nothing else is supported."""
+    out = []
+    for part in parts_of(matrix, dense):
+        chosen = (Plan((Step("compress"),), (), "direct"), 0.0)
+        for plan in candidates(part):
+            metric = trial(part, x, plan, timer)[-1]
+            if metric > chosen[1]:
+                chosen = (plan, metric)
+            if not budget.tell(metric):
+                break
+        out.append(chosen)
+    return out
+
+
+def run_blocks(matrix: SparseMatrix, x: DataFrame, dense: tuple[Step, ...], plans: Callable[[int], Plan]) -> DataFrame:
+    """row and y: each block by its plan, the blocks' sums added up, rows as they were before a sort."""
+    parts = parts_of(matrix, dense)
+    plain = [replace(p, row_map=None) for p in parts]
+    each = [run(p, plans(i), x, check=False).filter("y != 0") for i, p in enumerate(plain)]
+    if not each:
+        return products.complete(matrix, matrix.entries.select("row", F.lit(0.0).alias("y")).filter("false"))
+    sums = functools.reduce(DataFrame.unionByName, each).groupBy("row").agg(F.sum("y").alias("y"))
+    if parts[0].row_map is None:
+        return products.complete(matrix, sums)
+    back = parts[0].row_map.join(sums, F.col("new_row") == F.col("row"), "left")
+    return back.select(F.col("old_row").alias("row"), F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+def whole_search(matrix: SparseMatrix, x: DataFrame, seconds: float = 32_400.0, steps: int = 10, timer: Callable[[], float] = time.perf_counter) -> tuple[tuple[Step, ...], list[Plan], float]:
+    """The dense steps and block plans with the best metric over all admitted strategies, each within its share of the time."""
+    best_found: tuple = ((), [], 0.0)
+    admitted = matrix_strategies(matrix)
+    for number, share in zip((1, 2, 3), split_time(seconds), strict=True):
+        until = timer() + share
+        for strategy, _, _, dense in admitted:
+            if strategy != number or dense is None or timer() >= until:
+                continue
+            plans = [plan for plan, _ in search_blocks(matrix, x, dense, Budget(steps=steps, seconds=until - timer()), timer)]
+            began = timer()
+            run_blocks(matrix, x, dense, plans.__getitem__).write.format("noop").mode("overwrite").save()
+            metric = 1.0 / max(timer() - began, 1e-9)
+            if metric > best_found[2]:
+                best_found = (dense, plans, metric)
+    return best_found
+
+
+#: Threads that a template is tried with: first, last and step.
+THREADS = {"direct_warp_block_compress": (32, 256, 32), "direct_warp_reduce": (32, 512, 64), "unaligned_warp_reduce": (64, 256, 64)}
+MOST_GROUPS = 65_534
+
+
+def template_params(work: DataFrame) -> DataFrame:
+    """template, threads and groups (of that many threads, capped) for each choice of threads. work: template and work (its threads in all)."""
+    ranges = F.create_map(*[F.lit(y) for t, r in THREADS.items() for y in (t, F.sequence(*[F.lit(n) for n in r]))])
+    each = work.withColumn("threads", F.explode(ranges[F.col("template")]))
+    return each.select("template", "threads", F.least(F.ceil(F.col("work") / F.col("threads")), F.lit(MOST_GROUPS)).alias("groups"))
 
 
 def best(log: DataFrame) -> DataFrame:
@@ -114,12 +267,3 @@ def append_log(log: DataFrame, path: str) -> None:
 def write_report(log: DataFrame, path: str) -> None:
     """The best trial as JSON, over what was there."""
     best(log).coalesce(1).write.mode("overwrite").json(path)
-
-
-def split_time(total: float, shares: tuple[float, ...] = (0.1, 0.25, 1.0), used: float = 0.95) -> list[float]:
-    """Seconds for each matrix strategy: a share of what is left, the next ones get the rest."""
-    out, left = [], total * used
-    for share in shares:
-        out.append(left * share)
-        left -= out[-1]
-    return out

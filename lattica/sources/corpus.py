@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.session import cut
+
 #: Selection of the matrices that a corpus is built from.
 LEAST_NNZ, MOST_NNZ, LEAST_ROWS = 50_000, 60_000_000, 9_000
 
@@ -66,3 +68,14 @@ def append_new(rows: DataFrame, path: str, key: str = "name") -> int:
     if n:
         new.write.mode("append").parquet(path)
     return n
+
+
+def name_ids(catalog: DataFrame, name: str) -> DataFrame:
+    """name and id: the names' numbers in order, from 0, by ranges of names that are counted first."""
+    names = catalog.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    ranged = cut(names.repartitionByRange("name").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    return ranged.withColumn("at", inside).join(F.broadcast(starts), "part").select("name", (F.col("start") + F.col("at")).alias("id"))
