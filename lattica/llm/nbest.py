@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import Memo, as_strings, distinct, held, slices
+from lattica.llm.text import Lookup, Memo, as_strings, distinct, held, slices
 
 MODEL = "piece_bpe_32k.model"
 NBEST = 3
@@ -46,6 +46,10 @@ UNKNOWN_COST = 10.0
 NEVER = float("-inf")
 #: Characters of a cell whose lattice is kept while it is searched.
 KEPT = 4096
+#: Characters of a cell that is worked on beside others, and of all cells that are.
+BATCH_CELL, BATCH_CHARS = 64, 400_000
+#: Bits of a code point in a step's key.
+POINT_BITS = 21
 SPACE = "▁"
 SLICE_BYTES = 3 << 20
 
@@ -84,6 +88,17 @@ class Pieces:
                 node = node.setdefault(c, [{}, None])[0]
             node.setdefault(piece[-1], [{}, None])[1] = own
         self.longest = max(map(len, self.score), default=1)
+        # The same as numbered nodes, for many cells at once.
+        numbers, steps = {"": 0}, {}
+        for piece in self.known:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in numbers:
+                    numbers[piece[:k]] = len(numbers)
+                    steps[(numbers[piece[: k - 1]] << POINT_BITS) | ord(piece[k - 1])] = numbers[piece[:k]]
+        self.steps = Lookup(np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps)))
+        self.piece_of, self.score_of = np.full(len(numbers), -1, np.int64), np.zeros(len(numbers))
+        for piece, (score, i) in self.known.items():
+            self.piece_of[numbers[piece]], self.score_of[numbers[piece]] = i, score
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_COST
 
     def cells(self, text: str) -> list[str]:
@@ -148,6 +163,86 @@ class Pieces:
             at = choice[2]
         return best[-1], self._ids(trail), loss
 
+    def firsts(self, items: list[str]) -> list[bytes]:
+        """first() of each cell, packed. Cells of at most `BATCH_CELL` characters are worked on side by side."""
+        out: list[bytes] = [b""] * len(items)
+        batch: list[int] = []
+        chars = 0
+        for i, x in enumerate(items):
+            if not 0 < len(x) <= BATCH_CELL:
+                out[i] = pack(*self.first(x))
+                continue
+            batch.append(i)
+            chars += len(x)
+            if chars > BATCH_CHARS or i == len(items) - 1:
+                self._side_by_side(items, batch, out)
+                batch, chars = [], 0
+        if batch:
+            self._side_by_side(items, batch, out)
+        return out
+
+    def _lattice(self, points: np.ndarray, last: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+        """begin, end, piece and score of every step. last: where each character's cell ends; node: its number in the lattice."""
+        at, state, alone = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points), bool)
+        steps = []
+        for size in range(1, self.longest + 1):
+            inside = at + size <= last[at]
+            at, state = at[inside], state[inside]
+            state, there = self.steps.find((state << POINT_BITS) | points[at + size - 1])
+            at, state = at[there], state[there]
+            if not len(at):
+                break
+            whole = self.piece_of[state] >= 0
+            if size == 1:
+                alone[at[whole]] = True
+            steps.append((node[at[whole]], node[at[whole]] + size, self.piece_of[state[whole]], self.score_of[state[whole]]))
+        odd = np.flatnonzero(~alone)
+        steps.append((node[odd], node[odd] + 1, -points[odd] - 1, np.full(len(odd), self.unknown)))
+        return tuple(np.concatenate(x) for x in zip(*steps, strict=True))
+
+    def _side_by_side(self, items: list[str], batch: list[int], out: list[bytes]) -> None:
+        """Fills in the packed best segmentations of a batch of short cells."""
+        cells = [items[i] for i in batch]
+        points = np.frombuffer("".join(cells).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size, number = np.fromiter(map(len, cells), np.int64, len(cells)), np.arange(len(cells))
+        ends = np.cumsum(size)
+        # A cell has a node before each character and one at its end.
+        origin = ends - size + number
+        begin, end, piece, score = self._lattice(points, np.repeat(ends, size), np.arange(len(points)) + np.repeat(number, size))
+        place = np.arange(len(points) + len(cells)) - np.repeat(origin, size + 1)
+        order = np.lexsort((end, place[end]))
+        begin, end, piece, score = begin[order], end[order], piece[order], score[order]
+        best = np.full(len(place), NEVER)
+        best[origin] = 0.0
+        bounds = np.searchsorted(place[end], np.arange(1, int(size.max()) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # every prefix of one length after another
+            first = np.flatnonzero(np.concatenate(([True], end[a + 1 : b] != end[a : b - 1])))
+            best[end[a:b][first]] = np.maximum.reduceat(best[begin[a:b]] + score[a:b], first)
+        lost = best[end] - best[begin] - score
+        order = np.lexsort((begin, piece, lost, end))
+        begin, end, piece, lost = begin[order], end[order], piece[order], np.append(lost[order], np.inf)
+        choice = np.searchsorted(end, np.arange(len(place)))
+        rival = np.append(end, -1)
+        at, loss, count, odd, walk = origin + size, np.full(len(cells), np.inf), np.zeros(len(cells), np.int64), np.zeros(len(cells), bool), []
+        live = number
+        while len(live):
+            own = choice[at[live]]
+            loss[live] = np.minimum(loss[live], np.where(rival[own + 1] == at[live], lost[own + 1], np.inf))
+            walk.append((live, count[live], piece[own]))
+            odd[live] |= piece[own] < 0
+            count[live] += 1
+            at[live] = begin[own]
+            live = live[at[live] != origin[live]]
+        start = np.cumsum(count + 4) - count - 4
+        packed = np.zeros(int((count + 4).sum()), "<i4")
+        for who, step, what in walk:
+            packed[start[who] + 3 + count[who] - step] = what
+        packed[start[:, None] + np.arange(4)] = np.stack((best[origin + size], loss), axis=1).view("<i4")
+        data, edges = packed.tobytes(), np.append(start, len(packed)) * 4
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            # A character without a piece is several bytes.
+            out[batch[k]] = pack(*self.first(cells[k])) if odd[k] else data[a:b]
+
     def search(self, text: str, n: int) -> Ranked:
         """The n best segmentations with their scores, best first: A-star backward over the lattice.
 
@@ -225,7 +320,7 @@ class NBestCoder:
     def __init__(self, model: str = MODEL, n: int = NBEST):
         self.pieces, self.n = Pieces(model), n
         self.table = pa.array(self.pieces.as_bytes, pa.large_binary())
-        self.firsts = Memo(lambda items: [pack(*self.pieces.first(x)) for x in items], 400_000)
+        self.firsts = Memo(self.pieces.firsts, 400_000)
         self.units = Memo(self._units_first, 50_000)
         self.ranked = Memo(lambda items: [self.rank(x) for x in items], 10_000)
 

@@ -105,6 +105,12 @@ def test_kept_and_looked_up_steps_give_the_same(coder, monkeypatch, text):
     assert (coder.pieces.search(text, 6), coder.pieces.first(text)) == want
 
 
+@given(st.lists(st.text(alphabet=st.sampled_from("▁the ofrain.,\né日🙂aS1"), min_size=1, max_size=80), min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_cells_side_by_side_equal_single_ones(coder, cells):
+    assert coder.pieces.firsts(cells) == [nbest.pack(*coder.pieces.first(x)) for x in cells]
+
+
 def test_an_unbroken_text_takes_linear_time(coder):
     rng = random.Random(1)
     for text in ("a" * 300_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=300_000))):
