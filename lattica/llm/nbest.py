@@ -88,6 +88,8 @@ class Pieces:
                 node = node.setdefault(c, [{}, None])[0]
             node.setdefault(piece[-1], [{}, None])[1] = own
         self.longest = max(map(len, self.score), default=1)
+        beside = np.fromiter(((ord(a) << POINT_BITS) | ord(b) for a, b in self.pairs), np.int64, len(self.pairs))
+        self.beside = Lookup(beside, np.ones(len(beside), np.int64))
         # The same as numbered nodes, for many cells at once.
         numbers, steps = {"": 0}, {}
         for piece in self.known:
@@ -108,6 +110,19 @@ class Pieces:
         cuts = [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in self.pairs]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
+    def cells_of(self, items: list[str]) -> tuple[list[str], np.ndarray]:
+        """The cells of all texts, one after another, and how many each text has. Texts are not empty."""
+        whole = "".join(items)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, items), np.int64, len(items)))
+        apart = np.zeros(len(points) + 1, bool)
+        apart[1:-1] = ~self.beside.find((points[:-1] << POINT_BITS) | points[1:])[1]
+        apart[ends] = True
+        cuts = np.flatnonzero(apart)
+        number = np.diff(np.searchsorted(cuts, ends, "right"), prepend=0)
+        cuts = cuts.tolist()
+        return [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], number
+
     def forward(self, text: str) -> tuple[list[float] | array, Callable[[int], list]]:
         """The Viterbi score of every prefix, and the steps (piece, begin, score) of the lattice into each place.
 
@@ -300,35 +315,40 @@ def merge(lists: list[Ranked], n: int) -> Ranked:
     return out
 
 
-PAIR = struct.Struct("<dd")
-
-
 def pack(score: float, ids: tuple[int, ...], loss: float) -> bytes:
     """A best segmentation as bytes: its score, what the second best loses, and 32-bit ids. Memos hold these: they are small."""
     return struct.pack(f"<dd{len(ids)}i", score, loss, *ids)
 
 
-def joined(parts: list[bytes]) -> bytes:
-    """The packed best segmentation of cells side by side."""
-    pairs = [PAIR.unpack_from(p) for p in parts]
-    return PAIR.pack(sum(p[0] for p in pairs), min(p[1] for p in pairs)) + b"".join(p[16:] for p in parts)
-
-
 class NBestCoder:
     """Encodes texts with a model's pieces."""
 
     def __init__(self, model: str = MODEL, n: int = NBEST):
         self.pieces, self.n = Pieces(model), n
         self.table = pa.array(self.pieces.as_bytes, pa.large_binary())
-        self.firsts = Memo(self.pieces.firsts, 400_000)
-        self.units = Memo(self._units_first, 50_000)
+        self.firsts = Memo(self.pieces.firsts, 250_000)
+        self.units = Memo(self._units_first, 200_000)
         self.ranked = Memo(lambda items: [self.rank(x) for x in items], 10_000)
 
     def _units_first(self, items: list[str]) -> list[bytes]:
-        """The packed best segmentation of each unit."""
-        cells = [self.pieces.cells(x) for x in items]
-        got = iter(self.firsts(list(chain.from_iterable(cells))))
-        return [next(got) if len(own) == 1 else joined([next(got) for _ in own]) for own in cells]
+        """The packed best segmentation of each unit: scores of its cells add up, and the least loss is its own."""
+        cells, number = self.pieces.cells_of(items)
+        packed = self.firsts(cells)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        every = np.frombuffer(b"".join(packed), dtype="<i4")
+        start = np.cumsum(size) - size
+        first = np.cumsum(number) - number
+        head = np.ascontiguousarray(every[start[:, None] + np.arange(4)]).view("<f8")
+        best, loss = np.add.reduceat(head[:, 0], first), np.minimum.reduceat(head[:, 1], first)
+        # The heads of a unit's first cell become the unit's, those of its other cells go.
+        lead = np.zeros(len(cells), bool)
+        lead[first] = True
+        kept = np.ones(len(every), bool)
+        kept[start[~lead][:, None] + np.arange(4)] = False
+        every = every.copy()
+        every[start[first][:, None] + np.arange(4)] = np.stack((best, loss), axis=1).view("<i4")
+        data, edges = every[kept].tobytes(), np.concatenate(([0], np.cumsum(np.add.reduceat(size - 4 * ~lead, first)))) * 4
+        return [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def rank(self, text: str) -> Ranked:
         """The n best segmentations of normal text."""
