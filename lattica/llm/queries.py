@@ -1,4 +1,4 @@
-"""The ten operators applied to the documents, by query name, with SQL where SQL can express them."""
+"""The operators applied to the documents, by query name, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import decontaminate, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts
+from lattica.llm import decontaminate, filter_audit, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -66,10 +66,15 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards,
         op6_repeated_windows, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash,
+        op11_filter_audit,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
@@ -109,6 +114,37 @@ FROM words LEFT JOIN kept ON words.d = kept.d
 """
 
 
+OP11_SQL = r"""
+WITH rows AS (SELECT row_number() OVER () AS d, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM rows),
+own AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN words.doc_id > min(words.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM words LEFT JOIN own ON own.doc_id = words.doc_id),
+kinds AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failing GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+cells AS (
+  SELECT part, filter_order, step, filter_order[step] AS f,
+         sum(n) FILTER (WHERE len(list_intersect(string_split(fails, ''), string_split(filter_order[1:step], ''))) = 0) AS kept,
+         sum(n) FILTER (WHERE here) AS removed, sum(n) FILTER (WHERE contains(fails, filter_order[step]) AND NOT here) AS redundant,
+         sum(n) FILTER (WHERE fails = filter_order[step]) AS unique_fails, sum(good) FILTER (WHERE here) AS good_lost, sum(toxic) FILTER (WHERE here) AS toxic_lost
+  FROM (SELECT *, contains(fails, filter_order[step]) AND len(list_intersect(string_split(fails, ''), string_split(filter_order[1:step - 1], ''))) = 0 AS here FROM kinds, steps)
+  GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM cells
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    own = {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL}
+    own = {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL, "op11_filter_audit": OP11_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
