@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import decontaminate, filter_audit, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts
+from lattica.llm import decontaminate, filter_audit, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts, vector_codes
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -70,11 +70,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards,
         op6_repeated_windows, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash,
-        op11_filter_audit,
+        op11_filter_audit, op13_vector_codes,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
@@ -145,6 +149,34 @@ FROM cells
 """
 
 
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Assignments and means, one common table each, as many times as there are rounds; vectors of one length."""
+    head = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+p AS MATERIALIZED (SELECT d, i AS part, w[i * (len(w) // {parts}) + 1:(i + 1) * (len(w) // {parts})] AS x FROM v, (SELECT unnest(range(0, {parts})) AS i)),
+c0 AS MATERIALIZED (SELECT part, e, x AS y FROM p JOIN (SELECT d, row_number() OVER (ORDER BY vec_id, w) - 1 AS e FROM v) USING (d) WHERE e < {entries})"""
+    near = """a{n} AS MATERIALIZED (
+  SELECT d, part, any_value(x) AS x, arg_min(e, (dist, e)) AS e, min(dist) AS dist
+  FROM (SELECT d, p.part, x, e, CAST(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS dist FROM p JOIN c{n} c ON c.part = p.part)
+  GROUP BY d, part)"""
+    move = """s{m} AS (SELECT part, e, j, CAST(sum(t) AS BIGINT) AS t, count(*) AS n FROM (SELECT part, e, unnest(x) AS t, unnest(range(0, len(x))) AS j FROM a{n}) GROUP BY ALL),
+c{m} AS MATERIALIZED (
+  SELECT c.part, c.e, coalesce(m.y, c.y) AS y FROM c{n} c
+  LEFT JOIN (SELECT part, e, list((t - ((t % n) + n) % n) // n ORDER BY j) AS y FROM s{m} GROUP BY part, e) m ON m.part = c.part AND m.e = c.e)"""
+    chain = [head.strip()]
+    for n in range(rounds):
+        chain += [near.format(n=n), move.format(n=n, m=n + 1)]
+    chain += [near.format(n=rounds), f"""h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) AS hash FROM c{rounds}),
+r AS (SELECT d, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY d)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, hash AS codebooks_sha256 FROM r JOIN v USING (d), h"""]
+    return ",\n".join(chain)
+
+
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    own = {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL, "op11_filter_audit": OP11_SQL}
+    own = {"op6_repeated_windows": OP6_SQL, "op7_line_runs": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_vector_codes": OP13_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
