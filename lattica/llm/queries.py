@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import decontaminate, filter_audit, language, line_dedup, near_dedup, nbest, ppm, quality, sharding, substring_dedup, token_counts, vector_codes
+from lattica.llm import decontaminate, filter_audit, language, line_dedup, near_dedup, nbest, packing, ppm, quality, sharding, substring_dedup, token_counts, vector_codes
 from lattica.llm.text import crc_mod, sha256_hex
 
 SHARDS, TOKEN_LIMIT = 40, 2048
@@ -70,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -78,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_nbest_pieces, op2_ppm_score, op3_target_ratio, op4_edit_matches, op5_jump_shards,
         op6_repeated_windows, op7_line_runs, op8_language, op9_token_counts, op10_weighted_minhash,
-        op11_filter_audit, op13_vector_codes,
+        op11_filter_audit, op12_stock_packing, op13_vector_codes,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
