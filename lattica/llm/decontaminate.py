@@ -163,7 +163,7 @@ def with_matches(
     block, following = next(rest), next(rest, None)
     if following is None:
         return docs.withColumn(into, matches(F.col(text_col), spark.sparkContext.broadcast(block), rate))
-    key = F.struct(F.xxhash64(text_col), F.xxhash64(text_col, F.lit(1)))  # equal texts hold equal items
+    key = F.struct(F.xxhash64(text_col).alias("col1"), F.xxhash64(F.lit(1), text_col).alias("col2"))  # equal texts hold equal items
     path = f"{shared_dir(spark)}/edit-matches-{uuid.uuid4().hex}"
     while block is not None:
         model = spark.sparkContext.broadcast(block)

@@ -182,21 +182,32 @@ def fit(
 ) -> dict[str, str]:
     """Running text of each language: at most `sample_chars` characters of at most `sample_docs` labelled texts.
 
-    The texts are those with the smallest hash of the key among the labelled rows that hold a letter; a first
+    The texts are those with the smallest hash of id and text among the labelled rows that hold a letter; a first
     pass counts these and so gives the share of rows to look at, so that only about ten times the sample is
-    sorted. A longer text gives its beginning from the first letter on, so every label of a text with a letter has a sample.
+    sorted. Equal rows have one hash and may fall out of that share together: a label that comes out short is looked
+    at whole, so every label of a text with a letter has a sample, whatever its rows' ids are. A longer text gives
+    its beginning from the first letter on.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (F.col("l") != "") & F.col("t").rlike(r"\p{L}"))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    rank = F.xxhash64("id")
+    rank = F.xxhash64("id", "t")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (10 * sample_docs + 50) / n))])
-    near = rows.filter((rank / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("l")])
-    near = near.withColumn("t", F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, sample_chars))
-    order = Window.partitionBy("l").orderBy(rank, "id", "t")
-    sample = cut(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs))
+    # The hash is taken before the text is cut.
+    beginning = F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, sample_chars)
+    ranked = rows.select("l", rank.alias("rank"), "id", beginning.alias("t"))
+    near = ranked.filter((F.col("rank") / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("l")])
+    order = ("rank", "id", "t")
+    sample = cut(near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(*order))).filter(F.col("k") <= sample_docs).select("l", "k", "t"))
+    got = {r["l"]: r["n"] for r in sample.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    short = [x for x, n in sizes.items() if got.get(x, 0) < min(n, sample_docs)]
+    if short:
+        sample = sample.filter(~F.col("l").isin(short))
+    for x in short:  # only labels of many equal rows
+        first = ranked.filter(F.col("l") == x).orderBy(*order).limit(sample_docs)
+        sample = sample.unionByName(first.select("l", F.row_number().over(Window.orderBy(*order)).alias("k"), "t"))
     texts: dict[str, list[str]] = {}
     for row in sample.orderBy("l", "k").toLocalIterator():
         texts.setdefault(row["l"], []).append(running(pa.array([row["t"]], pa.large_string()))[0].as_py())

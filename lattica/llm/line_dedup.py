@@ -225,7 +225,7 @@ def _drop_by_shuffle(docs: DataFrame, settled: DataFrame, into: str, text_col: s
             kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
         return _result(n, k, [pa.array(kept, pa.large_string())])
 
-    name = F.struct(F.xxhash64(text_col), F.xxhash64(text_col, F.lit(1)))  # equal texts lose equal lines
+    name = F.struct(F.xxhash64(text_col).alias("col1"), F.xxhash64(F.lit(1), text_col).alias("col2"))  # equal texts lose equal lines
     lines = docs.select(name.alias("text_key"), F.col(text_col).alias("t")).dropDuplicates(["text_key"])
     lines = lines.select("text_key", F.explode(hashes("t")).alias("line")).select("text_key", "line.*")
     hits = lines.join(settled, KEY, "left_semi").groupBy("text_key").agg(F.collect_set("at").alias("hits"))

@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import Lookup, as_strings, distinct, held, let_go, per_text, row_key, slices, split_words
+from lattica.llm.text import Lookup, as_strings, distinct, give_back, held, let_go, per_text, row_key, slices, split_words
 from lattica.session import cut
 
 ORDER, DEAL = 6, 3
 HOT_TOKENS, HOT_PAIRS = 500_000, 2_000_000
 SLICE_BYTES, CHUNK = 4 << 20, 2 << 20
 #: Rows that a counting task holds before equal ones are added up.
-MOST_ROWS = 4_000_000
+MOST_ROWS = 3_000_000
 MOST_PARTS = 4096
 ALPHABET = 256
 END_TOKEN = "\n"  # no word holds one
@@ -142,8 +142,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     full = sums[PAIR].add(key, n * weight)
                 if full:
                     yield from sums[PAIR].batches(names, PAIR)
+            give_back()
     for kind, held_sums in sums.items():
         yield from held_sums.batches(names, kind)
+    give_back()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +158,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held_sums.add(key[kind == which].view(np.uint64), n[kind == which])
     for which, held_sums in sums.items():
         yield from held_sums.batches(names, which)
+    give_back()
 
 
 def counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -318,6 +321,8 @@ def code_pairs(found: DataFrame) -> DataFrame:
         for i in range(0, len(key), 50_000):
             j = i + 50_000
             yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(n[i:j]), pa.array(bits[i:j])], ["key", "n", "bits"])
+        del key, n, bits
+        give_back()
 
     return found.mapInArrow(coded, "key long, n long, bits double")
 

@@ -7,6 +7,7 @@ of Python work follows the number of distinct words.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -176,4 +177,12 @@ def let_go() -> None:
     """Drops the model that an earlier operator has left in this worker, and gives its memory back."""
     _HELD.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

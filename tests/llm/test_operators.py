@@ -534,6 +534,23 @@ def test_languages_are_told_apart(spark, corpus):
     assert {r["lang_pred"] for r in language.language_id(docs, {}).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_a_language_is_learned_whatever_its_ids_are(spark, ids):
+    rng = random.Random(8)
+    of = {"null": lambda i: None, "one": lambda i: 5, "own": lambda i: i}[ids]
+    rows = [(i, f"the house {rng.random()}", "en") for i in range(300)] + [(of(i), f"das Haus und {rng.choice('abcdefgh')} {rng.random()}", "de") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.fit(docs)
+    assert set(samples) == {"de", "en"} and all(x.count(word) == language.SAMPLE_DOCS for x, word in ((samples["en"], "house"), (samples["de"], "haus")))
+
+
+def test_equal_rows_teach(spark):
+    same = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("ein Satz und noch einer").alias("text"), F.lit("de").alias("lang"))
+    other = spark.createDataFrame([(1, "the house", "en")], "doc_id int, text string, lang string")
+    samples = language.fit(same.unionByName(other))
+    assert samples["de"].count("satz") == language.SAMPLE_DOCS and samples["en"].split() == ["the", "house"]
+
+
 def test_long_labelled_texts_teach(spark, corpus):
     book, unbroken = "sch und keit zu " * 12_000, "\n" + "." * 160_000 + "щ" * 160_000
     docs = corpus([book, unbroken, *["the tion ing er"] * 4, *[None, "12 !!"] * 1000], ["bb", "dd", *["aa"] * 4, *["bb"] * 2000])

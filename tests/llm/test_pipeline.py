@@ -63,6 +63,13 @@ def test_stages_take_effect(spark, tmp_path, prose):
         assert tuple(r["ids"]) == ranked[0][1] and r["scores"] == pytest.approx([s for s, _ in ranked]) and r["round_trip"] and r["n_pieces"] == len(r["ids"])
 
 
+def test_a_missing_language_is_filled_in(spark, tmp_path):
+    rows = [(i, t, x, "s", 1, 1, 2) for i, (t, x) in enumerate([("the house and the garden", "en"), ("das Haus und der Garten", "de"), ("und das Haus", None), ("the garden", ""), ("?!", None)])]
+    folder = tables(spark, tmp_path, rows, [])
+    got = corpus_pipeline.keep_languages(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    assert {r["doc_id"]: r["lang"] for r in got} == {0: "en", 1: "de", 2: "de", 3: "en"}
+
+
 def test_repeated_rows_leave_one(spark, tmp_path, prose):
     rows = [(7, prose[0], "en", "s", 1, 1, 2)] * 2 + [(8, prose[3], "en", "s", 1, 1, 2)]
     folder = tables(spark, tmp_path, rows, [])
