@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each of which works on all that the one before kept.
 
-1. language ID: documents without a language (no letter at all) go.
+1. language ID: documents without a language (no letter at all) go; a missing lang becomes the predicted one.
 2. line dedup: lines found in ten documents or more lose all their copies; texts shrink, rows stay.
 3. near-dedup: of each class of near copies the document with the least id stays.
 4. decontamination: documents that hold a benchmark item within its edit budget go.
@@ -26,7 +26,8 @@ MARK = "corpus_pipeline_mark"
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     samples = language.fit(docs)
     marked = docs.withColumn(MARK, language.predict(F.col("text"), spark, samples)["lang"])
-    return marked.filter(F.col(MARK) != language.UNDETERMINED).drop(MARK)
+    named = marked.withColumn("lang", F.coalesce(F.nullif("lang", F.lit("")), MARK)) if "lang" in docs.columns else marked
+    return named.filter(F.col(MARK) != language.UNDETERMINED).drop(MARK)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
