@@ -1,20 +1,17 @@
 """Where to cut rows into blocks.
 
 Cuts that look at a row and the one before are joins of the row-length vector with itself. Greedy cuts
-depend on where the last cut was made, so their scan is sequential: it runs in one task over (row, k),
-read in order and in batches, and keeps a few numbers only.
+depend on where the last cut was made: they are scans by maps of bands (transfer.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators.order import global_position, previous
+from lattica.operators.order import BAND, global_position, previous
+from lattica.operators.transfer import adjacent, greedy, scanned
 
 
 def exponential_bounds(start: int, rate: int, cap: int | None, longest: int) -> list[int]:
@@ -72,56 +69,24 @@ def chunk_sizes(k: Column, size: int, merge_tail: bool) -> Column:
     return F.when((rest > 0) & (full > 0) & (rest * 2 < size), joined).otherwise(plain)
 
 
-def _scan(matrix: SparseMatrix, start: Callable[[], tuple], step: Callable[[tuple, int, int], tuple[tuple, bool]]) -> DataFrame:
-    """cut for each row at which step() cuts; 0 first, n_rows last."""
-    last = matrix.n_rows
-
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = start()
-        for batch in batches:
-            out = []
-            for row, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                state, new = step(state, row, k)
-                if new:
-                    out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["cut"])
-
-    ordered = matrix.row_nnz().select("row", "k").repartition(1).sortWithinPartitions("row")
-    ends = matrix.spark.createDataFrame([(0,), (last,)], "cut long")
-    return ordered.mapInArrow(cuts, "cut long").unionByName(ends).distinct()
+def _with_ends(matrix: SparseMatrix, cuts: DataFrame) -> DataFrame:
+    ends = matrix.spark.range(2).select((F.col("id") * matrix.n_rows).alias("cut"))
+    return cuts.unionByName(ends).distinct()
 
 
-def least_nnz_cuts(matrix: SparseMatrix, least: int) -> DataFrame:
+def least_nnz_cuts(matrix: SparseMatrix, least: int, band: int = BAND) -> DataFrame:
     """Blocks are closed when they hold `least` entries or more; an empty tail joins the last block."""
-    def step(state: tuple, row: int, k: int) -> tuple[tuple, bool]:
-        held, full_at = state
-        cut = full_at
-        held = k if full_at else held + k
-        return (held, held >= least), cut
-
-    cuts = _scan(matrix, lambda: (0, False), step)
+    cuts = _with_ends(matrix, scanned(matrix.row_nnz(), greedy(least, with_row=False), band))
     # The last block must hold an entry: cuts that only empty rows follow are taken back.
     top = matrix.entries.agg(F.max("row")).first()[0]
     return cuts.filter((F.col("cut") <= (top if top is not None else 0)) | (F.col("cut") == matrix.n_rows))
 
 
-def adaptive_cuts(matrix: SparseMatrix, most: int = 1024) -> DataFrame:
+def adaptive_cuts(matrix: SparseMatrix, most: int = 1024, band: int = BAND) -> DataFrame:
     """Blocks hold at most `most` entries; a longer row is a block of its own."""
-    def step(state: tuple, row: int, k: int) -> tuple[tuple, bool]:
-        held, count = state
-        cut = count > 0 and held + k > most
-        return ((k, 1) if cut else (held + k, count + 1)), cut
-
-    return _scan(matrix, lambda: (0, 0), step)
+    return _with_ends(matrix, scanned(matrix.row_nnz(), greedy(most + 1, with_row=True), band))
 
 
-def adjacent_average_cuts(matrix: SparseMatrix, rate: float, width: int) -> DataFrame:
+def adjacent_average_cuts(matrix: SparseMatrix, rate: float, width: int, band: int = BAND) -> DataFrame:
     """A cut where a row's length leaves [avg / rate, avg * rate], avg over the up to `width` - 1 rows before it since the last cut."""
-    def step(state: tuple, row: int, k: int) -> tuple[tuple, bool]:
-        if not state:
-            return (k,), False
-        avg = sum(state) / len(state)
-        cut = k < avg / rate or k > avg * rate
-        return ((k,) if cut else (*state, k)[-(width - 1) :]), cut
-
-    return _scan(matrix, tuple, step)
+    return _with_ends(matrix, scanned(matrix.row_nnz(), adjacent(rate, width), band))

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.functions import formulas
 from lattica.model import SparseMatrix
-from lattica.operators import cuts, division, features, layout, products, runs, sorting
+from lattica.operators import cuts, division, features, layout, products, runs, sorting, transfer
 from lattica.sources import corpus, generators, text
 
 EMPTY_ROWS = ([(0, 0, 1.0), (0, 2, 2.0), (2, 1, 3.0), (4, 0, 4.0), (4, 3, 5.0)], 5, 4)
@@ -76,7 +79,7 @@ def test_positions_do_not_depend_on_bands(spark):
 LENGTHS = [[0, 5, 1, 7, 0, 0, 9, 2, 2, 2, 30, 1, 0], [1, 1, 1], [4], [0, 0, 3, 0], [3, 3, 3, 3, 3, 3, 0, 0]]
 
 
-def literal_least(lengths, least):
+def literal_least(lengths, least, whole=False):
     out, held, full = [0], 0, False
     for row, k in enumerate(lengths):
         if full:
@@ -85,7 +88,7 @@ def literal_least(lengths, least):
         held += k
         full = held >= least
     top = max([r for r, k in enumerate(lengths) if k], default=0)
-    return sorted({c for c in out if c <= top} | {len(lengths)})
+    return sorted({c for c in out if whole or c <= top} | {len(lengths)})
 
 
 def literal_adaptive(lengths, most):
@@ -221,3 +224,46 @@ def test_corpus_tables(spark, tmp_path):
     half = spark.createDataFrame([("s", 1.0, 1.0, 5, 9), ("t", 1.0, 1.0, 9, 9), ("u", 0.5, 1.0, 5, 9)], "name string, psym double, nsym double, header_nnz long, nnz long")
     assert [r["name"] for r in corpus.half_stored(half).collect()] == ["s"]
     assert corpus.settings('{"most_blocks": 2}')["most_blocks"] == 2
+
+
+@given(st.lists(st.integers(0, 7), min_size=1, max_size=40), st.integers(2, 5), st.integers(1, 12), st.integers(2, 4))
+@settings(max_examples=150, deadline=None)
+def test_maps_of_bands_compose_to_the_scan(lengths, band, limit, width):
+    k = np.array(lengths, np.int64)
+    literal = {
+        "least": (transfer.greedy(limit, with_row=False), literal_least(lengths, limit, whole=True)),
+        "most": (transfer.greedy(limit + 1, with_row=True), literal_adaptive(lengths, limit)),
+        "mean": (transfer.adjacent(1.5, width), literal_average(lengths, 1.5, width)),
+    }
+    for scan, want in literal.values():
+        before = min(scan.before, band - 1)
+        if before < scan.before:
+            continue
+        parts = [(np.arange(max(0, a - before), min(a + band, len(k))), min(a, before)) for a in range(0, len(k), band)]
+        maps = [scan.read(rows, k[rows], n) for rows, n in parts]
+        state, cut_at = scan.start, []
+        whole = maps[0]
+        for i, ((rows, n), m) in enumerate(zip(parts, maps, strict=True)):
+            assert scan.apply(whole, scan.start) == scan.apply(m, state) or i == 0
+            cut_at += scan.cuts(rows, k[rows], n, state).tolist()
+            state = scan.apply(m, state)
+            if i + 1 < len(maps):
+                whole = scan.compose(whole, maps[i + 1])
+        assert sorted({0, *cut_at}) == [x for x in want if x < len(k)]
+
+
+@pytest.mark.parametrize(("band", "fan"), [(3, 2), (4, 3), (1000, 64)])
+def test_bands_give_the_same_cuts(spark, band, fan):
+    rng = random.Random(2)
+    lengths = [rng.choice((0, 0, 1, 2, 3, 9)) for _ in range(70)]
+    rows = of_lengths(spark, lengths).row_nnz()
+    found = lambda scan: sorted({0, *(r["cut"] for r in transfer.scanned(rows, scan, band, fan).collect())})
+    assert found(transfer.greedy(7, with_row=False)) == literal_least(lengths, 7, whole=True)[:-1]
+    assert found(transfer.greedy(9, with_row=True)) == literal_adaptive(lengths, 8)[:-1]
+    assert found(transfer.adjacent(2.0, 3)) == literal_average(lengths, 2.0, 3)[:-1]
+
+
+def test_nothing_to_cut(spark):
+    m = of_lengths(spark, [])
+    for cut_at in (cuts.least_nnz_cuts(m, 3), cuts.adaptive_cuts(m, 3), cuts.adjacent_average_cuts(m, 2.0, 3)):
+        assert [r["cut"] for r in cut_at.collect()] == [0]
