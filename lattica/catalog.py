@@ -104,6 +104,7 @@ on(
 for _strategy, _name in (
     ("ell", "spmv_ell"), ("sell", "spmv_sell_p"), ("hyb", "spmv_hyb"), ("tiles", "spmv_csr5_tiles"), ("merge_path", "spmv_merge_path"),
     ("acsr", "spmv_acsr_bins"), ("col_blocks", "spmv_col_blocked"), ("chunks", "spmv_two_level"), ("salted", "spmv_salted"),
+    ("grid", "spmv_grid"),
 ):
     on(lambda m, s=_strategy: products.by_strategy(m, vector(m), s), _name, base(Y_SQL))
 

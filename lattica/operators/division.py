@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.model import SparseMatrix
-from lattica.operators.order import global_position, running_sum
+from lattica.operators.order import global_position, intervals, running_sum
 
 
 def bucket_of(value: Column, bounds: Sequence[int]) -> Column:
@@ -70,9 +70,32 @@ def divided_again(entries: DataFrame, block: int, length: int) -> DataFrame:
     return _gapless(entries.withColumn("raw", raw).drop("block"))
 
 
-def row_ranges(matrix: SparseMatrix, cuts: Sequence[int]) -> DataFrame:
-    """Entries with block: rows between consecutive cut points (the first 0, the last n_rows)."""
-    return _gapless(matrix.entries.withColumn("raw", bucket_of(F.col("row"), list(cuts)[:-1])))
+#: Cut points that are written out as a CASE; more of them are joined.
+MOST_CASES = 64
+
+
+def row_ranges(matrix: SparseMatrix, cuts: Sequence[int] | DataFrame, with_low: bool = False) -> DataFrame:
+    """Entries with block: rows between consecutive cut points (the first 0, the last n_rows). with_low: also row_lo, the block's first row.
+
+    cuts: numbers, or a table (column cut) of any size that is never collected.
+    """
+    if not isinstance(cuts, DataFrame):
+        points = list(cuts)[:-1]
+        if len(points) <= MOST_CASES:
+            entries = matrix.entries
+            if with_low:
+                entries = entries.withColumn("row_lo", F.element_at(F.array(*[F.lit(x).cast("long") for x in points]), bucket_of(F.col("row"), points) + 1))
+            return _gapless(entries.withColumn("raw", bucket_of(F.col("row"), points)))
+        cuts = matrix.spark.createDataFrame([(int(x),) for x in points], "cut long")
+    blocks = row_blocks(matrix, cuts)
+    return matrix.entries.join(blocks if with_low else blocks.drop("row_lo"), "row")
+
+
+def row_blocks(matrix: SparseMatrix, cuts: DataFrame) -> DataFrame:
+    """row, block and row_lo of every row with entries; blocks without entries get no number. Only rows are moved, not entries."""
+    lengths = matrix.row_nnz()
+    placed = intervals(lengths, cuts.filter(F.col("cut") < matrix.n_rows)).filter("k > 0").select("row", F.col("range").alias("raw"), F.col("low").alias("row_lo"))
+    return _gapless(placed)
 
 
 def _gapless(entries: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.session import cut
+
 BAND = 65_536
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -45,3 +47,45 @@ def previous(df: DataFrame, row: str, value: str, into: str, band: int = BAND) -
     inside = F.lag(value).over(Window.partitionBy("_band").orderBy(row))
     first = F.pmod(F.col(row), F.lit(band)) == 0
     return df.withColumn("_inside", inside).join(edges, "_band", "left").withColumn(into, F.when(first, F.col("_edge")).otherwise(F.col("_inside"))).drop("_band", "_inside", "_edge")
+
+
+def intervals(rows: DataFrame, cuts: DataFrame, row: str = "row", band: int = BAND) -> DataFrame:
+    """rows with `range`, how many cuts lie at or before the row less one, and `low`, the last of them.
+
+    An interval join for any number of cuts (column cut): cuts and rows meet in bands of rows, and what a band takes over,
+    its last cut and their number, is carried into it from the bands before. rows are unique; rows before the first
+    cut have range -1.
+    """
+    marks = cuts.select(F.col("cut").alias(row), F.lit(1).alias("_mark")).distinct()
+    marked = rows.join(marks, row, "left").withColumn("_band", F.floor(F.col(row) / band))
+    own = F.when(F.col("_mark") == 1, F.col(row))
+    sizes = marked.groupBy("_band").agg(F.count("_mark").alias("_n"), F.max(own).alias("_top"))
+    before = Window.orderBy("_band").rowsBetween(*BEFORE)
+    carried = sizes.select("_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"), F.max("_top").over(before).alias("_last"))
+    here = Window.partitionBy("_band").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumns({"_inside": F.count("_mark").over(here), "_own": F.max(own).over(here)}).join(carried, "_band")
+    return inside.withColumns({"range": F.col("_earlier") + F.col("_inside") - 1, "low": F.coalesce("_own", "_last")}).drop("_band", "_mark", "_inside", "_own", "_earlier", "_last")
+
+
+def ranged_places(df: DataFrame, order: list[Column], into: str, per: list[str] | None = None) -> DataFrame:
+    """df with `into`: its 0-based place in the order of all columns of `order`, which no two rows share, whatever values these have.
+
+    Rows are dealt to ranges of the order by a sample, kept, and counted; a range is sorted by itself, and begins where the
+    ranges before it end. Equal first columns are split by the later ones, so that no value fills a range of its own.
+    per: places count from 0 for each value of these columns, which have to come first in the order.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(into, F.col("_start") + F.col("_inside"))
+    placed = placed.drop("_part", "_start", "_inside")
+    if not per:
+        return placed
+    # How many rows lie before each value: the values are as many as segments and are placed in the same way.
+    counts = ranged.groupBy(*per).agg(F.count("*").alias("_k"))
+    firsts = ranged_places(counts, [F.col(c) for c in per], "_nth")
+    firsts = running_sum(firsts, "_nth", "_k", "_first").select(*[F.col(c).alias(f"_{c}") for c in per], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in per]
+    both = placed.join(firsts, same)
+    return both.withColumn(into, F.col(into) - F.col("_first")).drop("_first", *[f"_{c}" for c in per])

@@ -21,6 +21,21 @@ def gather(matrix: SparseMatrix, x: DataFrame, more: tuple[str, ...] = ()) -> Da
     return matrix.entries.join(side, "col").select("row", *more, (F.col("val") * F.col("x")).alias("product"))
 
 
+def gather_grid(matrix: SparseMatrix, x: DataFrame, row_band: int, col_band: int) -> DataFrame:
+    """Entries with their product, by blocks of row_band x col_band: a block's entries meet its band of x as one array.
+
+    x is cut into bands once, and a band goes only to the blocks that hold entries of its columns. A hot column is spread over
+    its row bands and a hot row over its column bands; a block that is full all the same is split, as one row stands on the
+    other side. rb, row and product.
+    """
+    entries = matrix.entries.select("row", "val", F.floor(F.col("row") / row_band).alias("rb"), F.floor(F.col("col") / col_band).alias("cb"), (F.pmod(F.col("col"), F.lit(col_band)) + 1).cast("int").alias("at"))
+    dense = matrix.cols().join(x, "col", "left")
+    bands = dense.groupBy(F.floor(F.col("col") / col_band).alias("cb")).agg(F.sort_array(F.collect_list(F.struct("col", "x")))["x"].alias("xs"))
+    blocks = entries.select("rb", "cb").distinct().join(bands, "cb")
+    both = entries.join(blocks, ["rb", "cb"])
+    return both.select("rb", "row", (F.col("val") * F.element_at("xs", F.col("at"))).alias("product")).filter(F.col("product").isNotNull())
+
+
 def complete(matrix: SparseMatrix, sums: DataFrame, value: str = "y") -> DataFrame:
     """row and y for every row, 0 for rows without entries."""
     return matrix.rows().join(sums, "row", "left").select("row", F.coalesce(value, F.lit(0.0)).alias("y"))
@@ -77,8 +92,8 @@ def by_strategy(matrix: SparseMatrix, x: DataFrame, name: str, **options) -> Dat
     """y by a named strategy, one of STRATEGIES."""
     if name == "direct":
         return product(matrix, x)
-    if name == "ell":  # a thread a slot; pads carry nothing, and are not made for the product
-        return tree_product(matrix.with_entries(layout.ell_slots(matrix)), x, "slot")
+    if name == "ell":  # slots side by side, a band of them at a time; pads carry nothing, and are not made for the product
+        return tree_product(matrix.with_entries(layout.ell_slots(matrix).withColumn("slots", F.floor(F.col("slot") / 32))), x, "slots")
     if name == "tiles":
         return tree_product(division.nnz_tiles(matrix, options.get("size", 256)), x, "tlb")
     if name == "merge_path":
@@ -99,10 +114,13 @@ def by_strategy(matrix: SparseMatrix, x: DataFrame, name: str, **options) -> Dat
         near, far = layout.hyb(matrix, options.get("width", 4))
         parts = gather(near, x).unionByName(gather(far, x))
         return complete(matrix, parts.groupBy("row").agg(F.sum("product").alias("y")))
+    if name == "grid":
+        got = gather_grid(matrix, x, options.get("row_band", 4096), options.get("col_band", 4096))
+        return complete(matrix, got.groupBy("row").agg(F.sum("product").alias("y")))
     if name == "salted":
         salted = matrix.with_entries(matrix.entries.withColumn("salt", F.pmod(F.xxhash64("col"), F.lit(options.get("salts", 16)))))
         return tree_product(salted, x, "salt")
     raise ValueError(f"no strategy {name}")
 
 
-STRATEGIES = ("direct", "ell", "tiles", "merge_path", "chunks", "sell", "acsr", "adaptive", "col_blocks", "hyb", "salted")
+STRATEGIES = ("direct", "ell", "tiles", "merge_path", "chunks", "sell", "acsr", "adaptive", "col_blocks", "hyb", "salted", "grid")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.operators.order import BAND, global_position, previous, running_sum
+from lattica.operators.order import BAND, previous, ranged_places, running_sum
 
 
 def run_ids(seq: DataFrame, pos: str = "pos", key: str = "key", band: int = BAND) -> DataFrame:
@@ -45,10 +45,10 @@ def segmented_reduce(seq: DataFrame, segment: str, value: str) -> DataFrame:
     return seq.groupBy(segment).agg(F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-def segmented_sort(seq: DataFrame, segment: str, value: str, descending: bool = False) -> DataFrame:
-    """seq with place: the 0-based place of a value in its segment."""
+def segmented_sort(seq: DataFrame, segment: str, value: str, descending: bool = False, pos: str = "pos") -> DataFrame:
+    """seq with place: the 0-based place of a value in its segment, equal values in their order. A segment may hold any share of the rows."""
     order = F.desc(value) if descending else F.asc(value)
-    return seq.withColumn("place", F.row_number().over(Window.partitionBy(segment).orderBy(order, "pos")) - 1)
+    return ranged_places(seq, [F.asc(segment), order, F.asc(pos)], "place", [segment])
 
 
 def histogram_even(values: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -123,6 +123,28 @@ def histogram_multi(values: DataFrame, channels: dict[str, tuple[float, float, i
 
 
 def sorted_places(seq: DataFrame, key: str, pos: str = "pos", descending: bool = False) -> DataFrame:
-    """seq with place: the 0-based place by key, equal keys in their order. Keys of few different values, such as row lengths."""
-    order = F.desc(key) if descending else F.asc(key)
-    return global_position(seq, [order], [key], pos, "place")
+    """seq with place: the 0-based place by key, equal keys in their order. Keys of any type and number."""
+    return ranged_places(seq, [F.desc(key) if descending else F.asc(key), F.asc(pos)], "place")
+
+
+def segmented_scan(seq: DataFrame, value: str, flag: str, pos: str = "pos", inclusive: bool = True, band: int = BAND) -> DataFrame:
+    """seq with scan: the sum of the values since the last flag, which begins anew at each flagged position.
+
+    A band is summed up by whether it holds a flag and by the sum behind its last one; these pairs are added up in order,
+    where a flag forgets what came before it, and each band takes over what the bands before it leave.
+    """
+    begins = F.coalesce(F.col(flag), F.lit(False))
+    seq = seq.withColumn("_band", F.floor(F.col(pos) / band))
+    here = Window.partitionBy("_band").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = seq.withColumn("_part", F.sum(begins.cast("long")).over(here))
+    parts = Window.partitionBy("_band", "_part").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_sum", F.sum(value).over(parts))
+    sums = seq.groupBy("_band").agg(F.max(F.when(begins, F.col(pos))).alias("_last"))
+    tails = seq.join(sums, "_band").groupBy("_band").agg(F.max("_last").isNotNull().alias("_flagged"), F.sum(F.when(F.col("_last").isNull() | (F.col(pos) >= F.col("_last")), F.col(value))).alias("_tail"))
+    groups = tails.withColumn("_group", F.sum(F.col("_flagged").cast("long")).over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)))
+    left = groups.withColumn("_left", F.sum("_tail").over(Window.partitionBy("_group").orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = left.select("_band", F.lag("_left", 1, 0).over(Window.orderBy("_band")).alias("_carried"))
+    out = inside.join(carried, "_band").withColumn("scan", F.col("_sum") + F.when(F.col("_part") == 0, F.col("_carried")).otherwise(0))
+    if not inclusive:
+        out = out.withColumn("scan", F.col("scan") - F.col(value))
+    return out.drop("_band", "_part", "_sum", "_carried")

@@ -110,6 +110,17 @@ on(lambda m: division_table(m, SORT, DIVIDE), "plan_row_div", base(f"""
 , w AS (SELECT r, k, {WINDOW} AS w FROM len),
 s AS (SELECT w, coalesce(CAST(sum(count(*)) OVER (ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS row_lo, count(*) FILTER (WHERE k > 0) AS n_rows, CAST(sum(k) AS BIGINT) AS nnz FROM w GROUP BY w)
 SELECT row_number() OVER (ORDER BY row_lo) - 1 AS block, row_lo, n_rows AS "rows", (SELECT min(c) FROM m JOIN w ON w.r = m.r WHERE w.w = s.w) AS col_lo, nnz FROM s WHERE nnz > 0""".strip()))
+on(lambda m: division_table(m, DIVIDE), "plan_row_div_unsorted", base(f"""
+, w AS (SELECT r, k, {WINDOW} AS w FROM len),
+g AS (SELECT r, k, sum(CASE WHEN w IS DISTINCT FROM p OR r = 0 THEN 1 ELSE 0 END) OVER (ORDER BY r) AS g FROM (SELECT r, k, w, lag(w) OVER (ORDER BY r) AS p FROM w)),
+b AS (SELECT g, min(r) AS row_lo, count(*) FILTER (WHERE k > 0) AS n_rows, CAST(sum(k) AS BIGINT) AS nnz FROM g GROUP BY g)
+SELECT row_number() OVER (ORDER BY row_lo) - 1 AS block, row_lo, n_rows AS "rows", col_lo, nnz
+FROM b JOIN (SELECT g, min(c) AS col_lo FROM m JOIN g ON g.r = m.r GROUP BY g) c USING (g)""".strip()))
+on(lambda m: graph.run(m, plan(Step("wlb_col", {"size": 4}), dense=(DIVIDE,), template="direct_warp_reduce"), vector(m)), "spmv_divided_unsorted", base(Y_SQL))
+on(lambda m: division.row_ranges(m, m.rows().filter("row % 3 = 0 or row % 7 = 2").select(F.col("row").alias("cut")), with_low=True), "var_row_div_many", base("""
+, c AS (SELECT r, CASE WHEN r % 3 = 0 OR r % 7 = 2 THEN 1 ELSE 0 END AS cut FROM allr),
+g AS (SELECT r, sum(cut) OVER (ORDER BY r) AS g, max(CASE WHEN cut = 1 THEN r END) OVER (ORDER BY r) AS row_lo FROM c)
+SELECT m.r AS "row", c AS col, v AS val, row_lo, dense_rank() OVER (ORDER BY g) - 1 AS block FROM m JOIN g ON g.r = m.r""".strip()))
 on(lambda m: division_table(m, Step("row_div", {"cuts": [0, 100, 150, 700, m.n_rows]}), Step("col_div", {"width": 512})).select("row_lo", "rows", "col_lo", "nnz"), "plan_rows_and_cols", base("""
 , b AS (SELECT r, c, CASE WHEN r >= 700 THEN 700 WHEN r >= 150 THEN 150 WHEN r >= 100 THEN 100 ELSE 0 END AS row_lo FROM m)
 SELECT CAST(row_lo AS BIGINT) AS row_lo, count(DISTINCT r) AS "rows", min(c) AS col_lo, count(*) AS nnz FROM b GROUP BY row_lo, c // 512""".strip()))
@@ -329,6 +340,12 @@ on(lambda m: runs.histogram_multi(sequence(m), {"key": (0, 16, 4), "value": (0,
 SELECT 'key' AS channel, CAST(bin AS BIGINT) AS bin, count(r) AS n FROM (SELECT unnest(range(0, 4)) AS bin) LEFT JOIN (SELECT r, k // 4 AS b FROM len WHERE k < 16) ON b = bin GROUP BY bin
 UNION ALL SELECT 'value', CAST(bin AS BIGINT), count(r) FROM (SELECT unnest(range(0, 5)) AS bin) LEFT JOIN (SELECT r, r % 10 // 2 AS b FROM len) ON b = bin GROUP BY bin"""))
 on(lambda m: runs.sorted_places(sequence(m), "key", descending=True).select("pos", "key", "place"), "radix_sort_pairs", base("SELECT r AS pos, k AS key, row_number() OVER (ORDER BY k DESC, r) - 1 AS place FROM len"))
+on(lambda m: runs.sorted_places(products.product(m, vector(m)).select(F.col("row").alias("pos"), F.col("y").alias("key")), "key").select("pos", "place"), "sorted_any", base("SELECT r AS pos, row_number() OVER (ORDER BY y, r) - 1 AS place FROM y"))
+on(lambda m: runs.segmented_sort(sequence(m).withColumn("segment", F.lit(1)), "segment", "key", descending=True).select("pos", "place"), "segmented_sort_one", base("SELECT r AS pos, row_number() OVER (ORDER BY k DESC, r) - 1 AS place FROM len"))
+on(lambda m: runs.segmented_scan(sequence(m).withColumn("flag", F.col("key") > 5), "value", "flag").select("pos", "scan"), "segmented_scan", base("""
+SELECT r AS pos, CAST(sum(r % 10) OVER (PARTITION BY g ORDER BY r) AS BIGINT) AS scan FROM (SELECT r, sum(CASE WHEN k > 5 THEN 1 ELSE 0 END) OVER (ORDER BY r) AS g FROM len)"""))
+on(lambda m: runs.segmented_scan(sequence(m).withColumn("flag", F.col("pos") == 3), "key", "flag", inclusive=False, band=512).select("pos", "scan"), "segmented_scan_long", base("""
+SELECT r AS pos, CAST(sum(k) OVER (PARTITION BY r >= 3 ORDER BY r) - k AS BIGINT) AS scan FROM len"""))
 
 
 def no_form(m: SparseMatrix):

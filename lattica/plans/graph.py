@@ -131,10 +131,13 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
         elif step.name == "row_pad_total":
             matrix = layout.pad_rows(matrix, p["multiple"])
         elif step.name == "row_div":
-            points = p.get("cuts") or sorted(r["cut"] for r in cuts.exponential_cuts(matrix, p["start"], p["rate"], p.get("cap")).collect())
-            if len(points) > 2:  # one block is no division
-                low = F.element_at(F.array(*[F.lit(x).cast("long") for x in points]), division.bucket_of(F.col("row"), points[:-1]) + 1)
-                matrix = _divided(matrix.with_entries(matrix.entries.withColumn("row_lo", low)), lambda m, cuts=points: division.row_ranges(m, cuts))
+            if "cuts" in p:
+                points, several = p["cuts"], len(p["cuts"]) > 2
+            else:  # as many as the rows' lengths make: they stay a table
+                points = cut(cuts.exponential_cuts(matrix, p["start"], p["rate"], p.get("cap")))
+                several = points.count() > 2
+            if several:  # one block is no division
+                matrix = _divided(matrix, lambda m, points=points: division.row_ranges(m, points, with_low=True))
         elif step.name == "col_div":
             matrix = _divided(matrix, lambda m, width=p["width"]: division.col_blocks(m, width).entries)
         elif step.name == "compress":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formulas
 from lattica.model import SparseMatrix
 from lattica.operators import cuts, division, features, layout, products, runs, sorting, transfer
+from lattica.plans import graph
 from lattica.sources import corpus, generators, text
 
 EMPTY_ROWS = ([(0, 0, 1.0), (0, 2, 2.0), (2, 1, 3.0), (4, 0, 4.0), (4, 3, 5.0)], 5, 4)
@@ -267,3 +268,85 @@ def test_nothing_to_cut(spark):
     m = of_lengths(spark, [])
     for cut_at in (cuts.least_nnz_cuts(m, 3), cuts.adaptive_cuts(m, 3), cuts.adjacent_average_cuts(m, 2.0, 3)):
         assert [r["cut"] for r in cut_at.collect()] == [0]
+
+
+@pytest.mark.parametrize("band", [3, 8, 1000])
+def test_intervals_equal_a_search(spark, band):
+    from lattica.operators.order import intervals
+
+    cut_at = [2, 3, 3, 17, 18, 40, 99]
+    got = {r["row"]: (r["range"], r["low"]) for r in intervals(spark.range(60).withColumnRenamed("id", "row"), spark.createDataFrame([(c,) for c in cut_at], "cut long"), band=band).collect()}
+    points = sorted(set(cut_at))
+    assert got == {r: (sum(c <= r for c in points) - 1, max((c for c in points if c <= r), default=None)) for r in range(60)}
+
+
+def test_thousands_of_cuts_are_a_table(spark):
+    rng = random.Random(9)
+    lengths = [rng.choice((0, 1, 2, 5, 9)) for _ in range(3000)]
+    m = of_lengths(spark, lengths)
+    divided = graph.prepare(m, graph.Plan((graph.Step("row_div", {"start": 2, "rate": 2, "cap": 8}), graph.Step("compress")))).entries
+    window = lambda k: 3 if k >= 8 else 2 if k >= 4 else 1 if k >= 2 else 0
+    begins = [r for r in range(3000) if not r or window(lengths[r]) != window(lengths[r - 1])]
+    want, low = {}, 0
+    for r, k in enumerate(lengths):
+        low = r if r in set(begins) else low
+        if k:
+            want[r] = low
+    got = {r["row"]: (r["block"], r["row_lo"]) for r in divided.select("row", "block", "row_lo").distinct().collect()}
+    assert {r: lo for r, (_, lo) in got.items()} == want
+    numbers = {lo: i for i, lo in enumerate(sorted(set(want.values())))}
+    assert len(numbers) > 1000 and all(b == numbers[lo] for b, lo in got.values())
+    listed = division.row_ranges(m, [*begins, 3000], with_low=True)
+    assert {r["row"]: (r["block"], r["row_lo"]) for r in listed.select("row", "block", "row_lo").distinct().collect()} == got
+
+
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_grid_splits_a_hot_column(spark, limit):
+    rng = random.Random(3)
+    cells = {(r, 17) for r in range(300)} | {(rng.randrange(300), rng.randrange(200)) for _ in range(300)}
+    m = matrix(spark, [(r, c, float(rng.randrange(1, 9))) for r, c in sorted(cells)], 310, 200)
+    x = m.cols().filter("col % 5 != 3").withColumn("x", (F.col("col") + 1).cast("double"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        assert dict_of(products.by_strategy(m, x, "grid", row_band=32, col_band=16), "row", "y") == dict_of(products.product(m, x), "row", "y")
+        blocks = products.gather_grid(m, x, 32, 16).groupBy("rb").count().collect()
+        assert len(blocks) == 10  # the hot column lies in every row band
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_places_of_any_keys(spark):
+    rng = random.Random(6)
+    keys = {"unique": rng.sample(range(10**6), 300), "one": [7] * 300, "nulls": [None if rng.random() < 0.3 else rng.randrange(4) for _ in range(300)]}
+    for own in keys.values():
+        seq = spark.createDataFrame(list(enumerate(own)), "pos long, key long").repartition(7)
+        want = sorted(range(300), key=lambda i: (own[i] is not None, own[i] or 0, i))
+        assert dict_of(runs.sorted_places(seq, "key"), "pos", "place") == {i: n for n, i in enumerate(want)}
+        down = sorted(range(300), key=lambda i: (own[i] is None, -(own[i] or 0), i))
+        assert dict_of(runs.sorted_places(seq, "key", descending=True), "pos", "place") == {i: n for n, i in enumerate(down)}
+
+
+def test_segments_that_hold_any_share_are_sorted(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice((1, 1, 1, 1, 2, None, 5)), rng.randrange(5)) for i in range(300)]
+    seq = spark.createDataFrame(rows, "pos long, segment long, value long").repartition(5)
+    want = {}
+    for s in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[0]))
+        want |= {r[0]: n for n, r in enumerate(own)}
+    assert dict_of(runs.segmented_sort(seq, "segment", "value"), "pos", "place") == want
+
+
+@pytest.mark.parametrize("band", [4, 7, 1000])
+@pytest.mark.parametrize("share", [0.0, 0.03, 0.5])
+def test_segmented_scan_spans_bands(spark, band, share):
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(-3, 9), rng.random() < share) for i in range(120)]
+    want, total = {}, 0
+    for pos, v, flag in rows:
+        total = v if flag else total + v
+        want[pos] = total
+    seq = spark.createDataFrame(rows, "pos long, value long, flag boolean")
+    assert dict_of(runs.segmented_scan(seq, "value", "flag", band=band), "pos", "scan") == want
+    assert dict_of(runs.segmented_scan(seq, "value", "flag", inclusive=False, band=band), "pos", "scan") == {p: want[p] - v for p, v, _ in rows}
