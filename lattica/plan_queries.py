@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from lattica.catalog import Y_SQL, base, matrix, on, query, table, vector
 from lattica.functions import formulas
+from lattica.functions.block_forms import block_forms
 from lattica.model import SparseMatrix
 from lattica.operators import division, levels, products, runs, sorting
 from lattica.operators.cuts import exponential_cuts
 from lattica.plans import graph, templates, tuner
 from lattica.plans.graph import Plan, Step
 from lattica.session import shared_dir
-from lattica.sources import corpus, store, text
+from lattica.sources import compressed, corpus, store, text
 
 
 def plan(*steps: Step, dense: tuple[Step, ...] = (), template: str = "direct") -> Plan:
@@ -326,6 +327,58 @@ on(plan_back, "plan_store_round_trip", base(Y_SQL))
 on(level_back, "level_dump_round_trip", base(f"SELECT {NNZ}, r // 512 AS blb, {BLB} FROM m GROUP BY 1, 2"))
 
 
+# Compression: closed forms of all blocks, and a store that leaves out what has one.
+def in_bands(m: SparseMatrix, height: int) -> SparseMatrix:
+    cuts = m.rows().filter(F.col("row") % height == 0).select(F.col("row").alias("cut"))
+    return graph.compressed(m.with_entries(division.row_ranges(m, cuts, with_low=True)))
+
+
+FORMS_SQL = """
+, e AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY r, c) - 1 AS i, r - lo AS "row", c - min(c) OVER (PARTITION BY block) AS col
+        FROM (SELECT r // {h} * {h} AS lo, dense_rank() OVER (ORDER BY r // {h}) - 1 AS block, r, c FROM m)),
+a AS (SELECT block, 'row' AS arr, i, "row" AS a FROM e UNION ALL SELECT block, 'col', i, col FROM e),
+q AS (SELECT *, a - lag(a) OVER (PARTITION BY block, arr ORDER BY i) AS step FROM a),
+s AS (SELECT block, arr, count(*) AS n, min(a) AS low, max(a) AS high, max(a) FILTER (WHERE i = 0) AS b, max(step) FILTER (WHERE i = 1) AS s, min(step) AS least, max(step) AS most,
+             count(*) FILTER (WHERE step <> 0) AS changes, min(i) FILTER (WHERE step <> 0) AS q FROM q GROUP BY block, arr),
+p AS (SELECT block, arr, min(i) FILTER (WHERE i > 0 AND a = b) AS p FROM q JOIN s USING (block, arr) GROUP BY block, arr),
+f AS (SELECT block, arr, bool_and(a = b + s * (i % p)) AS cl, bool_and(a = b + i // q) AS ci, string_agg(i || ',' || a, ',' ORDER BY i) FILTER (WHERE i = 0 OR step <> 0) AS runs
+      FROM q JOIN s USING (block, arr) JOIN p USING (block, arr) GROUP BY block, arr),
+forms AS (
+  SELECT block, arr, n, high, b, s, p, q, runs,
+         CASE WHEN low = high THEN 'constant' WHEN least = most AND s >= 0 THEN 'linear' WHEN p > 1 AND p < n AND n % p = 0 AND cl THEN 'cycle_linear'
+              WHEN n > 2 AND n % q = 0 AND ci THEN 'cycle_increase' WHEN n > 2 AND changes < 5 THEN 'branches' ELSE 'stored' END AS form
+  FROM s JOIN p USING (block, arr) JOIN f USING (block, arr))
+""".strip()
+ONE_FORM = """
+SELECT block, arr AS "array", form, n, high,
+       CASE form WHEN 'constant' THEN '' || b WHEN 'linear' THEN b || ',' || s WHEN 'cycle_linear' THEN p || ',' || b || ',' || s WHEN 'cycle_increase' THEN q || ',' || b WHEN 'branches' THEN runs ELSE '' END AS params FROM forms"""
+BYTES = """
+, codes AS (SELECT block, arr, n, CASE WHEN form <> 'stored' THEN form WHEN high < 128 THEN 'byte' WHEN high < 32768 THEN 'short' ELSE 'int' END AS code FROM forms)
+SELECT block, n, max(code) FILTER (WHERE arr = 'row') AS row_code, max(code) FILTER (WHERE arr = 'col') AS col_code, n * 24 AS bytes_before,
+       CAST(n * 8 + sum(n * CASE code WHEN 'byte' THEN 1 WHEN 'short' THEN 2 WHEN 'int' THEN 4 ELSE 0 END) AS BIGINT) AS bytes_after FROM codes GROUP BY block, n"""
+
+
+def forms_of(m: SparseMatrix):
+    entries = compressed.placed(m)
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("array"), F.col(a).alias("a")) for a in compressed.ARRAYS])).alias("x")
+    forms = block_forms(entries.select("block", "i", each).select("block", "i", "x.array", "x.a"))
+    return forms.withColumn("params", F.array_join(F.col("params").cast("array<string>"), ","))
+
+
+def compressed_back(m: SparseMatrix) -> SparseMatrix:
+    path = folder(m.spark, "compressed")
+    compressed.write(m, path)
+    return compressed.read(m.spark, path)
+
+
+for _name, _of, _height in (("block_forms", "order_part", 2), ("block_forms_wide", "order_part", 150), ("block_forms_dense", "emb", 5)):
+    on(lambda m, h=_height: forms_of(in_bands(m, h)), _name, base(FORMS_SQL.format(h=_height) + ONE_FORM, _of), _of)
+on(lambda m: compressed_back(in_bands(m, 2)).entries, "plan_store_compressed_mixed", base("""
+SELECT dense_rank() OVER (ORDER BY r // 2) - 1 AS block, r AS "row", c AS col, v AS val FROM m"""))
+on(lambda m: products.product(compressed_back(in_bands(m, 5)), vector(m)), "plan_store_compressed", base(Y_SQL, "emb"), "emb")
+on(lambda m: compressed.sizes(compressed.encodings(compressed.placed(in_bands(m, 2)))), "plan_store_bytes", base(FORMS_SQL.format(h=2) + BYTES))
+
+
 # Sequences: the primitives that the runs leave out.
 def sequence(m: SparseMatrix):
     return m.row_nnz().select(F.col("row").alias("pos"), F.col("k").alias("key"), (F.col("row") % 10).alias("value"))
