@@ -5,6 +5,8 @@ Levels are the columns blb, wlb (inside blb) and tlb (inside a row) of division.
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,26 @@ TEMPLATES = {
     "direct_warp_reduce": ("wlb", "rows_of_wlb = 1"),
     "unaligned_warp_reduce": ("tlb, row", "blbs = 1 and wlbs = 1"),
 }
+#: Further conditions of support, on facts that only some layouts have.
+MOST_WARPS = 47_995
+BESIDES = {
+    "direct": "pad_rows = 0",
+    "shared_memory": "pad_rows = 0",
+    "shared_memory_warp_reduce": f"wlbs_of_blb <= {MOST_WARPS}",
+    "unaligned_warp_reduce": "pad_rows = 0",
+}
+#: Where a supported template is worth a trial: it has the levels that its sums are about.
+NARROWER = {
+    "direct": "blbs <> 1 and wlbs <> blbs and wlbs <> 1",
+    "direct_warp_compress": "wlbs = blbs and blbs <> 1",
+    "direct_warp_block_compress": "blbs = 1 and wlbs = 1",
+    "shared_memory": "blbs <> 1 and wlbs <> blbs",
+    "shared_memory_warp_compress": "wlbs = blbs and blbs <> 1",
+    "shared_memory_long_row": "wlbs = blbs and max_tlb = 1",
+    "shared_memory_warp_reduce": "blbs > 1 and wlbs <> blbs and max_tlb = 1",
+    "direct_warp_reduce": "blbs = 1 and wlbs > 8 and max_tlb = 1",
+    "unaligned_warp_reduce": "not is_sorted",
+}
 #: Supported where another template is.
 AS = {"unaligned_total_warp_reduce": "unaligned_warp_reduce"}
 #: Sums in turn, each by its columns; a column in brackets is one that the layout fixes for the others, and is carried along.
@@ -88,6 +110,25 @@ def facts(tagged: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(blbs)).join(F.broadcast(warps))  # one row each
 
 
+_SIGNS = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+def holds(condition: str, facts: dict) -> bool:
+    """Whether a condition of the tables above holds: comparisons of a fact with a fact or number, joined by `and`."""
+    for part in condition.split(" and "):
+        words = part.split()
+        if words[0] == "not":
+            held = not facts[words[1]]
+        elif len(words) == 1:
+            held = words[0] == "true"
+        else:
+            value = lambda w: facts[w] if w in facts else int(w)
+            held = _SIGNS[words[1]](value(words[0]), value(words[2]))
+        if not held:
+            return False
+    return True
+
+
 def supported(tagged: DataFrame) -> DataFrame:
     """template and its sums, for each template that the partition supports."""
     named = F.array(*[F.struct(F.lit(name).alias("template"), F.lit(sums).alias("sums"), F.coalesce(F.expr(test), F.lit(False)).alias("ok")) for name, (sums, test) in TEMPLATES.items()])
@@ -98,8 +139,13 @@ def supports(tagged: DataFrame, template: str) -> bool:
     """Whether a partition supports a template; `empty` only suits a matrix without entries."""
     if template == "empty":
         return tagged.isEmpty()
-    found = supported(tagged).filter(F.col("template") == AS.get(template, template))
-    return not found.isEmpty()
+    name = AS.get(template, template)
+    if name in BESIDES and "is_pad" in tagged.columns:
+        warps = tagged.select("block", "blb", "wlb").distinct().groupBy("block", "blb").count().agg(F.max("count")).first()[0]
+        pads = 0 if tagged.filter("is_pad").isEmpty() else 1
+        if not holds(BESIDES[name], {"pad_rows": pads, "wlbs_of_blb": warps or 0}):
+            return False
+    return not supported(tagged).filter(F.col("template") == name).isEmpty()
 
 
 def worth_trying(names: set[str]) -> set[str]:
