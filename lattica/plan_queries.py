@@ -12,7 +12,7 @@ from lattica.functions.block_forms import block_forms
 from lattica.model import SparseMatrix
 from lattica.operators import division, levels, products, runs, sorting
 from lattica.operators.cuts import exponential_cuts
-from lattica.plans import graph, templates, tuner
+from lattica.plans import facts, graph, learn, templates, tuner
 from lattica.plans.graph import Plan, Step
 from lattica.session import shared_dir
 from lattica.sources import compressed, corpus, store, text
@@ -213,6 +213,63 @@ for _of in ("order_part", "supp_part"):
     on(admitted, f"plan_candidates_{_of}", base(GATES + GATES_SQL, _of), _of)
 
 
+# Facts of candidates from the row lengths: a plan of each kind, its chunks laid out in SQL.
+FACT_PLANS = [
+    (plan(Step("blb_col", {"size": 4}), template="shared_memory_long_row"), 1, f"(r, {TAIL})", "0", "rn", "1", "n"),
+    (plan(Step("row_pad", {"multiple": 64}), Step("blb_row", {"height": 64}), Step("tlb_row"), template="direct_warp_compress"), 64, "r // 64", "0", "0", "max(k) OVER (PARTITION BY r // 64)",
+     "64 * (SELECT sum(k) FROM (SELECT max(k) AS k FROM e64 GROUP BY r // 64))"),
+    (plan(Step("row_pad", {"multiple": 32}), Step("tlb_row"), template="direct_warp_block_compress"), 32, "0", "0", "0", "max(k) OVER ()", "(SELECT max(k) FROM e32) * (SELECT (nr + 31) // 32 * 32 FROM d)"),
+    (plan(Step("tlb_nnz", {"size": 16}), template="unaligned_warp_reduce"), 1, "0", "0", "nz // 16", "count(*) OVER (PARTITION BY r, nz // 16)", "n"),
+    (plan(Step("wlb_col", {"size": 3}), template="direct_warp_reduce"), 1, "0", "(r, rn // 3)", "rn", "1", "n"),
+    (plan(Step("row_pad", {"multiple": 4}), Step("blb_row", {"height": 4}), Step("wlb_col", {"size": 3}), template="shared_memory_warp_reduce"), 4, "r // 4", "(r, rn // 3)", "rn", "1", "(SELECT count(*) FROM e4)"),
+    (plan(Step("row_pad", {"multiple": 32}), Step("blb_row", {"height": 32}), Step("tlb_col", {"size": 4}), template="shared_memory_warp_compress"), 32, "r // 32", "0", "rn // 4", "4",
+     "(SELECT sum((k + 3) // 4 * 4) FROM e32 WHERE rn = 0)"),
+    (plan(Step("blb_row", {"height": 256}), Step("tlb_col", {"size": 2}), template="shared_memory"), 1, "r // 256", "0", "rn // 2", "2", "(SELECT sum((k + 1) // 2 * 2) FROM e1 WHERE rn = 0)"),
+]
+
+
+def _facts_sql(of: str) -> str:
+    tables = [
+        f"e{pad} AS (SELECT nz.r, rn, nz, k FROM nz JOIN len ON len.r = nz.r UNION ALL SELECT i, 0, (SELECT count(*) FROM m) + i - nr, 1 FROM d, (SELECT unnest(range((SELECT nr FROM d), (SELECT (nr + {pad - 1}) // {pad} * {pad} FROM d))) AS i))"
+        for pad in sorted({x[1] for x in FACT_PLANS})
+    ]
+    parts = []
+    for i, (p, pad, b, w, q, size, stored) in enumerate(FACT_PLANS):
+        name, tree = p.strategy, f"t{i}"
+        tables.append(f"{tree} AS (SELECT b, w, r, q, any_value(size) AS n FROM (SELECT {b} AS b, {w} AS w, r, {q} AS q, {size} AS size FROM e{pad}) GROUP BY ALL)")
+        support = f"({templates.TEMPLATES[name][1]}) AND ({templates.BESIDES.get(name, 'true')})"
+        narrower = templates.NARROWER[name].replace("not is_sorted", "true")
+        parts.append(f"""SELECT CAST({i} AS BIGINT) AS plan, '{name}' AS template, *, reason = '' AS admitted FROM (SELECT *, CASE WHEN NOT ({support}) THEN 'support' WHEN padding_ratio > 4 THEN 'padding' WHEN NOT ({narrower}) THEN 'narrower' ELSE '' END AS reason FROM (
+  SELECT * FROM (SELECT max(t) AS tlbs_of_row, max(w) AS wlbs_of_row, count(*) FILTER (WHERE b > 1) AS shared_rows FROM (SELECT r, count(*) AS t, count(DISTINCT (b, w)) AS w, count(DISTINCT b) AS b FROM {tree} GROUP BY r)),
+  (SELECT count(*) AS blbs, max(t) AS tlbs_of_blb, max(rr) AS rows_of_blb, count(*) FILTER (WHERE lo <> hi) AS uneven_blbs, CAST(min(lo) AS BIGINT) AS min_tlb, CAST(max(hi) AS BIGINT) AS max_tlb, max(ww) AS wlbs_of_blb
+   FROM (SELECT b, count(*) AS t, count(DISTINCT r) AS rr, min(n) AS lo, max(n) AS hi, count(DISTINCT w) AS ww FROM {tree} GROUP BY b)),
+  (SELECT count(*) AS wlbs, max(rr) AS rows_of_wlb FROM (SELECT b, w, count(DISTINCT r) AS rr FROM {tree} GROUP BY b, w)),
+  (SELECT (nr + {pad - 1}) // {pad} * {pad} - nr AS pad_rows FROM d), (SELECT round(CAST({stored} AS DOUBLE) / n, 9) AS padding_ratio FROM (SELECT count(*) AS n FROM m))))""")
+    return base(", " + ",\n".join(tables) + "\n" + "\nUNION ALL ".join(parts), of)
+
+
+def facts_of_plans(m: SparseMatrix):
+    got = facts.plan_facts(m, [x[0] for x in FACT_PLANS]).drop("record")
+    return got.withColumn("padding_ratio", F.round("padding_ratio", 9))
+
+
+for _of in ("order_part", "supp_part"):
+    on(facts_of_plans, f"plan_facts_{_of}", _facts_sql(_of), _of)
+
+
+def ranking(m: SparseMatrix):
+    """Admitted plans of a matrix in the order of a model of what all supported ones store and read: plan, record and place."""
+    plans = [Plan((Step("compress"),), steps, template) for _, _, template, sizes in tuner.SKELETONS for steps in sizes(tuner.facts_of(m))]
+    rows = [r.asDict() for r in facts.plan_facts(m, plans).orderBy("plan").collect()]
+    log = [(learn.plan_features(plans[r["plan"]], r), 1e3 / (20 * r["padding_ratio"] + r["tlbs_of_row"] + r["wlbs_of_row"])) for r in rows if r["blbs"]]
+    model = learn.surrogate(m.spark.createDataFrame(log * 2, "features array<double>, target double"))
+    found = tuner.shortlist(m, plans, model)
+    return m.spark.createDataFrame([(i, p.record()) for i, (p, _) in enumerate(found)], "place long, record string")
+
+
+on(ranking, "plan_ranking", None)
+
+
 def strategies(m: SparseMatrix):
     rows = [(s, *(p or (0, 0, 0)), len(points) - 1 if s != 2 or len(points) <= tuner.MOST_BLOCKS + 1 else tuner.MOST_BLOCKS + 1, dense is not None) for s, p, points, dense in tuner.matrix_strategies(m)]
     return m.spark.createDataFrame(rows, "strategy long, start long, rate long, cap long, blocks long, admitted boolean")
@@ -267,10 +324,9 @@ on(coo_back, "coo_round_trip", base('SELECT r AS "row", c AS col, v AS val, nr A
 
 
 def mm_lines(m: SparseMatrix, kind: str, entries):
+    """The entries written as Matrix-Market text, in order and in as many parts as there are ranges of rows, and read again."""
     path = folder(m.spark, "mm")
-    head = m.spark.createDataFrame([(0, -2, -2, f"%%MatrixMarket matrix coordinate real {kind}"), (0, -1, -1, "% made for a query"), (0, 0, 0, f"{m.n_rows} {m.n_cols} 0")], "part int, a long, b long, value string")
-    body = entries.select(F.lit(1).alias("part"), F.col("row").alias("a"), F.col("col").alias("b"), F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "val").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("part", "a", "b").select("value").write.text(path)
+    text.write_matrix_market(SparseMatrix(entries, m.n_rows, m.n_cols), path, kind)
     return text.read_matrix_market(m.spark, path).entries
 
 
@@ -287,16 +343,14 @@ on(lambda m: mm_lines(square(m), "skew-symmetric", m.entries.filter("col < row")
 
 
 def mm_dense(m: SparseMatrix):
-    """The first 40 x 25 corner as an array of all values by columns: the corner is the size of the dense matrix, not a filter on one."""
+    """The matrix as an array of all its values by columns, zeros included, written in parts and read again."""
     path = folder(m.spark, "mm-array")
-    cells = m.spark.range(40 * 25).select(F.col("id").alias("i"), F.pmod("id", F.lit(40)).alias("row"), F.floor(F.col("id") / 40).alias("col"))
-    values = cells.select("i", (F.col("row") * 100 + F.col("col")).cast("double").cast("string").alias("value"))
-    head = m.spark.createDataFrame([(-2, "%%MatrixMarket matrix array real general"), (-1, "40 25")], "i long, value string")
-    head.unionByName(values).coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    text.write_matrix_market_array(m, path)
     return text.read_matrix_market(m.spark, path).entries
 
 
-on(mm_dense, "mm_array", 'SELECT i AS "row", j AS col, CAST(i * 100 + j AS DOUBLE) AS val FROM (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 25)) AS j)')
+on(mm_dense, "mm_array", base("""
+SELECT allr.r AS "row", q.c AS col, coalesce(v, 0) AS val FROM allr CROSS JOIN (SELECT unnest(range(0, (SELECT nc FROM d))) AS c) q LEFT JOIN m ON m.r = allr.r AND m.c = q.c""", "supp_part"), "supp_part")
 
 
 def array_back(m: SparseMatrix):

@@ -9,6 +9,7 @@ blocks gives a row for each way, and every plan's facts are arithmetic on these
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ from lattica.model import SparseMatrix
 from lattica.operators import cuts, levels
 from lattica.operators.order import intervals, running_sum
 from lattica.plans import templates
-from lattica.plans.graph import Plan
 from lattica.session import cut
 
+if TYPE_CHECKING:
+    from lattica.plans.graph import Plan
+
 FACTS = ("tlbs_of_row", "wlbs_of_row", "shared_rows", "blbs", "tlbs_of_blb", "rows_of_blb", "uneven_blbs", "min_tlb", "max_tlb", "wlbs", "rows_of_wlb")
 #: Besides those of templates.facts(): rows of padding, warps of a block, entries stored for each entry of the matrix.
 MORE = ("pad_rows", "wlbs_of_blb", "padding_ratio")
@@ -170,6 +173,13 @@ def verdict(template: str, facts: dict | None, is_sorted: bool = False, most_pad
     return "" if templates.holds(templates.NARROWER[name], own) else "narrower"
 
 
+def supports(matrix: SparseMatrix, plan: Plan) -> bool:
+    """Whether the partition that a plan would make of an undivided matrix supports its template."""
+    shape = Shape.of(plan)
+    counts = block_counts(matrix, [plan])
+    return verdict(plan.strategy, facts_from(counts[shape.blocks], shape) if counts else None, most_padding=float("inf")) != "support"
+
+
 def plan_facts(matrix: SparseMatrix, plans: list[Plan], is_sorted: bool = False, most_padding: float = MOST_PADDING) -> DataFrame:
     """plan (its place in the list), record, template, the facts, admitted and reason (support, padding, narrower or empty)."""
     counts, rows = block_counts(matrix, plans), []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
 from lattica.operators import cuts, division, features, layout, levels, products, sorting
-from lattica.plans import templates
+from lattica.plans import facts, templates
 from lattica.session import cut
 from lattica.sources import generators, text
 
@@ -222,9 +222,14 @@ def run(matrix: SparseMatrix | None, plan: Plan, x: DataFrame, spark: SparkSessi
     ready = prepare(matrix, plan, spark)
     rows = ready.n_rows
     if plan.strategy in templates.TREES and (plan.levels or plan.strategy not in products.STRATEGIES):
-        state = levels.kept(lower(ready, plan)) if check else lower(ready, plan)
-        if check and not templates.supports(state.entries, plan.strategy):
+        divided = any(s.name in DIVISIONS for s in plan.dense)
+        if check and not divided and not facts.supports(ready, plan):  # the row lengths tell
             raise ValueError(f"the partition does not support {plan.strategy}")
+        state = lower(ready, plan)
+        if check and divided:  # rows may lie in several blocks: the partition has to be laid out to be looked at
+            state = levels.kept(state)
+            if not templates.supports(state.entries, plan.strategy):
+                raise ValueError(f"the partition does not support {plan.strategy}")
         sums = templates.product(state.entries, ready, x, plan.strategy)
     else:
         plain = ready.with_entries(ready.entries.select("row", "col", "val"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
 from lattica.operators import cuts, features, products
+from lattica.plans import facts, learn
 from lattica.plans.graph import Plan, Step, prepare, run, violations
 from lattica.session import cut
+from lattica.sources import corpus
 
 LOG = "ops array<string>, strategies array<string>, template string, params array<double>, metric double"
 
@@ -163,11 +165,11 @@ def split_time(total: float, shares: tuple[float, ...] = (0.1, 0.25, 1.0), used:
     return out
 
 
-def trial(matrix: SparseMatrix, x: DataFrame, plan: Plan, timer: Callable[[], float]) -> tuple:
+def trial(matrix: SparseMatrix, x: DataFrame, plan: Plan, timer: Callable[[], float], check: bool = True) -> tuple:
     """One row of the log: operations, options, template, numbers and products per second (0 for an unsupported partition)."""
     began = timer()
     try:
-        run(matrix, plan, x).write.format("noop").mode("overwrite").save()
+        run(matrix, plan, x, check=check).write.format("noop").mode("overwrite").save()
         metric = 1.0 / max(timer() - began, 1e-9)
     except ValueError:
         metric = 0.0
@@ -194,13 +196,29 @@ def parts_of(matrix: SparseMatrix, dense: tuple[Step, ...]) -> list[SparseMatrix
     return [ready.with_entries(ready.entries.filter(F.col("block") == n).drop("col_lo")) for n in numbers]
 
 
-def search_blocks(matrix: SparseMatrix, x: DataFrame, dense: tuple[Step, ...], budget: Budget, timer: Callable[[], float] = time.perf_counter) -> list[tuple[Plan, float]]:
-    """The best plan of each block by the metric, the direct one where nothing else is supported."""
-    out = []
+def shortlist(matrix: SparseMatrix, plans: list[Plan], model=None, is_sorted: bool = False, settings: dict | None = None) -> list[tuple[Plan, list[float]]]:
+    """Plans that are worth a trial, with their features: those whose facts admit the template, by one scan of the row lengths.
+
+    Where no plan is admitted by the narrower conditions, all supported ones are left. model: of the log; the plans come in
+    the order of its predictions, and in list order without one.
+    """
+    bound = (settings or corpus.settings())["padding_rate_up_bound"]
+    rows = facts.plan_facts(matrix, plans, is_sorted, bound).orderBy("plan").collect()
+    left = [r for r in rows if r["admitted"]] or [r for r in rows if r["reason"] == "narrower"]
+    out = [(plans[r["plan"]], learn.plan_features(plans[r["plan"]], r.asDict())) for r in left]
+    return learn.in_order(model, out, matrix.spark)
+
+
+def search_blocks(matrix: SparseMatrix, x: DataFrame, dense: tuple[Step, ...], budget: Budget, timer: Callable[[], float] = time.perf_counter, log: DataFrame | None = None) -> list[tuple[Plan, float]]:
+    """The best plan of each block by the metric, the direct one where nothing else is supported.
+
+    log: features and targets of earlier trials; a model of it that explains them orders the trials.
+    """
+    model, out = learn.surrogate(log) if log is not None else None, []
     for part in parts_of(matrix, dense):
         chosen = (Plan((Step("compress"),), (), "direct"), 0.0)
-        for plan in candidates(part):
-            metric = trial(part, x, plan, timer)[-1]
+        for plan, _ in shortlist(part, candidates(part), model):
+            metric = trial(part, x, plan, timer, check=False)[-1]
             if metric > chosen[1]:
                 chosen = (plan, metric)
             if not budget.tell(metric):
@@ -209,6 +227,17 @@ def search_blocks(matrix: SparseMatrix, x: DataFrame, dense: tuple[Step, ...], b
     return out
 
 
+def guided_search(matrix: SparseMatrix, x: DataFrame, plans: list[Plan], log: DataFrame | None, budget: Budget, timer: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """The log of trials in the order that a model of an earlier log predicts: record, features and target of each."""
+    rows = []
+    for plan, own in shortlist(matrix, plans, learn.surrogate(log) if log is not None else None):
+        metric = trial(matrix, x, plan, timer, check=False)[-1]
+        rows.append((plan.record(), own, metric))
+        if not budget.tell(metric):
+            break
+    return matrix.spark.createDataFrame(rows, "record string, features array<double>, target double")
+
+
 def run_blocks(matrix: SparseMatrix, x: DataFrame, dense: tuple[Step, ...], plans: Callable[[int], Plan]) -> DataFrame:
     """row and y: each block by its plan, the blocks' sums added up, rows as they were before a sort."""
     parts = parts_of(matrix, dense)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
+from lattica.operators.order import ranged_places
 
 BANNER = "%%MatrixMarket"
 
@@ -14,27 +15,33 @@ def _fields(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.split(F.trim("value"), r"\s+").alias("f"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and place (file, block and line in it), by which the lines of all files of a folder are in order."""
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", block.alias("place"))
+
+
+def _first(lines: DataFrame) -> tuple[str | None, DataFrame]:
+    """The first line in order, and the others."""
+    first = lines.agg(F.min(F.struct("place", "value")).alias("x")).first()["x"]
+    if first is None:
+        return None, lines
+    place = F.struct(*[F.lit(first["place"][c]).alias(c) for c in ("file", "block", "line")])
+    return first["value"], lines.filter(F.col("place") != place)
+
+
 def read_coo(spark: SparkSession, path: str, one_based: bool = True) -> SparseMatrix:
     """A COO text: the first line that is neither blank nor led by a space has rows and columns; then `row col val`.
 
     A third number of the header is not used. A missing value is 1.
     """
-    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^(\s|$)") & ~F.col("value").startswith("%"))
-    header = lines.first()
+    header, body = _first(_lines(spark, path).filter(~F.col("value").rlike(r"^(\s|$)") & ~F.col("value").startswith("%")))
     if header is None:
         raise ValueError(f"{path} has no header")
-    n_rows, n_cols = (int(x) for x in header["value"].split()[:2])
-    body = _without_header(lines, header["value"])
+    n_rows, n_cols = (int(x) for x in header.split()[:2])
     return SparseMatrix(_entries(body, one_based), n_rows, n_cols)
 
 
-def _without_header(lines: DataFrame, header: str) -> DataFrame:
-    """Lines but the first: the header is the line with the least (file, place) among those equal to it."""
-    placed = lines.select("value", F.monotonically_increasing_id().alias("at"))
-    at = placed.filter(F.col("value") == header).agg(F.min("at")).first()[0]
-    return placed.filter(F.col("at") != at).select("value")
-
-
 def _entries(lines: DataFrame, one_based: bool) -> DataFrame:
     shift, f = (1 if one_based else 0), F.col("f")
     return _fields(lines).select(
@@ -47,21 +54,16 @@ def read_matrix_market(spark: SparkSession, path: str, values: str = "file") ->
 
     values: "file", or "pattern" for 1 everywhere.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = _lines(spark, path).filter(F.trim("value") != "")
     banner = lines.filter(F.col("value").startswith(BANNER)).first()
     kind = banner["value"].lower().split() if banner else []
-    data = lines.filter(~F.col("value").startswith("%"))
-    header = data.first()["value"]
+    header, body = _first(lines.filter(~F.col("value").startswith("%")))
     n_rows, n_cols = (int(x) for x in header.split()[:2])
     if "array" in kind:
-        placed = data.select("value", F.monotonically_increasing_id().alias("at"))
-        first = placed.agg(F.min("at")).first()[0]
-        from lattica.operators.order import global_position
-
-        body = global_position(placed.filter(F.col("at") != first), [F.lit(0).asc()], [], "at", "i")
-        entries = body.select(F.pmod("i", F.lit(n_rows)).alias("row"), F.floor(F.col("i") / n_rows).alias("col"), F.trim("value").cast("double").alias("val"))
+        placed = ranged_places(body, [F.col(f"place.{c}") for c in ("file", "block", "line")], "i")
+        entries = placed.select(F.pmod("i", F.lit(n_rows)).alias("row"), F.floor(F.col("i") / n_rows).alias("col"), F.trim("value").cast("double").alias("val"))
     else:
-        entries = _entries(_without_header(data, header), True)
+        entries = _entries(body, True)
     if "symmetric" in kind or "skew-symmetric" in kind:
         entries = expand_symmetric(entries, -1.0 if "skew-symmetric" in kind else 1.0)
     if values == "pattern":
@@ -69,6 +71,24 @@ def read_matrix_market(spark: SparkSession, path: str, values: str = "file") ->
     return SparseMatrix(entries, n_rows, n_cols)
 
 
+def write_matrix_market(matrix: SparseMatrix, path: str, kind: str = "general") -> None:
+    """Matrix-Market coordinate text in (row, col) order, in as many files as there are ranges of rows; the first one has the header."""
+    head = [(-3, f"{BANNER} matrix coordinate real {kind}"), (-2, "% rows, columns and entries"), (-1, f"{matrix.n_rows} {matrix.n_cols} {matrix.entries.count()}")]
+    header = matrix.spark.createDataFrame(head, "row long, value string").select("row", F.lit(0).cast("long").alias("col"), "value")
+    body = matrix.entries.select("row", "col", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "val").alias("value"))
+    header.unionByName(body).orderBy("row", "col").select("value").write.mode("overwrite").text(path)
+
+
+def write_matrix_market_array(matrix: SparseMatrix, path: str) -> None:
+    """All values by columns, zeros included; entries of one place are added up."""
+    head = matrix.spark.createDataFrame([(-2, f"{BANNER} matrix array real general"), (-1, f"{matrix.n_rows} {matrix.n_cols}")], "i long, value string")
+    place = F.col("col") * matrix.n_rows + F.col("row")
+    there = matrix.entries.groupBy(place.alias("i")).agg(F.sum("val").alias("val"))
+    cells = matrix.spark.range(matrix.n_rows * matrix.n_cols).withColumnRenamed("id", "i").join(there, "i", "left")
+    values = cells.select("i", F.coalesce("val", F.lit(0.0)).cast("string").alias("value"))
+    head.unionByName(values).orderBy("i").select("value").write.mode("overwrite").text(path)
+
+
 def expand_symmetric(entries: DataFrame, sign: float = 1.0) -> DataFrame:
     """Entries with those off the diagonal mirrored, times sign."""
     mirrored = entries.filter("row != col").select(F.col("col").alias("row"), F.col("row").alias("col"), (F.col("val") * sign).alias("val"))

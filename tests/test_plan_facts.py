@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import features
-from lattica.plans import facts, templates, tuner
+from lattica.plans import facts, learn, templates, tuner
 from lattica.plans.graph import Plan, Step, lower, prepare
 from tests.test_engine import of_lengths
 
@@ -74,3 +74,41 @@ def test_every_skeleton_has_facts(spark):
     plans = tuner.candidates(m)
     got = facts.plan_facts(m, plans)
     assert got.count() == len(plans) and {r["template"] for r in got.filter(F.col("admitted")).collect()} >= {"shared_memory_long_row", "shared_memory_warp_reduce"}
+
+
+def cost_log(spark, m, plans):
+    """A log whose metric falls with what a plan stores and with its threads on one row."""
+    rows = [r.asDict() for r in facts.plan_facts(m, plans).orderBy("plan").collect()]
+    cost = [r["padding_ratio"] + 0.3 * r["tlbs_of_row"] + 0.05 * r["rows_of_blb"] for r in rows]
+    return [(learn.plan_features(plans[r["plan"]], r), 100.0 / c) for r, c in zip(rows, cost, strict=True)]
+
+
+def test_a_model_of_the_log_orders_the_trials(spark):
+    m = of_lengths(spark, [40, 3, 33, 64, 5, 70, 32, 32, 90, 1, 2, 35])
+    plans = tuner.candidates(m)
+    log = cost_log(spark, m, plans)
+    table = spark.createDataFrame(log * 3, "features array<double>, target double")
+    model = learn.surrogate(table)
+    assert model is not None
+    ordered = learn.in_order(model, list(zip(plans, [f for f, _ in log], strict=True)), spark)
+    of = dict(zip([p.record() for p in plans], [t for _, t in log], strict=True))
+    best = max(of.values())
+    trials = lambda ps: next(i for i, p in enumerate(ps) if of[p.record()] == best)
+    assert trials([p for p, _ in ordered]) < trials(plans) and trials([p for p, _ in ordered]) < 5
+    assert learn.in_order(None, [(1, [0.0])], spark) == [(1, [0.0])]
+
+
+def test_a_log_that_explains_nothing_is_not_used(spark):
+    noise = [([float(i % 7 == k) for k in range(learn.WIDTH)], float((i * 7919) % 13)) for i in range(60)]
+    assert learn.surrogate(spark.createDataFrame(noise, "features array<double>, target double")) is None
+    assert learn.surrogate(spark.createDataFrame(noise[:3], "features array<double>, target double")) is None
+
+
+def test_guided_search_tries_what_is_admitted(spark):
+    m = of_lengths(spark, [3, 1, 0, 8, 2, 2, 0, 40, 1])
+    x = m.cols().withColumn("x", F.lit(2.0))
+    ticks = iter(range(1000))
+    log = tuner.guided_search(m, x, PLANS[:6], None, tuner.Budget(steps=3), timer=lambda: float(next(ticks)))
+    rows = log.collect()
+    admitted = {r["record"] for r in facts.plan_facts(m, PLANS[:6]).filter("admitted").collect()}
+    assert len(rows) == min(3, len(admitted)) and {r["record"] for r in rows} <= admitted and all(r["target"] == 1.0 and len(r["features"]) == learn.WIDTH for r in rows)
