@@ -6,6 +6,7 @@ Matrices over the tables: order_part (orders x parts, quantities), supp_part (su
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -374,36 +375,47 @@ on(lambda m: runs.pack_bits(lengths_seq(m).withColumn("flag", F.col("key") > 4),
 SELECT r AS pos, CASE WHEN k > 4 THEN 16 ELSE 0 END + r % 10 AS packed, lpad(bin(CASE WHEN k > 4 THEN 16 ELSE 0 END + r % 10), 5, '0') AS bits FROM len"""))
 
 
-# Generators and sources.
-@query('SELECT s * 40 + t AS "row", CAST(q AS BIGINT) AS col, CAST(1 AS DOUBLE) AS val FROM (SELECT unnest(range(0, 40)) AS s), (SELECT unnest(range(0, 40)) AS t), (SELECT unnest(range(0, 1600)) AS q) WHERE abs(q // 40 - s) + abs(q % 40 - t) = 1')
+# Generators and sources. What is made by rule is as large as the tables say.
+def rows_in(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return table(spark, sf_dir, name).count()
+
+
+@query("""
+WITH s AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM part), n AS (SELECT unnest(range(0, (SELECT w * w FROM s))) AS i)
+SELECT i AS "row", i + step AS col, CAST(1 AS DOUBLE) AS val FROM n, s, (SELECT unnest([-1, 1]) AS step) WHERE i % w + step BETWEEN 0 AND w - 1
+UNION ALL SELECT i, i + step * w, 1 FROM n, s, (SELECT unnest([-1, 1]) AS step) WHERE i // w + step BETWEEN 0 AND w - 1""")
 def grid2d(spark, sf_dir):
-    return generators.lattice(spark, 40, 2).entries
+    return generators.lattice(spark, math.isqrt(rows_in(spark, sf_dir, "part")), 2).entries
 
 
 @query("""
-SELECT a AS "row", CAST(b AS BIGINT) AS col, CAST(1 AS DOUBLE) AS val FROM (SELECT unnest(range(0, 512)) AS a), (SELECT unnest(range(0, 512)) AS b)
-WHERE abs(a // 64 - b // 64) + abs(a // 8 % 8 - b // 8 % 8) + abs(a % 8 - b % 8) <= 1""")
+WITH s AS (SELECT CAST(floor(pow(count(*), 1.0 / 3) + 1e-9) AS BIGINT) AS w FROM part), n AS (SELECT unnest(range(0, (SELECT w * w * w FROM s))) AS i), d AS (SELECT unnest([-1, 1]) AS step)
+SELECT i AS "row", i + step AS col, CAST(1 AS DOUBLE) AS val FROM n, s, d WHERE i % w + step BETWEEN 0 AND w - 1
+UNION ALL SELECT i, i + step * w, 1 FROM n, s, d WHERE i // w % w + step BETWEEN 0 AND w - 1
+UNION ALL SELECT i, i + step * w * w, 1 FROM n, s, d WHERE i // (w * w) + step BETWEEN 0 AND w - 1
+UNION ALL SELECT i, i, 1 FROM n""")
 def grid3d(spark, sf_dir):
-    return generators.lattice(spark, 8, 3, self_loop=True).entries
+    return generators.lattice(spark, int(rows_in(spark, sf_dir, "part") ** (1 / 3) + 1e-9), 3, self_loop=True).entries
 
 
 @query("""
-SELECT CAST(0 AS BIGINT) AS "row", i + 1 AS col, CAST(1 AS DOUBLE) AS val FROM (SELECT unnest(range(0, 100)) AS i)
-UNION ALL SELECT i + 1, (i + 1) % 100 + 1, 1 FROM (SELECT unnest(range(0, 100)) AS i)""")
+WITH i AS (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS i)
+SELECT CAST(0 AS BIGINT) AS "row", i + 1 AS col, CAST(1 AS DOUBLE) AS val FROM i UNION ALL SELECT i + 1, (i + 1) % (SELECT count(*) FROM customer) + 1, 1 FROM i""")
 def wheel(spark, sf_dir):
-    return generators.wheel(spark, 100).entries
+    return generators.wheel(spark, rows_in(spark, sf_dir, "customer")).entries
 
 
-@query('SELECT a AS "row", b AS col, CAST(2.5 AS DOUBLE) AS val FROM (SELECT unnest(range(0, 30)) AS a), (SELECT unnest(range(0, 20)) AS b)')
+@query('SELECT a AS "row", b AS col, CAST(2.5 AS DOUBLE) AS val FROM (SELECT unnest(range(0, (SELECT count(*) FROM supplier))) AS a), (SELECT unnest(range(0, (SELECT count(*) FROM nation))) AS b)')
 def dense(spark, sf_dir):
-    return generators.dense(spark, 30, 20, 2.5).entries
+    return generators.dense(spark, rows_in(spark, sf_dir, "supplier"), rows_in(spark, sf_dir, "nation"), 2.5).entries
 
 
-@query("SELECT CAST(500 AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS least, CAST(4 AS BIGINT) AS most, true AS inside")
+@query("SELECT count(*) AS n_rows, CAST(4 AS BIGINT) AS least, CAST(4 AS BIGINT) AS most, true AS inside FROM customer")
 def uniform_generator(spark, sf_dir):
-    entries = generators.uniform(spark, 500, 90, 4, seed=3).entries
+    cols = rows_in(spark, sf_dir, "part")
+    entries = generators.uniform(spark, rows_in(spark, sf_dir, "customer"), cols, 4, seed=3).entries
     rows = entries.groupBy("row").agg(F.count_distinct("col").alias("k"), F.min("col").alias("lo"), F.max("col").alias("hi"))
-    return rows.agg(F.count("*").alias("n_rows"), F.min("k").alias("least"), F.max("k").alias("most"), ((F.min("lo") >= 0) & (F.max("hi") < 90)).alias("inside"))
+    return rows.agg(F.count("*").alias("n_rows"), F.min("k").alias("least"), F.max("k").alias("most"), ((F.min("lo") >= 0) & (F.max("hi") < cols)).alias("inside"))
 
 
 @query(base("""
@@ -442,10 +454,13 @@ def out_of_bounds_entries(spark, sf_dir):
 
 
 # Search and learning.
-@query("""
-SELECT a, b, CAST(CAST(a AS BIGINT) % 64 AS BIGINT) AS warps FROM (SELECT CAST(unnest(range(32, 257, 32)) AS DOUBLE) AS a), (SELECT CAST(unnest(range(1, 17, 3)) AS DOUBLE) AS b) WHERE a * b <= 1024""")
+@query(base("""
+SELECT a, b, CAST(CAST(a AS BIGINT) % 64 AS BIGINT) AS warps FROM (SELECT CAST(unnest(range(32, 32 * (SELECT max(k) FROM len) + 1, 32)) AS DOUBLE) AS a), (SELECT CAST(unnest(range(1, (SELECT max(k) FROM len) + 1, 3)) AS DOUBLE) AS b)
+WHERE a * b <= 1024""", "supp_part"))
 def param_grid(spark, sf_dir):
-    return tuner.grid(spark, {"a": (32, 256, 32), "b": (1, 16, 3)}, keep="a * b <= 1024", derived={"warps": "cast(a as bigint) % 64"})
+    """Threads and widths up to what the longest row allows."""
+    longest = features.matrix_info(matrix(spark, sf_dir, "supp_part")).first()["max_nnz"]
+    return tuner.grid(spark, {"a": (32, 32 * longest, 32), "b": (1, longest, 3)}, keep="a * b <= 1024", derived={"warps": "cast(a as bigint) % 64"})
 
 
 @query("SELECT p_brand AS template, CAST(p_partkey AS DOUBLE) AS trial, p_retailprice + p_partkey / 1000000.0 AS metric FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice + p_partkey / 1000000.0 DESC) = 1")

@@ -59,6 +59,13 @@ def coarse_bounds(matrix: SparseMatrix, every: int = 1) -> list[int]:
     return [0, *lengths[1:]]
 
 
+def step_bounds(matrix: SparseMatrix, step: int) -> DataFrame:
+    """i and bound: the shortest row's length, then every `step` up to the longest one's; the first is replaced by 0."""
+    ends = matrix.row_nnz().agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low is not null")
+    each = ends.select("low", F.posexplode(F.sequence("low", "high", F.lit(step).cast("long"))).alias("i", "at"))
+    return each.select(F.col("i").cast("long").alias("i"), F.when(F.col("i") == 0, F.lit(0)).otherwise(F.col("at")).cast("long").alias("bound"))
+
+
 def chunk_sizes(k: Column, size: int, merge_tail: bool) -> Column:
     """Sizes of a row's chunks: full ones and the rest; a rest under half a chunk joins the last full one, if asked."""
     full, rest = F.floor(k / size), k % size

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from lattica.model import SparseMatrix
 from lattica.operators.division import numbered
-from lattica.operators.order import running_sum
+from lattica.operators.order import ranged_places, running_sum
 from lattica.session import cut
 
 KEYS = {"blb": ["block", "blb"], "wlb": ["block", "blb", "wlb"], "tlb": ["block", "blb", "wlb", "row", "tlb"]}
@@ -179,13 +179,21 @@ def padded(levels: Levels) -> DataFrame:
 
 
 def interleaved(levels: Levels) -> DataFrame:
-    """padded() with position: inside a warp the first entries of all threads come first, then all second ones."""
-    keys = KEYS["tlb"]
-    filled = padded(levels)
-    threads = filled.select(*keys).distinct().withColumn("thread", F.row_number().over(Window.partitionBy(*KEYS["wlb"]).orderBy("row", "tlb")) - 1)
-    number = threads.groupBy(*KEYS["wlb"]).agg(F.count("*").alias("threads"))
-    both = filled.join(threads, keys).join(number, KEYS["wlb"])
-    return both.withColumn("position", F.col("slot") * F.col("threads") + F.col("thread")).drop("thread", "threads")
+    """padded() with position: inside a warp the first entries of all threads come first, then all second ones.
+
+    A thread's number in its warp is arithmetic: a segment has a thread for each `width` entries, and the threads before a
+    segment are a running sum over all segments in order, less that of the warp's first one. So no task holds a warp, which
+    may be the whole matrix.
+    """
+    warp = KEYS["wlb"]
+    number = F.ceil(F.max("len") / F.max("width"))
+    segments = levels.entries.groupBy(*warp, "row").agg(number.alias("_threads"))
+    segments = ranged_places(segments, [*[F.col(c) for c in warp], F.col("row")], "_nth")
+    segments = running_sum(segments, "_nth", "_threads", "_first").drop("_nth")
+    warps = segments.groupBy(*warp).agg(F.min("_first").alias("_base"), F.sum("_threads").alias("_all"))
+    both = padded(levels).join(segments.select(*warp, "row", "_first"), [*warp, "row"]).join(warps, warp)
+    thread = F.col("_first") - F.col("_base") + F.col("tlb")
+    return both.withColumn("position", F.col("slot") * F.col("_all") + thread).drop("_first", "_base", "_all")
 
 
 def reduce_rows(levels: Levels, warp: int = 32) -> DataFrame:

@@ -42,6 +42,13 @@ def coarse(matrix: SparseMatrix, bounds: Sequence[int]) -> DataFrame:
     return global_position(lengths, [F.desc("bin")], ["bin"], "row", "new_row").select("new_row", F.col("row").alias("old_row"), "bin")
 
 
+def coarse_by_step(matrix: SparseMatrix, step: int) -> DataFrame:
+    """new_row, old_row and bin: bins of `step` lengths from the shortest row on, the highest first, empty rows last. The bin is arithmetic, for any number of bins."""
+    low = matrix.row_nnz().agg(F.min("k")).first()[0] or 0
+    lengths = matrix.row_nnz().withColumn("bin", F.when(F.col("k") == 0, F.lit(-1)).otherwise(F.floor((F.col("k") - low) / step)))
+    return global_position(lengths, [F.desc("bin")], ["bin"], "row", "new_row").select("new_row", F.col("row").alias("old_row"), "bin")
+
+
 def coarse_offsets(matrix: SparseMatrix, bounds: Sequence[int]) -> DataFrame:
     """bin and first_row: where each bin begins in the coarse order."""
     return coarse(matrix, bounds).groupBy("bin").agg(F.min("new_row").alias("first_row"), F.count("*").alias("n_rows"))

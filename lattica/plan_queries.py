@@ -10,7 +10,7 @@ from lattica.catalog import Y_SQL, base, matrix, on, query, table, vector
 from lattica.functions import formulas
 from lattica.functions.block_forms import block_forms
 from lattica.model import SparseMatrix
-from lattica.operators import division, levels, products, runs, sorting
+from lattica.operators import cuts, division, levels, products, runs, sorting
 from lattica.operators.cuts import exponential_cuts
 from lattica.plans import facts, graph, learn, templates, tuner
 from lattica.plans.graph import Plan, Step
@@ -84,6 +84,17 @@ on(
 SELECT nz.r AS "row", c AS col, v AS val, false AS is_pad, rn % 2 * n + t AS position FROM nz JOIN t ON t.r = nz.r AND t.q = nz.rn // 2
 UNION ALL SELECT r, last, 0, true, n + t FROM t WHERE filled = 1""".strip()),
 )
+PLACED = ("row", "col", "val", "is_pad", "position")
+on(lambda m: levels.interleaved(lowered(m, plan(Step("tlb_col", {"size": 2})))).select(*PLACED), "plan_interleaved_one_warp", base("""
+, t AS (SELECT r, rn // 2 AS q, row_number() OVER (ORDER BY r, rn // 2) - 1 AS t, count(*) OVER () AS n, count(*) AS filled, max(c) AS last FROM nz GROUP BY r, rn // 2)
+SELECT nz.r AS "row", c AS col, v AS val, false AS is_pad, rn % 2 * n + t AS position FROM nz JOIN t ON t.r = nz.r AND t.q = nz.rn // 2
+UNION ALL SELECT r, last, 0, true, n + t FROM t WHERE filled = 1""".strip()))
+on(lambda m: levels.interleaved(lowered(m, plan(Step("wlb_row", {"height": 32}), Step("tlb_row", {"empty_rows": True})))).select(*PLACED), "plan_interleaved_empty_rows", base("""
+, t AS (SELECT r, k, r - r // 32 * 32 AS t, count(*) OVER (PARTITION BY r // 32) AS n, greatest(max(k) OVER (PARTITION BY r // 32), 1) AS width FROM len),
+last AS (SELECT r, max(c) AS c FROM m GROUP BY r)
+SELECT nz.r AS "row", c AS col, v AS val, false AS is_pad, rn * n + t AS position FROM nz JOIN t ON t.r = nz.r
+UNION ALL SELECT t.r, coalesce(c, (SELECT min(c) FROM m)), 0, true, s * n + t FROM (SELECT *, unnest(range(k, width)) AS s FROM t) t LEFT JOIN last ON last.r = t.r""".strip()))
+on(lambda m: graph.run(m, plan(Step("wlb_row", {"height": 32}), Step("tlb_row", {"empty_rows": True}), dense=(Step("row_div", {"start": 4, "rate": 2, "cap": 8}),), template="direct"), vector(m), check=False), "spmv_slots_for_empty_rows", base(Y_SQL))
 on(lambda m: levels.reduce_rows(lowered(m, plan(Step("tlb_nnz", {"size": 8})))), "plan_reduce_rows", base("""
 SELECT tlb, tlb // 32 AS wlb, first_row, first_row - min(first_row) OVER (PARTITION BY tlb // 32) AS relative_row FROM (SELECT nz // 8 AS tlb, min(r) AS first_row FROM nz GROUP BY 1)"""))
 
@@ -102,6 +113,14 @@ SORT, DIVIDE = Step("coarse_sort"), Step("row_div", {"start": 2, "rate": 2, "cap
 WINDOW = "CASE WHEN k >= 8 THEN 3 WHEN k >= 4 THEN 2 WHEN k >= 2 THEN 1 ELSE 0 END"
 
 
+on(lambda m: cuts.step_bounds(m, 3), "coarse_sort_step_bounds", base("""
+SELECT CAST(i AS BIGINT) AS i, CAST(CASE WHEN i = 0 THEN 0 ELSE lo + 3 * i END AS BIGINT) AS bound FROM (SELECT lo, unnest(range(0, (hi - lo) // 3 + 1)) AS i FROM (SELECT min(k) AS lo, max(k) AS hi FROM len))"""))
+on(lambda m: sorting.coarse_by_step(m, 3), "coarse_sort_by_step", base("""
+, b AS (SELECT r, CASE WHEN k = 0 THEN -1 ELSE (k - (SELECT min(k) FROM len)) // 3 END AS bin FROM len)
+SELECT row_number() OVER (ORDER BY bin DESC, r) - 1 AS new_row, r AS old_row, CAST(bin AS BIGINT) AS bin FROM b""".strip()))
+on(lambda m: graph.run(m, plan(Step("tlb_nnz", {"size": 32}), dense=(Step("fine_sort"), Step("row_pad_total", {"multiple": 1024})), template="unaligned_warp_reduce"), vector(m)), "spmv_fine_sorted_padded", base(Y_SQL))
+
+
 def division_table(m: SparseMatrix, *dense: Step):
     ready = graph.prepare(m, plan(dense=dense))
     return ready.entries.groupBy("block").agg(F.min("row_lo").alias("row_lo"), F.count_distinct("row").alias("rows"), F.min("col_lo").alias("col_lo"), F.count("*").alias("nnz"))
@@ -134,9 +153,10 @@ on(lambda m: division.divided_again(division.row_bands(m, 5000), 1, 1000), "redi
 SELECT r AS "row", c AS col, v AS val, dense_rank() OVER (ORDER BY CASE WHEN r // 5000 = 1 THEN 1000000 + r ELSE r // 5000 END // CASE WHEN r // 5000 = 1 THEN 1000 ELSE 1 END + CASE WHEN r // 5000 = 1 THEN 1000000 ELSE 0 END) - 1 AS block FROM m"""))
 
 
-@query("SELECT CAST(200 AS BIGINT) AS n_rows, CAST(600 AS BIGINT) AS nnz, true AS full_rows, CAST(600 AS DOUBLE) AS total")
+@query("SELECT count(*) AS n_rows, 3 * count(*) AS nnz, true AS full_rows, CAST(3 * count(*) AS DOUBLE) AS total FROM customer")
 def plan_generated_input(spark, sf_dir):
-    made = graph.prepare(None, Plan((Step("generate", {"rows": 200, "cols": 50, "per_row": 3, "seed": 4}), Step("compress"))), spark)
+    n = table(spark, sf_dir, "customer").count()
+    made = graph.prepare(None, Plan((Step("generate", {"rows": n, "cols": 50, "per_row": 3, "seed": 4}), Step("compress"))), spark)
     rows = made.entries.groupBy("row").agg(F.count_distinct("col").alias("k"), F.sum("val").alias("v"))
     return rows.agg(F.count("*").alias("n_rows"), F.sum("k").alias("nnz"), (F.min("k") == F.max("k")).alias("full_rows"), F.sum("v").alias("total"))
 
@@ -209,10 +229,103 @@ def admitted(m: SparseMatrix):
     return m.spark.createDataFrame(plans, "skeleton long").groupBy("skeleton").agg(F.count("*").alias("plans"))
 
 
-for _of in ("order_part", "supp_part"):
+for _of in ("order_part", "supp_part", "emb"):
     on(admitted, f"plan_candidates_{_of}", base(GATES + GATES_SQL, _of), _of)
 
 
+def _steps(p: Plan) -> str:
+    return ", ".join(" ".join([s.name, *map(str, s.params.values())]) for s in p.levels)
+
+
+def admitted_steps(m: SparseMatrix):
+    """The candidates themselves: skeleton, template and the level steps with their sizes."""
+    return m.spark.createDataFrame([(n, p.strategy, _steps(p)) for n, p in tuner.skeleton_plans(tuner.facts_of(m))], "skeleton long, template string, steps string")
+
+
+STEPS_SQL = """
+, warps AS (SELECT unnest(range(32, greatest(32, least(hi, 128)) + 1, 32)) AS w FROM g), widths AS (SELECT unnest(range(1, 17, 3)) AS w), sizes AS (SELECT unnest([128, 512, 896]) AS p)
+SELECT CAST(s AS BIGINT) AS skeleton, template, steps FROM g, (
+  SELECT 8 AS s, 'shared_memory_long_row' AS template, 'blb_col ' || p AS steps FROM (SELECT CAST(128 * pow(2, unnest(range(0, 6))) AS BIGINT) AS p), g WHERE p <= least(4096, (hi + 31) // 32 * 32)
+  UNION ALL SELECT 1, 'direct_warp_compress', 'row_pad ' || p || ', blb_row ' || p || ', tlb_row' FROM (SELECT unnest(range(64, 257, 64)) AS p)
+  UNION ALL SELECT 5, 'direct_warp_block_compress', 'row_pad 32, tlb_row'
+  UNION ALL SELECT 9, 'unaligned_warp_reduce', 'tlb_nnz ' || p FROM (SELECT DISTINCT greatest(1, least(mean, 32) * i // 4) AS p FROM g, (SELECT unnest(range(1, 5)) AS i))
+  UNION ALL SELECT 4, 'direct_warp_reduce', 'wlb_col ' || w FROM warps
+  UNION ALL SELECT 6, 'shared_memory_warp_reduce', 'row_pad ' || p || ', blb_row ' || p || ', wlb_col ' || w FROM (SELECT unnest([2, 4]) AS p), warps
+  UNION ALL SELECT 7, 'shared_memory_warp_reduce', 'blb_row ' || p || ', wlb_col ' || w FROM sizes, warps
+  UNION ALL SELECT 2, 'shared_memory_warp_compress', 'row_pad ' || p || ', blb_row ' || p || ', tlb_col ' || w FROM (SELECT unnest([32, 64]) AS p), widths
+  UNION ALL SELECT 3, 'shared_memory_warp_compress', 'blb_row ' || p || ', tlb_col ' || w FROM sizes, widths)
+WHERE CASE s WHEN 8 THEN lo >= 128 WHEN 1 THEN hi <= 512 WHEN 5 THEN hi <= 512 WHEN 9 THEN NOT in_order WHEN 4 THEN lo >= 30 AND hi <= 512
+  WHEN 6 THEN lo >= 32 AND hi <= 1024 WHEN 7 THEN lo >= 32 AND hi <= 1024 ELSE hi <= 1024 END"""
+for _of in ("order_part", "supp_part", "emb"):
+    on(admitted_steps, f"plan_steps_{_of}", base(GATES + STEPS_SQL, _of), _of)
+
+
+# The log, its report, the budget and the whole search.
+def price_log(parts):
+    """A trial for each part, its price the metric."""
+    none = F.array().cast("array<string>")
+    metric = F.col("p_retailprice") + F.col("p_partkey") / 1000000.0
+    return parts.select(none.alias("ops"), none.alias("strategies"), F.col("p_brand").alias("template"), F.array(F.col("p_partkey").cast("double")).alias("params"), metric.alias("metric"))
+
+
+@query("""
+SELECT p_brand AS template, CAST(p_partkey AS DOUBLE) AS trial, p_retailprice + p_partkey / 1000000.0 AS metric, (SELECT count(*) FROM part) AS trials
+FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice + p_partkey / 1000000.0 DESC) = 1""")
+def trial_log_report(spark, sf_dir):
+    """A log that grows by two appends, and the report of its best trial."""
+    parts, path = table(spark, sf_dir, "part"), folder(spark, "log")
+    for half in (0, 1):
+        tuner.append_log(price_log(parts.filter(F.col("p_partkey") % 2 == half)), f"{path}/trials")
+    log = spark.read.parquet(f"{path}/trials")
+    tuner.write_report(log, f"{path}/report")
+    report = spark.read.schema("template string, params array<double>, metric double").json(f"{path}/report")
+    return report.select("template", F.col("params")[0].alias("trial"), "metric", F.lit(log.count()).alias("trials"))
+
+
+@query("SELECT p_name AS name, min(p_partkey) AS first_key, count(*) AS n FROM part GROUP BY 1")
+def resumed_append(spark, sf_dir):
+    """Features by name, appended in two calls that overlap: names that are there already are left as they are."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n"))
+    path = folder(spark, "features")
+    corpus.append_new(names.filter(F.col("first_key") % 3 != 0), path)
+    corpus.append_new(names.withColumn("n", F.when(F.col("first_key") % 3 != 0, F.lit(-1)).otherwise(F.col("n"))), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT p_partkey AS name, CAST(p_size % 2 AS BIGINT) AS psym, CAST(p_size % 3 AS BIGINT) AS nsym, CAST(p_size AS BIGINT) AS header_nnz, p_partkey % 60 AS nnz FROM part WHERE p_size % 2 = 1 AND p_size % 3 = 1 AND p_size <> p_partkey % 60")
+def half_stored_matrices(spark, sf_dir):
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    return corpus.half_stored(table(spark, sf_dir, "part").select(key.alias("name"), (size % 2).alias("psym"), (size % 3).alias("nsym"), size.alias("header_nnz"), (key % 60).alias("nnz")))
+
+
+@query("""
+WITH RECURSIVE metrics AS (SELECT row_number() OVER (ORDER BY p_brand) AS i, p_brand, CAST(sum(p_size) % 23 AS DOUBLE) AS metric FROM part GROUP BY p_brand),
+s AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(10 AS BIGINT) AS steps, CAST(0 AS DOUBLE) AS best
+  UNION ALL SELECT metrics.i, steps - 1 + CASE WHEN metric > best AND best > 0 THEN CAST(floor(least(25, greatest(5, 5 * (metric - best)))) AS BIGINT) ELSE 0 END, greatest(best, metric)
+  FROM s JOIN metrics ON metrics.i = s.i + 1 WHERE steps > 0)
+SELECT p_brand AS template, steps, s.best FROM s JOIN metrics USING (i)""")
+def budget_trace(spark, sf_dir):
+    """Steps left after each trial, a brand a trial; they end with the budget."""
+    parts, budget, rows = table(spark, sf_dir, "part"), tuner.Budget(), []
+    brands = parts.groupBy("p_brand").agg((F.sum("p_size") % 23).cast("double").alias("metric")).orderBy("p_brand")
+    for r in brands.toLocalIterator():
+        more = budget.tell(r["metric"])
+        rows.append((r["p_brand"], budget.steps, budget.best))
+        if not more:
+            break
+    return spark.createDataFrame(rows, "template string, steps long, best double")
+
+
+def searched(m: SparseMatrix):
+    """The product by what a whole search with a small budget finds, whichever plans these are."""
+    dense, plans, _ = tuner.whole_search(m, vector(m), seconds=60.0, steps=1)
+    return tuner.run_blocks(m, vector(m), dense, plans.__getitem__)
+
+
+on(searched, "spmv_whole_search", base(Y_SQL, "supp_part"), "supp_part")
+
+
 # Facts of candidates from the row lengths: a plan of each kind, its chunks laid out in SQL.
 FACT_PLANS = [
     (plan(Step("blb_col", {"size": 4}), template="shared_memory_long_row"), 1, f"(r, {TAIL})", "0", "rn", "1", "n"),

@@ -47,6 +47,8 @@ class Shape:
         own = {}
         for step in plan.levels:
             p = step.params
+            if p.get("empty_rows"):
+                raise ValueError("rows without entries have facts by laying them out only")
             if step.name == "row_pad":
                 own["pad"] = p["multiple"]
             elif step.name == "blb_row":
@@ -72,6 +74,15 @@ class Shape:
         return self.pad, self.height, self.least
 
 
+def known(plan: Plan) -> bool:
+    """Whether a plan's facts follow from the row lengths."""
+    try:
+        Shape.of(plan)
+    except ValueError:
+        return False
+    return True
+
+
 def _per_row(shapes: list[Shape]) -> dict[str, Column]:
     """Columns of a row of k entries, the first of which is number `start`: chunks for each width that some plan has."""
     k, start, out = F.col("k"), F.col("start"), {}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import cuts, division, features, layout, levels, products, sorting
+from lattica.operators import cuts, division, features, layout, levels, order, products, sorting
 from lattica.plans import facts, templates
 from lattica.session import cut
 from lattica.sources import generators, text
@@ -122,10 +122,12 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
         elif step.name == "coarse_sort":
             every = p.get("every", 1)
             if "bounds" in p or every > 1:
-                order = sorting.coarse(matrix, p.get("bounds") or cuts.coarse_bounds(matrix, every))
+                found = sorting.coarse(matrix, p.get("bounds") or cuts.coarse_bounds(matrix, every))
+            elif p.get("step", 1) > 1:  # bins of equal width from the shortest row on
+                found = sorting.coarse_by_step(matrix, p["step"])
             else:  # a bin for each length
-                order = sorting.by_length(matrix)
-            matrix = sorting.apply(matrix, order)
+                found = sorting.by_length(matrix)
+            matrix = sorting.apply(matrix, found)
         elif step.name == "fine_sort":
             matrix = sorting.apply(matrix, sorting.by_length(matrix))
         elif step.name == "row_pad_total":
@@ -182,6 +184,8 @@ def lower(matrix: SparseMatrix, plan: Plan) -> levels.Levels:
     for step in plan.levels:
         if step.name == "row_pad":
             matrix = padded_rows(matrix, step.params["multiple"])
+        if step.params.get("empty_rows"):
+            matrix = with_empty_rows(matrix)
     state = levels.opened(matrix)
     for step in plan.levels:
         p = step.params
@@ -204,6 +208,23 @@ def lower(matrix: SparseMatrix, plan: Plan) -> levels.Levels:
     return levels.completed(state)
 
 
+def with_empty_rows(matrix: SparseMatrix) -> SparseMatrix:
+    """A pad for each row without entries, at the least column of its block, so that layouts have slots for it.
+
+    A row between two blocks belongs to the one whose first row is the last at or before it; the first block takes rows before it.
+    """
+    e = matrix.entries
+    if "is_pad" not in e.columns:
+        e = e.withColumn("is_pad", F.lit(False))
+    blocks = e.groupBy("block").agg(F.min("row_lo").alias("row_lo"), F.min("col_lo").alias("col_lo"))
+    empty = matrix.rows().join(e.select("row").distinct(), "row", "left_anti")
+    by_row = order.intervals(empty, blocks.select(F.col("row_lo").alias("cut"))).drop("range")
+    first = blocks.agg(F.min("row_lo")).first()[0]
+    owned = by_row.withColumn("low", F.coalesce("low", F.lit(first))).join(blocks, F.col("low") == F.col("row_lo"))
+    pads = owned.withColumns({"col": F.col("col_lo"), "val": F.lit(0.0), "is_pad": F.lit(True)}).select(*e.columns)
+    return matrix.with_entries(e.unionByName(pads))
+
+
 def padded_rows(matrix: SparseMatrix, multiple: int) -> SparseMatrix:
     """Rows added at the end until their number is a multiple: is_pad entries of value 0 in the last block."""
     e, added = matrix.entries, -matrix.n_rows % multiple
@@ -222,7 +243,7 @@ def run(matrix: SparseMatrix | None, plan: Plan, x: DataFrame, spark: SparkSessi
     ready = prepare(matrix, plan, spark)
     rows = ready.n_rows
     if plan.strategy in templates.TREES and (plan.levels or plan.strategy not in products.STRATEGIES):
-        divided = any(s.name in DIVISIONS for s in plan.dense)
+        divided = any(s.name in DIVISIONS for s in plan.dense) or not facts.known(plan)
         if check and not divided and not facts.supports(ready, plan):  # the row lengths tell
             raise ValueError(f"the partition does not support {plan.strategy}")
         state = lower(ready, plan)
