@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.text import Lookup, as_strings, held, slices
+from lattica.llm.text import Lookup, as_strings, give_back, held, slices
 from lattica.session import cut
 
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 150_000
@@ -37,7 +37,7 @@ SLICE_BYTES = 4 << 20
 POINT_BITS = 21
 SPACE = ord(" ")
 #: What the arrays of all automata of a worker may take.
-TABLE_BYTES = 200 << 20
+TABLE_BYTES = 96 << 20
 
 
 def running(texts: pa.Array) -> pa.Array:
@@ -134,7 +134,10 @@ class CrossParser:
         self.languages = sorted(samples)
         # A state for each two characters at most, and four bytes for each of its columns.
         columns = TABLE_BYTES // (8 * max(1, sum(len(x) for x in samples.values())))
-        self.automata = [SuffixAutomaton(samples[x], columns) for x in self.languages]
+        self.automata = []
+        for x in self.languages:
+            self.automata.append(SuffixAutomaton(samples[x], columns))
+            give_back()  # what building takes is several times what is kept
         self.bits = np.array([math.log2(2 + len(samples[x])) for x in self.languages])
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +230,7 @@ def predict(text: Column, spark, samples: dict[str, str]) -> Column:
             got, score = parser.predict(as_strings(texts.slice(a, b - a)))
             langs += got
             scores += score.tolist()
-            pa.default_memory_pool().release_unused()
+            give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return predicted(text)

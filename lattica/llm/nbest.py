@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import Lookup, Memo, as_strings, distinct, held, slices
+from lattica.llm.text import Lookup, Memo, as_strings, distinct, give_back, held, slices
 
 MODEL = "piece_bpe_32k.model"
 NBEST = 3
@@ -401,7 +401,7 @@ class NBestCoder:
             top = changes(ranked, self.n)
             scores.append([float(total + s) for s, _ in top])
             choices.append([[(at, ranked[at][k][1]) for at, k in taken] for _, taken in top])
-        pa.default_memory_pool().release_unused()
+        give_back()
         bounds = pa.array(ends[offsets], pa.int32())
         decoded = pc.binary_join(pa.ListArray.from_arrays(bounds, self.table.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
         space, nothing = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
