@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.text import as_strings, distinct, held, let_go, row_key, slices, split_words
+from lattica.llm.text import as_strings, distinct, give_back, held, let_go, row_key, slices, split_words
 from lattica.session import cut, settle
 
 WORDS, SIMILAR = 5, 0.8
@@ -154,6 +154,7 @@ def hashed_frequencies(texts: DataFrame, bits: int) -> DataFrame:
                     if node is not None:
                         n += 1
                         np.add.at(total, (keys >> np.uint64(64 - bits)).astype(np.int64), 1)
+            give_back()
         full = np.flatnonzero(total)
         bucket, count = np.append(full, -1), np.append(total[full], n)
         for i in range(0, len(bucket), 10_000):
@@ -197,6 +198,10 @@ def verify(pairs: DataFrame, texts: DataFrame, model, name: str) -> DataFrame:
                     got.append(last[node])
                 out[i] = similarity(*got)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "sim"])
+            del sides
+            give_back()
+        last.clear()
+        give_back()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long, sim double")
 
@@ -214,6 +219,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str):
             for node, keys, counts in features(texts.slice(a, b - a)):
                 nodes.append(None if node is None else node - (1 << 64 if node >> 63 else 0))
                 bands.append(None if node is None else buckets(samples(keys, weights(keys, counts, idf))))
+            give_back()
         return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
 
     signed_rows = cut(rows.select("doc_id", "row_key", signed("text").alias("s")).select("doc_id", "row_key", "s.*"))
@@ -262,6 +268,7 @@ def unlinked(nodes: DataFrame, known: DataFrame, model, similar: float) -> DataF
                     first, rest, short = prefix(keys, weight, frequency, similar)
                     at = pa.array(np.full(len(first), i))
                     yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), pa.array(np.full(len(first), weight.sum())), pa.array(rest), pa.array(short)], names)
+            give_back()
 
     rows = cut(nodes.select("text", "node", "component").mapInArrow(prefixes, "key long, node long, component long, whole double, rest double, short boolean"))
     # Two rows of a shingle's largest component need no comparison: one side leaves that component out.
