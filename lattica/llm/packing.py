@@ -41,7 +41,7 @@ BIN_ROWS = 50_000
 #: Wanted pieces (at most 40 bytes each) up to which they are broadcast.
 MOST_BROADCAST = 200_000
 #: The share of the bound that the linear program may stay below, its most pivots, and knapsacks after it.
-GAP, PIVOTS, EXTRA = 0.002, 3000, 400
+GAP, PIVOTS, EXTRA = 0.002, 4500, 400
 #: What an item costs besides its dual value: of equal patterns the one with fewer items.
 ITEM = 1e-7
 
@@ -68,12 +68,15 @@ class Knapsack:
             new = self.best[: size + 1 - w] + (cost[i] + ITEM) * n
             np.less(new, self.best[w:], out=self.takes[k, w:])
             np.minimum(self.best[w:], new, out=self.best[w:])
+        self.taken = np.flatnonzero(self.takes.any(axis=1))[::-1].tolist()
 
     def pattern(self, total: int) -> dict[int, int]:
         """Which lengths, by index, make up the sum, and how often."""
         found: dict[int, int] = {}
-        for k in np.flatnonzero(self.takes[:, : total + 1].any(axis=1))[::-1].tolist():
-            if total and self.takes[k, total]:
+        for k in self.taken:
+            if not total:
+                break
+            if self.takes[k, total]:
                 i, n = self.items[k]
                 found[i] = found.get(i, 0) + n
                 total -= n * int(self.lengths[i])

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -308,6 +310,50 @@ def test_repeated_rows_and_no_target(spark, corpus, prose):
     assert all(r["kept"] == (not r["base_failed"]) for r in got.collect())
 
 
+def spark_hash(*values):
+    """Spark's 64-bit hash of strings and longs: each value's seed is the hash of the one before."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=h)
+    return h - (1 << 64 if h >> 63 else 0)
+
+
+def brute_quality(rows, target):
+    """Scores, threshold and verdicts, document by document."""
+    grams = lambda t: [spark_hash(w) % quality.BUCKETS for w in WORD.findall(t or "")] + [spark_hash(a, b) % quality.BUCKETS for a, b in zip(WORD.findall(t or "")[:-1], WORD.findall(t or "")[1:], strict=True)]
+    teaches = {d for d in target if spark_hash("half", d) % 2 == 0}
+    raw, near = Counter(), Counter()
+    for d, t in rows:
+        raw.update(grams(t))
+        if d in teaches:
+            near.update(grams(t))
+    total, trusted, s = sum(raw.values()), sum(near.values()), quality.SMOOTHING
+    ratio = {b: math.log((near[b] + s) / (trusted + s * quality.BUCKETS)) - math.log((n + s) / (total + s * quality.BUCKETS)) if trusted else 0.0 for b, n in raw.items()}
+    score = [round(sum(ratio[b] for b in g) / len(g), 9) if (g := grams(t)) else 0.0 for _, t in rows]
+    failed = [base_counts(t)[-1] for _, t in rows]
+    held = sorted(math.floor(x * quality.BINS_PER_UNIT) for (d, _), x, f in zip(rows, score, failed, strict=True) if d in set(target) - teaches and not f)
+    # The first bin whose documents bring those at or below it over the share that may be missed.
+    least = next((b / quality.BINS_PER_UNIT for b in sorted(set(held)) if sum(x <= b for x in held) > quality.MISSED * len(held)), float("-inf"))
+    return score, [not f and x >= least for x, f in zip(score, failed, strict=True)], least
+
+
+@pytest.mark.parametrize("trusted", [40, 15, 0])
+def test_scores_threshold_and_verdicts_equal_brute_force(spark, corpus, trusted):
+    rng = random.Random(21)
+    kinds = [[f"g{i}" for i in range(80)], [f"b{i}" for i in range(80)], [f"é{i}" for i in range(200)]]
+    texts = [" ".join(rng.choice(kinds[rng.choice((0, i % 3))]) for _ in range(rng.choice((0, 1, 49, 50, 90)))) for i in range(150)] + [None, "", "one", "the same line " * 40]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[8]), (7, texts[7])]
+    target = list(range(0, 3 * trusted, 3))
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    ids = quality.bounded_target(spark.createDataFrame([(d,) for d in target], "doc_id long"))
+    got = sorted((r["doc_id"], r["n_words"], r["score"], r["kept"]) for r in quality.quality_rules(docs, ids).collect())
+    score, kept, least = brute_quality(rows, target)
+    want = sorted((d, len(WORD.findall(t or "")), x, k) for (d, t), x, k in zip(rows, score, kept, strict=True))
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-9)
+    assert not trusted or (0 < sum(kept) < len(kept) and math.isfinite(least))
+
+
 # 4. Decontamination
 
 
