@@ -15,25 +15,31 @@ from lattica.operators import cuts, division, layout, levels
 MOST_BROADCAST = 1_000_000
 
 
+#: Rows and columns of a block of a wide matrix.
+ROW_BAND, COL_BAND = 65_536, 4096
+
+
 def gather(matrix: SparseMatrix, x: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Entries with their product val * x[col]. x (col, x) is broadcast when n_cols bounds its size, and joined by a shuffle else."""
-    side = F.broadcast(x) if matrix.n_cols <= MOST_BROADCAST else x
-    return matrix.entries.join(side, "col").select("row", *more, (F.col("val") * F.col("x")).alias("product"))
+    """Entries with their product val * x[col]. x (col, x) is broadcast when n_cols bounds its size, and meets the entries by blocks else."""
+    if matrix.n_cols > MOST_BROADCAST:
+        return gather_grid(matrix, x, ROW_BAND, COL_BAND, more)
+    return matrix.entries.join(F.broadcast(x), "col").select("row", *more, (F.col("val") * F.col("x")).alias("product"))
 
 
-def gather_grid(matrix: SparseMatrix, x: DataFrame, row_band: int, col_band: int) -> DataFrame:
+def gather_grid(matrix: SparseMatrix, x: DataFrame, row_band: int, col_band: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Entries with their product, by blocks of row_band x col_band: a block's entries meet its band of x as one array.
 
     x is cut into bands once, and a band goes only to the blocks that hold entries of its columns. A hot column is spread over
     its row bands and a hot row over its column bands; a block that is full all the same is split, as one row stands on the
-    other side. rb, row and product.
+    other side.
     """
-    entries = matrix.entries.select("row", "val", F.floor(F.col("row") / row_band).alias("rb"), F.floor(F.col("col") / col_band).alias("cb"), (F.pmod(F.col("col"), F.lit(col_band)) + 1).cast("int").alias("at"))
-    dense = matrix.cols().join(x, "col", "left")
-    bands = dense.groupBy(F.floor(F.col("col") / col_band).alias("cb")).agg(F.sort_array(F.collect_list(F.struct("col", "x")))["x"].alias("xs"))
-    blocks = entries.select("rb", "cb").distinct().join(bands, "cb")
-    both = entries.join(blocks, ["rb", "cb"])
-    return both.select("rb", "row", (F.col("val") * F.element_at("xs", F.col("at"))).alias("product")).filter(F.col("product").isNotNull())
+    block = (F.floor(F.col("row") / row_band).alias("_rb"), F.floor(F.col("col") / col_band).alias("_cb"))
+    entries = matrix.entries.select("row", "val", *more, *block, (F.pmod(F.col("col"), F.lit(col_band)) + 1).cast("int").alias("_at"))
+    dense = matrix.cols().join(x.select("col", "x"), "col", "left")
+    bands = dense.groupBy(F.floor(F.col("col") / col_band).alias("_cb")).agg(F.sort_array(F.collect_list(F.struct("col", "x")))["x"].alias("_xs"))
+    blocks = entries.select("_rb", "_cb").distinct().join(bands, "_cb")
+    both = entries.join(blocks, ["_rb", "_cb"]).withColumn("_x", F.element_at("_xs", F.col("_at"))).filter(F.col("_x").isNotNull())
+    return both.select("row", *more, (F.col("val") * F.col("_x")).alias("product"))
 
 
 def complete(matrix: SparseMatrix, sums: DataFrame, value: str = "y") -> DataFrame:

@@ -169,6 +169,7 @@ def through_inputs(spark, m: SparseMatrix):
     graph.remember(name, m)
     one = graph.run(None, plan(Step("blb_row", {"height": 64}), dense=(Step("read_coo", {"path": path}),)), vector(m), spark)
     two = graph.run(None, plan(Step("tlb_nnz", {"size": 64}), dense=(Step("cached", {"name": name}),), template="unaligned_warp_reduce"), vector(m), spark)
+    graph.forget(name)
     return one.join(two.withColumnRenamed("y", "y2"), "row").select("row", "y", "y2")
 
 
@@ -319,7 +320,7 @@ def budget_trace(spark, sf_dir):
 
 def searched(m: SparseMatrix):
     """The product by what a whole search with a small budget finds, whichever plans these are."""
-    dense, plans, _ = tuner.whole_search(m, vector(m), seconds=60.0, steps=1)
+    dense, plans, _ = tuner.whole_search(m, vector(m), seconds=15.0, steps=1)
     return tuner.run_blocks(m, vector(m), dense, plans.__getitem__)
 
 

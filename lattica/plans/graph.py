@@ -96,6 +96,11 @@ def remember(name: str, matrix: SparseMatrix) -> SparseMatrix:
     return _CACHED[name]
 
 
+def forget(name: str) -> None:
+    """Lets go of a remembered matrix; plans that have been made from it keep their entries."""
+    _CACHED.pop(name, None)
+
+
 def source(spark: SparkSession, step: Step) -> SparseMatrix:
     """The matrix of an input step."""
     p = step.params
