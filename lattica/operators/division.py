@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.model import SparseMatrix
-from lattica.operators.order import global_position, intervals, running_sum
+from lattica.operators.order import global_position, intervals, ranged_places, running_sum
 
 
 def bucket_of(value: Column, bounds: Sequence[int]) -> Column:
@@ -75,7 +75,7 @@ MOST_CASES = 64
 
 
 def row_ranges(matrix: SparseMatrix, cuts: Sequence[int] | DataFrame, with_low: bool = False) -> DataFrame:
-    """Entries with block: rows between consecutive cut points (the first 0, the last n_rows). with_low: also row_lo, the block's first row.
+    """Entries with block: rows between consecutive cut points (the first 0, the last n_rows). with_low: also row_lo and row_hi, the block's first row and the one after its last.
 
     cuts: numbers, or a table (column cut) of any size that is never collected.
     """
@@ -84,17 +84,21 @@ def row_ranges(matrix: SparseMatrix, cuts: Sequence[int] | DataFrame, with_low:
         if len(points) <= MOST_CASES:
             entries = matrix.entries
             if with_low:
-                entries = entries.withColumn("row_lo", F.element_at(F.array(*[F.lit(x).cast("long") for x in points]), bucket_of(F.col("row"), points) + 1))
+                at, bounds = bucket_of(F.col("row"), points), F.array(*[F.lit(x).cast("long") for x in (*points, matrix.n_rows)])
+                entries = entries.withColumns({"row_lo": F.element_at(bounds, at + 1), "row_hi": F.element_at(bounds, at + 2)})
             return _gapless(entries.withColumn("raw", bucket_of(F.col("row"), points)))
         cuts = matrix.spark.createDataFrame([(int(x),) for x in points], "cut long")
     blocks = row_blocks(matrix, cuts)
-    return matrix.entries.join(blocks if with_low else blocks.drop("row_lo"), "row")
+    return matrix.entries.join(blocks if with_low else blocks.drop("row_lo", "row_hi"), "row")
 
 
 def row_blocks(matrix: SparseMatrix, cuts: DataFrame) -> DataFrame:
-    """row, block and row_lo of every row with entries; blocks without entries get no number. Only rows are moved, not entries."""
-    lengths = matrix.row_nnz()
-    placed = intervals(lengths, cuts.filter(F.col("cut") < matrix.n_rows)).filter("k > 0").select("row", F.col("range").alias("raw"), F.col("low").alias("row_lo"))
+    """row, block, row_lo and row_hi of every row with entries; blocks without entries get no number. Only rows are moved, not entries."""
+    lengths, cuts = matrix.row_nnz(), cuts.filter(F.col("cut") < matrix.n_rows).distinct()
+    numbered = ranged_places(cuts, [F.col("cut")], "raw")
+    ends = numbered.select((F.col("raw") - 1).alias("raw"), F.col("cut").alias("row_hi"))
+    placed = intervals(lengths, cuts).filter("k > 0").select("row", F.col("range").alias("raw"), F.col("low").alias("row_lo"))
+    placed = placed.join(ends, "raw", "left").withColumn("row_hi", F.coalesce("row_hi", F.lit(matrix.n_rows)))
     return _gapless(placed)
 
 

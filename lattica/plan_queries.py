@@ -139,8 +139,9 @@ FROM b JOIN (SELECT g, min(c) AS col_lo FROM m JOIN g ON g.r = m.r GROUP BY g) c
 on(lambda m: graph.run(m, plan(Step("wlb_col", {"size": 4}), dense=(DIVIDE,), template="direct_warp_reduce"), vector(m)), "spmv_divided_unsorted", base(Y_SQL))
 on(lambda m: division.row_ranges(m, m.rows().filter("row % 3 = 0 or row % 7 = 2").select(F.col("row").alias("cut")), with_low=True), "var_row_div_many", base("""
 , c AS (SELECT r, CASE WHEN r % 3 = 0 OR r % 7 = 2 THEN 1 ELSE 0 END AS cut FROM allr),
-g AS (SELECT r, sum(cut) OVER (ORDER BY r) AS g, max(CASE WHEN cut = 1 THEN r END) OVER (ORDER BY r) AS row_lo FROM c)
-SELECT m.r AS "row", c AS col, v AS val, row_lo, dense_rank() OVER (ORDER BY g) - 1 AS block FROM m JOIN g ON g.r = m.r""".strip()))
+g AS (SELECT r, sum(cut) OVER (ORDER BY r) AS g, max(CASE WHEN cut = 1 THEN r END) OVER (ORDER BY r) AS row_lo,
+             coalesce(min(CASE WHEN cut = 1 THEN r END) OVER (ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), (SELECT nr FROM d)) AS row_hi FROM c)
+SELECT m.r AS "row", c AS col, v AS val, row_lo, row_hi, dense_rank() OVER (ORDER BY g) - 1 AS block FROM m JOIN g ON g.r = m.r""".strip()))
 on(lambda m: division_table(m, Step("row_div", {"cuts": [0, 100, 150, 700, m.n_rows]}), Step("col_div", {"width": 512})).select("row_lo", "rows", "col_lo", "nnz"), "plan_rows_and_cols", base("""
 , b AS (SELECT r, c, CASE WHEN r >= 700 THEN 700 WHEN r >= 150 THEN 150 WHEN r >= 100 THEN 100 ELSE 0 END AS row_lo FROM m)
 SELECT CAST(row_lo AS BIGINT) AS row_lo, count(DISTINCT r) AS "rows", min(c) AS col_lo, count(*) AS nnz FROM b GROUP BY row_lo, c // 512""".strip()))

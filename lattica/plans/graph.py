@@ -114,7 +114,7 @@ def source(spark: SparkSession, step: Step) -> SparseMatrix:
 def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None = None) -> SparseMatrix:
     """The input and the dense steps; the row map of a sort goes along, division and compression add columns to the entries.
 
-    block: the part of a divided matrix; row_lo and col_lo: what compression takes away from a block's indices.
+    block: the part of a divided matrix; row_lo and col_lo: what compression takes away from a block's indices; row_hi: the row after the block's last.
     """
     if found := violations(plan):
         raise ValueError("; ".join(found))
@@ -164,9 +164,9 @@ def _divided(matrix: SparseMatrix, divide: Callable[[SparseMatrix], DataFrame])
 def compressed(matrix: SparseMatrix) -> SparseMatrix:
     """Entries with block (0 if undivided) and its least column, which index widths follow from."""
     e = matrix.entries
-    for name in ("block", "row_lo"):
+    for name, value in (("block", 0), ("row_lo", 0), ("row_hi", matrix.n_rows)):
         if name not in e.columns:
-            e = e.withColumn(name, F.lit(0).cast("long"))
+            e = e.withColumn(name, F.lit(value).cast("long"))
     low = e.groupBy("block").agg(F.min("col").alias("col_lo"))
     return matrix.with_entries(e.join(low, "block"))
 
@@ -221,7 +221,7 @@ def with_empty_rows(matrix: SparseMatrix) -> SparseMatrix:
     e = matrix.entries
     if "is_pad" not in e.columns:
         e = e.withColumn("is_pad", F.lit(False))
-    blocks = e.groupBy("block").agg(F.min("row_lo").alias("row_lo"), F.min("col_lo").alias("col_lo"))
+    blocks = e.groupBy("block").agg(*[F.min(c).alias(c) for c in ("row_lo", "row_hi", "col_lo")])
     empty = matrix.rows().join(e.select("row").distinct(), "row", "left_anti")
     by_row = order.intervals(empty, blocks.select(F.col("row_lo").alias("cut"))).drop("range")
     first = blocks.agg(F.min("row_lo")).first()[0]
@@ -239,7 +239,7 @@ def padded_rows(matrix: SparseMatrix, multiple: int) -> SparseMatrix:
     if not added or last["block"] is None:
         return matrix.with_entries(e)
     new = matrix.spark.range(matrix.n_rows, matrix.n_rows + added).select(F.col("id").alias("row"))
-    values = {"col": F.lit(0).cast("long"), "val": F.lit(0.0), "block": F.lit(last["block"]), "row_lo": F.lit(last["row_lo"]), "col_lo": F.lit(0).cast("long"), "is_pad": F.lit(True)}
+    values = {"col": F.lit(0).cast("long"), "val": F.lit(0.0), "block": F.lit(last["block"]), "row_lo": F.lit(last["row_lo"]), "row_hi": F.lit(matrix.n_rows + added).cast("long"), "col_lo": F.lit(0).cast("long"), "is_pad": F.lit(True)}
     return matrix.with_entries(e.unionByName(new.withColumns(values).select(*e.columns)), n_rows=matrix.n_rows + added)
 
 

@@ -94,11 +94,13 @@ SKELETONS: tuple[tuple[int, Callable[[Block], bool], str, Callable[[Block], list
 
 
 def facts_of(matrix: SparseMatrix) -> Block:
-    """The gates' numbers of a whole matrix, or of a part of one: rows outside the part do not count."""
+    """The gates' numbers of a whole matrix, or of a part of one: its rows without entries count, rows outside it do not."""
     if "row_lo" in matrix.entries.columns:
-        rows = matrix.entries.groupBy("row").agg(F.count("*").alias("k"))
-        got = rows.agg(F.min("k").alias("least"), F.max("k").alias("longest"), F.floor(F.avg("k")).alias("average")).first()
-        return Block(got["least"] or 0, got["longest"] or 0, got["average"] or 0, False)
+        rows = matrix.entries.groupBy("row").agg(F.count("*").alias("k"), F.first("row_hi").alias("hi"), F.first("row_lo").alias("lo"))
+        got = rows.agg(F.min("k").alias("least"), F.max("k").alias("longest"), F.sum("k").alias("nnz"), F.count("*").alias("rows"), (F.max("hi") - F.min("lo")).alias("height")).first()
+        if not got["rows"]:
+            return Block(0, 0, 0, False)
+        return Block(0 if got["height"] > got["rows"] else got["least"], got["longest"], got["nnz"] // got["height"], False)
     info = features.matrix_info(matrix).first()
     return Block(info["min_nnz"] or 0, info["max_nnz"] or 0, info["avg_nnz"] or 0, bool(info["is_sorted"]))
 

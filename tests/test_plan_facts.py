@@ -112,3 +112,11 @@ def test_guided_search_tries_what_is_admitted(spark):
     rows = log.collect()
     admitted = {r["record"] for r in facts.plan_facts(m, PLANS[:6]).filter("admitted").collect()}
     assert len(rows) == min(3, len(admitted)) and {r["record"] for r in rows} <= admitted and all(r["target"] == 1.0 and len(r["features"]) == learn.WIDTH for r in rows)
+
+
+def test_rows_without_entries_count_in_their_block(spark):
+    m = of_lengths(spark, [9, 9, 0, 9, 2, 2, 2, 1, 0, 0])
+    for divide in ({"cuts": [0, 4, 7, 10]}, {"start": 2, "rate": 4, "cap": 8}):
+        got = [tuner.facts_of(p) for p in tuner.parts_of(m, (Step("row_div", divide),))]
+        ranges = [[9, 9, 0, 9], [2, 2, 2], [1, 0, 0]] if "cuts" in divide else [[9, 9], [9], [2, 2, 2], [1, 0, 0]]
+        assert [(b.least, b.longest, b.average) for b in got] == [(min(r), max(r), sum(r) // len(r)) for r in ranges]
