@@ -1,13 +1,15 @@
 """The pipeline's stages against brute force, and the contracts of the registered queries."""
 
 import os
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import nbest, queries
+from lattica.llm import decontaminate, nbest, queries
+from tests.llm.test_operators import brute_classes, brute_lines, edit_distance_inside
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -85,6 +87,46 @@ def test_different_texts_under_one_id(spark, tmp_path, prose):
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, prose[0]), (2, prose[3]), (None, None), (5, None), (6, prose[4])], key=repr)
 
 
+def test_the_whole_pipeline_equals_brute_force(spark, tmp_path):
+    """200 documents with copies, near copies, common lines, leaks, and texts without a letter: the stages document by document."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice(["ta", "ri", "mo", "sel", "ku", "an"]) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [text(rng.randrange(3, 70)) for _ in range(120)]
+    items = [(i, text(9)) for i in range(3)]
+    for i in range(80):
+        kind, own = i % 8, texts[rng.randrange(len(texts))]
+        if kind == 0:
+            own = own.replace("a", "e", 1)
+        elif kind == 1:
+            own = f"{own}\nAll rights reserved\n{text(4)}"
+        elif kind == 2:
+            own = f"{text(12)} {items[i % 3][1].upper()} {text(5)}"
+        elif kind == 3:
+            own = f"{text(12)} {items[i % 3][1][1:]} {text(5)}"
+        elif kind == 4:
+            own = rng.choice(("12 34", "", None, "?!\n"))
+        elif kind == 5:
+            own = f"{own} {rng.choice(vocabulary)}"
+        texts.append(own)
+    texts = [f"{t}\n all rights reserved" if t and i % 11 == 0 else t for i, t in enumerate(texts)]
+    folder = tables(spark, tmp_path, [(i, t, "xx", "s", len(t or ""), 1, 2) for i, t in enumerate(texts)], items)
+
+    left = [(i, t) for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+    left = [(i, kept) for (i, _), (_, _, kept) in zip(left, brute_lines([t for _, t in left], 10), strict=True)]
+    frame = spark.createDataFrame([(i, t) for i, t in left], "doc_id long, text string")
+    classes = brute_classes(frame, [t for _, t in left])
+    left = [(i, t) for k, (i, t) in enumerate(left) if classes.index(classes[k]) == k or not t.split()]
+    found = lambda t: any(edit_distance_inside(item, decontaminate.normal(t)) <= int(decontaminate.ERROR_RATE * len(item)) for item in (decontaminate.normal(x) for _, x in items))
+    left = [(i, t) for i, t in left if not found(t)]
+    coder = nbest.NBestCoder()
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert sorted(got) == [i for i, _ in left] and 60 < len(left) < 160
+    for i, t in left:
+        ranked = coder.encode(t)
+        assert tuple(got[i]["ids"]) == ranked[0][1] and got[i]["round_trip"] and got[i]["scores"] == pytest.approx([s for s, _ in ranked])
+
+
 def test_no_documents(spark, tmp_path):
     folder = tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
