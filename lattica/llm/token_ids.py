@@ -81,7 +81,8 @@ class WordEncoder:
         stems, tails = [], []
         for w in words:
             stem = w.rstrip(TAIL)
-            if not stem or stem == w or not (stem[-1].isalnum() and ord(stem[-1]) < 0x250):
+            # In lower case a letter may end with a mark, which is of one token with the punctuation.
+            if not stem or stem == w or not (stem[-1].lower()[-1].isalnum() and ord(stem[-1]) < 0x250):
                 stem = w
             tails.append(w[len(stem) :])
             # Special tokens begin with "<" and are told by their case.

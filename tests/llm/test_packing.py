@@ -41,6 +41,12 @@ def test_ids_equal_the_library(library, encoder, texts):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_that_end_with_a_mark_in_lower_case(library, encoder):
+    texts = ["İ:", "Aİ. aİ,b İ İ!"]
+    ids, starts = encoder.encode(as_strings(pa.array(texts, pa.string())))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(starts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_texts_and_small_memos_give_the_same_ids(library):
     small = WordEncoder()
     small.words.entries, small.pieces.entries = 7, 5
