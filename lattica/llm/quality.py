@@ -7,8 +7,8 @@ reaches the threshold. One half of the trusted documents (by a hash of the id) t
 multinomial; the other half, which the model has not seen, sets the threshold: the score that all but
 `MISSED` of them reach, read from a histogram of fixed bins. Only DataFrame functions are used.
 
-The trusted documents are a sample bounded by `TARGET_DOCS` ids (those with the smallest hashes), which
-bounds what is broadcast; corpus counts, scores and thresholds cover every document.
+Every trusted document counts: target counts and the threshold cover all of them, corpus counts and scores all
+documents. Ids of trusted documents are broadcast up to `MOST_BROADCAST` of them, and meet the documents in a shuffle else.
 
 Defined results: null or empty texts have no words and fail the base rules; a document with fewer than
 50 words, or more than half of whose words lie in repeated three-word windows, fails; without trusted
@@ -24,7 +24,8 @@ from lattica.llm.text import words
 from lattica.session import cut
 
 BUCKETS = 1 << 16
-TARGET_DOCS = 20_000
+#: Ids that may be broadcast (about 32 bytes each in memory); more are joined by a shuffle, with the same results.
+MOST_BROADCAST = 4_000_000
 SMOOTHING = 0.5
 #: Share of the trusted documents that may fall under the threshold.
 MISSED = 0.005
@@ -82,8 +83,8 @@ def teaches() -> Column:
 
 
 def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket and ratio, for at most BUCKETS buckets that occur. target: the bounded ids, in `target_id`."""
-    marked = docs.join(F.broadcast(target.filter(teaches())), F.col(id_col) == F.col("target_id"), "left")
+    """bucket and ratio, for at most BUCKETS buckets that occur. target: the trusted ids, in `target_id`."""
+    marked = docs.join(sendable(target.filter(teaches())), F.col(id_col) == F.col("target_id"), "left")
     grams = marked.select(F.col("target_id").isNotNull().alias("trusted"), words(F.col(text_col)).alias("w"))
     grams = grams.select("trusted", F.explode(buckets(F.col("w"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("trusted").alias("m"))
@@ -96,10 +97,17 @@ def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
     return counts.select("bucket", (F.log(near) - F.log(raw)).alias("ratio"))
 
 
-def bounded_target(trusted: DataFrame, id_col: str = "doc_id", most: int = TARGET_DOCS) -> DataFrame:
-    """At most `most` ids of trusted documents, those with the smallest hashes."""
-    ids = trusted.select(F.col(id_col).alias("target_id")).filter(F.col("target_id").isNotNull()).distinct()
-    return cut(ids.orderBy(F.xxhash64("target_id"), "target_id").limit(most))
+def trusted_ids(trusted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """target_id: all ids of trusted documents, each once."""
+    return cut(trusted.select(F.col(id_col).alias("target_id")).filter(F.col("target_id").isNotNull()).distinct())
+
+
+bounded_target = trusted_ids  # the name from when they were a sample
+
+
+def sendable(target: DataFrame) -> DataFrame:
+    """The ids, to be broadcast where they are few enough."""
+    return F.broadcast(target) if target.count() <= MOST_BROADCAST else target
 
 
 def quality_rules(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +126,7 @@ def quality_rules(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
 
 def threshold(scored: DataFrame, target: DataFrame) -> Column:
     """Lower end of the bin that the lowest MISSED of the trusted documents reach into."""
-    trusted = scored.filter(~F.col("base_failed")).join(F.broadcast(target.filter(~teaches())), F.col("doc_id") == F.col("target_id"), "left_semi")
+    trusted = scored.filter(~F.col("base_failed")).join(sendable(target.filter(~teaches())), F.col("doc_id") == F.col("target_id"), "left_semi")
     bins = trusted.groupBy(F.floor(F.col("score") * BINS_PER_UNIT).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
     allowed = MISSED * sum(r["n"] for r in bins)
     below = 0

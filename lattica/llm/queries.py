@@ -28,7 +28,7 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    target = quality.bounded_target(labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)))
+    target = quality.trusted_ids(labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)))
     return quality.quality_rules(documents(spark, sf_dir), target)
 
 

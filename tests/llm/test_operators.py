@@ -354,6 +354,17 @@ def test_scores_threshold_and_verdicts_equal_brute_force(spark, corpus, trusted)
     assert not trusted or (0 < sum(kept) < len(kept) and math.isfinite(least))
 
 
+def test_all_trusted_documents_count(spark, corpus, monkeypatch):
+    ids = spark.range(20_500).select(F.col("id").alias("doc_id"))
+    assert quality.trusted_ids(ids.unionByName(ids)).count() == 20_500
+    rng = random.Random(5)
+    texts = [" ".join(f"{'gb'[i % 2]}{rng.randrange(40)}" for _ in range(60)) for i in range(60)]
+    target = quality.trusted_ids(spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"))
+    sent = sorted(map(tuple, quality.quality_rules(corpus(texts), target).collect()))
+    monkeypatch.setattr(quality, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, quality.quality_rules(corpus(texts), target).collect())) == sent
+
+
 # 4. Decontamination
 
 
