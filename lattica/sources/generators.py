@@ -14,7 +14,7 @@ from lattica.model import SparseMatrix
 def uniform(spark: SparkSession, n_rows: int, n_cols: int, per_row: int, seed: int = 0) -> SparseMatrix:
     """`per_row` different columns in every row, value 1.
 
-    Draws are hashes of (row, draw, seed). Twice as many draws as needed and more are made; the first
+    Draws are hashes of (row, draw, seed). Four times as many draws as needed and more are made; the first
     `per_row` different columns in draw order stay.
     """
     if per_row > n_cols:
@@ -22,12 +22,11 @@ def uniform(spark: SparkSession, n_rows: int, n_cols: int, per_row: int, seed: i
     if per_row * 2 > n_cols:  # nearly full rows: rank all columns by hash
         draws = spark.range(n_rows).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cols - 1).cast("long"))).alias("col"))
         ranked = draws.withColumn("draw", F.xxhash64("row", "col", F.lit(seed)))
-    else:
-        made = 4 * per_row + 64
-        draws = spark.range(n_rows).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(made - 1))).alias("draw"))
-        ranked = draws.withColumn("col", F.pmod(F.xxhash64("row", "draw", F.lit(seed)), F.lit(n_cols))).groupBy("row", "col").agg(F.min("draw").alias("draw"))
-    order = Window.partitionBy("row").orderBy("draw", "col")
-    entries = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_row)
+        order = Window.partitionBy("row").orderBy("draw", "col")
+        entries = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_row)
+    else:  # a row's draws are an array of its own: nothing is moved, and a task holds one row's draws
+        draws = F.transform(F.sequence(F.lit(0), F.lit(4 * per_row + 63)), lambda draw: F.pmod(F.xxhash64("row", draw, F.lit(seed)), F.lit(n_cols)))
+        entries = spark.range(n_rows).withColumnRenamed("id", "row").select("row", F.explode(F.slice(F.array_distinct(draws), 1, per_row)).alias("col"))
     return SparseMatrix(entries.select("row", "col", F.lit(1.0).alias("val")), n_rows, n_cols)
 
 

@@ -300,6 +300,15 @@ def test_thousands_of_cuts_are_a_table(spark):
     assert {r["row"]: (r["block"], r["row_lo"]) for r in listed.select("row", "block", "row_lo").distinct().collect()} == got
 
 
+def test_uniform_draws_move_nothing(spark):
+    m = generators.uniform(spark, 50, 90, 6, seed=2)
+    assert "Exchange" not in m.entries._jdf.queryExecution().executedPlan().toString()
+    draws = spark.range(50).selectExpr("id as row", "explode(sequence(0, 87)) as draw").selectExpr("row", "draw", "pmod(xxhash64(row, draw, 2), 90) as col").collect()
+    want = {r: list(dict.fromkeys(d["col"] for d in sorted(draws, key=lambda d: d["draw"]) if d["row"] == r))[:6] for r in range(50)}
+    got = m.entries.collect()
+    assert sorted((e["row"], e["col"]) for e in got) == sorted((r, c) for r, cs in want.items() for c in cs) and {e["val"] for e in got} == {1.0}
+
+
 @pytest.mark.parametrize("limit", ["-1", "10485760"])
 def test_grid_splits_a_hot_column(spark, limit):
     rng = random.Random(3)
