@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,7 +144,10 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
                 points, several = p["cuts"], len(p["cuts"]) > 2
             else:  # as many as the rows' lengths make: they stay a table
                 points = cut(cuts.exponential_cuts(matrix, p["start"], p["rate"], p.get("cap")))
-                several = points.count() > 2
+                found = points.count()
+                several = found > 2
+                if found <= division.MOST_CASES + 1:  # a few numbers are written out, so that no entry is moved to meet its block
+                    points = sorted(r["cut"] for r in points.collect())
             if several:  # one block is no division
                 matrix = _divided(matrix, lambda m, points=points: division.row_ranges(m, points, with_low=True))
         elif step.name == "col_div":
@@ -254,13 +257,15 @@ def run(matrix: SparseMatrix | None, plan: Plan, x: DataFrame, spark: SparkSessi
     if plan.strategy in templates.TREES and (plan.levels or plan.strategy not in products.STRATEGIES):
         divisions = any(s.name in DIVISIONS for s in plan.dense)
         divided = divisions or not facts.known(plan)
-        if check and not divided and not facts.supports(ready, plan):  # the row lengths tell
+        if check and not divided:  # the row lengths tell; they are counted and then divided, from what is computed once
+            ready = ready.held()
+        if check and not divided and not facts.supports(ready, plan):
             raise ValueError(f"the partition does not support {plan.strategy}")
         if divisions:
             ready = ready.held()
         state = lower(ready, plan)
         if check and divided:  # rows may lie in several blocks: the partition has to be laid out to be looked at
-            state = levels.kept(state)
+            state = levels.kept(replace(state, entries=state.entries.drop("nz", "row_lo", "blb_lo", "at", "len")))  # templates read the levels
             if not templates.supports(state.entries, plan.strategy):
                 raise ValueError(f"the partition does not support {plan.strategy}")
         sums = templates.product(state.entries, ready, x, plan.strategy)

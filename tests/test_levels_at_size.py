@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import division, products
-from lattica.plans import graph, tuner
+from lattica.operators import division, levels, products
+from lattica.plans import graph, templates, tuner
 from lattica.plans.graph import Plan, Step
 
 
@@ -71,3 +71,35 @@ def test_a_search_makes_the_blocks_of_a_strategy_once(made, monkeypatch):
     dense, plans, _ = tuner.whole_search(m, x, seconds=60.0, steps=1, timer=lambda: float(next(clock)))
     assert calls == [()]
     assert ys(tuner.run_blocks(m, x, dense, plans.__getitem__)) == ys(products.product(m, x))
+
+
+def test_a_check_looks_up_what_its_template_asks_for(made):
+    m, _ = made
+    plan = Plan((Step("row_div", {"start": 2, "rate": 2, "cap": 8}), Step("compress")), (Step("blb_row", {"height": 16}), Step("wlb_col", {"size": 3})), "direct_warp_reduce")
+    laid = levels.kept(graph.lower(graph.prepare(m, plan), plan)).entries
+    every = templates.facts(laid).first().asDict()
+    for name, (_, condition) in templates.TEMPLATES.items():
+        own = templates.facts_for(laid, condition)
+        assert set(own) <= set(condition.split()) | {"tlbs_of_blb", "uneven_blbs", "min_tlb", "max_tlb"}
+        assert (condition == "true" or templates.holds(condition, own)) == templates.holds(condition, every), name
+    assert templates.most_warps(laid) >= laid.groupBy("block", "blb").agg(F.count_distinct("wlb").alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_few_cuts_are_written_out_and_lengths_counted_once(spark, made):
+    m, _ = made
+    held = m.held()
+    assert held.row_nnz() is held.row_nnz() and sorted(held.row_nnz().collect()) == sorted(m.row_nnz().collect())
+    dense = (Step("coarse_sort"), Step("row_div", {"start": 2, "rate": 2, "cap": 8}), Step("compress"))
+    got = graph.prepare(m, Plan(dense)).entries
+    assert got.select("block").distinct().count() > 1
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_entries(spark, made, monkeypatch):
+    from lattica import session
+
+    m, _ = made
+    monkeypatch.setattr(session, "ROWS_OF_A_TASK", 100)
+    assert session.in_tasks(spark, 1000) == 10 and session.in_tasks(spark, 4000) == 40
+    got = division.numbered(m.held())
+    assert sorted(r["nz"] for r in got.collect()) == list(range(m.entries.count()))
