@@ -37,7 +37,7 @@ def encoding(form: Column, high: Column) -> Column:
 def placed(matrix: SparseMatrix) -> DataFrame:
     """block, i, row, col and val of a divided and compressed matrix: indices relative to the block, entries numbered in it."""
     e = matrix.entries.select("block", (F.col("row") - F.col("row_lo")).alias("row"), (F.col("col") - F.col("col_lo")).alias("col"), "val")
-    return ranged_places(e, [F.col("block"), F.col("row"), F.col("col"), F.col("val")], "i", ["block"])
+    return ranged_places(e, [F.col("block"), F.col("row"), F.col("col"), F.col("val")], "i", "block")
 
 
 def encodings(entries: DataFrame) -> DataFrame:
