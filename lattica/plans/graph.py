@@ -151,7 +151,7 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
             if several:  # one block is no division
                 matrix = _divided(matrix, lambda m, points=points: division.row_ranges(m, points, with_low=True))
         elif step.name == "col_div":
-            matrix = _divided(matrix, lambda m, width=p["width"]: division.col_blocks(m, width).entries)
+            matrix = replace(_divided(matrix, lambda m, width=p["width"]: division.col_blocks(m, width).entries), by_cols=True)
         elif step.name == "compress":
             matrix = compressed(matrix)
     return matrix

@@ -2,12 +2,13 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import division, levels, products
+from lattica.operators import division, levels, order, products
 from lattica.plans import graph, templates, tuner
 from lattica.plans.graph import Plan, Step
 
@@ -103,3 +104,23 @@ def test_tasks_grow_with_the_entries(spark, made, monkeypatch):
     assert session.in_tasks(spark, 1000) == 10 and session.in_tasks(spark, 4000) == 40
     got = division.numbered(m.held())
     assert sorted(r["nz"] for r in got.collect()) == list(range(m.entries.count()))
+
+
+def test_places_within_values_that_lie_in_several_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 5]), i) for i in range(400)]
+    got = order.ranged_places(spark.createDataFrame(rows, "v long, i long"), [F.col("v"), F.col("i")], "at", "v")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(v, i): sum(w == v and j < i for w, j in rows) for v, i in rows}
+    assert {(r["v"], r["i"]): r["at"] for r in got.collect()} == want
+
+
+def test_pads_come_with_the_last_entry(made):
+    m, _ = made
+    plan = Plan((Step("compress"),), (Step("wlb_row", {"height": 32}), Step("tlb_col", {"size": 4})))
+    state = graph.lower(graph.prepare(m, plan), plan)
+    counted = replace(state, matrix=replace(state.matrix, by_cols=True))
+    for lay in (levels.padded, levels.interleaved):
+        one, two = lay(state), lay(counted)
+        assert sorted(map(str, one.select(*two.columns).collect())) == sorted(map(str, two.collect()))
+    assert "Exchange" not in levels.padded(levels.kept(state))._jdf.queryExecution().executedPlan().toString()
