@@ -32,7 +32,7 @@ from lattica.session import cut
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 150_000
 SEGMENT = 2048
 UNDETERMINED = "und"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits of a code point in a transition's key.
 POINT_BITS = 21
 SPACE = ord(" ")
@@ -218,7 +218,7 @@ def fit(
 
 
 def predict(text: Column, spark, samples: dict[str, str]) -> Column:
-    """struct<lang, score> of each text."""
+    """struct<lang, score> of each text. Told to be nondeterministic, so that a filter on it does not parse all texts again in workers of its own."""
     model, name = spark.sparkContext.broadcast(samples), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang string, score double>")
@@ -233,7 +233,7 @@ def predict(text: Column, spark, samples: dict[str, str]) -> Column:
             give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return predicted(text)
+    return predicted.asNondeterministic()(text)
 
 
 def language_id(

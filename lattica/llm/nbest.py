@@ -51,7 +51,7 @@ BATCH_CELL, BATCH_CHARS = 64, 400_000
 #: Bits of a code point in a step's key.
 POINT_BITS = 21
 SPACE = "▁"
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 Ranked = list[tuple[float, tuple[int, ...]]]
 

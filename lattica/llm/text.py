@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -163,21 +166,48 @@ class Lookup:
 
 #: The model that this worker holds, by what it is made from. Workers serve one operator after another.
 _HELD: dict = {}
+#: Seconds without use after which a worker lets its model go: it waits beside the workers of later stages.
+IDLE_S = 2.0
+_CHANGE, _USED = threading.RLock(), {"at": 0.0, "watched": False}
 
 
 def held(key, make: Callable):
-    """What make() gives, kept in this worker for later batches until another model is asked for."""
-    if key not in _HELD:
+    """What make() gives, kept in this worker for later batches until another model is asked for or none has come for a while."""
+    with _CHANGE:
+        if key not in _HELD:
+            let_go()
+            _HELD[key] = make()
+        _USED["at"] = time.monotonic()
+        if not _USED["watched"]:
+            _USED["watched"] = True
+            threading.Thread(target=_watch, daemon=True).start()
+        return _HELD[key]
+
+
+def _watch() -> None:
+    """Lets the model go once it is idle, and ends then."""
+    while (left := _USED["at"] + IDLE_S - time.monotonic()) > 0 or not _idle():
+        time.sleep(max(left, 0.01))
+
+
+def _idle() -> bool:
+    """Lets the model go, unless it is in use or has been meanwhile."""
+    with _CHANGE:
+        if any(sys.getrefcount(model) > 3 for model in _HELD.values()):  # more than the table, this loop and the call: a batch is at work
+            _USED["at"] = time.monotonic()
+        if _USED["at"] + IDLE_S > time.monotonic():
+            return False
+        _USED["watched"] = False
         let_go()
-        _HELD[key] = make()
-    return _HELD[key]
+        return True
 
 
 def let_go() -> None:
     """Drops the model that an earlier operator has left in this worker, and gives its memory back."""
-    _HELD.clear()
-    gc.collect()
-    give_back()
+    with _CHANGE:
+        _HELD.clear()
+        gc.collect()
+        give_back()
 
 
 def give_back() -> None:

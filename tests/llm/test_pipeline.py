@@ -72,6 +72,12 @@ def test_a_missing_language_is_filled_in(spark, tmp_path):
     assert {r["doc_id"]: r["lang"] for r in got} == {0: "en", 1: "de", 2: "de", 3: "en"}
 
 
+def test_texts_are_parsed_once(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(i, "some words of a language", "en", "s", 1, 1, 2) for i in range(3)], [])
+    got = corpus_pipeline.keep_languages(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_repeated_rows_leave_one(spark, tmp_path, prose):
     rows = [(7, prose[0], "en", "s", 1, 1, 2)] * 2 + [(8, prose[3], "en", "s", 1, 1, 2)]
     folder = tables(spark, tmp_path, rows, [])
