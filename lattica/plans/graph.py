@@ -190,15 +190,15 @@ def index_widths(matrix: SparseMatrix) -> DataFrame:
     return sizes.select("block", bits(F.col("r")).alias("row_bits"), bits(F.col("c")).alias("col_bits"))
 
 
-def lower(matrix: SparseMatrix, plan: Plan) -> levels.Levels:
-    """The level steps of a plan on a prepared matrix; levels that it leaves out are whole, threads hold one entry."""
+def lower(matrix: SparseMatrix, plan: Plan, gapless: bool = True) -> levels.Levels:
+    """The level steps of a plan on a prepared matrix; levels that it leaves out are whole, threads hold one entry. gapless: see Levels."""
     rows = matrix.n_rows
     for step in plan.levels:
         if step.name == "row_pad":
             matrix = padded_rows(matrix, step.params["multiple"])
         if step.params.get("empty_rows"):
             matrix = with_empty_rows(matrix)
-    state = levels.opened(matrix)
+    state = levels.opened(matrix, gapless)
     for step in plan.levels:
         p = step.params
         if step.name == "blb_row":
@@ -263,7 +263,7 @@ def run(matrix: SparseMatrix | None, plan: Plan, x: DataFrame, spark: SparkSessi
             raise ValueError(f"the partition does not support {plan.strategy}")
         if divisions:
             ready = ready.held()
-        state = lower(ready, plan)
+        state = lower(ready, plan, gapless=False)
         if check and divided:  # rows may lie in several blocks: the partition has to be laid out to be looked at
             state = levels.kept(replace(state, entries=state.entries.drop("nz", "row_lo", "blb_lo", "at", "len")))  # templates read the levels
             if not templates.supports(state.entries, plan.strategy):

@@ -124,3 +124,25 @@ def test_pads_come_with_the_last_entry(made):
         one, two = lay(state), lay(counted)
         assert sorted(map(str, one.select(*two.columns).collect())) == sorted(map(str, two.collect()))
     assert "Exchange" not in levels.padded(levels.kept(state))._jdf.queryExecution().executedPlan().toString()
+
+
+STEPS = [
+    (Step("wlb_col", {"size": 3}),),
+    (Step("blb_col", {"size": 4}), Step("wlb_col", {"size": 3})),
+    (Step("blb_col", {"size": 4, "from": 6}), Step("wlb_col", {"size": 2}), Step("tlb_col", {"size": 2})),
+]
+
+
+@pytest.mark.parametrize("steps", STEPS)
+def test_sums_tell_parts_apart_without_moving_entries(made, steps):
+    m, _ = made
+    ready = graph.prepare(m, Plan((Step("compress"),), steps))
+    with_gaps = graph.lower(ready, Plan((Step("compress"),), steps), gapless=False).entries
+    assert "hashpartitioning(row" not in with_gaps._jdf.queryExecution().executedPlan().toString()
+    parts = []
+    for entries in (with_gaps, graph.lower(ready, Plan((Step("compress"),), steps)).entries):
+        own = {}
+        for r in entries.collect():
+            own.setdefault((r["block"], r["blb"], r["wlb"], r["row"], r["tlb"]), set()).add((r["row"], r["col"], r["at"], r["len"]))
+        parts.append(sorted(map(sorted, own.values())))
+    assert parts[0] == parts[1]
