@@ -105,14 +105,17 @@ def block_counts(matrix: SparseMatrix, plans: list[Plan]) -> dict[tuple, dict]:
     """For each way to put rows into blocks that a plan has: counts over its blocks."""
     shapes = [Shape.of(p) for p in plans]
     ways = sorted({s.blocks for s in shapes}, key=repr)
-    low = F.min("row_lo") if "row_lo" in matrix.entries.columns else F.lit(0).cast("long")
-    rows = matrix.entries.groupBy("row").agg(F.count("*").alias("k"), low.alias("row_lo"))
-    rows = running_sum(rows, "row", "k", "start")
+    low = F.col("row_lo") if "row_lo" in matrix.entries.columns else F.lit(0).cast("long")
+    if matrix.numbers is not None:  # a row's first entry tells
+        rows = matrix.numbers.filter("rn = 0").select("row", "k", low.alias("row_lo"), F.col("nz").alias("start"))
+    else:
+        rows = matrix.entries.groupBy("row").agg(F.count("*").alias("k"), F.min(low).alias("row_lo"))
+        rows = running_sum(rows, "row", "k", "start")
     for least in sorted({s.least for s in shapes if s.least}):
         blocks = intervals(rows, cuts.least_nnz_cuts(matrix, least)).withColumnRenamed("range", f"least{least}")
         rows = blocks.drop("low")
     # Rows of padding hold one entry, at the matrix's end.
-    end = cut(rows)
+    end = rows if matrix.numbers is not None and not any(s.least for s in shapes) else cut(rows)
     nnz, low_all = end.agg(F.sum("k"), F.max("row_lo")).first()
     made, ids = _per_row(shapes), []
     for i, (pad, height, least) in enumerate(ways):

@@ -118,8 +118,8 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
     """
     if found := violations(plan):
         raise ValueError("; ".join(found))
-    if matrix is not None and (plan.levels or len(plan.dense) > 1):
-        matrix = matrix.held()  # every step reads it again, and often a few columns of it
+    if matrix is not None and (plan.levels or len(plan.dense) > 1) and not (plan.dense and plan.dense[0].name == "fine_sort"):
+        matrix = matrix.held()  # every step reads it again, and often a few columns of it; a sort by length reads it once and keeps what it makes
     for i, step in enumerate(plan.dense):
         p = step.params
         if step.name in DIVISIONS and i:  # cut points are looked for in it, and it is divided at them
@@ -129,14 +129,14 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
         elif step.name == "coarse_sort":
             every = p.get("every", 1)
             if "bounds" in p or every > 1:
-                found = sorting.coarse(matrix, p.get("bounds") or cuts.coarse_bounds(matrix, every))
+                kind = sorting.bin_of(p.get("bounds") or cuts.coarse_bounds(matrix, every))
             elif p.get("step", 1) > 1:  # bins of equal width from the shortest row on
-                found = sorting.coarse_by_step(matrix, p["step"])
+                kind = sorting.step_of(matrix, p["step"])
             else:  # a bin for each length
-                found = sorting.by_length(matrix)
-            matrix = sorting.apply(matrix, found)
+                kind = sorting.length
+            matrix = sorting.sort(matrix, kind)
         elif step.name == "fine_sort":
-            matrix = sorting.apply(matrix, sorting.by_length(matrix))
+            matrix = sorting.sort(matrix, sorting.length)
         elif step.name == "row_pad_total":
             matrix = layout.pad_rows(matrix, p["multiple"])
         elif step.name == "row_div":
@@ -169,12 +169,11 @@ def _divided(matrix: SparseMatrix, divide: Callable[[SparseMatrix], DataFrame])
 def compressed(matrix: SparseMatrix) -> SparseMatrix:
     """Entries with block (0 if undivided) and its least column, which index widths follow from."""
     e = matrix.entries
-    for name, value in (("block", 0), ("row_lo", 0), ("row_hi", matrix.n_rows)):
-        if name not in e.columns:
-            e = e.withColumn(name, F.lit(value).cast("long"))
-    if "block" not in matrix.entries.columns:  # one block: its least column is a number
-        low = e.agg(F.min("col")).first()[0]
-        return matrix.with_entries(e.withColumn("col_lo", F.lit(low).cast("long")), kept=matrix.kept)
+    new = {name: F.lit(value).cast("long") for name, value in (("block", 0), ("row_lo", 0), ("row_hi", matrix.n_rows)) if name not in e.columns}
+    if "block" in new:  # one block: its least column is a number
+        new["col_lo"] = F.lit(e.agg(F.min("col")).first()[0]).cast("long")
+        return matrix.with_entries(e.withColumns(new), kept=matrix.kept, numbers=None if matrix.numbers is None else matrix.numbers.withColumns(new))
+    e = e.withColumns(new)
     return matrix.with_entries(order.with_groups(e, e.groupBy("block").agg(F.min("col").alias("col_lo")), "block"))
 
 
@@ -268,6 +267,9 @@ def run(matrix: SparseMatrix | None, plan: Plan, x: DataFrame, spark: SparkSessi
             state = levels.kept(replace(state, entries=state.entries.drop("nz", "row_lo", "blb_lo", "at", "len")))  # templates read the levels
             if not templates.supports(state.entries, plan.strategy):
                 raise ValueError(f"the partition does not support {plan.strategy}")
+        if ready.row_map is not None and "old_row" in state.entries.columns:  # sums by the rows as they were; pads are of none
+            before = state.entries.filter(F.col("old_row").isNotNull()).drop("row").withColumnRenamed("old_row", "row")
+            return templates.product(before, replace(ready, n_rows=ready.n_sorted), x, plan.strategy)
         sums = templates.product(state.entries, ready, x, plan.strategy)
     else:
         plain = ready.with_entries(ready.entries.select("row", "col", "val"))

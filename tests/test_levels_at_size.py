@@ -1,5 +1,6 @@
 """Steps that many queries share: nothing is dealt by a key that few values have, and what is read again is kept."""
 
+import glob
 import itertools
 import random
 from dataclasses import replace
@@ -8,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.model import SparseMatrix
-from lattica.operators import division, levels, order, products
-from lattica.plans import graph, templates, tuner
+from lattica.operators import division, layout, levels, order, products, sorting
+from lattica.plans import facts, graph, templates, tuner
 from lattica.plans.graph import Plan, Step
+from lattica.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +148,78 @@ def test_sums_tell_parts_apart_without_moving_entries(made, steps):
             own.setdefault((r["block"], r["blb"], r["wlb"], r["row"], r["tlb"]), set()).add((r["row"], r["col"], r["at"], r["len"]))
         parts.append(sorted(map(sorted, own.values())))
     assert parts[0] == parts[1]
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()))
+
+
+KINDS = [
+    (lambda m: sorting.length, sorting.by_length),
+    (lambda m: sorting.bin_of([0, 4, 5, 7]), lambda m: sorting.coarse(m, [0, 4, 5, 7])),
+    (lambda m: sorting.step_of(m, 2), lambda m: sorting.coarse_by_step(m, 2)),
+]
+
+
+@pytest.mark.parametrize("kind, mapped", KINDS)
+def test_a_sort_numbers_the_entries(made, monkeypatch, kind, mapped):
+    m, _ = made
+    m = m.with_entries(m.entries.filter("row % 11 <> 5"))  # rows without entries in between
+    want = sorting.apply(m, mapped(m))
+    numbers = division.numbered(want)
+    for tasks in (1, 5):
+        monkeypatch.setattr(sorting, "in_tasks", lambda spark, rows, tasks=tasks: tasks)
+        got = sorting.sort(replace(m, n_entries=1000), kind(m))
+        assert rows_of(got.entries, "row", "col", "val") == rows_of(want.entries, "row", "col", "val")
+        assert rows_of(got.row_map, "new_row", "old_row") == rows_of(want.row_map, "new_row", "old_row")
+        assert rows_of(division.numbered(got), "row", "col", "rn", "k", "nz") == rows_of(numbers, "row", "col", "rn", "k", "nz")
+        assert rows_of(got.row_nnz(), "row", "k") == rows_of(want.row_nnz(), "row", "k")
+    both = [layout.pad_rows(x, 64, 3) for x in (got, want)]
+    assert both[0].numbers is not None and both[0].n_rows == 192
+    assert rows_of(division.numbered(both[0]), "row", "col", "rn", "k", "nz") == rows_of(division.numbered(both[1]), "row", "col", "rn", "k", "nz")
+    monkeypatch.setattr(sorting, "WHOLE_ROW", 4)  # no row may be numbered by a task
+    got = sorting.sort(m, kind(m))
+    assert got.numbers is None and rows_of(got.entries, "row", "col", "val") == rows_of(want.entries, "row", "col", "val")
+    assert rows_of(got.row_map, "new_row", "old_row") == rows_of(want.row_map, "new_row", "old_row")
+
+
+SORTED = (Step("fine_sort"), Step("row_pad_total", {"multiple": 64}), Step("compress"))
+
+
+def test_a_sorted_product_keeps_its_entries_once(spark, made):
+    m, x = made
+    kept = lambda: set(glob.glob(f"{shared_dir(spark)}/kept-*"))
+    before = kept()
+    got = graph.run(m, Plan(SORTED, (Step("tlb_nnz", {"size": 32}),), "unaligned_warp_reduce"), x)
+    assert len(kept() - before) == 1  # lengths, order, numbers and facts are read off it
+    assert "new_row" not in got._jdf.queryExecution().toString()  # and no map meets the sums
+    assert ys(got) == ys(products.product(m, x))
+
+
+@pytest.mark.parametrize("rest, steps, strategy", [
+    (SORTED[1:], (Step("row_pad", {"multiple": 100}), Step("blb_row", {"height": 16})), "direct_warp_compress"),
+    (SORTED[1:], (Step("tlb_col", {"size": 4}),), "chunks"),
+    (SORTED[2:], (Step("wlb_row", {"height": 8}), Step("tlb_row", {"empty_rows": True})), "direct"),
+    ((Step("col_div", {"width": 30}), SORTED[2]), (Step("blb_col", {"size": 4}),), "direct"),
+])
+def test_sorted_plans_give_the_product(made, rest, steps, strategy):
+    m, x = made
+    assert ys(graph.run(m, Plan((Step("coarse_sort"), *rest), steps, strategy), x, check=False)) == ys(products.product(m, x))
+
+
+def test_a_sorted_input_step_gives_the_product(made):
+    m, x = made
+    graph.remember("sorted input", m)
+    try:
+        got = ys(graph.run(None, Plan((Step("cached", {"name": "sorted input"}), *SORTED), (Step("tlb_nnz", {"size": 32}),), "unaligned_warp_reduce"), x, m.spark))
+    finally:
+        graph.forget("sorted input")
+    assert got == ys(products.product(m, x))
+
+
+def test_facts_of_a_sorted_matrix_come_from_its_numbers(made):
+    m, _ = made
+    plans = [Plan(SORTED, (Step("tlb_nnz", {"size": n}),), "unaligned_warp_reduce") for n in (4, 32)] + [Plan(SORTED, (Step("blb_row", {"least": 20}), Step("tlb_row")), "direct")]
+    ready = graph.prepare(m, plans[0])
+    assert ready.numbers is not None
+    assert facts.block_counts(ready, plans) == facts.block_counts(ready.with_entries(ready.entries), plans)
