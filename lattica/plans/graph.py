@@ -111,6 +111,12 @@ def source(spark: SparkSession, step: Step) -> SparseMatrix:
     return _CACHED[p["name"]]
 
 
+def reads_once(step: Step) -> bool:
+    """Whether a step is a sort that needs no look at the lengths before; it keeps the entries that it makes."""
+    p = step.params
+    return step.name == "fine_sort" or step.name == "coarse_sort" and bool(p.get("bounds") or max(p.get("every", 1), p.get("step", 1)) <= 1 and "bounds" not in p)
+
+
 def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None = None) -> SparseMatrix:
     """The input and the dense steps; the row map of a sort goes along, division and compression add columns to the entries.
 
@@ -118,8 +124,8 @@ def prepare(matrix: SparseMatrix | None, plan: Plan, spark: SparkSession | None
     """
     if found := violations(plan):
         raise ValueError("; ".join(found))
-    if matrix is not None and (plan.levels or len(plan.dense) > 1) and not (plan.dense and plan.dense[0].name == "fine_sort"):
-        matrix = matrix.held()  # every step reads it again, and often a few columns of it; a sort by length reads it once and keeps what it makes
+    if matrix is not None and (plan.levels or len(plan.dense) > 1) and not (plan.dense and reads_once(plan.dense[0])):
+        matrix = matrix.held()  # every step reads it again, and often a few columns of it
     for i, step in enumerate(plan.dense):
         p = step.params
         if step.name in DIVISIONS and i:  # cut points are looked for in it, and it is divided at them

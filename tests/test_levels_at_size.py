@@ -207,6 +207,13 @@ def test_sorted_plans_give_the_product(made, rest, steps, strategy):
     assert ys(graph.run(m, Plan((Step("coarse_sort"), *rest), steps, strategy), x, check=False)) == ys(products.product(m, x))
 
 
+def test_sorts_that_read_their_input_once():
+    reads = {1: [{}, {"bounds": [0, 3]}, {"every": 1}], 0: [{"every": 2}, {"step": 3}, {"bounds": []}]}
+    for want, options in reads.items():
+        assert [graph.reads_once(Step("coarse_sort", p)) for p in options] == [bool(want)] * len(options)
+    assert graph.reads_once(Step("fine_sort")) and not graph.reads_once(Step("row_div", {"cuts": [0, 5]}))
+
+
 def test_a_sorted_input_step_gives_the_product(made):
     m, x = made
     graph.remember("sorted input", m)
